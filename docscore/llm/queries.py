@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .minhash_dedup import OP4_SQL, op4_minhash_dedup
+from .packing import op2_nnls_packing
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op2_nnls_packing": op2_nnls_packing, "op4_minhash_dedup": op4_minhash_dedup, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_nnls_packing": op2_nnls_packing, "op4_minhash_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
