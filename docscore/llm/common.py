@@ -203,11 +203,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         said = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = cut(large.filter("u <> v").distinct())
         # small star: u's smaller neighbours and u itself all point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

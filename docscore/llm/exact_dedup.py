@@ -44,7 +44,7 @@ def groups_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     survivors = hashed.filter("survives")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id")))
-    equal = (
+    equal = cut(  # with an exchange of its own, so that AQE can split a hot group's rows in the join
         survivors.groupBy(F.col("sha256").alias("_sha"), F.col("len").alias("_len"))
         .agg(best.alias("b"), F.count("*").alias("size"))
         .filter("size > 1")
