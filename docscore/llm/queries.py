@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .gif_media import op3_gif_media
 from .minhash_dedup import OP4_SQL, op4_minhash_dedup
 from .packing import op2_nnls_packing
+from .secret_scan import op8_secret_scan
+from .sentencepiece_bpe import op6_sentencepiece
+from .toxicity import op5_toxicity
+
+QUERIES = (op2_nnls_packing, op3_gif_media, op4_minhash_dedup, op5_toxicity, op6_sentencepiece, op8_secret_scan, op9_exact_dedup)
 
 
 def queries() -> dict:
-    return {"op2_nnls_packing": op2_nnls_packing, "op4_minhash_dedup": op4_minhash_dedup, "op9_exact_dedup": op9_exact_dedup}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nnls_packing": op2_nnls_packing, "op4_minhash_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_minhash_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
