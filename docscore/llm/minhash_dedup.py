@@ -12,11 +12,11 @@ candidates when they share a band and their one-bit sketches (the lowest bit of
 coordinate) agree as often as a link's would, less 6.5 standard deviations. A candidate is
 linked only if its full shingle sets confirm it.
 
-No group emits all its pairs: first each representative is compared with one leader, the
-smallest representative among its candidates' bands that looks most alike, and components
-are formed. Then only bands whose members lie in several components are looked at again, and
-there only pairs of different components, by a join that AQE can split. So every candidate
-pair either lies in one component or has been compared.
+No group emits all its pairs: first each representative is compared with its bands' leaders,
+and components are formed. Then only bands whose members lie in several components are looked
+at again, and there only pairs of different components; the test on full sets is the condition
+of that join, which AQE can split, so only links come out of it. So every candidate pair lies
+in one component or was compared.
 
 A link of similarity T is missed with probability (1 - T**ROWS) ** (COORDS / ROWS): about
 7e-9 for 0.85 and 3e-6 for 0.8, less for higher ones.
@@ -109,15 +109,20 @@ def _sets(k: int):
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of (a, b), with a and b representatives, those that the full sets confirm."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, sh) of the documents in ``ids``, one row each; only texts that may be among them are shuffled, as sets."""
     near = with_maybe(docs, F.xxhash64("doc_id"), key_bitmap(ids.select(F.xxhash64("id").alias("h"))), "maybe").filter("maybe").select("doc_id", "text")
-    sets = near.mapInPandas(_sets(k), "id long, sh array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    a, b = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    # union = |a| + |b| - intersection
-    return both.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return near.mapInPandas(_sets(k), "id long, sh array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def _against_leaders(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``pairs``: rep, l. Adds missing (of the leader's shingles), added (to them) and linked, from the full sets."""
+    ids = pairs.select(F.col("rep").alias("id")).distinct().unionByName(pairs.select(F.col("l").alias("id")).distinct()).distinct()
+    sets = _sets_of(docs, ids, k)
+    a, b = sets.select(F.col("id").alias("rep"), F.col("sh").alias("sa")), sets.select(F.col("id").alias("l"), F.col("sh").alias("sb"))
+    both = pairs.join(a, "rep").join(b, "l").select("rep", "l", F.size("sb").alias("ln"), F.array_except("sb", "sa").alias("missing"), F.array_except("sa", "sb").alias("added"))
+    shared = F.col("ln") - F.size("missing")
+    return both.withColumn("linked", 100 * shared >= percent * (F.col("ln") + F.size("added")))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,28 +146,40 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         n, m = F.col(f"{x}n"), F.col(f"{y}n")
         return (differ(x, y) <= apart) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
-    # Round 1: each representative with the most alike of its bands' smallest members.
-    leaders = cut(banded.groupBy("band").agg(F.min("rep").alias("l"), F.count("*").alias("c")).filter("c > 1").select("band", "l"))
-    led = banded.join(leaders, "band").filter("rep <> l").select("rep", "n", "s0", "s1", "s2", "l").distinct()
-    of = banded.select(F.col("rep").alias("l"), F.col("n").alias("ln"), F.col("s0").alias("ls0"), F.col("s1").alias("ls1"), F.col("s2").alias("ls2")).distinct()
-    tried = led.join(of, "l").filter(alike("", "l")).groupBy("rep").agg(F.min(F.struct(differ("", "l").alias("d"), F.col("l"))).alias("x"))
-    pairs = cut(tried.select(F.col("x.l").alias("a"), F.col("rep").alias("b")))
-    stars = components(_confirmed(docs, pairs, k, percent))
-
-    # Round 2: in bands whose members lie in several components, pairs of different ones.
-    placed = banded.join(stars, banded["rep"] == stars["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    placed = cut(placed)
-    mixed = cut(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band"))
-    rest = cut(placed.join(mixed, "band", "left_semi"))
-    # In each mixed band the members outside of its largest component meet all members.
-    sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    home = cut(sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("x")).select("band", F.col("x.comp").alias("home")))
-    rest = cut(rest.join(home, "band"))
-    x = rest.filter("comp <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "s0", "s1", "s2", "comp")))
-    y = rest.select("band", "home", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "s0", "s1", "s2", "comp")))
-    meet = y.join(x, (y["band"] == x["band"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep"))) & alike("x_", "y_"))
-    more = cut(meet.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
-    found = _confirmed(docs, more, k, percent)
+    # Round 1: each representative with the most alike of its bands' leaders. A band's leader is
+    # the member that has most company in its bands, so what a family was copied from leads it.
+    sizes = cut(banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"))
+    full = cut(banded.join(sizes, "band"))
+    company = cut(full.groupBy("rep").agg(F.sum("c").alias("company")))
+    central = F.min(F.struct((-F.col("company")).alias("x"), F.col("rep").alias("l"), F.col("n").alias("ln"), *(F.col(f"s{i}").alias(f"ls{i}") for i in range(3))))
+    leaders = cut(full.join(company, "rep").groupBy("band").agg(central.alias("z")).select("band", "z.*").drop("x"))
+    led = full.join(leaders, "band").filter(F.col("rep") != F.col("l"))
+    # (In bands of two, a pair that isn't alike is of no further use; larger bands need the differences below.)
+    pairs = led.filter(alike("", "l") | (F.col("c") > 2)).select("rep", "l").distinct()
+    told = cut(_against_leaders(docs, pairs, k, percent))
+    stars = components(told.filter("linked").select(F.col("l").alias("a"), F.col("rep").alias("b")))
+
+    # Round 2: in bands whose members lie in several components, pairs of different ones. Each
+    # member is its difference from the leader, so a pair's intersection is exact and cheap:
+    # the leader's shingles less those that either lacks, plus those that both add.
+    placed = cut(full.filter("c > 2").join(stars, full["rep"] == stars["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component", "c"))
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("band", F.col("x.comp").alias("home"))
+    mixed = cut(mixed.join(leaders.select("band", "l", "ln"), "band"))
+    rest = placed.join(mixed, "band").join(told.select("rep", "l", "missing", "added"), ["rep", "l"], "left")
+    none = F.array().cast("array<long>")
+    rest = cut(rest.withColumn("missing", F.coalesce("missing", none)).withColumn("added", F.coalesce("added", none)))
+    # In each of these bands the members outside of its largest component meet all members.
+    cols = ("rep", "n", "s0", "s1", "s2", "comp", "missing", "added")
+    x = rest.filter("comp <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in cols))
+    y = rest.select("band", "home", "ln", *(F.col(c).alias(f"y_{c}") for c in cols))
+    shared = F.col("ln") - F.size(F.array_union("x_missing", "y_missing")) + F.size(F.array_intersect("x_added", "y_added"))
+    meet = y.join(
+        x,
+        (y["band"] == x["band"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep")))
+        & alike("x_", "y_") & (100 * shared >= percent * (F.col("x_n") + F.col("y_n") - shared)),
+    )
+    found = meet.select(F.col("x_comp").alias("a"), F.col("y_comp").alias("b")).distinct()
     joins = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(found))
 
     whole = classes.join(joins, classes["rep"] == joins["node"], "left").withColumn("comp", F.coalesce("component", "rep")).filter("copies > 1 or comp <> rep")
