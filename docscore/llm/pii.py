@@ -216,11 +216,14 @@ def _joined(spans: Column) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text", carry: bool = False) -> DataFrame:
     """``docs`` with base and found: arrays of spans, ordered by kind as listed, then start.
 
-    Without ``carry`` the text itself does not go through the checkpoint and is not returned."""
-    docs = docs if carry else docs.withColumn("_text", F.col(text_col)).drop(text_col)
-    marked = cut(with_candidates(docs, text_col if carry else "_text").drop("_text"))
+    Without ``carry`` the text is not returned, and candidates are kept in the shared folder;
+    with it they are searched twice, so that no text is written."""
+    if carry:
+        marked = with_candidates(docs, text_col)
+    else:
+        marked = cut(with_candidates(docs.withColumn("_text", F.col(text_col)).drop(text_col), "_text").drop("_text"))
     spans = marked.select(F.explode("_spans").alias("x")).select("x.kind", "x.v", "x.f")
-    model = cut(classifier(spans))
+    model = cut(classifier(cut(spans)))
     value = lambda x: F.col("_prior") + F.aggregate(x["f"], F.lit(0.0), lambda a, b: a + F.get(F.col("_weights"), b))
     out = marked.withColumn("_prior", model.select("prior").scalar()).withColumn("_weights", model.select("weights").scalar())
     out = out.withColumn("base", F.filter("_spans", lambda x: x["base"])).withColumn("found", F.filter("_spans", lambda x: x["base"] | (value(x) > 0)))
