@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Greek and Cyrillic letters that look like ASCII letters, and these letters.
 LOOKALIKES = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαβεικμνοπρτυχАВЕКМНОРСТУХаекморстух"
@@ -28,7 +29,7 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining accents."""
     return s.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"), na_action="ignore")

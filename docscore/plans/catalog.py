@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates
+from . import aggregates, scalars
 
-_PARTS = (aggregates,)
+_PARTS = (aggregates, scalars)
 
 
 def queries() -> dict:
