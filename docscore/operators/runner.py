@@ -1,0 +1,45 @@
+"""The boundary to extraction services: one function a provider, over batches of requests.
+
+Requests are dealt by provider, so a provider's batches are its lanes. A service that fails
+gives a row with its error, never a failed job. Without services, ``stub`` answers from the
+requested keys, so plans can be run and tested offline.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+RESULT = "task_key string, provider string, raw_output string, latency_ms long, input_tokens long, output_tokens long, error string"
+Service = Callable[[str, str], str]
+
+
+def stub(prompt: str, document: str) -> str:
+    """An answer for each requested key, made from the document's text."""
+    keys = [line[2:].split(" (")[0] for line in prompt.splitlines() if line.startswith("- ")]
+    if not document:
+        raise ValueError("empty document")
+    words = document.split()
+    return json.dumps({"pairs": [{"key": k, "value": words[i % len(words)] if words else "", "found": bool(words)} for i, k in enumerate(keys)]}, ensure_ascii=False)
+
+
+def extract(requests: DataFrame, services: dict[str, Service] | None = None, lanes: int | None = None) -> DataFrame:
+    """``requests``: task_key, provider, prompt, document."""
+    of = services or {}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                try:
+                    out, error = of.get(r.provider, stub)(r.prompt, r.document or ""), None
+                except Exception as x:  # noqa: BLE001 - a service may fail in any way
+                    out, error = "", str(x) or "unknown error"
+                rows.append((r.task_key, r.provider, out, 0, len(r.prompt.split()), len(out.split()), error))
+            yield pd.DataFrame(rows, columns=["task_key", "provider", "raw_output", "latency_ms", "input_tokens", "output_tokens", "error"])
+
+    dealt = requests.repartition(lanes, "provider", "task_key") if lanes else requests
+    return dealt.select("task_key", "provider", "prompt", "document").mapInPandas(run, RESULT)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, scalars
+from . import aggregates, documents, scalars
 
-_PARTS = (aggregates, scalars)
+_PARTS = (aggregates, scalars, documents)
 
 
 def queries() -> dict:

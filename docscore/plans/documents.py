@@ -1,0 +1,319 @@
+"""Queries over answers, ground truth, datasets, artifacts and streams, with their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import jsonx as J
+from ..functions import text as T
+from ..functions.rounding import retry_ceiling
+from ..operators import diff as D
+from ..operators import groundtruth as G
+from ..operators import leaderboard as L
+from ..operators import matching as M
+from ..operators import render, runner, scoring
+from ..operators.checkpoint import first_nonempty
+from ..streaming import leaderboard as S
+from .adapters import LOG, RUNS, log, runs, table
+from .aggregates import ONLINE, r
+
+# --- answers in four shapes -------------------------------------------------------------
+
+
+def _answers(spark, d):
+    k = F.col("c_custkey")
+    seg = F.when(k % 5 == 1, F.upper("c_mktsegment")).when(k % 5 == 2, "").when(k % 5 == 3, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    name = F.when(k % 5 == 3, F.concat("c_name", F.lit(" Inc."))).when(k % 5 == 4, F.lit("Nobody")).otherwise(F.col("c_name"))
+    raw = (
+        F.when(k % 4 == 0, F.format_string('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"}]}', name, seg))
+        .when(k % 4 == 1, F.format_string('Here it is:\n```json\n{"values":{"name":"%s","segment":"%s"}}\n```\nbye', name, seg))
+        .when(k % 4 == 2, F.format_string('The answer is {"name":"%s","segment":"%s"} thanks', name, seg))
+        .otherwise(F.format_string("Name: %s\nSegment: \"%s\"\nnothing here", name, seg))
+    )
+    return table(spark, d, "customer").select(k.alias("id"), "c_name", "c_mktsegment", name.alias("name"), seg.alias("segment"), raw.alias("raw"))
+
+
+_ANSWERS = """a AS (SELECT c_custkey AS id, c_name, c_mktsegment, CASE c_custkey % 5 WHEN 3 THEN c_name || ' Inc.' WHEN 4 THEN 'Nobody' ELSE c_name END AS name,
+  CASE c_custkey % 5 WHEN 1 THEN upper(c_mktsegment) WHEN 2 THEN '' WHEN 3 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment FROM customer),
+x AS (SELECT *, CASE id % 4 WHEN 0 THEN printf('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"}]}', name, segment)
+  WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || printf('{"values":{"name":"%s","segment":"%s"}}', name, segment) || chr(10) || '```' || chr(10) || 'bye'
+  WHEN 2 THEN printf('The answer is {"name":"%s","segment":"%s"} thanks', name, segment) ELSE printf('Name: %s', name) || chr(10) || printf('Segment: "%s"', segment) || chr(10) || 'nothing here' END AS raw FROM a),
+j AS (SELECT *, coalesce(CASE WHEN try_cast(raw AS JSON) IS NOT NULL THEN raw END, CASE WHEN contains(raw, '```') THEN regexp_extract(raw, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) END,
+  CASE WHEN contains(raw, '{') THEN regexp_extract(raw, '(?s)\\{.*\\}', 0) END) AS doc FROM x)"""
+
+
+def best_effort_json(spark, d):
+    return _answers(spark, d).select("id", J.best_json(F.col("raw")).alias("doc"))
+
+
+def _flat(pairs):
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
+
+
+def extract_pairs_json(spark, d):
+    return _answers(spark, d).filter("id % 4 <> 3").select("id", _flat(J.json_pairs(J.best_json(F.col("raw")))).alias("pairs"))
+
+
+def extract_pairs_text(spark, d):
+    return _answers(spark, d).filter("id % 4 = 3").select("id", _flat(J.text_pairs(F.col("raw"))).alias("pairs"))
+
+
+_PAIRS_JSON = """SELECT id, CASE id % 4 WHEN 0 THEN 'Name=' || (doc::JSON->'pairs'->0->>'value') || ';Segment=' || (doc::JSON->'pairs'->1->>'extracted_value')
+  WHEN 1 THEN 'name=' || (doc::JSON->'values'->>'name') || ';segment=' || (doc::JSON->'values'->>'segment') ELSE 'name=' || (doc::JSON->>'name') || ';segment=' || (doc::JSON->>'segment') END AS pairs FROM j WHERE id % 4 <> 3"""
+
+
+def _truth(spark, d):
+    """Two keys a customer: its name (critical) and its segment."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("doc-"), "c_custkey").alias("document_id"), "c_name", "c_mktsegment")
+    one = lambda name, col, critical: c.select("document_id", F.lit(name).alias("name"), F.lit(critical).alias("critical"), F.array(col).alias("expected"), F.lit("string").alias("data_type"), F.lit("normalized_text").alias("match"))
+    return one("name", "c_name", True).unionByName(one("segment", "c_mktsegment", False))
+
+
+def _scored(spark, d):
+    a = _answers(spark, d).select(F.concat(F.lit("t-"), "id").alias("task_key"), F.concat(F.lit("doc-"), "id").alias("document_id"), F.col("raw").alias("raw_output"))
+    return scoring.key_scores(a, _truth(spark, d))
+
+
+def score_runs(spark, d):
+    return scoring.score_runs(_scored(spark, d))
+
+
+_SCORE = """SELECT 't-' || id AS task_key, 2 AS field_total, (id % 5 <> 4)::BIGINT + (id % 5 <> 2)::BIGINT AS field_correct, 1 AS critical_total, (id % 5 <> 4)::BIGINT AS critical_correct,
+  1 + (id % 5 <> 2)::BIGINT AS found_keys, 2 AS requested_keys, id % 5 <> 4 AS success FROM a"""
+
+#: actual, expected, mode, key name, key type, matches
+CASES = (
+    ("", "N/A", "normalized_text", "x", "string", True), ("", "value", "normalized_text", "x", "string", False), (" a ", "a", "exact", "x", "string", True), ("A", "a", "exact", "x", "string", False),
+    ("2024-01-15", "15.01.2024", "normalized_text", "x", "string", True), ("15/01/2024", "2024-01-15", "normalized_text", "invoice date", "date", True), ("2024-01-15 10:30", "15.01.2024 10:30", "normalized_text", "x", "string", True),
+    ("2024-01-15 10:30", "15.01.2024 11:30", "normalized_text", "x", "string", False), ("02/03/2024", "2024-03-02", "normalized_text", "x", "string", True), ("02/03/2024", "2024-02-03", "normalized_text", "x", "string", True),
+    ("30.02.2024", "2024-02-30", "normalized_text", "x", "string", False), ("10:30 am", "10:30", "normalized_text", "x", "string", True), ("10:30:05", "10:30", "normalized_text", "time", "string", True), ("10:30:05", "10:30:06", "normalized_text", "time", "string", False),
+    ("12:15 AM", "00:15", "normalized_text", "x", "string", True), ("3:05 p.m.", "15:05", "normalized_text", "x", "string", True), ("€", "EUR", "normalized_text", "currency", "string", True), ("12 EUR", "€ 9", "normalized_text", "currency", "string", True),
+    ("€", "EUR", "normalized_text", "x", "string", False), ("Freight Prepaid", "prepaid", "normalized_text", "freight terms", "string", True), ("collect", "prepaid", "normalized_text", "freight terms", "string", False),
+    ("STC Cartons", "cartons", "normalized_text", "package type", "string", True), ("Kgs", "kilogram", "normalized_text", "weight unit", "string", True), ("lb", "kg", "normalized_text", "weight unit", "string", False),
+    ("Acme Inc.", "ACME Ltd", "normalized_text", "supplier name", "string", True), ("Acme Inc.", "ACME Ltd", "normalized_text", "x", "string", False), ("c/o Acme A/S", "Acme", "normalized_text", "name", "string", True),
+    ("Sea Freight", "sea", "normalized_text", "transport mode", "string", True), ("1.5", "15", "normalized_text", "x", "string", True), ("-5", "5", "numeric", "x", "float", True), ("1,234.56", "1234.56", "numeric", "x", "float", True),
+    ("1,50", "1.5", "numeric", "x", "float", True), ("abc", "1", "numeric", "x", "float", False), ("hello big world", "Big World", "contains", "x", "string", True), ("hello", "hello world", "contains", "x", "string", False),
+    ("Café", "cafe", "normalized_text", "x", "string", True), ("Αcme", "acme", "normalized_text", "x", "string", True), ("a-b", "a b", "normalized_text", "x", "string", True), ("ab", "a b", "normalized_text", "x", "string", False),
+)
+
+
+def match_cascade(spark, d):
+    cases = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "n long, actual string, expected string, mode string, name string, type string, wanted boolean")
+
+    p = cases.withColumn("a", M.prepared(F.col("actual"))).withColumn("e", M.prepared(F.col("expected"))).withColumn("h", M.hints(F.col("name"), F.col("type")))
+    return p.select("n", "actual", "expected", M.is_match(F.col("a"), F.col("e"), F.col("mode"), F.col("h")).alias("matched"))
+
+
+_CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{e}', {str(w).lower()})" for i, (a, e, _, _, _, w) in enumerate(CASES)) + ") t(n, actual, expected, matched)"
+
+# --- ground truth ------------------------------------------------------------------------
+
+
+def _gt(spark, d):
+    """An order as nested ground truth with its lines as a list of items."""
+    li = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    item = F.format_string('{"qty":%d,"flag":"%s","price":{"value":%.2f,"critical":true,"type":"float"}}', F.col("l_quantity").cast("long"), "l_returnflag", "l_extendedprice")
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
+    items = li.groupBy("l_orderkey").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("items"))
+    j = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    text = F.concat(
+        F.format_string('{"order":{"id":{"value":%d,"critical":true,"type":"integer"},"day":{"value":"%s"},"note":{"value":null,"critical":true}},"status":{"value":["%s"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},"items":[', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"),
+        "items", F.lit("]}"),
+    )
+    return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
+
+
+def gt_flatten(spark, d):
+    k = G.keys(_gt(spark, d).select("doc", "json"))
+    return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"), "data_type", "match")
+
+
+_GT_SQL = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li))
+SELECT o_orderkey AS doc, 1 AS ordinal, 'id' AS name, true AS critical, CAST(o_orderkey AS VARCHAR) AS expected, 'integer' AS data_type, 'numeric' AS match FROM o
+UNION ALL SELECT o_orderkey, 2, 'order_day', false, strftime(o_orderdate, '%Y-%m-%d'), NULL, 'normalized_text' FROM o
+UNION ALL SELECT o_orderkey, 3, 'note', true, '', NULL, 'normalized_text' FROM o
+UNION ALL SELECT o_orderkey, 4, 'status', false, o_orderstatus || '|?', NULL, 'exact' FROM o
+UNION ALL SELECT o_orderkey, 5, 'other_day', false, '', NULL, 'normalized_text' FROM o
+UNION ALL SELECT l_orderkey, 3 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_qty' ELSE 'qty' END, false, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'integer', 'numeric' FROM li
+UNION ALL SELECT l_orderkey, 4 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_flag' ELSE 'flag' END, false, l_returnflag, 'string', 'normalized_text' FROM li
+UNION ALL SELECT l_orderkey, 5 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_price' ELSE 'price' END, true, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0+$', ''), 'float', 'numeric' FROM li"""
+
+
+def gt_dedupe_names(spark, d):
+    """Names of clashing leaves, counted."""
+    k = G.keys(_gt(spark, d).select("doc", "json"))
+    return k.groupBy("doc").agg(F.count("*").alias("keys"), F.countDistinct("name").alias("names"), F.count_if(F.col("name").startswith("items_")).alias("pathed"))
+
+
+_GT_NAMES = f"SELECT doc, count(*) AS keys, count(DISTINCT name) AS names, count(*) FILTER (starts_with(name, 'items_')) AS pathed FROM ({_GT_SQL}) GROUP BY doc"
+
+
+def _label_keys(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").withColumnRenamed("doc_id", "l_id")
+    j = docs.join(labels, F.col("doc_id") == F.col("l_id"), "left")
+    none = F.array().cast("array<string>")
+    return j.select(F.col("lang").alias("domain"), F.col("doc_id").alias("doc"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("critical"), F.when(F.col("toxic").isNull(), none).otherwise(F.array(F.col("toxic").cast("string"))).alias("expected"))
+
+
+_LABEL_KEYS = "k AS (SELECT lang AS domain, d.doc_id AS doc, coalesce(quality = 1, false) AS critical, toxic IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def label_completeness(spark, d):
+    g = G.dataset_summary(_label_keys(spark, d))
+    return g.select("domain", "critical", "critical_labelled", F.when(F.col("critical") > 0, F.col("critical_labelled") / F.col("critical") * 100).otherwise(0.0).alias("critical_pct"))
+
+
+def _manifest(spark, d):
+    p = table(spark, d, "pages")
+    k = F.col("page_id")
+    return p.select(F.concat(F.lit("dom"), k % 3).alias("domain"), F.when(k % 50 == 7, "").otherwise(F.concat(F.lit("doc-"), F.when(k % 40 == 3, k + 1).otherwise(k))).alias("document_id"), F.concat(F.lit("src/"), k % 200).alias("source"), F.concat(F.lit("gt/"), k).alias("truth"))
+
+
+def dataset_validate(spark, d):
+    k = F.col("page_id")
+    p = table(spark, d, "pages")
+    files = p.filter("page_id % 11 <> 0").select(F.concat(F.lit("gt/"), k).alias("path")).unionByName(p.filter("page_id < 190").select(F.concat(F.lit("src/"), k).alias("path")))
+    return G.validate(_manifest(spark, d), files).groupBy("rule", "document_id").agg(F.count("*").alias("n"))
+
+
+_VALIDATE = """WITH m AS (SELECT CASE WHEN page_id % 50 = 7 THEN '' ELSE 'doc-' || CASE WHEN page_id % 40 = 3 THEN page_id + 1 ELSE page_id END END AS document_id, 'src/' || page_id % 200 AS source, 'gt/' || page_id AS truth FROM pages),
+f AS (SELECT 'gt/' || page_id AS path FROM pages WHERE page_id % 11 <> 0 UNION SELECT 'src/' || page_id FROM pages WHERE page_id < 190),
+v AS (SELECT 'missing_fields' AS rule, document_id FROM m WHERE document_id = '' UNION ALL SELECT 'duplicate_id', document_id FROM m GROUP BY document_id HAVING count(*) > 1
+ UNION ALL SELECT 'missing_source', document_id FROM m WHERE source NOT IN (SELECT path FROM f) UNION ALL SELECT 'missing_truth', document_id FROM m WHERE truth NOT IN (SELECT path FROM f)
+ UNION ALL SELECT 'reused_source', document_id FROM m WHERE source IN (SELECT source FROM m GROUP BY source HAVING count(*) > 1)) SELECT rule, document_id, count(*) AS n FROM v GROUP BY ALL"""
+
+
+def dataset_warnings(spark, d):
+    """Domains with nothing labelled, not all labelled, or fewer than ten documents."""
+    g = G.dataset_summary(_label_keys(spark, d))
+    w = F.array_compact(F.array(F.when(F.col("labelled") == 0, "none_labelled"), F.when(F.col("labelled") < F.col("keys"), "not_all_labelled"), F.when(F.col("documents") < 10, "few_documents")))
+    return g.select("domain", F.explode(w).alias("warning"))
+
+
+# --- artifacts, text, runtime -------------------------------------------------------------
+
+
+def name_match(spark, d):
+    k = F.col("p_partkey")
+    left = table(spark, d, "part").select(F.concat(F.when(k % 3 == 0, F.upper(F.concat(F.lit("Doc "), k))).otherwise(F.concat(F.lit("doc-"), k)), F.lit(".pdf")).alias("file"))
+    right = table(spark, d, "supplier").select(F.concat(F.lit("doc-"), "s_suppkey", F.lit(".json")).alias("truth"))
+    return D.name_match(left, right)
+
+
+_NAME_MATCH = """WITH l AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'DOC ' || p_partkey ELSE 'doc-' || p_partkey END || '.pdf' AS file, p_partkey AS k FROM part)
+SELECT file, CASE WHEN s_suppkey IS NOT NULL THEN 'doc-' || s_suppkey || '.json' END AS truth, CASE WHEN s_suppkey IS NULL THEN 'none' WHEN k % 3 = 0 THEN 'normalised' ELSE 'exact' END AS how FROM l LEFT JOIN supplier ON s_suppkey = k"""
+
+
+def artifact_diff(spark, d):
+    e = runs(spark, d)
+    a = e.filter("ordinal % 13 <> 1").select("ordinal", F.col("latency_ms").cast("double").alias("latency"), "error", "model_key")
+    b = e.filter("ordinal % 17 <> 2").select("ordinal", F.when(F.col("ordinal") % 5 == 0, F.col("latency_ms") * 2.0).otherwise(F.col("latency_ms") + 1.0).alias("latency"), F.when(F.col("ordinal") % 11 == 0, "changed").otherwise(F.col("error")).alias("error"), F.lit("other").alias("model_key"))
+    x = D.artifact_diff(a, b, "ordinal", ["latency"], ["error", "model_key"], ignored=("model_key",))
+    return x.select("key", "field", "kind", r_(F.col("drift")).alias("drift"))
+
+
+def r_(c):
+    from ..functions.rounding import round_half
+
+    return round_half(c, 6)
+
+
+_DIFF = f"""WITH {RUNS}, a AS (SELECT ordinal, CAST(latency_ms AS DOUBLE) AS latency, error FROM runs WHERE ordinal % 13 <> 1),
+b AS (SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN latency_ms * 2e0 ELSE latency_ms + 1e0 END AS latency, CASE WHEN ordinal % 11 = 0 THEN 'changed' ELSE error END AS error FROM runs WHERE ordinal % 17 <> 2),
+j AS (SELECT coalesce(a.ordinal, b.ordinal) AS key, a.ordinal AS ao, b.ordinal AS bo, a.latency AS al, b.latency AS bl, a.error AS ae, b.error AS be FROM a FULL JOIN b ON a.ordinal = b.ordinal)
+SELECT key, '' AS field, CASE WHEN ao IS NULL THEN 'missing_left' ELSE 'missing_right' END AS kind, CAST(NULL AS DOUBLE) AS drift FROM j WHERE ao IS NULL OR bo IS NULL
+UNION ALL SELECT key, 'latency', 'number', {r("CASE WHEN al = 0 THEN 'inf'::DOUBLE ELSE (bl - al) / abs(al) END", 6)} FROM j WHERE ao IS NOT NULL AND bo IS NOT NULL AND NOT (abs(al - bl) <= 1 OR abs(al - bl) / greatest(abs(al), abs(bl), 1e-300) <= 0.25)
+UNION ALL SELECT key, 'error', 'text', NULL FROM j WHERE ao IS NOT NULL AND bo IS NOT NULL AND ae IS DISTINCT FROM be"""
+
+
+def first_value(spark, d):
+    c = table(spark, d, "conversations").withColumn("value", F.when(F.col("turn") % 2 == 0, "").otherwise(F.left("text", F.lit(40))))
+    return first_nonempty(c, ["conv_id"], "value", "turn")
+
+
+def prompt_render(spark, d):
+    k = G.keys(_gt(spark, d).select("doc", "json"))
+    return render.prompts(k.filter("ordinal <= 3"), "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
+
+
+_PROMPT = f"""SELECT doc, 'Read the keys.' || chr(10) || string_agg('- ' || name || ' (type: ' || coalesce(data_type, 'string') || ', critical: ' || CASE WHEN critical THEN 'yes' ELSE 'no' END || ')', chr(10) ORDER BY ordinal) || chr(10) || 'End.' AS prompt
+FROM ({_GT_SQL}) WHERE ordinal <= 3 GROUP BY doc"""
+
+_MD = ["rank", "model_key", "success_rate_pct", "avg_field_accuracy_pct", "cost_per_success_usd"]
+
+
+def markdown_table(spark, d):
+    return render.markdown(L.leaderboard_online(runs(spark, d)), _MD, "rank")
+
+
+_MARKDOWN = f"""SELECT '| {' | '.join(_MD)} |' || chr(10) || '|{'---|' * len(_MD)}' || chr(10) || string_agg('| ' || rank || ' | ' || model_key || ' | ' || printf('%.2f', success_rate_pct) || ' | ' || printf('%.2f', avg_field_accuracy_pct) || ' | ' || coalesce(printf('%.2f', cost_per_success_usd), '-') || ' |', chr(10) ORDER BY rank) AS markdown FROM ({ONLINE})"""
+
+
+def truncation_flag(spark, d):
+    k, t = F.col("doc_id"), F.left("text", F.lit(60))
+    s = F.when(k % 4 == 0, F.concat(F.lit('{"a": "'), t)).when(k % 4 == 1, F.lit('{"a": 1}')).when(k % 4 == 2, F.concat(F.regexp_replace(t, "[{}\\[\\]]", ""), F.lit(" end,"))).otherwise(F.lit("plain words"))
+    return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
+
+
+def raw_contract(spark, d):
+    """Checkpoint records as canonical raw records: nested, then flattened again for comparison."""
+    x = log(spark, d).filter("ordinal < 2000")
+    nested = x.select(
+        F.struct("model_key", F.split("model_key", ":")[0].alias("provider")).alias("model"), F.struct("domain", "document_id").alias("document"),
+        F.struct("latency_ms", F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), "error").alias("runtime"), F.struct(F.lit("").alias("raw_output"), F.array().cast("array<string>").alias("extracted_pairs")).alias("payload"), "task_key", "ordinal",
+    )
+    return nested.select("ordinal", "task_key", "model.provider", "document.document_id", "runtime.input_tokens", "runtime.error", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"))
+
+
+def runner_stub(spark, d):
+    q = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("task_key"), F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.lit("- first (type: string, critical: yes)\n- second (type: string, critical: no)").alias("prompt"), F.col("text").alias("document"))
+    return runner.extract(q).select("task_key", "provider", F.get_json_object("raw_output", "$.pairs[1].key").alias("second"), "input_tokens", "error")
+
+
+def pdf_base64(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")), 256).alias("digest"))
+
+
+def stream_leaderboard(spark, d):
+    """The running leaderboard over a stream of event files, as far as there are any."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema.simpleString()
+    raw = S.read_log(spark, d, schema[7:-1].replace(":", " "), glob="events.parquet*")
+    k, v, u = F.get_json_object("props", "$.k").cast("long"), F.col("value"), F.col("user_id")
+    critical, total = F.when(k % 11 == 0, 0).otherwise(3 + k % 2), 8 + k % 5
+    win = F.when(critical > 0, F.least(critical, F.floor(v / 8)) == critical).otherwise(F.least(total, F.floor(v / 4)) == total) & (F.col("event_type") != "error")
+    x = raw.select(F.concat(F.lit("p"), u % 4, F.lit(":m"), u % 12).alias("model_key"), win.alias("success"), F.floor(v * 100 + 0.5).alias("cost_micro"))
+    name = f"rates_{uuid.uuid4().hex}"
+    at = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.gettempdir()}/{name}"
+    S.run_available(S.running_rates(x), name, at)
+    return spark.table(name)
+
+
+_STREAM = f"WITH {RUNS} SELECT model_key, count(*) AS runs, count(*) FILTER (success) AS successes, CAST(sum(cost_micro) AS BIGINT) AS cost_micro, {r('count(*) FILTER (success) * 100e0 / count(*)', 2)} AS success_rate_pct FROM runs GROUP BY model_key"
+
+QUERIES = {
+    "best_effort_json": (best_effort_json, f"WITH {_ANSWERS} SELECT id, doc FROM j"),
+    "extract_pairs_json": (extract_pairs_json, f"WITH {_ANSWERS} {_PAIRS_JSON}"),
+    "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} SELECT id, 'Name=' || name || ';Segment=' || segment AS pairs FROM a WHERE id % 4 = 3"),
+    "match_cascade": (match_cascade, _CASES),
+    "score_runs": (score_runs, f"WITH {_ANSWERS} {_SCORE}"),
+    "gt_flatten": (gt_flatten, _GT_SQL),
+    "gt_dedupe_names": (gt_dedupe_names, _GT_NAMES),
+    "dataset_summary": (lambda s, d: G.dataset_summary(_label_keys(s, d)), f"WITH {_LABEL_KEYS} SELECT domain, count(DISTINCT doc) AS documents, count(*) AS keys, count(*) FILTER (labelled) AS labelled, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled, count(*) FILTER (labelled) / (count(*) * 1e0) * 100 AS labelled_pct FROM k GROUP BY domain"),
+    "label_completeness": (label_completeness, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled FROM k GROUP BY domain) SELECT *, CASE WHEN critical > 0 THEN critical_labelled / (critical * 1e0) * 100 ELSE 0e0 END AS critical_pct FROM g"),
+    "dataset_validate": (dataset_validate, _VALIDATE),
+    "dataset_warnings": (dataset_warnings, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(DISTINCT doc) AS d, count(*) AS k, count(*) FILTER (labelled) AS l FROM k GROUP BY domain) SELECT domain, 'none_labelled' AS warning FROM g WHERE l = 0 UNION ALL SELECT domain, 'not_all_labelled' FROM g WHERE l < k UNION ALL SELECT domain, 'few_documents' FROM g WHERE d < 10"),
+    "name_match": (name_match, _NAME_MATCH),
+    "artifact_diff": (artifact_diff, _DIFF),
+    "first_nonempty": (first_value, "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text[1:40] END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
+    "prompt_render": (prompt_render, _PROMPT),
+    "markdown_table": (markdown_table, _MARKDOWN),
+    "truncation_flag": (truncation_flag, "SELECT doc_id, doc_id % 4 IN (0, 2) AS truncated, least(8000, greatest(n_chars + 400, n_chars * 2)) AS ceiling FROM documents"),
+    "raw_contract": (raw_contract, f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log WHERE ordinal < 2000"),
+    "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
+    "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
+    "stream_leaderboard": (stream_leaderboard, _STREAM),
+}

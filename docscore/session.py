@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "docscore", **conf: str) -> SparkSession:
@@ -14,3 +17,13 @@ def session(app: str = "docscore", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
     } | conf
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from there. A folder of
+    our own is set only where spark.checkpoint.dir is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "docscore-checkpoints"))
+    return df.checkpoint(eager=True)
