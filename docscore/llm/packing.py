@@ -69,10 +69,10 @@ class WordIds:
             else:
                 c = None
             parts.append(c)
-        missing -= self.chunks.keys()
-        if missing:
-            words = {c: _WORD.findall(c) for c in missing}
-            self._learn(list({w for ws in words.values() for w in ws} - self.known.keys()))
+        new = [c for c in missing if c not in self.chunks]
+        if new:
+            words = {c: _WORD.findall(c) for c in new}
+            self._learn(list({w for ws in words.values() for w in ws if w not in self.known}))
             self.chunks.update((c, b"".join([self.known[w] for w in ws])) for c, ws in words.items())
         get = self.chunks.__getitem__
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, parts, strict=True)]
