@@ -1,8 +1,8 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nystrom landmarks.
 
 The kernel compares two words by their common subsequences of three characters, gaps allowed:
-a subsequence that spans s characters counts DECAY**s, spans up to SPAN. So letters that were
-put in between, or dots, cost a factor and do not hide a word. Words carry marks for their
+a subsequence that spans s characters counts DECAY**s, spans up to SPAN, and the kernel is
+scaled by the lengths of the two words. So letters that were put in between, or dots, cost a factor and do not hide a word. Words carry marks for their
 start and end; characters are folded into CLASSES classes.
 
 Training, on sentences of at most ``max_labelled`` labelled documents (a bounded sample, in
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,11 +43,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DECAY, SPAN, CLASSES = 0.6, 7, 40
-LANDMARKS, MAX_LABELLED, ROUNDS = 96, 12_000, 2
+LANDMARKS, MAX_LABELLED, ROUNDS = 96, 8_000, 2
 CACHE_WORDS = 1_000_000
 LONGEST = 24  # longer words are read in overlapping windows of this many characters
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
-_SPACED = re.compile(r"(?:(?<=\s)|^)(?:\w[\s.*_-]){3,}\w(?=\s|$)")
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _START, _END = 26, 27
 
@@ -59,54 +59,51 @@ def _class(c: str) -> int:
     return 30 + ord(c) % (CLASSES - 30) if c.isalpha() else 29
 
 
-_classes: dict[str, int] = {}
+_table: list[np.ndarray] = []
+
+
+def _classes_of(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of classes, with a start and an end."""
+    if not _table:
+        _table.append(np.array([_class(chr(i)) for i in range(0x10000)], np.int32))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+    c = np.empty((len(words), points.shape[1] + 2), np.int32)
+    c[:, 0], c[:, -1] = _START, _END
+    c[:, 1:-1] = _table[0][np.minimum(points, 0xFFFF)]
+    return c
 
 
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j < k of n characters with a span up to SPAN, and their weights."""
+    """Positions i < j < k of n characters with a span up to SPAN, and their weights, of norm 1."""
     ijk = [(i, j, k) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
     a = np.array(ijk, np.int64).reshape(-1, 3).T
-    return a, DECAY ** (a[2] - a[0] + 1).astype(float)
+    w = DECAY ** (a[2] - a[0] + 1).astype(float)
+    return a, w / np.sqrt((w * w).sum())
 
 
 _layouts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def features(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Groups of words of one length: (their indices, subsequences, weights of a unit vector); a
-    subsequence that repeats in a word has its whole weight at its last place and 0 before."""
+    """Groups of words of one length: (their indices, subsequences of each, weight of each place).
+
+    The kernel is scaled by the length alone, so a word needs no sums over its own repeats."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for n, every in by.items():
         at, weight = _layouts.get(n + 2) or _layouts.setdefault(n + 2, _triples(n + 2))
-        for lo in range(0, len(every), 512):
-            some = every[lo : lo + 512]
-            c = np.full((len(some), n + 2), _START, np.int32)
-            c[:, -1] = _END
-            for r, i in enumerate(some):
-                for p, x in enumerate(words[i]):
-                    k = _classes.get(x)
-                    c[r, p + 1] = k if k is not None else _classes.setdefault(x, _class(x))
-            f = (c[:, at[0]] * CLASSES + c[:, at[1]]) * CLASSES + c[:, at[2]]
-            order = np.argsort(f, axis=1)
-            f = np.take_along_axis(f, order, 1)
-            total = np.cumsum(weight[order], axis=1)
-            last = np.ones(f.shape, bool)
-            last[:, :-1] = f[:, 1:] != f[:, :-1]
-            ends = np.where(last, total, 0)
-            before = np.zeros_like(ends)
-            before[:, 1:] = np.maximum.accumulate(ends, axis=1)[:, :-1]
-            w = np.where(last, total - before, 0)
-            w /= np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-12)
-            yield some, f, w
+        for lo in range(0, len(every), 1024):
+            some = every[lo : lo + 1024]
+            c = _classes_of([words[i] for i in some])
+            yield some, ((c * CLASSES)[:, at[0]] + c[:, at[1]]) * CLASSES + c[:, at[2]], weight
 
 
 def _dense(words: list[str]) -> np.ndarray:
     out = np.zeros((CLASSES**3, len(words)), np.float32)
     for some, f, w in features(words):
         for r, i in enumerate(some):
-            np.add.at(out[:, i], f[r], w[r])
+            np.add.at(out[:, i], f[r], w)
     return out
 
 
@@ -115,15 +112,23 @@ def _against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), landmarks.shape[1]))
     for some, f, w in features(words):
         for r, i in enumerate(some):
-            out[i] = w[r] @ landmarks[f[r]]
+            out[i] = w @ landmarks[f[r]]
     return out
 
 
 def tokens(text: str) -> set[str]:
-    """Lower-cased words and joined runs of single spaced letters."""
-    low = text.lower()
-    out = set(low.split())
-    out.update("".join(c for c in m[0] if c.isalnum()) for m in _SPACED.finditer(low))
+    """Lower-cased words, and runs of four or more single letters as one word."""
+    words = text.lower().split()
+    out = set(words)
+    if list(map(len, words)).count(1) >= 4:
+        run: list[str] = []
+        for w in [*words, ""]:
+            if len(w) == 1 and w.isalpha():
+                run.append(w)
+                continue
+            if len(run) >= 4:
+                out.add("".join(run))
+            run = []
     return out
 
 
@@ -148,13 +153,14 @@ class Model:
     def of_words(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
         for some, f, w in features(words):
-            out[some] = (self.weights[f] * w).sum(axis=1)
+            out[some] = self.weights[f] @ w
         return out + self.bias
 
     def worst(self, text: str) -> tuple[float, str]:
         """The highest score of a word of the text, and the word; (-2, '') without words."""
         all_of = tokens(text)
-        new = list(all_of - self.known.keys())
+        known = self.known
+        new = [w for w in all_of if w not in known]
         if new:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
@@ -233,7 +239,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _fragments(word: str) -> set[str]:
     w = f"^{word}$"
-    return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)} | {w}
+    return {w[i : i + 5] for i in range(len(w) - 4)} | {w}
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +267,7 @@ def _words_with(telling: frozenset[str]):
             for text, label in zip(f["text"], f["toxic"], strict=True):
                 for w in {p for t in tokens(text or "") for p in _windows(t)}:
                     told = not telling.isdisjoint(_fragments(w))
-                    if told or not label:
+                    if told or not label and zlib.crc32(w.encode("utf-8", "surrogatepass")) % 16 == 0:
                         n[w, bool(label), told] += 1
             yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["word", "toxic", "told", "n"])
 
