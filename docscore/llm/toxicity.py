@@ -28,6 +28,7 @@ label; other columns do not matter.
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
 import zlib
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DECAY, SPAN, CLASSES = 0.6, 7, 40
-LANDMARKS, MAX_LABELLED, ROUNDS = 96, 8_000, 2
-CACHE_WORDS = 1_000_000
+LANDMARKS, MAX_LABELLED, ROUNDS = 400, 8_000, 4
+CACHE_WORDS, RIDGE, BIAS = 1_000_000, 1e-6, -1.0
 LONGEST = 24  # longer words are read in overlapping windows of this many characters
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
@@ -193,32 +194,47 @@ def train_machine(positive: Counter, negative: list[str]) -> Model:
     rng = random.Random(7)
     good = sorted(set(negative) - positive.keys())
     bad = sorted(positive, key=lambda w: (-positive[w], w))
-    pool = bad[:600] + rng.sample(good, min(200, len(good)))
+    hard = [w for w, _ in Counter(negative).most_common()]  # those that were missed most come first
+    pool = bad[:200] + [w for w in dict.fromkeys(hard) if w not in positive][:250] + rng.sample(good, min(150, len(good)))
     dense = _dense(pool)
-    k = dense.T @ dense
-    chosen, far = [0], 1 - k[0]
+    k = _against(pool, dense)
+    own = np.sqrt(np.diag(k))
+    k_unit = k / own / own[:, None]
+    chosen, far = [0], 1 - k_unit[0]
     while len(chosen) < min(LANDMARKS, len(pool)):  # farthest first
         i = int(np.argmax(far))
         if far[i] <= 1e-6:
             break
         chosen.append(i)
-        far = np.minimum(far, 1 - k[i])
+        far = np.minimum(far, 1 - k_unit[i])
     landmarks = dense[:, chosen]
     root = _inverse_root(k[np.ix_(chosen, chosen)].astype(float))
     extra = [v for w in bad[:800] for v in _varied(w, rng)]
     words = bad + extra + good
     y = np.where(np.arange(len(words)) < len(bad) + len(extra), 1.0, -1.0)
-    x = np.hstack((_against(words, landmarks) @ root, np.ones((len(words), 1))))
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    beta, ridge = np.zeros(x.shape[1]), np.diag([1e-4] * (x.shape[1] - 1) + [1e-9])
-    for _ in range(50):  # Newton steps for the squared hinge loss
-        inside = y * (x @ beta) < 1
+    x = _against(words, landmarks) @ root
+    seen = Counter(negative)
+    often = np.sqrt([positive[w] for w in bad] + [positive[w] for w in bad[:800] for _ in range(2)] + [seen[w] for w in good])  # by frequency
+    weight = np.where(y > 0, 0.3 * often / max(1e-9, often[y > 0].sum()), 0.7 * often / max(1e-9, often[y < 0].sum()))
+    # The bias is fixed: a word like none of the landmarks is clean.
+    beta, ridge, target = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE), y - BIAS
+
+    def loss(v: np.ndarray) -> float:
+        return float((weight * np.maximum(0, 1 - y * (x @ v + BIAS)) ** 2).sum() + (ridge * v * v).sum())
+
+    now = loss(beta)
+    for _ in range(12):  # Newton steps for the squared hinge loss, halved until they help
+        inside = y * (x @ beta + BIAS) < 1
         xw = x[inside] * weight[inside, None]
-        new = np.linalg.solve(xw.T @ x[inside] + ridge, xw.T @ y[inside])
-        if np.abs(new - beta).max() < 1e-9:
+        step = np.linalg.solve(xw.T @ x[inside] + np.diag(ridge), xw.T @ (target[inside] - x[inside] @ beta) - ridge * beta)
+        size = 1.0
+        while size > 1e-4 and loss(beta + size * step) > now:
+            size /= 2
+        new = loss(beta + size * step)
+        if not new < now * (1 - 1e-6):
             break
-        beta = new
-    return Model(weights=landmarks.astype(float) @ (root @ beta[:-1]), bias=float(beta[-1]))
+        beta, now = beta + size * step, new
+    return Model(weights=landmarks.astype(float) @ (root @ beta), bias=BIAS)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -261,24 +277,35 @@ def _counts(toxic: Counter, clean: Counter) -> pd.DataFrame:
 
 
 def _words_with(telling: frozenset[str]):
+    """Words by label and whether they hold a telling fragment; of the others those of clean
+    documents that are frequent or whose hash is in the sample."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             n: Counter = Counter()
             for text, label in zip(f["text"], f["toxic"], strict=True):
-                for w in {p for t in tokens(text or "") for p in _windows(t)}:
-                    told = not telling.isdisjoint(_fragments(w))
-                    if told or not label and zlib.crc32(w.encode("utf-8", "surrogatepass")) % 16 == 0:
-                        n[w, bool(label), told] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["word", "toxic", "told", "n"])
+                n.update((w, bool(label)) for w in {p for t in tokens(text or "") for p in _windows(t)})
+            rows = []
+            for (w, label), c in n.items():
+                told = not telling.isdisjoint(_fragments(w))
+                if told or not label and (c > 0.02 * len(f) or zlib.crc32(w.encode("utf-8", "surrogatepass")) % 16 == 0):
+                    rows.append((w, label, told, c))
+            yield pd.DataFrame(rows, columns=["word", "toxic", "told", "n"])
 
     return run
 
 
-def _worst_words(model: Model):
+def _worst_words(model: Model, most: int = 8):
+    """Of each document its score and its words with the highest scores, worst first."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [model.worst(t or "") for t in f["text"]]
-            yield pd.DataFrame({"toxic": f["toxic"], "worst": [s for s, _ in found], "word": [w for _, w in found]})
+            worst, words = [], []
+            for t in f["text"]:
+                worst.append(model.worst(t or "")[0])
+                top = heapq.nlargest(most, tokens(t or ""), key=model.known.__getitem__)
+                words.append([w for w in top if model.known[w] > -0.5])
+            yield pd.DataFrame({"toxic": f["toxic"], "worst": worst, "words": pd.Series(words, dtype=object)})
 
     return run
 
@@ -314,13 +341,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return None
     model = train_machine(positive, negative)
     for step in range(ROUNDS):
-        rows = sample.mapInPandas(_worst_words(model), "toxic int, worst double, word string").collect()  # max_labelled rows
+        rows = sample.mapInPandas(_worst_words(model), "toxic int, worst double, words array<string>").collect()  # max_labelled rows
         if step == ROUNDS - 1:
             model.slope, model.shift = _logistic(np.array([r["worst"] for r in rows]), np.array([r["toxic"] for r in rows]))
             return model
-        missed = Counter(p for r in rows if r["toxic"] == 0 and r["worst"] > -0.7 for p in _windows(r["word"]))
-        negative += list(missed)
-        witnesses = Counter(p for r in rows if r["toxic"] == 1 and r["worst"] > 0 for p in _windows(r["word"]) if p not in missed)
+        missed = Counter(p for r in rows if r["toxic"] == 0 for w in r["words"] for p in _windows(w))
+        negative += list(missed.elements())
+        witnesses = Counter(p for r in rows if r["toxic"] == 1 and r["worst"] > 0 for p in _windows(r["words"][0]) if p not in missed)
         again = Counter({w: n for w, n in positive.items() if w not in missed}) + witnesses
         model = train_machine(again or positive, negative)
     return model
