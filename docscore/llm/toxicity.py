@@ -135,6 +135,13 @@ def tokens(text: str) -> set[str]:
 
 def _windows(word: str) -> list[str]:
     w = word.strip(_EDGE)
+    plain = w if w.isalnum() else "".join(filter(str.isalnum, w))
+    if w != plain:  # with and without what was put between letters
+        return [*_cut(w), *_cut(plain)]
+    return _cut(w)
+
+
+def _cut(w: str) -> list[str]:
     if len(w) <= LONGEST:
         return [w] if w else []
     return [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
