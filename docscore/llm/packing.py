@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, UNIT, DEPTH, END_ID = 4096, 16, 3, 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: Characters for which lower() and re act like the tokenizer's own normaliser and pattern.
