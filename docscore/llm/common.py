@@ -45,6 +45,18 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
+_held: dict[object, object] = {}
+
+
+def held(name: object, make):
+    """A Python worker's one large cache: asking for another lets this one go, so workers that
+    are used again do not keep the caches of earlier stages."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 # --- a key filter of bounded size -------------------------------------------------
 
 _WORD = 32768  # bits of one row of bitmap_construct_agg

@@ -37,20 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, key_bitmap, mix64, runs_of, with_maybe, words_of
+from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, with_maybe, words_of
 
 COORDS, ROWS = 160, 5
 DOMAIN_BITS = 20
 _SIGMA = np.uint64(0x5851F42D4C957F2D)
-_pi: list[np.ndarray] = []
+
+
+def _permutation() -> np.ndarray:
+    pi = np.random.default_rng(20240501).permutation(1 << DOMAIN_BITS).astype(np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[:COORDS])), COORDS)
 
 
 def _windows() -> np.ndarray:
     """Row p: pi at p, p + 1, ... p + COORDS - 1, circularly."""
-    if not _pi:
-        pi = np.random.default_rng(20240501).permutation(1 << DOMAIN_BITS).astype(np.uint32)
-        _pi.append(np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[:COORDS])), COORDS))
-    return _pi[0]
+    return held("pi", _permutation)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:

@@ -33,10 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
 WINDOW, UNIT, DEPTH, END_ID = 4096, 16, 3, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: Characters for which lower() and re act like the tokenizer's own normaliser and pattern.
@@ -93,9 +93,6 @@ class WordIds:
                 self.known.update(zip(part, (b[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts (null: empty) of about ``most`` characters, so that memory is bounded."""
     out, size = [], 0
@@ -111,7 +108,7 @@ def batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]
 
 def _pieces(tokenizer: str, window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordIds(tokenizer))
+        encoder = held(("ids", tokenizer), lambda: WordIds(tokenizer))
         end = np.array([END_ID], "<u4").tobytes()
         for f in frames:
             rows, ids = [], iter(f["doc_id"].tolist())

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .packing import batches
 
 MARK = "▁"
@@ -156,11 +157,8 @@ class MergeCodec:
         return ids, out[1:]  # without the mark that stands before every text
 
 
-_codecs: dict[str, MergeCodec] = {}
-
-
 def codec(path: str) -> MergeCodec:
-    return _codecs.get(path) or _codecs.setdefault(path, MergeCodec(path))
+    return held(("pieces", path), lambda: MergeCodec(path))
 
 
 def _digests(path: str):

@@ -45,7 +45,7 @@ from .common import cut
 
 DECAY, SPAN, CLASSES = 0.6, 7, 40
 LANDMARKS, MAX_LABELLED, ROUNDS = 400, 8_000, 4
-CACHE_WORDS, RIDGE, BIAS = 400_000, 1e-6, -1.0
+CACHE_WORDS, RIDGE, BIAS = 500_000, 1e-6, -1.0
 LONGEST = 24  # longer words are read in overlapping windows of this many characters
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
