@@ -241,7 +241,8 @@ def train_machine(positive: Counter, negative: list[str]) -> Model:
         if not new < now * (1 - 1e-6):
             break
         beta, now = beta + size * step, new
-    return Model(weights=landmarks.astype(float) @ (root @ beta), bias=BIAS)
+    v = root @ beta
+    return Model(weights=np.concatenate([landmarks[i : i + 4000].astype(float) @ v for i in range(0, len(landmarks), 4000)]), bias=BIAS)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
