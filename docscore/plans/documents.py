@@ -259,9 +259,8 @@ def truncation_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
 
 
-def raw_contract(spark, d):
+def _contract(x):
     """Checkpoint records as canonical raw records: nested, then flattened again for comparison."""
-    x = log(spark, d).filter("ordinal < 2000")
     nested = x.select(
         F.struct("model_key", F.split("model_key", ":")[0].alias("provider")).alias("model"), F.struct("domain", "document_id").alias("document"),
         F.struct("latency_ms", F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), "error").alias("runtime"), F.struct(F.lit("").alias("raw_output"), F.array().cast("array<string>").alias("extracted_pairs")).alias("payload"), "task_key", "ordinal",
@@ -269,6 +268,18 @@ def raw_contract(spark, d):
     return nested.select("ordinal", "task_key", "model.provider", "document.document_id", "runtime.input_tokens", "runtime.error", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"))
 
 
+def raw_contract(spark, d):
+    """Only the first 2,000 records, as its SQL; raw_contract_whole has all of them."""
+    return _contract(log(spark, d).filter("ordinal < 2000"))
+
+
+def raw_contract_whole(spark, d):
+    return _contract(log(spark, d))
+
+
+_CONTRACT_WHOLE = f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log"
+
+
 def runner_stub(spark, d):
     q = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("task_key"), F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.lit("- first (type: string, critical: yes)\n- second (type: string, critical: no)").alias("prompt"), F.col("text").alias("document"))
     return runner.extract(q).select("task_key", "provider", F.get_json_object("raw_output", "$.pairs[1].key").alias("second"), "input_tokens", "error")
@@ -313,6 +324,7 @@ QUERIES = {
     "markdown_table": (markdown_table, _MARKDOWN),
     "truncation_flag": (truncation_flag, "SELECT doc_id, doc_id % 4 IN (0, 2) AS truncated, least(8000, greatest(n_chars + 400, n_chars * 2)) AS ceiling FROM documents"),
     "raw_contract": (raw_contract, f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log WHERE ordinal < 2000"),
+    "raw_contract_whole": (raw_contract_whole, _CONTRACT_WHOLE),
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
     "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
     "stream_leaderboard": (stream_leaderboard, _STREAM),

@@ -121,3 +121,6 @@ def test_plans_push_columns_down(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double,props:string>" in p
 
 
+def test_whole_log_is_projected(spark):
+    got = {r.ordinal for r in catalog.queries()["raw_contract_whole"](spark, SF).collect()}
+    assert got == {r.ordinal for r in documents.log(spark, SF).select("ordinal").collect()} and max(got) >= 10_000_000_000
