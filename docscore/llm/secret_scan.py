@@ -3,13 +3,16 @@
 Three kinds of spans are found in every text: assignments of a named secret, access keys and
 long hexadecimal strings. Then a worklist of layers is followed until nothing new appears:
 a line with URL escapes or Unicode escapes is unwrapped, and so is a base64 string whose
-content is text or a gzip or zlib stream. Every layer is scanned and searched for
+content is text or gzip or zlib streams; runs on lines that follow one another count as one
+string, as base64 is often wrapped, and each for itself unless it holds a part of a longer
+stream. Every layer is scanned and searched for
 further layers; a layer whose content was seen before in the same place is not followed
 again, so cycles end. Each character of a layer knows the span of the text it comes from
 (base64: its group of four; compressed data: the whole string), and a span found in a layer
 is reported as the span of the text that holds it.
 
-INFLATE_LIMIT is a guard against decompression bombs: of one stream no more is inflated.
+Streams are inflated to their end and read in pieces of about PIECE bytes, cut at characters
+that no span and no layer contains, so memory is bounded by the longest stretch without one.
 
 Defined cases: a null text counts as empty and has no spans; positions are code points, the
 end is exclusive; spans that several layers give are reported once; other columns do not
@@ -19,17 +22,19 @@ matter; rows that repeat an id each get their row.
 from __future__ import annotations
 
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator, Sequence
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-INFLATE_LIMIT = 64 << 20
+PIECE = 4 << 20
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 _ASSIGN = re.compile(rf"(?:{'|'.join(map(_either, ('password', 'passwd', 'secret', 'token')))}|{_either('api')}_?{_either('key')})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -38,6 +43,9 @@ _NAMES = ("passw", "secret", "token", "api")
 _URL = re.compile("%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\})")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile("[A-Za-z0-9+/_-]++={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\t\x20]*+(?:\r\n|\r|\n)[\t\x20]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\{}\t\r\n]""")
 _TEXT = bytes([*range(32, 127), 9, 10, 13])
 
 
@@ -53,7 +61,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-Layer = tuple[str, list[int], list[int]]  # the text, and of each character the start and end in the document
+class _Same(Sequence):
+    """One place for each of n characters."""
+
+    def __init__(self, place: int, n: int):
+        self.place, self.n = place, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[int]:
+        return repeat(self.place, self.n)
+
+    def __getitem__(self, i):
+        return _Same(self.place, len(range(self.n)[i])) if isinstance(i, slice) else self.place
+
+
+Layer = tuple[str, Sequence[int], Sequence[int]]  # the text, and of each character the start and end in the document
 
 
 def _escapes(line: str, starts: list[int], ends: list[int], pattern: re.Pattern, url: bool) -> Layer | None:
@@ -92,17 +116,54 @@ def _escapes(line: str, starts: list[int], ends: list[int], pattern: re.Pattern,
         at = j
     if not out:
         return None
-    return "".join(out) + line[at:], s + starts[at:], e + ends[at:]
-
-
-def _inflated(raw: bytes) -> bytes | None:
-    gzip, zl = raw[:2] == b"\x1f\x8b", len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0
-    if not (gzip or zl):
-        return None
-    try:
-        return zlib.decompressobj(31 if gzip else 15).decompress(raw, INFLATE_LIMIT) or None
-    except zlib.error:
-        return None
+    return "".join(out) + line[at:], [*s, *starts[at:]], [*e, *ends[at:]]
+
+
+def _window_bits(raw: bytes) -> int:
+    """What zlib is told of a gzip or zlib stream; 0 where none begins."""
+    if raw[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
+
+
+def _streams(raw: bytes) -> Generator[bytes, None, int]:
+    """The bytes of the streams that follow one another, in pieces; returns how many of ``raw`` they take."""
+    used = 0
+    while bits := _window_bits(rest := raw[used:]):
+        z = zlib.decompressobj(bits)
+        try:
+            while not z.eof and (data := z.decompress(rest, PIECE)):
+                rest = z.unconsumed_tail
+                yield data
+        except zlib.error:
+            return used
+        used = len(raw) - len(z.unused_data.lstrip(b"\0"))
+        if not z.eof:
+            break
+    return used
+
+
+def _used(raw: bytes) -> int:
+    streams = _streams(raw)
+    while True:
+        try:
+            next(streams)
+        except StopIteration as x:
+            return x.value
+
+
+def _inflated(raw: bytes) -> Iterator[str]:
+    """The text of the streams, in pieces that end where no span or layer goes on."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held: list[str] = []
+    for data in _streams(raw):
+        s = decoder.decode(data)
+        if apart := _APART.search(s[::-1]):
+            cut = len(s) - apart.start()
+            yield "".join([*held, s[:cut]])
+            held, s = [], s[cut:]
+        held.append(s)
+    yield "".join(held) + decoder.decode(b"", True)
 
 
 def _is_text(raw: bytes) -> bool:
@@ -143,41 +204,82 @@ def _children(layer: Layer) -> Iterator[Layer]:
                 if mark in line and (child := _escapes(line, starts[at : at + n], ends[at : at + n], pattern, url)):
                     yield child
                 at += n
-    for m in _BASE64.finditer(text):
-        raw = _base64(m[0])
+    read: set[int] = set()  # where the lines begin that were read in a block
+    streamed: set[int] = set()  # and those of them that hold a part of a stream, so are nothing alone
+    for lines in _strings(text):
+        known = read if len(lines) > 1 else streamed
+        if lines[0].start in known and lines[-1].start in known:
+            continue
+        raw = _base64("".join([text[x.start : x.stop] for x in lines]))
         if not raw:
             continue
-        i, j = m.span()
-        if (data := _inflated(raw)) is not None:
-            s = data.decode("utf-8", "replace")
-            yield s, [starts[i]] * len(s), [ends[j - 1]] * len(s)
+        at = lines[0] if len(lines) == 1 else [*chain(*lines)]
+        used, last = _used(raw), at[-1]
+        if used:
+            if len(lines) > 1:
+                last = at[min(len(at), (used + 2) // 3 * 4) - 1] if used < len(raw) else last
+            for s in _inflated(raw[:used]):
+                yield s, _Same(starts[at[0]], len(s)), _Same(ends[last], len(s))
         elif _is_text(raw):
             s = raw.decode()
             a, b, k = [], [], 0
             for c in s:
                 n = len(c.encode())
-                a.append(starts[i + k // 3 * 4])
+                a.append(starts[at[k // 3 * 4]])
                 k += n
-                b.append(ends[min(j, i + (k + 2) // 3 * 4) - 1])
+                b.append(ends[at[min(len(at), (k + 2) // 3 * 4) - 1]])
             yield s, a, b
+        else:
+            continue
+        if len(lines) > 1:
+            some = {x.start for x in lines if x.start <= last}
+            read |= some
+            streamed |= some if used else set()
+
+
+def _strings(text: str) -> Iterator[list[range]]:
+    """Base64 as the places of its lines: blocks of lines, all and without a word at an end, then
+    their stretches of one width with a shorter last line, then single runs."""
+    if "\n" in text or "\r" in text:
+        for m in _WRAPPED.finditer(text):
+            lines = [range(*x.span()) for x in _RUN.finditer(text, *m.span())]
+            n, at = len(lines), 0
+            pieces = [(0, n), (1, n), (0, n - 1), (1, n - 1)]
+            while at < n:
+                end = at + 1
+                while end < n and len(lines[end]) == len(lines[at]):
+                    end += 1
+                if end < n and len(lines[end]) < len(lines[at]):
+                    pieces.append((at, end + 1))
+                pieces.append((at, end))
+                at = end
+            for i, j in dict.fromkeys(pieces):
+                if j - i > 1 and sum(map(len, lines[i:j])) >= 16:
+                    yield lines[i:j]
+    for m in _BASE64.finditer(text):
+        yield [range(*m.span())]
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """``base`` and the spans of all nested layers."""
-    if "%" not in text and "\\u" not in text and not any(_base64(m[0]) for m in _BASE64.finditer(text)):
+    if "%" not in text and "\\u" not in text and not any(_base64("".join([text[x.start : x.stop] for x in lines])) for lines in _strings(text)):
         return base
     found = set(base)
-    work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
+    work: list[Iterator[Layer]] = [_children((text, range(len(text)), range(1, len(text) + 1)))]
     seen = set()
-    while work:
-        for child in _children(work.pop()):
-            content, starts, ends = child
-            key = (content, starts[0] if starts else -1, ends[-1] if ends else -1)
-            if not content or key in seen:
-                continue
-            seen.add(key)
-            found.update((kind, min(starts[i:j]), max(ends[i:j])) for kind, i, j in base_spans(content))
-            work.append(child)
+    while work:  # depth first, so of each stream one piece is held
+        if (child := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        content, starts, ends = child
+        if not content:
+            continue
+        key = (hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest(), starts[0], ends[-1])
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((kind, min(starts[i:j]), max(ends[i:j])) for kind, i, j in base_spans(content))
+        work.append(_children(child))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

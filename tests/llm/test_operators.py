@@ -274,6 +274,34 @@ def test_secrets_nested_layers():
     assert all_spans(text, base_spans(text)) == base_spans(text)
 
 
+def test_secrets_in_wrapped_and_long_layers():
+    import base64
+    import gzip
+    import textwrap
+    import zlib
+
+    from docscore.llm.secret_scan import PIECE, all_spans
+
+    secret = "AKIA" + "ABCDEFGH" * 2
+    filler = random.Random(3).randbytes(400).hex(" ", 1).encode()
+    for data in (gzip.compress(filler + b" " + secret.encode()), zlib.compress(filler + b" " + secret.encode()), filler + b" " + secret.encode() + b" \xc3\xa9" * 70):
+        for width, line in ((76, "\n"), (64, "\r\n    "), (61, "\n\t")):
+            b64 = line.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+            for before, after in (("x: ", ""), ("-----BEGIN DATA-----\n", "\n-----END DATA-----"), ("first\n", "\nlast words")):
+                text = before + b64 + after
+                spans = [(i, j) for k, i, j in all_spans(text, []) if k == "access"]
+                assert len(spans) == 1, (width, before, spans)
+                if data[:1] in b"\x1f\x78":
+                    assert text[slice(*spans[0])].rstrip("=") == b64.rstrip("=")
+    two = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(secret.encode())).decode()
+    assert [(k, i, j) for k, i, j in all_spans(two, [])] == [("access", 0, len(two))]
+    for size in (PIECE - 9, 17 * PIECE):  # across a piece's end, and after 64 MB
+        deep = base64.b64encode(zlib.compress(b", " * (size // 2) + b"x" * (size % 2) + b" " + secret.encode(), 9)).decode()
+        assert all_spans(deep, []) == [("access", 0, len(deep))]
+    apart = "\n".join(base64.b64encode(x).decode().rstrip("=") for x in (b"password = hunter2secret", b"token = abcdef123456!"))
+    assert {("assign", 0, 32), ("assign", 33, 61)} <= set(all_spans(apart, []))
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
