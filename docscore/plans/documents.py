@@ -112,9 +112,10 @@ _CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{e}', {str(w).lowe
 # --- ground truth ------------------------------------------------------------------------
 
 
-def _gt(spark, d):
-    """An order as nested ground truth with its lines as a list of items."""
-    li = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+def _gt(spark, d, whole=False):
+    """An order as nested ground truth with its lines as a list of items: every tenth order, or all."""
+    li = table(spark, d, "lineitem")
+    li = li if whole else li.filter("l_orderkey % 10 = 0")
     item = F.format_string('{"qty":%d,"flag":"%s","price":{"value":%.2f,"critical":true,"type":"float"}}', F.col("l_quantity").cast("long"), "l_returnflag", "l_extendedprice")
     order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
     items = li.groupBy("l_orderkey").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("items"))
@@ -126,8 +127,8 @@ def _gt(spark, d):
     return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
 
 
-def gt_flatten(spark, d):
-    k = G.keys(_gt(spark, d).select("doc", "json"))
+def gt_flatten(spark, d, whole=False):
+    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
     return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"), "data_type", "match")
 
 
@@ -143,13 +144,17 @@ UNION ALL SELECT l_orderkey, 4 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_
 UNION ALL SELECT l_orderkey, 5 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_price' ELSE 'price' END, true, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0+$', ''), 'float', 'numeric' FROM li"""
 
 
-def gt_dedupe_names(spark, d):
+def gt_dedupe_names(spark, d, whole=False):
     """Names of clashing leaves, counted."""
-    k = G.keys(_gt(spark, d).select("doc", "json"))
+    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
     return k.groupBy("doc").agg(F.count("*").alias("keys"), F.countDistinct("name").alias("names"), F.count_if(F.col("name").startswith("items_")).alias("pathed"))
 
 
+#: Of all orders, where items tie that the modulo leaves out: they go by their text, as in _gt().
+_GT_WHOLE = _GT_SQL.replace(" WHERE l_orderkey % 10 = 0", "").replace("l_partkey, l_suppkey)", "l_partkey, l_suppkey, printf('{\"qty\":%d,\"flag\":\"%s\",\"price\":{\"value\":%.2f', CAST(l_quantity AS BIGINT), l_returnflag, l_extendedprice))")
+
 _GT_NAMES = f"SELECT doc, count(*) AS keys, count(DISTINCT name) AS names, count(*) FILTER (starts_with(name, 'items_')) AS pathed FROM ({_GT_SQL}) GROUP BY doc"
+_GT_NAMES_WHOLE = _GT_NAMES.replace(_GT_SQL, _GT_WHOLE)
 
 
 def _label_keys(spark, d):
@@ -235,13 +240,15 @@ def first_value(spark, d):
     return first_nonempty(c, ["conv_id"], "value", "turn")
 
 
-def prompt_render(spark, d):
-    k = G.keys(_gt(spark, d).select("doc", "json"))
-    return render.prompts(k.filter("ordinal <= 3"), "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
+def prompt_render(spark, d, whole=False):
+    """Prompts of the first three keys of every tenth order, or of all keys of all orders."""
+    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
+    return render.prompts(k if whole else k.filter("ordinal <= 3"), "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
 
 
 _PROMPT = f"""SELECT doc, 'Read the keys.' || chr(10) || string_agg('- ' || name || ' (type: ' || coalesce(data_type, 'string') || ', critical: ' || CASE WHEN critical THEN 'yes' ELSE 'no' END || ')', chr(10) ORDER BY ordinal) || chr(10) || 'End.' AS prompt
 FROM ({_GT_SQL}) WHERE ordinal <= 3 GROUP BY doc"""
+_PROMPT_WHOLE = _PROMPT.replace(_GT_SQL, _GT_WHOLE).replace(" WHERE ordinal <= 3", "")
 
 _MD = ["rank", "model_key", "success_rate_pct", "avg_field_accuracy_pct", "cost_per_success_usd"]
 
@@ -313,6 +320,8 @@ QUERIES = {
     "score_runs": (score_runs, f"WITH {_ANSWERS} {_SCORE}"),
     "gt_flatten": (gt_flatten, _GT_SQL),
     "gt_dedupe_names": (gt_dedupe_names, _GT_NAMES),
+    "gt_flatten_whole": (lambda s, d: gt_flatten(s, d, whole=True), _GT_WHOLE),
+    "gt_dedupe_names_whole": (lambda s, d: gt_dedupe_names(s, d, whole=True), _GT_NAMES_WHOLE),
     "dataset_summary": (lambda s, d: G.dataset_summary(_label_keys(s, d)), f"WITH {_LABEL_KEYS} SELECT domain, count(DISTINCT doc) AS documents, count(*) AS keys, count(*) FILTER (labelled) AS labelled, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled, count(*) FILTER (labelled) / (count(*) * 1e0) * 100 AS labelled_pct FROM k GROUP BY domain"),
     "label_completeness": (label_completeness, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled FROM k GROUP BY domain) SELECT *, CASE WHEN critical > 0 THEN critical_labelled / (critical * 1e0) * 100 ELSE 0e0 END AS critical_pct FROM g"),
     "dataset_validate": (dataset_validate, _VALIDATE),
@@ -321,6 +330,7 @@ QUERIES = {
     "artifact_diff": (artifact_diff, _DIFF),
     "first_nonempty": (first_value, "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text[1:40] END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
     "prompt_render": (prompt_render, _PROMPT),
+    "prompt_render_whole": (lambda s, d: prompt_render(s, d, whole=True), _PROMPT_WHOLE),
     "markdown_table": (markdown_table, _MARKDOWN),
     "truncation_flag": (truncation_flag, "SELECT doc_id, doc_id % 4 IN (0, 2) AS truncated, least(8000, greatest(n_chars + 400, n_chars * 2)) AS ceiling FROM documents"),
     "raw_contract": (raw_contract, f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log WHERE ordinal < 2000"),

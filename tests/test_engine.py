@@ -124,3 +124,11 @@ def test_plans_push_columns_down(spark):
 def test_whole_log_is_projected(spark):
     got = {r.ordinal for r in catalog.queries()["raw_contract_whole"](spark, SF).collect()}
     assert got == {r.ordinal for r in documents.log(spark, SF).select("ordinal").collect()} and max(got) >= 10_000_000_000
+
+
+def test_all_orders_are_flattened_and_rendered(spark):
+    orders = {r.l_orderkey: r.n for r in spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n")).collect()}
+    q = catalog.queries()
+    assert {r.doc: r["count"] for r in q["gt_flatten_whole"](spark, SF).groupBy("doc").count().collect()} == {k: 5 + 3 * n for k, n in orders.items()}
+    assert {r.doc: (r["keys"], r.names) for r in q["gt_dedupe_names_whole"](spark, SF).collect()} == {k: (5 + 3 * n, 5 + 3 * n) for k, n in orders.items()}
+    assert {r.doc: r.prompt.count("\n- ") for r in q["prompt_render_whole"](spark, SF).collect()} == {k: 5 + 3 * n for k, n in orders.items()}
