@@ -235,8 +235,9 @@ UNION ALL SELECT key, 'latency', 'number', {r("CASE WHEN al = 0 THEN 'inf'::DOUB
 UNION ALL SELECT key, 'error', 'text', NULL FROM j WHERE ao IS NOT NULL AND bo IS NOT NULL AND ae IS DISTINCT FROM be"""
 
 
-def first_value(spark, d):
-    c = table(spark, d, "conversations").withColumn("value", F.when(F.col("turn") % 2 == 0, "").otherwise(F.left("text", F.lit(40))))
+def first_value(spark, d, whole=False):
+    """The first answer of each conversation: its first 40 characters, or all of it."""
+    c = table(spark, d, "conversations").withColumn("value", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text") if whole else F.left("text", F.lit(40))))
     return first_nonempty(c, ["conv_id"], "value", "turn")
 
 
@@ -275,6 +276,15 @@ def _contract(x):
     return nested.select("ordinal", "task_key", "model.provider", "document.document_id", "runtime.input_tokens", "runtime.error", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"))
 
 
+def truncation_flag_whole(spark, d):
+    """Whole texts as answers: as they are, in an object that is cut off, in a whole object, and with a comma at the end.
+
+    SQL has no strict JSON object out of free text; tests hold it against plain Python."""
+    k, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    s = F.when(k % 4 == 0, F.concat(F.lit('{"a": "'), t)).when(k % 4 == 1, F.to_json(F.struct(t.alias("a")))).when(k % 4 == 2, F.concat(t, F.lit(" end,"))).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
+
+
 def raw_contract(spark, d):
     """Only the first 2,000 records, as its SQL; raw_contract_whole has all of them."""
     return _contract(log(spark, d).filter("ordinal < 2000"))
@@ -329,10 +339,12 @@ QUERIES = {
     "name_match": (name_match, _NAME_MATCH),
     "artifact_diff": (artifact_diff, _DIFF),
     "first_nonempty": (first_value, "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text[1:40] END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
+    "first_nonempty_whole": (lambda s, d: first_value(s, d, whole=True), "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
     "prompt_render": (prompt_render, _PROMPT),
     "prompt_render_whole": (lambda s, d: prompt_render(s, d, whole=True), _PROMPT_WHOLE),
     "markdown_table": (markdown_table, _MARKDOWN),
     "truncation_flag": (truncation_flag, "SELECT doc_id, doc_id % 4 IN (0, 2) AS truncated, least(8000, greatest(n_chars + 400, n_chars * 2)) AS ceiling FROM documents"),
+    "truncation_flag_whole": (truncation_flag_whole, None),
     "raw_contract": (raw_contract, f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log WHERE ordinal < 2000"),
     "raw_contract_whole": (raw_contract_whole, _CONTRACT_WHOLE),
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -132,3 +133,36 @@ def test_all_orders_are_flattened_and_rendered(spark):
     assert {r.doc: r["count"] for r in q["gt_flatten_whole"](spark, SF).groupBy("doc").count().collect()} == {k: 5 + 3 * n for k, n in orders.items()}
     assert {r.doc: (r["keys"], r.names) for r in q["gt_dedupe_names_whole"](spark, SF).collect()} == {k: (5 + 3 * n, 5 + 3 * n) for k, n in orders.items()}
     assert {r.doc: r.prompt.count("\n- ") for r in q["prompt_render_whole"](spark, SF).collect()} == {k: 5 + 3 * n for k, n in orders.items()}
+
+
+def _plainly_truncated(s):
+    def is_object(x):
+        try:
+            return isinstance(json.loads(x.strip()), dict)
+        except ValueError:
+            return False
+
+    t = s.strip()
+    fence = re.search(r"(?si)```(?:json)?\s*(.*?)\s*```", t)
+    tries = [t, fence[1] if fence else "", t[t.find("{") : t.rfind("}") + 1] if "{" in t else ""]
+    return not any(map(is_object, tries)) and t != "" and (t[-1] in ",:" or t.count("{") > t.count("}") or t.count("[") > t.count("]"))
+
+
+def test_whole_texts_are_judged(spark, tmp_path):
+    long = "word " * 30
+    made = [long + "[open", long + "done:", long + "{a} [b]", long + "plain", long + '{"a": {"b": 1}} ok', long + "] } closed", long + "", long + "{ [ ] end"]
+    rows = [(4 * i + j, t, len(t)) for i, t in enumerate(made) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.truncated for r in catalog.queries()["truncation_flag_whole"](spark, str(tmp_path)).collect()}
+    put = (lambda t: '{"a": "' + t, lambda t: json.dumps({"a": t}), lambda t: t + " end,", lambda t: t)
+    assert got == {r.doc_id: _plainly_truncated(put[r.doc_id % 4](r.text)) for r in docs.collect()}
+    assert {got[3], got[7], got[11], got[15]} == {True, False}
+
+
+def test_whole_answers_are_returned(spark):
+    answers = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").filter("turn % 2 = 1 AND text <> ''").orderBy("turn").collect():
+        answers.setdefault(r.conv_id, r.text)
+    got = {r.conv_id: r.value for r in catalog.queries()["first_nonempty_whole"](spark, SF).collect()}
+    assert {k: v for k, v in got.items() if v} == answers and any(len(v) > 40 for v in answers.values())
