@@ -118,13 +118,13 @@ def _against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
 
 
 def tokens(text: str) -> set[str]:
-    """Lower-cased words, and runs of four or more single letters as one word."""
+    """Lower-cased words, and runs of four or more single letters, digits and underscores as one word."""
     words = text.lower().split()
     out = set(words)
     if list(map(len, words)).count(1) >= 4:
         run: list[str] = []
         for w in [*words, ""]:
-            if len(w) == 1 and w.isalpha():
+            if len(w) == 1 and (w.isalnum() or w == "_"):
                 run.append(w)
                 continue
             if len(run) >= 4:

@@ -361,6 +361,13 @@ def test_toxicity_learns_held_out_documents(spark):
     assert train(d.select("doc_id", "text"), lab.filter("toxic = 0")) is None
 
 
+def test_spaced_words_with_digits_are_joined():
+    from docscore.llm.toxicity import tokens
+
+    assert {"1d10t", "p_gwaddle"} <= tokens("you 1 D 1 0 t and p _ g w a d d l e there")
+    assert tokens("a b c and x") == {"a", "b", "c", "and", "x"}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty_and_null_tables(spark, rows):
     import public_tokenizers
