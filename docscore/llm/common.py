@@ -19,11 +19,13 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); make one only where none is set."""
+    """Use the shared folder that the session names in spark.checkpoint.dir."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not spark.conf.get("spark.master", sc.master).startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "docscore-checkpoints"))
 
 
@@ -33,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, base: str, *others: DataFrame) -> str:
+    """A column name like ``base`` that none of the tables has."""
+    have = {c.lower() for d in (df, *others) for c in d.columns}
+    name = f"_{base}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def whole(text: str | Column) -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -75,25 +86,39 @@ def key_bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def with_maybe(df: DataFrame, h: Column, bitmap: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Add ``name``: false only where ``h`` is in no row that made ``bitmap``."""
-    at = F.pmod(h, F.lit(bits))
-    df = df.withColumn("_at", at)
-    bucket, bit = F.floor(F.col("_at") / _WORD).cast("int"), (F.col("_at") % _WORD).cast("int")
-    joined = df.join(F.broadcast(bitmap), F.coalesce(bucket, F.lit(-1)) == bitmap["_bucket"], "left")
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    """Add ``name``: false only where ``h`` is in no row that made ``bitmap``. No other column changes."""
+    place, key, value = unused(df, "place"), unused(df, "bucket"), unused(df, "bitmap")
+    df = df.withColumn(place, F.pmod(h, F.lit(bits)))
+    bucket, bit = F.floor(F.col(place) / _WORD).cast("int"), (F.col(place) % _WORD).cast("int")
+    named = bitmap.select(F.col("_bucket").alias(key), F.col("_bitmap").alias(value))
+    joined = df.join(F.broadcast(named), F.coalesce(bucket, F.lit(-1)) == F.col(key), "left")
+    byte = F.conv(F.hex(F.substring(F.col(value), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = F.coalesce(F.expr("1") == (F.call_function("shiftright", byte, bit % 8) % 2), F.lit(False))
-    return joined.withColumn(name, set_).drop("_at", "_bucket", "_bitmap")
-
-
-def drop_rows(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``df`` without the rows whose id is in ``dropped`` (one column, ``_dropped``).
-
-    Only rows that the bounded filter can't clear go through a shuffle; the others pass
-    where they are. Rows with a null id stay."""
-    marked = with_maybe(df, F.xxhash64(id_col), key_bitmap(dropped.select(F.xxhash64("_dropped").alias("h"))), "_maybe")
-    stay = marked.filter(~F.col("_maybe")).drop("_maybe")
-    asked = marked.filter("_maybe").drop("_maybe")
-    return stay.unionByName(asked.join(dropped, asked[id_col] == F.col("_dropped"), "left_anti"))
+    return joined.withColumn(name, set_).drop(place, key, value)
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(whole(text_col))
+
+
+def drop_rows(df: DataFrame, id_col: str, text_col: str, lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``df`` without the rows in ``lost``, and with one of the rows that are equal in id and text
+    for those in ``repeated``; both have columns id and t (text_hash), without repeats.
+
+    Only rows that the bounded filter can't clear go through a shuffle; the others pass where
+    they are. Ids may be null and may repeat: a row goes by its id and its text."""
+    told = lost.select("id", "t", F.lit(True).alias("gone")).unionByName(repeated.select("id", "t", F.lit(False).alias("gone")))
+    maybe, h, i, t, gone = (unused(df, x) for x in ("maybe", "h", "id", "t", "gone"))
+    key = F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col))
+    marked = with_maybe(df, key, key_bitmap(told.select(F.xxhash64("id", "t").alias("h"))), maybe)
+    stay = marked.filter(~F.col(maybe)).drop(maybe)
+    asked = marked.filter(F.col(maybe)).drop(maybe).withColumn(h, key)
+    named = told.select(F.xxhash64("id", "t").alias(h + "k"), F.col("id").alias(i), F.col("t").alias(t), F.col("gone").alias(gone))
+    same = (F.col(h) == F.col(h + "k")) & F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (text_hash(text_col) == F.col(t))
+    answered = asked.join(named, same, "left")
+    other = answered.filter(F.col(gone).isNull()).select(*df.columns)
+    once = answered.filter(~F.col(gone)).select(*df.columns).dropDuplicates([id_col, text_col])
+    return stay.unionByName(other).unionByName(once)
 
 
 # --- words and their hashes, on numpy buffers -------------------------------------

@@ -23,9 +23,10 @@ A link of similarity T is missed with probability (1 - T**ROWS) ** (COORDS / ROW
 
 Defined cases: a null text counts as empty; a text without words has an empty set and is
 linked with nothing; fewer words than a shingle has are one shingle; a row with a null id is
-linked with nothing, has a null component and is kept; rows that repeat an id with the same
-set are one node, with different sets one of these sets is compared with other documents;
-other columns do not matter.
+linked with nothing, has a null component and is kept; an id may repeat: its rows are linked
+by their own sets, and near_dedup drops a row by its id and text; of a group's rows with the
+smallest id it keeps one (that with the least hash of its set, then of its text). An empty
+table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, with_maybe, words_of
+from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, text_hash, with_maybe, words_of
 
 COORDS, ROWS = 160, 5
 DOMAIN_BITS = 20
@@ -77,6 +78,11 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _sums(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that tell sets apart."""
+    return tuple(int(mix64(x).sum(dtype=np.uint64).astype(np.int64)) for x in (shingles, shingles ^ _SIGMA))
+
+
 _SALTS = mix64(np.arange(1, COORDS + 1, dtype=np.uint64))
 
 
@@ -94,10 +100,9 @@ def _profile(k: int):
                 keys = mix64((mix64(sig + _SALTS)).reshape(bands, ROWS).sum(axis=1, dtype=np.uint64))
                 bits = np.zeros(192, np.uint8)
                 bits[:COORDS] = sig & np.uint64(1)
-                sums = mix64(one).sum(dtype=np.uint64), mix64(one ^ _SIGMA).sum(dtype=np.uint64)
-                out.append((len(one), *(int(x.astype(np.int64)) for x in sums), keys.view(np.int64), np.packbits(bits).view(np.int64)))
+                out.append((len(one), *_sums(one), keys.view(np.int64), np.packbits(bits).view(np.int64)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_shingles": pd.Series(cols[0], dtype="int64"), "set_a": pd.Series(cols[1], dtype="int64"), "set_b": pd.Series(cols[2], dtype="int64"), "bands": pd.Series(cols[3], dtype=object), "sketch": pd.Series(cols[4], dtype=object)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "t": f["t"], "n_shingles": pd.Series(cols[0], dtype="int64"), "set_a": pd.Series(cols[1], dtype="int64"), "set_b": pd.Series(cols[2], dtype="int64"), "bands": pd.Series(cols[3], dtype=object), "sketch": pd.Series(cols[4], dtype=object)})
 
     return run
 
@@ -105,36 +110,52 @@ def _profile(k: int):
 def _sets(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["doc_id"], "sh": pd.Series([x.view(np.int64) for x in shingle_sets(f["text"].tolist(), k)], dtype=object)})
+            sets = list(shingle_sets(f["text"].tolist(), k))
+            sums = [_sums(x) for x in sets]
+            yield pd.DataFrame({"id": f["doc_id"], "a": [x for x, _ in sums], "b": [x for _, x in sums], "sh": pd.Series([x.view(np.int64) for x in sets], dtype=object)})
 
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, sh) of the documents in ``ids``, one row each; only texts that may be among them are shuffled, as sets."""
-    near = with_maybe(docs, F.xxhash64("doc_id"), key_bitmap(ids.select(F.xxhash64("id").alias("h"))), "maybe").filter("maybe").select("doc_id", "text")
-    return near.mapInPandas(_sets(k), "id long, sh array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _sets_of(docs: DataFrame, nodes: DataFrame, special: DataFrame | None, k: int) -> DataFrame:
+    """(id, sh) of the nodes (column id), one row each; only texts that may be among them are shuffled, as sets."""
+    ids = nodes if special is None else nodes.unionByName(special.select(F.col("low").alias("id")))
+    near = with_maybe(docs.select("doc_id", "text"), F.xxhash64("doc_id"), key_bitmap(ids.select(F.xxhash64("id").alias("h"))), "maybe").filter("maybe").select("doc_id", "text")
+    sets = near.mapInPandas(_sets(k), "id long, a long, b long, sh array<long>")
+    if special is not None:
+        sets = sets.join(special, (sets["a"] == special["set_a"]) & (sets["b"] == special["set_b"]) & (sets["id"] == special["low"]), "left")
+        sets = sets.select(F.coalesce("rep", "id").alias("id"), "sh")
+    # With an exchange of its own, so that AQE can split the many members of one leader in the join.
+    return cut(sets.select("id", "sh").join(nodes, "id", "left_semi").dropDuplicates(["id"]))
 
 
-def _against_leaders(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _against_leaders(docs: DataFrame, pairs: DataFrame, special: DataFrame | None, k: int, percent: int) -> DataFrame:
     """``pairs``: rep, l. Adds missing (of the leader's shingles), added (to them) and linked, from the full sets."""
     ids = pairs.select(F.col("rep").alias("id")).distinct().unionByName(pairs.select(F.col("l").alias("id")).distinct()).distinct()
-    sets = _sets_of(docs, ids, k)
+    sets = _sets_of(docs, ids, special, k)
     a, b = sets.select(F.col("id").alias("rep"), F.col("sh").alias("sa")), sets.select(F.col("id").alias("l"), F.col("sh").alias("sb"))
     both = pairs.join(a, "rep").join(b, "l").select("rep", "l", F.size("sb").alias("ln"), F.array_except("sb", "sa").alias("missing"), F.array_except("sa", "sb").alias("added"))
     shared = F.col("ln") - F.size("missing")
     return both.withColumn("linked", 100 * shared >= percent * (F.col("ln") + F.size("added")))
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Documents are linked
-    if 100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = cut(docs.mapInPandas(_profile(k), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Of each row: doc_id, t (its text's hash), n_shingles, set_a, set_b (of its set), label (of its group; null alone), component_id, kept."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("t"))
+    profile = cut(docs.mapInPandas(_profile(k), "doc_id long, t long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
     linked = profile.filter("doc_id is not null and n_shingles > 0")
     # What is joined back to the rows it was made of is cut, so that AQE can split hot keys in the join.
-    classes = cut(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = linked.join(classes, ["set_a", "set_b"]).filter("doc_id = rep").dropDuplicates(["rep"])
+    classes = cut(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.col("low")))
+    # An id that stands for several sets names the first; the others are named by a hash.
+    shared = classes.groupBy("low").agg(F.count("*").alias("c"), F.min(F.struct("set_a", "set_b")).alias("first")).filter("c > 1")
+    named = classes.drop("rep").join(shared, "low").filter("first <> struct(set_a, set_b)")
+    special = cut(named.select("set_a", "set_b", "low", F.xxhash64("set_a", "set_b").alias("rep")))
+    if special.isEmpty():
+        special = None
+    else:
+        other = special.select("set_a", "set_b", F.col("rep").alias("other"))
+        classes = cut(classes.join(other, ["set_a", "set_b"], "left").select("set_a", "set_b", "low", "copies", F.coalesce("other", "rep").alias("rep")))
+    reps = linked.join(classes, ["set_a", "set_b"]).filter("doc_id = low").dropDuplicates(["rep"])
     s = F.col("sketch")
     banded = cut(reps.select("rep", F.col("n_shingles").alias("n"), s[0].alias("s0"), s[1].alias("s1"), s[2].alias("s2"), F.explode("bands").alias("band")))
     p = (1 + percent / 100) / 2
@@ -157,7 +178,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     led = full.join(leaders, "band").filter(F.col("rep") != F.col("l"))
     # (In bands of two, a pair that isn't alike is of no further use; larger bands need the differences below.)
     pairs = led.filter(alike("", "l") | (F.col("c") > 2)).select("rep", "l").distinct()
-    told = cut(_against_leaders(docs, pairs, k, percent))
+    told = cut(_against_leaders(docs, pairs, special, k, percent))
     stars = components(told.filter("linked").select(F.col("l").alias("a"), F.col("rep").alias("b")))
 
     # Round 2: in bands whose members lie in several components, pairs of different ones. Each
@@ -183,17 +204,35 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     found = meet.select(F.col("x_comp").alias("a"), F.col("y_comp").alias("b")).distinct()
     joins = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(found))
 
-    whole = classes.join(joins, classes["rep"] == joins["node"], "left").withColumn("comp", F.coalesce("component", "rep")).filter("copies > 1 or comp <> rep")
-    whole = whole.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "comp")
+    if special is None:  # the least node of a group is its least id
+        joins = joins.withColumn("least", F.col("component"))
+    else:
+        joins = cut(joins.join(special.select(F.col("rep").alias("node"), "low"), "node", "left").withColumn("id", F.coalesce("low", "node")).drop("low"))
+        joins = joins.drop("id").join(joins.groupBy("component").agg(F.min("id").alias("least")), "component")
+    whole = classes.join(joins, classes["rep"] == joins["node"], "left").filter("copies > 1 or component is not null")
+    whole = whole.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("component", "rep").alias("label"), F.coalesce("least", "low").alias("comp"))
     out = profile.join(whole, (profile["set_a"] == whole["_a"]) & (profile["set_b"] == whole["_b"]) & (profile["n_shingles"] > 0), "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (comp.isNull() | (F.col("doc_id") == comp)).alias("kept"))
+    label = F.when(F.col("doc_id").isNotNull(), F.col("label"))
+    return out.select("doc_id", "t", "n_shingles", "set_a", "set_b", label.alias("label"), comp.alias("component_id"), (comp.isNull() | (F.col("doc_id") == comp)).alias("kept"))
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Documents are linked
+    if 100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
+    return _grouped(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; all columns stay."""
-    lost = near_groups(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return drop_rows(docs, id_col, lost)
+    rows = cut(_grouped(docs, k, percent, id_col, text_col).filter("label is not null").select("doc_id", "t", "set_a", "set_b", "label", "kept"))
+    # Several rows of a group have its least id only where ids repeat.
+    first = rows.filter("kept").groupBy("label").agg(F.min(F.struct("set_a", "set_b", "t")).alias("x"), F.count("*").alias("c")).filter("c > 1").select("label", "x", "c")
+    ties = cut(rows.filter("kept").join(first, "label").select("doc_id", "t", (F.struct("set_a", "set_b", "t") == F.col("x")).alias("wins")))
+    lost = rows.filter("not kept").select("doc_id", "t").unionByName(ties.filter("not wins").select("doc_id", "t"))
+    again = ties.filter("wins").groupBy("doc_id", "t").count().filter("count > 1")
+    names = lambda d: d.select(F.col("doc_id").alias("id"), "t").distinct()
+    return drop_rows(docs, id_col, text_col, names(lost), names(again))
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -214,7 +214,8 @@ def _joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", carry: bool = False) -> DataFrame:
-    """``docs`` with base and found: arrays of spans, ordered by kind as listed, then start.
+    """``docs`` with base and found (in the place of its own columns of these names, if any):
+    arrays of spans, ordered by kind as listed, then start.
 
     Without ``carry`` the text is not returned, and candidates are kept in the shared folder;
     with it they are searched twice, so that no text is written."""
@@ -232,17 +233,19 @@ def find_pii(docs: DataFrame, text_col: str = "text", carry: bool = False) -> Da
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with [KIND] in the place of each span found; of overlapping spans the first, then the longest, counts."""
-    found = find_pii(docs, text_col, carry=True)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))  # so no name clashes
+    found = find_pii(packed, "text", carry=True)
     inorder = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        text = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct((-x["end"]).alias("at"), text.alias("out")))
+        new = F.array(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct((-x["end"]).alias("at"), F.concat(acc["out"], new).alias("out")))
 
     done = F.aggregate(inorder, zero, step)
-    text = F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col)))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, text).otherwise(F.col(text_col))).select(*docs.columns)
+    text = F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))
+    clean = F.when(F.size("found") > 0, text).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,399 +1,534 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nystrom landmarks.
 
-The kernel compares two words by their common subsequences of three characters, gaps allowed:
-a subsequence that spans s characters counts DECAY**s, spans up to SPAN, and the kernel is
-scaled by the lengths of the two words. So letters that were put in between, or dots, cost a factor and do not hide a word. Words carry marks for their
-start and end; characters are folded into CLASSES classes.
-
-Training, on sentences of at most ``max_labelled`` labelled documents (a bounded sample, in
-the order of a hash of the id; a sentence has the label of its document):
-1. fragments of words that occur in toxic documents far above chance give first witnesses;
-2. landmarks are chosen among witnesses and other words, farthest first; words are mapped by
-   the kernel to the landmarks and the inverse root of the landmarks' own kernel matrix, and a
-   linear machine with squared hinge loss is trained there, with variants of the witnesses
-   that have characters put in;
-3. in each document the word that scores highest becomes its witness, so that toxic documents
-   correct the positive and clean ones the negative side, and 2. is repeated;
-4. the documents' highest scores are calibrated by a logistic curve.
-
-Since the kernel has finitely many subsequences, landmarks and machine collapse into one
-weight a subsequence: the machine is a vector of CLASSES**3 numbers, broadcast with the
-scoring task. A document's score is that of its worst word, over its whole text.
-
-Defined cases: a null text counts as empty; a text without words has the score of the
-calibration for the lowest value; without toxic or without clean labelled rows every score is
-0; labels that are null are not used; a labelled id that repeats counts once for each
-label; other columns do not matter.
+A text is read as characters in CLASSES classes: a-z, the letters from U+00E0 to U+00FF (one
+class each, upper case with lower), all other letters by code point modulo 32, digits, and all
+that stands between words, of which a run counts as one. It is cut into sentences at stops and
+line ends (but not after a single letter, as in "i. d. i."). A sentence is scored by its worst
+part: a part is a word, or neighbouring words of JOINED letters or fewer together, so
+that an insult with blanks or marks put in is one part too; words of over LONGEST letters are
+read in overlapping parts.
+
+The kernel of two parts compares their common subsequences of three characters, gaps allowed:
+one that spans s characters counts DECAY**s, with spans up to SPAN. So characters that were
+put in between cost a factor and do not hide an insult. It is scaled by the parts' lengths.
+
+Training, on sentences of at most ``max_labelled`` labelled documents:
+1. sequences of FRAGMENT characters that occur in toxic documents far above chance give each
+   part a first score;
+2. of each document the ``sentences`` sentences that score highest are labelled: those of
+   clean documents clean, those of toxic ones toxic if they score over zero. Each stands for
+   itself by its worst part. Clean documents also give ``others`` parts chosen by a hash;
+3. landmarks are chosen among these parts, farthest first; the kernel to the landmarks,
+   times the inverse root of their own kernel matrix, maps parts to vectors, and a linear
+   machine with squared hinge loss is trained there, also on variants of toxic parts that
+   have characters put in;
+4. 2. and 3. are repeated, with the machine's scores and with all clean parts kept so far;
+5. a logistic curve turns a document's two worst parts (in different places, with different
+   scores) into its score: one part may be an insult by chance of spelling.
+
+Since there are finitely many subsequences, landmarks and machine collapse into one weight a
+subsequence: CLASSES**3 numbers, sent with the scoring task, which reads whole texts.
+
+The sample's bounds are those of ``Settings``; nothing else is bounded. Scores are sums of
+integers, so the model depends neither on batches nor on partitions.
+
+Defined cases: a null text counts as empty; a text without words has the score of a sentence
+like none of the landmarks; without toxic or without clean labelled rows, or without any
+telling sequence, every score is 0; labels that are null are not used; a labelled id that
+repeats counts once for each label and row; other columns do not matter; texts of over PIECE
+characters are read in pieces that overlap by OVERLAP / 2 characters or more, after runs of
+one repeated mark have become two of it, so only a part that other marks stretch over more
+than that is not seen.
 """
 
 from __future__ import annotations
 
-import heapq
 import random
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
-DECAY, SPAN, CLASSES = 0.6, 7, 40
-LANDMARKS, MAX_LABELLED, ROUNDS = 400, 8_000, 4
-CACHE_WORDS, RIDGE, BIAS = 500_000, 1e-6, -1.0
-LONGEST = 24  # longer words are read in overlapping windows of this many characters
-_EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
-_SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
-_START, _END = 26, 27
+DECAY, SPAN, CLASSES = 0.6, 7, 64
+JOINED, LONGEST = 10, 24
+WIDEST = LONGEST + 2  # characters of a part, with what stands before and after it
+FRAGMENT, ROUNDS, RIDGE, BIAS = 6, 6, 1e-6, -1.0
+PIECE, OVERLAP = 1 << 19, 2048
+_END, _BETWEEN, _DIGIT, _LETTER = 0, 1, 3, 4
+_STOP, _LINE = 62, 63  # while a text is cut into sentences
+_RUN = re.compile(r"(\W)\1+")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Bounds of the sample that the classifier is fitted on."""
+
+    max_labelled: int = 8_000  # documents, in the order of a hash of their ids
+    max_fragments: int = 3_000  # telling sequences, the most telling first
+    sentences: int = 5  # of a document, those that score highest
+    others: int = 6  # parts of a clean document that a hash chooses
+    max_parts: int = 16_000  # clean parts; those that were met most often come first
+    pool: int = 2_000  # parts among which landmarks are chosen
+    landmarks: int = 500
 
 
 def _class(c: str) -> int:
-    if "a" <= c <= "z":
-        return ord(c) - 97
+    if c in ".!?":
+        return _STOP
+    if c in "\n\r\x0b\x0c\x85  ":
+        return _LINE
+    low = c.lower()[0]
+    if "a" <= low <= "z":
+        return _LETTER + ord(low) - 97
     if c.isdigit():
-        return 28
-    return 30 + ord(c) % (CLASSES - 30) if c.isalpha() else 29
+        return _DIGIT
+    return 30 + ord(low) % 32 if c.isalpha() else _BETWEEN
 
 
 _table: list[np.ndarray] = []
+_space: list[np.ndarray] = []
 
 
-def _classes_of(words: list[str]) -> np.ndarray:
-    """Words of one length as rows of classes, with a start and an end."""
+def _classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all characters, with _END between sentences, and where each text begins (and the end)."""
     if not _table:
-        _table.append(np.array([_class(chr(i)) for i in range(0x10000)], np.int32))
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
-    c = np.empty((len(words), points.shape[1] + 2), np.int32)
-    c[:, 0], c[:, -1] = _START, _END
-    c[:, 1:-1] = _table[0][np.minimum(points, 0xFFFF)]
-    return c
-
-
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j < k of n characters with a span up to SPAN, and their weights, of norm 1."""
-    ijk = [(i, j, k) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
-    a = np.array(ijk, np.int64).reshape(-1, 3).T
-    w = DECAY ** (a[2] - a[0] + 1).astype(float)
-    return a, w / np.sqrt((w * w).sum())
+        _space.append(np.array([chr(i).isspace() for i in range(0x10000)]))
+        _table.append(np.array([_class(chr(i)) for i in range(0x10000)], np.uint8))
+    raw = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.cumsum([0, *(len(t) + 1 for t in texts)])  # the line end before each text, and the last one
+    c = _table[0][np.minimum(raw, 0xFFFF)]
+    word = (c >= _DIGIT) & (c < _STOP)
+    single = np.zeros(len(c), bool)  # after a word of one character
+    single[1:] = word[:-1]
+    single[2:] &= ~word[:-2]
+    after = np.append(c[1:], _LINE)
+    space = _space[0][np.minimum(raw, 0xFFFF)]
+    ends = ((c == _LINE) | (c == _STOP) & ((after == _STOP) | np.append(space[1:], True))) & ~single
+    c = np.where(ends, _END, np.where(c >= _STOP, _BETWEEN, c)).astype(np.uint8)
+    c[edge] = _END
+    between = c <= _BETWEEN
+    keep = np.ones(len(c), bool)
+    keep[1:] = ~(between[1:] & between[:-1])
+    at = np.flatnonzero(keep)
+    return np.minimum.reduceat(c, at), (np.cumsum(keep) - 1)[edge]
+
+
+def streams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(classes, where each text begins and the end, the texts' numbers) of about PIECE characters
+    at a time. A long text comes in several."""
+    batch: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if len(t) > PIECE:
+            t = _RUN.sub(r"\1\1", t)
+            for lo in range(0, len(t), PIECE):
+                lo = max(0, lo - OVERLAP)
+                lo += max(0, t.find(" ", lo, lo + OVERLAP // 2)) - lo if lo and " " in t[lo : lo + OVERLAP // 2] else 0
+                yield *_classes([t[lo : lo + PIECE + OVERLAP]]), [i]
+            continue
+        if batch and size + len(t) > PIECE:
+            yield *_classes([texts[j] for j in batch]), batch
+            batch, size = [], 0
+        batch.append(i)
+        size += len(t)
+    if batch:
+        yield *_classes([texts[j] for j in batch]), batch
+
+
+def parts_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each part of a stream: its words, and short neighbours of one sentence together."""
+    edge = np.diff((c >= _DIGIT).astype(np.int8))
+    a, b = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    size = b - a
+    short = size <= LONGEST
+    starts, ends = [a[short] - 1], [b[short] + 1]
+    for i, j in zip(a[~short].tolist(), b[~short].tolist(), strict=True):
+        at = np.arange(i, j - LONGEST // 2, LONGEST // 2)
+        starts.append(at - (at == i))
+        ends.append(np.minimum(at + LONGEST, j) + (at + LONGEST >= j))
+    letters = np.concatenate(([0], np.cumsum(size)))
+    sentence = np.cumsum(c == _END)[a]
+    for m in range(1, JOINED):
+        n = len(a) - m
+        some = np.flatnonzero((letters[m + 1 :] - letters[:n] <= JOINED) & (sentence[m:] == sentence[:n])) if n > 0 else []
+        if not len(some):
+            break
+        starts.append(a[some] - 1)
+        ends.append(b[some + m] + 1)
+    return np.concatenate(starts), np.concatenate(ends)
 
 
-_layouts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+# --- the kernel ---------------------------------------------------------------------------
 
+_PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]  # the second and third character of a subsequence
+_SCALE = 1 << 20
+#: By a part's length, what makes the weights of its places have norm 1.
+_NORM = np.array([0.0] * 3 + [sum(max(0, n - k) * DECAY ** (2 * (k + 1)) for _, k in _PAIRS) ** -0.5 for n in range(3, WIDEST + 1)])
 
-def features(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Groups of words of one length: (their indices, subsequences of each, weight of each place).
 
-    The kernel is scaled by the length alone, so a word needs no sums over its own repeats."""
+def subsequences(parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: (the parts' numbers, of each the numbers of its subsequences, the weight of each place)."""
     by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    for n, every in by.items():
-        at, weight = _layouts.get(n + 2) or _layouts.setdefault(n + 2, _triples(n + 2))
-        for lo in range(0, len(every), 1024):
-            some = every[lo : lo + 1024]
-            c = _classes_of([words[i] for i in some])
-            yield some, ((c * CLASSES)[:, at[0]] + c[:, at[1]]) * CLASSES + c[:, at[2]], weight
-
-
-def _dense(words: list[str]) -> np.ndarray:
-    out = np.zeros((CLASSES**3, len(words)), np.float32)
-    for some, f, w in features(words):
-        for r, i in enumerate(some):
-            np.add.at(out[:, i], f[r], w)
+    for i, p in enumerate(parts):
+        by.setdefault(len(p), []).append(i)
+    out = []
+    for n, which in sorted(by.items()):
+        c = np.frombuffer(b"".join([parts[i] for i in which]), np.uint8).reshape(-1, n).astype(np.int32)
+        f = [(c[:, : n - k] * CLASSES + c[:, j : n - k + j]) * CLASSES + c[:, k:] for j, k in _PAIRS if n > k]
+        w = [np.full(n - k, _NORM[n] * DECAY ** (k + 1), np.float32) for _, k in _PAIRS if n > k]
+        out.append((np.array(which), np.concatenate(f, 1), np.concatenate(w)))
     return out
 
 
-def _against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark (a column of subsequence weights)."""
-    out = np.zeros((len(words), landmarks.shape[1]))
-    for some, f, w in features(words):
-        for r, i in enumerate(some):
-            out[i] = w @ landmarks[f[r]]
+def kernel(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], landmark: bytes, n: int) -> np.ndarray:
+    """The kernel of each of n parts (as their subsequences) with a landmark."""
+    dense, out = np.zeros(CLASSES**3, np.float32), np.zeros(n, np.float32)
+    for _, f, w in subsequences([landmark]):
+        np.add.at(dense, f[0], w)
+    for which, f, w in rows:
+        out[which] = dense[f] @ w
     return out
 
 
-def tokens(text: str) -> set[str]:
-    """Lower-cased words, and runs of four or more single letters, digits and underscores as one word."""
-    words = text.lower().split()
-    out = set(words)
-    if list(map(len, words)).count(1) >= 4:
-        run: list[str] = []
-        for w in [*words, ""]:
-            if len(w) == 1 and (w.isalnum() or w == "_"):
-                run.append(w)
-                continue
-            if len(run) >= 4:
-                out.add("".join(run))
-            run = []
-    return out
-
-
-def _windows(word: str) -> list[str]:
-    w = word.strip(_EDGE)
-    plain = w if w.isalnum() else "".join(filter(str.isalnum, w))
-    if w != plain:  # with and without what was put between letters
-        return [*_cut(w), *_cut(plain)]
-    return _cut(w)
-
-
-def _cut(w: str) -> list[str]:
-    if len(w) <= LONGEST:
-        return [w] if w else []
-    return [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+def part_scores(c: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The score, less the bias, of each part of a stream of classes, from sums of integers."""
+    f = np.maximum(c, _BETWEEN).astype(np.int32)
+    total = np.zeros(len(start), np.int64)
+    n = len(f)
+    first, second = f * (CLASSES * CLASSES), f * CLASSES
+    for k in range(2, SPAN):
+        m = n - k
+        if m <= 0:
+            break
+        value = np.zeros(m, np.float32)
+        for lo in range(0, m, 1 << 15):
+            hi = min(m, lo + (1 << 15))
+            base = first[lo:hi] + f[lo + k : hi + k]
+            for j in range(1, k):
+                value[lo:hi] += weights[base + second[lo + j : hi + j]]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.rint(value * np.float32(DECAY ** (k + 1) * _SCALE)).astype(np.int64))))
+        total += upto[np.minimum(np.maximum(end - k, start), m)] - upto[np.minimum(start, m)]
+    return total * (_NORM[end - start] / _SCALE)
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # of each subsequence
-    bias: float
-    slope: float = 1.0
-    shift: float = 0.0
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def of_words(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for some, f, w in features(words):
-            out[some] = self.weights[f] @ w
-        return out + self.bias
-
-    def worst(self, text: str) -> tuple[float, str]:
-        """The highest score of a word of the text, and the word; (-2, '') without words."""
-        all_of = tokens(text)
-        known = self.known
-        new = [w for w in all_of if w not in known]
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(all_of)
-            parts = [(k, p) for k in new for p in _windows(k)]
-            self.known.update(dict.fromkeys(new, -2.0))
-            if parts:
-                for (k, _), s in zip(parts, self.of_words([p for _, p in parts]).tolist(), strict=True):
-                    self.known[k] = max(self.known[k], s)
-        best = max(all_of, key=self.known.__getitem__, default="")
-        return (self.known[best], best) if best else (-2.0, "")
-
-    def score(self, worst: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -500, 500))))
-
-
-def _inverse_root(k: np.ndarray) -> np.ndarray:
-    v, u = np.linalg.eigh(k)
-    return (u / np.sqrt(np.maximum(v, 1e-6))) @ u.T
-
-
-def _varied(word: str, rng: random.Random) -> list[str]:
-    """The word with dots between its letters, and with one character put in."""
-    i = rng.randrange(1, max(2, len(word)))
-    return [rng.choice(".-*_").join(word), word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz.-*0123456789") + word[i:]]
-
-
-def train_machine(positive: Counter, negative: list[str]) -> Model:
-    """Nystrom landmarks and a linear machine, as one weight a subsequence."""
-    rng = random.Random(7)
-    good = sorted(set(negative) - positive.keys())
-    bad = sorted(positive, key=lambda w: (-positive[w], w))
-    hard = [w for w, _ in Counter(negative).most_common()]  # those that were missed most come first
-    pool = bad[:200] + [w for w in dict.fromkeys(hard) if w not in positive][:250] + rng.sample(good, min(150, len(good)))
-    dense = _dense(pool)
-    k = _against(pool, dense)
-    own = np.sqrt(np.diag(k))
-    k_unit = k / own / own[:, None]
-    chosen, far = [0], 1 - k_unit[0]
-    while len(chosen) < min(LANDMARKS, len(pool)):  # farthest first
-        i = int(np.argmax(far))
-        if far[i] <= 1e-6:
+    bias: float = BIAS
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the highest score, the second, and one
+
+    def tops(self, texts: list[str]) -> np.ndarray:
+        """Of each text the highest score of a part, and the highest of another part elsewhere with a lower one (the bias if there is none)."""
+        out = np.full((len(texts), 2), self.bias)
+        for c, at, which in streams(texts):
+            start, end = parts_of(c)
+            s = part_scores(c, start, end, self.weights) + self.bias
+            some = np.flatnonzero(s > self.bias)
+            start, end, s = start[some], end[some], s[some]
+            n = len(which)
+            text = np.searchsorted(at, start, "right") - 1
+            best = np.full(n, self.bias)
+            np.maximum.at(best, text, s)
+            first = np.full(n, len(c))  # where the first of the best parts begins
+            is_best = s == best[text]
+            np.minimum.at(first, text[is_best], start[is_best])
+            until = np.zeros(n, np.int64)
+            mine = is_best & (start == first[text])
+            np.maximum.at(until, text[mine], end[mine])
+            apart = ((start >= until[text] - 1) | (end <= first[text] + 1)) & (s < best[text])
+            second = np.full(n, self.bias)
+            np.maximum.at(second, text[apart], s[apart])
+            if n > 1 or (out[which[0]] == self.bias).all():
+                out[which] = np.stack((best, second), 1)
+            else:  # another piece of a long text
+                every = np.unique([*out[which[0]], best[0], second[0]])
+                out[which[0]] = every[-1], every[-2] if len(every) > 1 else self.bias
+        return out
+
+    def score(self, tops: np.ndarray) -> np.ndarray:
+        a, b, c = self.curve
+        return 1 / (1 + np.exp(-np.clip(a * tops[:, 0] + b * tops[:, 1] + c, -500, 500)))
+
+
+# --- the machine ---------------------------------------------------------------------------
+
+
+def train_machine(toxic: Counter, clean: Counter, settings: Settings) -> Model:
+    """``toxic`` and ``clean``: parts (bytes of classes) and how often they were met."""
+    bad = sorted(toxic, key=lambda w: (-toxic[w], w))
+    good = sorted(clean, key=lambda w: (-clean[w], w))[: settings.max_parts]
+    parts = bad + good
+    rows = subsequences(parts)
+    y = np.where(np.arange(len(parts)) < len(bad), 1.0, -1.0)
+    often = np.sqrt([toxic[w] for w in bad] + [clean[w] for w in good])
+    weight = np.where(y > 0, 0.3 * often / often[y > 0].sum(), 0.7 * often / max(1e-9, often[y < 0].sum()))
+    half = settings.pool // 2
+    pool = [*range(min(half, len(bad))), *range(len(bad), len(bad) + min(half, len(good)))]
+    own = np.concatenate([kernel(subsequences([parts[i]]), parts[i], 1) for i in pool])
+    chosen: list[int] = []
+    columns: list[np.ndarray] = []
+    far = np.where(own > 0, 1.0, 0.0)
+    while len(chosen) < min(settings.landmarks, len(pool)):  # farthest first
+        p = int(np.argmax(far))
+        if far[p] <= 1e-3:
             break
-        chosen.append(i)
-        far = np.minimum(far, 1 - k_unit[i])
-    landmarks = dense[:, chosen]
-    root = _inverse_root(k[np.ix_(chosen, chosen)].astype(float))
-    extra = [v for w in bad[:800] for v in _varied(w, rng)]
-    words = bad + extra + good
-    y = np.where(np.arange(len(words)) < len(bad) + len(extra), 1.0, -1.0)
-    x = _against(words, landmarks) @ root
-    seen = Counter(negative)
-    often = np.sqrt([positive[w] for w in bad] + [positive[w] for w in bad[:800] for _ in range(2)] + [seen[w] for w in good])  # by frequency
-    weight = np.where(y > 0, 0.3 * often / max(1e-9, often[y > 0].sum()), 0.7 * often / max(1e-9, often[y < 0].sum()))
-    # The bias is fixed: a word like none of the landmarks is clean.
-    beta, ridge, target = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE), y - BIAS
-
-    def loss(v: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (x @ v + BIAS)) ** 2).sum() + (ridge * v * v).sum())
+        chosen.append(pool[p])
+        columns.append(kernel(rows, parts[pool[p]], len(parts)))
+        far = np.minimum(far, 1 - columns[-1][pool] / np.sqrt(np.maximum(own * own[p], 1e-12)))
+    x = np.stack(columns, 1)
+    v, u = np.linalg.eigh(x[chosen].astype(float))
+    root = (u / np.sqrt(np.maximum(v, 1e-4))) @ u.T
+    back = root @ _fit(x, root, y, weight)
+    weights = np.zeros(CLASSES**3)
+    for i, b in zip(chosen, back, strict=True):
+        for _, f, w in subsequences([parts[i]]):
+            np.add.at(weights, f[0], b * w)
+    return Model(weights.astype(np.float32))
+
+
+def _fit(kernels: np.ndarray, root: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Newton steps for the squared hinge loss of kernels @ root, halved until they help. The bias is
+    fixed: a part like none of the landmarks is clean."""
+    x = np.concatenate([kernels[i : i + 2048] @ root for i in range(0, len(kernels), 2048)]).astype(np.float32)
+    beta, target = np.zeros(x.shape[1]), y - BIAS
+
+    def margins(b: np.ndarray) -> np.ndarray:
+        return y * (x @ b.astype(np.float32) + BIAS)
+
+    def loss(b: np.ndarray) -> float:
+        return float((weight * np.maximum(0, 1 - margins(b)) ** 2).sum() + RIDGE * (b * b).sum())
 
     now = loss(beta)
-    for _ in range(12):  # Newton steps for the squared hinge loss, halved until they help
-        inside = y * (x @ beta + BIAS) < 1
-        xw = x[inside] * weight[inside, None]
-        step = np.linalg.solve(xw.T @ x[inside] + np.diag(ridge), xw.T @ (target[inside] - x[inside] @ beta) - ridge * beta)
-        size = 1.0
+    for _ in range(15):
+        inside = np.flatnonzero(margins(beta) < 1)
+        square, side = RIDGE * np.eye(len(beta)), -RIDGE * beta
+        for i in range(0, len(inside), 2048):
+            part = inside[i : i + 2048]
+            xs = x[part].astype(float)
+            xw = xs * weight[part, None]
+            square += xw.T @ xs
+            side += xw.T @ (target[part] - xs @ beta)
+        step, size = np.linalg.solve(square, side), 1.0
         while size > 1e-4 and loss(beta + size * step) > now:
             size /= 2
         new = loss(beta + size * step)
-        if not new < now * (1 - 1e-6):
+        if not new < now * (1 - 1e-5):
             break
         beta, now = beta + size * step, new
-    v = root @ beta
-    return Model(weights=np.concatenate([landmarks[i : i + 4000].astype(float) @ v for i in range(0, len(landmarks), 4000)]), bias=BIAS)
+    return beta
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps, with targets drawn in a little (Platt)."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """The curve by Newton steps, with targets drawn in a little (Platt)."""
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.stack((x, np.ones_like(x)), 1)
-    beta = np.array([1.0, 0.0])
+    a = np.column_stack((x, np.ones(len(x))))
+    beta = np.array([1.0, 0.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2), a.T @ (t - p) - 1e-6 * beta)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(3), a.T @ (t - p) - 1e-6 * beta)
         size = np.abs(step).max()
         beta = beta + step / max(1, size)
         if size < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(beta.tolist())
+
 
+def varied(part: bytes, rng: random.Random) -> list[bytes]:
+    """The part with a mark between its characters, with a blank and with a letter put in, as far as it stays a part."""
+    inner = part[1:-1] if part[0] == part[-1] == _BETWEEN else part
+    i, k = rng.randrange(1, max(2, len(inner))), rng.randrange(1, max(2, len(inner)))
+    mark = bytes((_BETWEEN,))
+    out = [mark.join(inner[n : n + 1] for n in range(len(inner))), inner[:i] + mark + inner[i:], inner[:k] + bytes((rng.randrange(_LETTER, _LETTER + 26),)) + inner[k:]]
+    return [mark + v + mark for v in (re.sub(b"\x01+", b"\x01", x) for x in out) if len(v) <= LONGEST]
 
-def _fragments(word: str) -> set[str]:
-    w = f"^{word}$"
-    return {w[i : i + 5] for i in range(len(w) - 4)} | {w}
 
+def with_variants(toxic: Counter) -> Counter:
+    """Toxic parts and variants of them, each as often as its part by a third."""
+    out = Counter(toxic)
+    for w in sorted(toxic):
+        for v in varied(w, random.Random(zlib.crc32(w))):
+            out[v] += max(1, toxic[w] // 3)
+    return out
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each label in which a fragment occurs, summed by batch."""
-    toxic, clean = Counter(), Counter()
-    for f in frames:
-        for text, label in zip(f["text"], f["toxic"], strict=True):
-            seen = {x for s in _SENTENCE.split(text or "") for w in tokens(s) for p in _windows(w) for x in _fragments(p)}
-            (toxic if label else clean).update(seen)
-            if len(toxic) + len(clean) > 1_500_000:
-                yield _counts(toxic, clean)
-                toxic, clean = Counter(), Counter()
-    yield _counts(toxic, clean)
 
+# --- the sample ------------------------------------------------------------------------------
 
-def _counts(toxic: Counter, clean: Counter) -> pd.DataFrame:
-    keys = [*toxic, *(k for k in clean if k not in toxic)]
-    return pd.DataFrame({"fragment": keys, "t": pd.Series([toxic[k] for k in keys], dtype="int64"), "c": pd.Series([clean[k] for k in keys], dtype="int64")})
 
+def _fragments(c: np.ndarray) -> np.ndarray:
+    """The number of the FRAGMENT characters at each place; -1 with less than four letters."""
+    n = max(0, len(c) - FRAGMENT + 1)
+    code, letters = np.zeros(n, np.int64), np.zeros(n, np.int8)
+    for i in range(FRAGMENT):
+        code = code * CLASSES + np.maximum(c[i : i + n], _BETWEEN)
+        letters += c[i : i + n] >= _LETTER
+    return np.where(letters >= 4, code, -1)
 
-def _words_with(telling: frozenset[str]):
-    """Words by label and whether they hold a telling fragment; of the others those of clean
-    documents that are frequent or whose hash is in the sample."""
+
+def _documents_with(only: np.ndarray | None):
+    """In how many documents each fragment occurs (of ``only``, sorted, or all), summed by batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            n: Counter = Counter()
-            for text, label in zip(f["text"], f["toxic"], strict=True):
-                n.update((w, bool(label)) for w in {p for t in tokens(text or "") for p in _windows(t)})
-            rows = []
-            for (w, label), c in n.items():
-                told = not telling.isdisjoint(_fragments(w))
-                if told or not label and (c > 0.02 * len(f) or zlib.crc32(w.encode("utf-8", "surrogatepass")) % 16 == 0):
-                    rows.append((w, label, told, c))
-            yield pd.DataFrame(rows, columns=["word", "toxic", "told", "n"])
+            found: list[np.ndarray] = []
+            for t in f["text"]:
+                mine = np.unique(np.concatenate([_fragments(c) for c, _, _ in streams([t or ""])]))
+                found.append(mine[np.isin(mine, only, assume_unique=True)] if only is not None else mine[mine >= 0])
+            code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+            yield pd.DataFrame({"fragment": code, "n": n.astype(np.int64)})
 
     return run
 
 
-def _worst_words(model: Model, most: int = 8):
-    """Of each document its score and its words with the highest scores, worst first."""
+def _told(model: Model | None, fragments: dict[int, float], settings: Settings):
+    """Of each document, best first, its sentences' scores and worst parts; of clean ones also parts by a hash."""
+    keys = np.array(sorted(fragments), np.int64)
+    values = np.rint(np.array([fragments[k] for k in keys.tolist()]) * _SCALE).astype(np.int64)
+
+    def first_scores(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        code = _fragments(c)
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        upto = np.concatenate(([0], np.cumsum(np.where(keys[at] == code, values[at], 0))))
+        return (upto[np.minimum(np.maximum(end - FRAGMENT + 1, start), len(code))] - upto[np.minimum(start, len(code))]) / _SCALE
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            worst, words = [], []
-            for t in f["text"]:
-                worst.append(model.worst(t or "")[0])
-                top = heapq.nlargest(most, tokens(t or ""), key=model.known.__getitem__)
-                words.append([w for w in top if model.known[w] > -0.5])
-            yield pd.DataFrame({"toxic": f["toxic"], "worst": worst, "words": pd.Series(words, dtype=object)})
+            rows = []
+            for text, label in zip(f["text"], f["toxic"], strict=True):
+                best: dict[tuple[int, int], tuple[float, bytes]] = {}
+                other: set[tuple[int, bytes]] = set()
+                for piece, (c, _, _) in enumerate(streams([text or ""])):
+                    start, end = parts_of(c)
+                    if not len(start):
+                        continue
+                    s = first_scores(c, start, end) if model is None else part_scores(c, start, end, model.weights) + model.bias
+                    sentence = np.cumsum(c == _END)[start]
+                    raw = np.maximum(c, _BETWEEN).tobytes()
+                    for i in np.argsort(-s, kind="stable").tolist():  # until there are enough sentences
+                        key, one = (piece, int(sentence[i])), (-float(s[i]), raw[start[i] : end[i]])
+                        if key in best:
+                            best[key] = min(best[key], one)
+                        elif len([1 for k in best if k[0] == piece]) < settings.sentences:
+                            best[key] = one
+                        else:
+                            break
+                    if not label and model is None:
+                        words = {raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)}
+                        other = set(sorted(other | {(zlib.crc32(x), x) for x in words})[: settings.others])
+                top = sorted(best.values())[: settings.sentences]
+                rows.append((label, [-x for x, _ in top], [w for _, w in top], [w for _, w in sorted(other)]))
+            yield pd.DataFrame(rows, columns=["toxic", "scores", "parts", "others"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """``docs``: doc_id, text; ``labels``: doc_id, toxic. All that comes to the driver is bounded by max_labelled."""
-    chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "toxic").limit(max_labelled)
+def _topped(model: Model):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            tops = model.tops([t or "" for t in f["text"]])
+            yield pd.DataFrame({"toxic": f["toxic"], "first": tops[:, 0], "second": tops[:, 1]})
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    """``docs``: doc_id, text; ``labels``: doc_id, toxic. What comes to the driver is bounded by ``settings``."""
+    chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(settings.max_labelled)
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sample = cut(docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).repartition(parts))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return None
-    counts = sample.mapInPandas(_counted, "fragment string, t long, c long").groupBy("fragment").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # minus the log probability that all of its documents are toxic by chance
-    share = n1 / (n1 + n0)
-    surprise = F.col("t") * F.log(F.lit(1 / share))
-    telling = counts.filter((F.col("t") >= 4) & (F.col("t") * n0 >= 20 * F.col("c") * n1)).withColumn("s", surprise - F.col("c") * 2).filter("s > 9")
-    top = telling.orderBy(F.desc("s"), "fragment").limit(3000).collect()
-    fragments = frozenset(r["fragment"] for r in top)
-    if not fragments:
+
+    def counts(label: int, only: np.ndarray | None) -> DataFrame:
+        return sample.filter(F.col("toxic") == label).select("text").mapInPandas(_documents_with(only), "fragment long, n long").groupBy("fragment").agg(F.sum("n").alias("n"))
+
+    often = {r["fragment"]: r["n"] for r in counts(1, None).filter("n >= 4").collect()}
+    if not often:
         return None
-    words = cut(sample.mapInPandas(_words_with(fragments), "word string, toxic boolean, told boolean, n long").groupBy("word", "toxic", "told").agg(F.sum("n").alias("n")))
-    wanted = words.filter("toxic and told").orderBy(F.desc("n"), "word").limit(1500).collect()
-    told = words.filter("not toxic and told").orderBy(F.desc("n"), "word").limit(1500).collect()
-    other = words.filter("not toxic and not told").orderBy(F.xxhash64("word")).limit(3000).collect()
-    often = words.filter("not toxic and not told").orderBy(F.desc("n"), "word").limit(500).collect()
-    negative = [r["word"] for r in told + other + often]
-    positive = Counter({r["word"]: r["n"] for r in wanted})
-    for w in set(negative):
-        positive.pop(w, None)
-    if not positive:
+    rare = {r["fragment"]: r["n"] for r in counts(0, np.array(sorted(often), np.int64)).collect()}
+    fragments = _telling(often, rare, n1, n0, settings.max_fragments)
+    if not fragments:
         return None
-    model = train_machine(positive, negative)
-    for step in range(ROUNDS):
-        rows = sample.mapInPandas(_worst_words(model), "toxic int, worst double, words array<string>").collect()  # max_labelled rows
-        if step == ROUNDS - 1:
-            model.slope, model.shift = _logistic(np.array([r["worst"] for r in rows]), np.array([r["toxic"] for r in rows]))
-            return model
-        missed = Counter(p for r in rows if r["toxic"] == 0 for w in r["words"] for p in _windows(w))
-        negative += list(missed.elements())
-        witnesses = Counter(p for r in rows if r["toxic"] == 1 and r["worst"] > 0 for p in _windows(r["words"][0]) if p not in missed)
-        again = Counter({w: n for w, n in positive.items() if w not in missed}) + witnesses
-        model = train_machine(again or positive, negative)
+
+    def told(model: Model | None) -> list:
+        return sample.mapInPandas(_told(model, fragments, settings), "toxic int, scores array<double>, parts array<binary>, others array<binary>").collect()
+
+    model, clean = None, Counter()
+    for _ in range(ROUNDS):
+        toxic: Counter = Counter()
+        for r in told(model):
+            some = [bytes(w) for w, s in zip(r["parts"], r["scores"], strict=True) if s > (0 if r["toxic"] or model is None else -0.5)]
+            if r["toxic"]:
+                toxic.update(some)
+            else:
+                clean.update(some)
+                clean.update(bytes(w) for w in r["others"])
+        toxic = Counter({w: n for w, n in toxic.items() if clean[w] * n1 < n * n0})
+        if not toxic:
+            return None
+        negative = Counter({w: n for w, n in clean.items() if w not in toxic})
+        model = train_machine(with_variants(toxic), negative, settings)
+    rows = sample.mapInPandas(_topped(model), "toxic int, first double, second double").orderBy("toxic", "first", "second").collect()
+    model.curve = _logistic(np.array([[r["first"], r["second"]] for r in rows]), np.array([r["toxic"] for r in rows]))
     return model
 
 
+def _telling(toxic: dict[int, int], clean: dict[int, int], n1: int, n0: int, most: int) -> dict[int, float]:
+    """Fragments at least five times as frequent in toxic documents, with the log of that ratio, by the likelihood ratio of both shares."""
+    found = []
+    for k, t in toxic.items():
+        c = clean.get(k, 0)
+        ratio = (t + 0.1) / n1 / ((c + 0.5) / n0)
+        p = (t + c) / (n1 + n0)
+        g = 2 * (t * np.log(t / n1 / p) + (c * np.log(c / n0 / p) if c else 0))
+        if ratio >= 5 and g > 12:
+            found.append((-g, k, float(np.log(ratio))))
+    return {k: v for _, k, v in sorted(found)[:most]}
+
+
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def _scores(model: Model | None, texts: pd.Series) -> np.ndarray:
+    return np.zeros(len(texts)) if model is None else model.score(model.tops([t or "" for t in texts]))
+
+
 def _scored(model: Model | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            s = [0.0 if model is None else model.score(model.worst(t or "")[0]) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").to_numpy(), "score": s, "text": f["text"]})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").to_numpy(), "score": _scores(model, f["text"])})
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score, 0 to 1, of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scored(model), "doc_id long, score double, text string").select("doc_id", "score")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scored(model), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score the threshold or more; all columns stay."""
-    score_of = F.pandas_udf(_column(model), "double")
-    return docs.withColumn("_score", score_of(F.coalesce("text", F.lit("")))).filter(F.col("_score") < threshold).drop("_score")
-
-
-def _column(model: Model | None):
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if model is None else model.score(model.worst(t)[0]) for t in texts], dtype="float64")
-
-    return of
+    score_of = F.pandas_udf(lambda texts: pd.Series(_scores(model, texts), dtype="float64"), "double")
+    name = unused(docs, "score")
+    return docs.withColumn(name, score_of(F.coalesce("text", F.lit("")))).filter(F.col(name) < threshold).drop(name)
 
 
-def train_on_held_in(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+def train_on_held_in(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Train on labels of rows with crc32(doc_id as text) mod 3 other than 1."""
-    return train(docs.select("doc_id", "text"), labels.filter(~_held_out()), max_labelled)
+    return train(docs.select("doc_id", "text"), labels.filter(~_held_out()), settings)
 
 
-def _held_out():
+def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 

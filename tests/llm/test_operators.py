@@ -361,11 +361,98 @@ def test_toxicity_learns_held_out_documents(spark):
     assert train(d.select("doc_id", "text"), lab.filter("toxic = 0")) is None
 
 
-def test_spaced_words_with_digits_are_joined():
-    from docscore.llm.toxicity import tokens
+def test_redact_keeps_columns_whose_names_clash(spark):
+    from docscore.llm.pii import redact
+    from docscore.llm.toxicity import keep_clean
 
-    assert {"1d10t", "p_gwaddle"} <= tokens("you 1 D 1 0 t and p _ g w a d d l e there")
-    assert tokens("a b c and x") == {"a", "b", "c", "and", "x"}
+    d = spark.createDataFrame([(1, "mail q@w.example x", "F", "B", 1.5, 2, "r")], "doc_id long, text string, found string, base string, _score double, score int, row string")
+    assert [tuple(r) for r in redact(d).collect()] == [(1, "mail [EMAIL] x", "F", "B", 1.5, 2, "r")] and redact(d).columns == d.columns
+    assert [tuple(r) for r in keep_clean(d, None).collect()] == [tuple(r) for r in d.collect()]
+
+
+def test_toxicity_kernel_equals_plain_subsequences():
+    import itertools
+
+    from docscore.llm import toxicity as T
+
+    def plain(a, b):
+        def count(s):
+            out = {}
+            for x in itertools.combinations(range(len(s)), 3):
+                if x[2] - x[0] < T.SPAN:
+                    out[tuple(s[i] for i in x)] = out.get(tuple(s[i] for i in x), 0) + T.DECAY ** (x[2] - x[0] + 1)
+            return out
+
+        def size(n):
+            return sum(T.DECAY ** (2 * (x[2] - x[0] + 1)) for x in itertools.combinations(range(n), 3) if x[2] - x[0] < T.SPAN) ** 0.5
+
+        x, y = count(a), count(b)
+        return sum(v * y.get(k, 0) for k, v in x.items()) / size(len(a)) / size(len(b))
+
+    rng = random.Random(1)
+    parts = [bytes(rng.choice((1, 5, 6, 7, 8)) for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    rows = T.subsequences(parts)
+    for p in parts[:6]:
+        assert np.allclose(T.kernel(rows, p, len(parts)), [plain(q, p) for q in parts], atol=1e-5)
+    text = "Some words here, s t u p id ones. Élan vital! next\nline i. d. i. o. t. " + "x" * 60
+    c, at, _ = next(T.streams([text]))
+    start, end = T.parts_of(c)
+    weights = np.random.default_rng(0).normal(size=T.CLASSES**3).astype(np.float32)
+    raw = np.maximum(c, 1).tobytes()
+    want = [sum((weights[f] @ w).item() for _, f, w in T.subsequences([raw[i:j]])) for i, j in zip(start, end, strict=True)]
+    assert np.allclose(T.part_scores(c, start, end, weights), want, atol=1e-3)
+    seen = {bytes(raw[i + 1 : j - 1]) for i, j in zip(start, end, strict=True)}
+    letters = lambda s: bytes(1 if x == " " else T._class(x) for x in s)
+    assert {letters("stupid"[:1]), letters("s t u p id"), letters("i d i o t"), letters("élan")} <= seen and letters("vital next") not in seen
+
+
+def test_toxicity_does_not_depend_on_batches_or_partitions(spark):
+    from docscore.llm.toxicity import Settings, train
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join([*(word() for _ in range(30)), *(["zarkling."] * (i % 4 == 0)), *(word() for _ in range(5))])) for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    d = docs(spark, rows).select("doc_id", "text")
+    small = Settings(landmarks=40, pool=200, max_parts=500)
+    models = []
+    for parts, batch in ((1, "10000"), (7, "3")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        models.append(train(d.repartition(parts), lab, small))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert np.array_equal(models[0].weights, models[1].weights) and np.allclose(models[0].curve, models[1].curve)
+
+
+def test_toxicity_long_texts_are_read_to_their_end(spark):
+    from docscore.llm import toxicity as T
+
+    m = T.Model(np.zeros(T.CLASSES**3, np.float32))
+    for f in T.subsequences([bytes([1, *map(T._class, "zarkling"), 1])])[0][1][0]:
+        m.weights[f] = 1
+    base = m.tops(["a zarkling b"])[0, 0]
+    for n in (10, T.PIECE - 5, T.PIECE + 1000, 5_000_000):
+        assert m.tops(["la " * (n // 3) + "zarkling"])[0, 0] == base
+    assert m.tops(["x" * 3_000_000, "", " . "])[:, 0].max() < base
+
+
+def test_repeated_ids_and_equal_rows(spark):
+    from docscore.llm.exact_dedup import exact_dedup
+    from docscore.llm.minhash_dedup import near_dedup, near_groups
+
+    schema = "doc_id long, text string, _place int, _bucket int, _bitmap string, maybe int, t int, keep_id string"
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(80))
+    other = " ".join(f"v{rng.randrange(500)}" for _ in range(80))
+    rows = [(1, "same  text here"), (5, "same text here"), (5, "a unique text"), (7, "a unique text"), (9, None), (9, None), (None, "a unique text"), (None, "alone with a null id"), (3, long), (4, long + " more"), (4, other), (8, other), (8, other)]
+    d = spark.createDataFrame([(i, t, 1, 2, "b", 3, 4, "k") for i, t in rows], schema)
+    out = exact_dedup(d)
+    assert out.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "same  text here"), (5, "a unique text"), (9, None), (None, "alone with a null id"), (3, long), (4, long + " more"), (4, other)], key=repr)
+    got = near_dedup(d)
+    assert got.columns == d.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert (4, other) in kept and (3, long) in kept and (4, long + " more") not in kept and (8, other) not in kept and kept.count((9, None)) == 2
+    assert {(r.doc_id, r.component_id) for r in near_groups(d).filter("n_shingles > 50").collect()} == {(3, 3), (4, 3), (4, 4), (8, 4)}
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
