@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,18 @@ def unused(df: DataFrame, base: str, *others: DataFrame) -> str:
     return name
 
 
+def slices(texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of runs of texts of about ``most`` characters, so that memory is bounded."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def whole(text: str | Column) -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -126,7 +139,7 @@ def drop_rows(df: DataFrame, id_col: str, text_col: str, lost: DataFrame, repeat
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _PINV = pow(_P, -1, 1 << 64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WIDTH, ROWS, DELAY = 64, 1024, 10  # samples a row, rows a frame, hundredths of a second a frame
 BINS = 16
 _CODES = 1 << 12
@@ -85,21 +87,28 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[_BITS < width[:, None]], bitorder="little").tobytes()
 
 
+def _codes_at(raw: np.ndarray, spot: np.ndarray, width: np.ndarray) -> np.ndarray:
+    byte = spot >> 3
+    return (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (spot & 7).astype(np.uint32) & ((1 << width[: len(spot)]) - 1).astype(np.uint32)
+
+
 def lzw_decode(stream: bytes, sample_bits: int, most: int) -> bytes:
     """At most ``most`` samples of a code stream."""
     clear = 1 << sample_bits
     first, entries = clear + 2, _CODES - clear - 2
-    width, offset = _layout(sample_bits)
+    short = _layout(sample_bits)
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     total, at, out, at_clear = 8 * len(stream), 0, bytearray(), True
     while at + sample_bits < total and len(out) < most:
-        spot = at + offset[:-1]
-        spot = spot[spot + width[: len(spot)] <= total]
-        byte = spot >> 3
-        code = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (spot & 7).astype(np.uint32) & ((1 << width[: len(spot)]) - 1).astype(np.uint32)
-        stop = np.flatnonzero((code == clear) | (code == clear + 1))
-        if not len(stop) and len(spot) == len(width):
-            raise ValueError("a code stream without a clear code for too long")
+        width, offset = short
+        while True:  # with a deferred clear code, as many codes of full width as there are
+            spot = at + offset[:-1]
+            code = _codes_at(raw, spot[spot + width <= total], width)
+            stop = np.flatnonzero((code == clear) | (code == clear + 1))
+            if len(stop) or len(code) < len(width):
+                break
+            width = np.concatenate((width, np.full(len(width), 12, width.dtype)))
+            offset = np.concatenate(([0], np.cumsum(width)))
         n = int(stop[0]) if len(stop) else len(code)
         starts: list[int] = []
         mark, size = starts.append, len(out)
@@ -165,6 +174,18 @@ class GifFrame:
 
 def decode_gif(data: bytes) -> list[GifFrame]:
     """All frames, each as it is shown."""
+    return list(frames_of(data))
+
+
+def frames_of(data: bytes) -> Iterator[GifFrame]:
+    """The frames one by one, so that one canvas is held at a time."""
+    try:
+        yield from _frames(data)
+    except IndexError:
+        raise ValueError("the file ends too early") from None
+
+
+def _frames(data: bytes) -> Iterator[GifFrame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     number = lambda i: int.from_bytes(data[i : i + 2], "little")
@@ -190,7 +211,6 @@ def decode_gif(data: bytes) -> list[GifFrame]:
 
     common = palette(flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[GifFrame] = []
     delay, disposal, clear, now = 0, 0, None, 0
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
@@ -214,9 +234,9 @@ def decode_gif(data: bytes) -> list[GifFrame]:
         if colours is None or not 1 <= bits <= 8:
             raise ValueError("no palette, or a wrong sample size")
         got = np.frombuffer(lzw_decode(chain(), bits, w * h), np.uint8)
-        samples = np.zeros(w * h, np.uint8)
-        samples[: len(got)] = got
-        samples = samples.reshape(h, w)
+        if len(got) < w * h:
+            raise ValueError("samples are missing")
+        samples = got.reshape(h, w)
         if f & 0x40:
             order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
             plain = np.empty_like(samples)
@@ -229,20 +249,21 @@ def decode_gif(data: bytes) -> list[GifFrame]:
         table = np.zeros((256, 4), np.uint8)
         table[: len(colours), :3], table[:, 3] = colours, 255
         area[drawn] = table[seen[drawn]]
-        frames.append(GifFrame(left, top, w, h, delay, disposal, now, samples, canvas.copy()))
+        yield GifFrame(left, top, w, h, delay, disposal, now, samples, canvas.copy())
         now += delay
         if disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
         delay, disposal, clear = 0, 0, None
-    return frames
+    if at >= len(data):
+        raise ValueError("the file ends too early")
 
 
 def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for lo in range(0, len(f), 500):
-            part = f.iloc[lo : lo + 500]
+        for lo, hi in slices(f["text"].tolist()):
+            part = f.iloc[lo:hi]
             raw = [(t or "").encode() for t in part["text"]]
             media = [encode_gif(b + b"\0" * (max(WIDTH, -(-len(b) // WIDTH) * WIDTH) - len(b))) for b in raw]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": [len(b) for b in raw], "media": media})
@@ -250,13 +271,15 @@ def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for lo in range(0, len(f), 500):
-            part = f.iloc[lo : lo + 500]
+        for lo, hi in slices(f["media"].tolist(), 1 << 21):
+            part = f.iloc[lo:hi]
             rows = []
             for media in part["media"]:
-                shown = decode_gif(media)
-                samples = b"".join(x.canvas[: x.height, : x.width, 0].tobytes() for x in shown)
-                rows.append((samples, [{"start_ms": 10 * x.start, "delay_ms": 10 * x.delay, "disposal": x.disposal, "width": x.width, "height": x.height, "histogram": x.histogram()} for x in shown]))
+                samples, shown = [], []
+                for x in frames_of(media):
+                    samples.append(x.canvas[: x.height, : x.width, 0].tobytes())
+                    shown.append({"start_ms": 10 * x.start, "delay_ms": 10 * x.delay, "disposal": x.disposal, "width": x.width, "height": x.height, "histogram": x.histogram()})
+                rows.append((b"".join(samples), shown))
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": part["n_bytes"].to_numpy(), "media": part["media"].to_numpy(), "samples": [r[0] for r in rows], "frames": pd.Series([r[1] for r in rows], dtype=object)})
 
 

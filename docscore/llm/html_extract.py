@@ -31,15 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?][^>]*>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|[!?][^<>]*>)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile("[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 _words = lambda s: frozenset(s.split())
-RAW = _words("script style noscript template iframe textarea title svg math select object canvas head")
+RAW = _words("script style noscript template iframe textarea title svg select head")
 VOID = _words("area base br col embed hr img input link meta source track wbr")
-INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label")
+INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label math mrow mi mo mn ms mtext msup msub mfrac msqrt object canvas")
 #: An open element of these ends when one of the named ones begins.
 ENDS = {
     "p": _words("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"),
@@ -366,12 +366,16 @@ def _compose(rng: random.Random) -> str:
             s = " ".join(parts)
         return s
 
+    def odd() -> str:
+        """Names on article text that elsewhere tell of menus, adverts and the like."""
+        return pick(("more", "meta", "tags", "lead more", "share text", "notice", "related", "widget text", "header", "promo")) if rng.random() < 0.2 else ""
+
     def content_block() -> str:
         r = rng.random()
         if r < 0.68:
-            return el("p", inline(sentences(1, 7) if rng.random() < 0.85 else words(1, 6)), 1)
+            return el("p", inline(sentences(1, 7) if rng.random() < 0.85 else words(1, 6)), 1, odd())
         if r < 0.8:
-            return el(pick(("h2", "h2", "h3")), words(1, 9), 1)
+            return el(pick(("h2", "h2", "h3")), words(1, 9), 1, odd())
         if r < 0.88:
             tag = pick(("ul", "ol"))
             return el(tag, "".join(el("li", inline(words(1, 14)), 1) for _ in range(rng.randint(2, 6))), 1)
@@ -381,8 +385,8 @@ def _compose(rng: random.Random) -> str:
             return el("table", "".join(el("tr", "".join(el("td", words(1, 4), 1) for _ in range(3)), 1) for _ in range(rng.randint(2, 4))), 1)
         return el("div", el("p", sentences(1, 4), 1) if rng.random() < 0.5 else sentences(1, 5), 1)
 
-    tag, hint = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry"), ("section", "story"), ("div", ""), ("section", ""), ("td", "")))
-    inside = [content_block() for _ in range(rng.randint(1, 14))]
+    tag, hint = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry"), ("section", "story"), ("article", "post tags-related"), ("article", "entry meta"), ("div", "content more"), ("div", ""), ("section", ""), ("td", "")))
+    inside = [content_block() for _ in range(rng.choice((1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 14)))]
     if rng.random() < 0.7:
         inside.insert(0, el("h1", words(2, 14), 1))
     for kind in ("ad", "side", "notice", "form"):

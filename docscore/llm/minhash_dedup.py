@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, text_hash, with_maybe, words_of
+from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, slices, text_hash, with_maybe, words_of
 
 COORDS, ROWS = 160, 5
 DOMAIN_BITS = 20
@@ -67,15 +67,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingles of each text; fewer words are one shingle."""
-    _, _, h, first = words_of(texts)
-    runs = runs_of(h, k)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(runs[a : b - k + 1])
-        elif b > a:
-            yield runs_of(h[a:b], b - a)
-        else:
-            yield np.zeros(0, np.uint64)
+    for lo, hi in slices(texts):
+        _, _, h, first = words_of(texts[lo:hi])
+        runs = runs_of(h, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                yield np.unique(runs[a : b - k + 1])
+            elif b > a:
+                yield runs_of(h[a:b], b - a)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def _sums(shingles: np.ndarray) -> tuple[int, int]:

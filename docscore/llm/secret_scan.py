@@ -3,7 +3,7 @@
 Three kinds of spans are found in every text: assignments of a named secret, access keys and
 long hexadecimal strings. Then a worklist of layers is followed until nothing new appears:
 a line with URL escapes or Unicode escapes is unwrapped, and so is a base64 string whose
-content is text or gzip or zlib streams; runs on lines that follow one another count as one
+content is text or gzip, zlib, bzip2 or xz streams (16 characters or more: the shortest secret has 12 bytes); runs on lines that follow one another count as one
 string, as base64 is often wrapped, and each for itself unless it holds a part of a longer
 stream. Every layer is scanned and searched for
 further layers; a layer whose content was seen before in the same place is not followed
@@ -22,10 +22,13 @@ matter; rows that repeat an id each get their row.
 from __future__ import annotations
 
 import binascii
+import bz2
 import codecs
 import hashlib
+import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Generator, Iterator, Sequence
 from itertools import chain, repeat
 
@@ -81,7 +84,7 @@ Layer = tuple[str, Sequence[int], Sequence[int]]  # the text, and of each charac
 
 
 def _escapes(line: str, starts: list[int], ends: list[int], pattern: re.Pattern, url: bool) -> Layer | None:
-    out, s, e, at = [], [], [], 0
+    out, s, e, at = [], array("q"), array("q"), 0
     for m in pattern.finditer(line):
         i, j = m.span()
         if i < at:
@@ -108,34 +111,54 @@ def _escapes(line: str, starts: list[int], ends: list[int], pattern: re.Pattern,
                 code = 0xFFFD
             chars, where = chr(code), [(i, j)]
         out.append(line[at:i])
-        s += starts[at:i]
-        e += ends[at:i]
+        s.extend(starts[at:i])
+        e.extend(ends[at:i])
         out.append(chars)
-        s += [starts[a] for a, _ in where]
-        e += [ends[b - 1] for _, b in where]
+        s.extend(starts[a] for a, _ in where)
+        e.extend(ends[b - 1] for _, b in where)
         at = j
     if not out:
         return None
-    return "".join(out) + line[at:], [*s, *starts[at:]], [*e, *ends[at:]]
+    s.extend(starts[at:])
+    e.extend(ends[at:])
+    return "".join(out) + line[at:], s, e
 
 
-def _window_bits(raw: bytes) -> int:
-    """What zlib is told of a gzip or zlib stream; 0 where none begins."""
+class _Zlib:
+    """A zlib object with the interface of the other two."""
+
+    def __init__(self, bits: int):
+        self.z, self.rest = zlib.decompressobj(bits), b""
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.z.decompress(self.rest + data, most)
+        self.rest = self.z.unconsumed_tail
+        return out
+
+    eof = property(lambda self: self.z.eof)
+    unused_data = property(lambda self: self.z.unused_data)
+
+
+def _opener(raw: bytes):
+    """What reads the gzip, zlib, bzip2 or xz stream that begins here, if one does. (Raw deflate data have no mark to begin with.)"""
     if raw[:2] == b"\x1f\x8b":
-        return 31
-    return 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
+        return _Zlib(31)
+    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return _Zlib(15)
+    if raw[:3] == b"BZh" and raw[4:10] == b"1AY&SY":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\0" else None
 
 
 def _streams(raw: bytes) -> Generator[bytes, None, int]:
     """The bytes of the streams that follow one another, in pieces; returns how many of ``raw`` they take."""
     used = 0
-    while bits := _window_bits(rest := raw[used:]):
-        z = zlib.decompressobj(bits)
+    while z := _opener(rest := raw[used:]):
         try:
             while not z.eof and (data := z.decompress(rest, PIECE)):
-                rest = z.unconsumed_tail
+                rest = b""
                 yield data
-        except zlib.error:
+        except (zlib.error, OSError, lzma.LZMAError):
             return used
         used = len(raw) - len(z.unused_data.lstrip(b"\0"))
         if not z.eof:
@@ -179,7 +202,7 @@ def _is_text(raw: bytes) -> bool:
 def _base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     head = binascii.a2b_base64(body[:16])
-    if not (head.isascii() or head[:2] == b"\x1f\x8b" or head[0] == 0x78 or _may_be_utf8(head)):
+    if not (head.isascii() or head[:2] == b"\x1f\x8b" or head[:6] == b"\xfd7zXZ\0" or head[:3] == b"BZh" or head[0] == 0x78 or _may_be_utf8(head)):
         return None
     if len(body) % 4 == 1:
         body = body[:-1]
@@ -222,7 +245,7 @@ def _children(layer: Layer) -> Iterator[Layer]:
                 yield s, _Same(starts[at[0]], len(s)), _Same(ends[last], len(s))
         elif _is_text(raw):
             s = raw.decode()
-            a, b, k = [], [], 0
+            a, b, k = array("q"), array("q"), 0
             for c in s:
                 n = len(c.encode())
                 a.append(starts[at[k // 3 * 4]])

@@ -8,7 +8,7 @@ backwards from the end.
 
 A text is cut where no piece can cross: before the mark that starts a word (no piece has the
 mark after another character), and around characters that no piece holds, which become their
-UTF-8 bytes' ids. Runs of marks, whose pieces share one score, are merged directly. Distinct
+UTF-8 bytes' ids. Runs of marks, whose pieces share one score so that no table holds, are merged by definition. Distinct
 parts are encoded once and remembered, up to CACHE_PARTS.
 
 Defined cases: a null text counts as empty; an empty text is the end id alone; other columns
@@ -18,6 +18,7 @@ do not matter; rows that repeat an id each get their row.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -60,18 +61,31 @@ class MergeCodec:
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def merged(self, s: str) -> list[str]:
-        """Merge neighbours by definition: best score first, then leftmost."""
-        parts = list(s)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                j = self.id_of.get(parts[i] + parts[i + 1])
-                if j is not None and (best is None or self.score[j] > best[0]):
-                    best = (self.score[j], i)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        """Merge neighbours by definition: best score first, then leftmost. Pairs wait in a heap, so
+        a string takes time in proportion to its length, but for the heap's logarithm."""
+        parts: list[str | None] = list(s)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (k := self.id_of.get(text := parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (-self.score[k], i, j, text))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, j, text = heapq.heappop(heap)
+            if parts[i] is None or after[i] != j or parts[j] is None or len(parts[i]) + len(parts[j]) != len(text):
+                continue  # one of the two was merged since
+            parts[i], parts[j] = text, None
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p is not None]
 
     def compatible(self, a: int, b: int) -> bool:
         key = (a, b)

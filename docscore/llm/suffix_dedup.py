@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _PINV, _power, cut, key_bitmap, mix64, runs_of, with_maybe, words_of
+from .common import _P, _PINV, _power, cut, key_bitmap, mix64, runs_of, slices, with_maybe, words_of
 
 MATCH, PREFIX, GRAM = 50, 18, 4
 BITS = 1 << 25  # of the filters: 1024 rows of 4 KB at most
@@ -50,9 +50,11 @@ def suffixes(h: np.ndarray, match: int = MATCH, prefix: int = PREFIX) -> tuple[n
 
 
 def _documents(f: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    _, _, h, at = words_of(f["text"].tolist())
-    for i, a, b in zip(f["doc_id"].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield i, h[a:b]
+    ids, texts = f["doc_id"].tolist(), f["text"].tolist()
+    for lo, hi in slices(texts):
+        _, _, h, at = words_of(texts[lo:hi])
+        for i, a, b in zip(ids[lo:hi], at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield i, h[a:b]
 
 
 def _kept(match: int, prefix: int):

@@ -61,7 +61,7 @@ DECAY, SPAN, CLASSES = 0.6, 7, 64
 JOINED, LONGEST = 10, 24
 WIDEST = LONGEST + 2  # characters of a part, with what stands before and after it
 FRAGMENT, ROUNDS, RIDGE, BIAS = 6, 6, 1e-6, -1.0
-PIECE, OVERLAP = 1 << 19, 2048
+PIECE, OVERLAP = 1 << 17, 2048
 _END, _BETWEEN, _DIGIT, _LETTER = 0, 1, 3, 4
 _STOP, _LINE = 62, 63  # while a text is cut into sentences
 _RUN = re.compile(r"(\W)\1+")

@@ -455,6 +455,179 @@ def test_repeated_ids_and_equal_rows(spark):
     assert {(r.doc_id, r.component_id) for r in near_groups(d).filter("n_shingles > 50").collect()} == {(3, 3), (4, 3), (4, 4), (8, 4)}
 
 
+def test_html_hints_do_not_veto_and_broken_tags_are_fast():
+    import time
+
+    from docscore.llm.html_extract import default_model, main_text
+
+    model = default_model()
+    assert main_text('<div class="content"><p>First para is here, with text.</p><p>Second para follows, and it ends.</p><form><input name=q><button>Go</button></form></div>', model) == "First para is here, with text. Second para follows, and it ends."
+    assert main_text("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here, as was shown.</p></article>", model) == "We know that x=2 holds here, as was shown."
+    start = time.perf_counter()
+    for broken in ("<a ", "<!", '<a "', "<a x='", "</", "<p>"):
+        main_text(broken * 40_000, model)
+    assert time.perf_counter() - start < 30
+    long = "<article>" + "<p>A sentence of some words, and one more.</p>" * 120_000 + "</article>"
+    assert main_text(long, model) == " ".join(["A sentence of some words, and one more."] * 120_000)
+
+
+def test_html_query_equals_a_plain_extractor_on_pages(spark):
+    """A plain reader: of the pages with one article or main element, its text without nested notices, adverts, forms and the like."""
+    from html.parser import HTMLParser
+
+    from docscore.llm.html_extract import op7_html_extract
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.inside, self.skip = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            names = set(re.findall("[a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()))
+            if self.skip:
+                self.skip += [tag] * (tag == self.skip[0])
+            elif tag in ("article", "main"):
+                self.inside += 1
+            elif self.inside and (tag in ("nav", "aside", "form", "script", "style", "header", "footer") or names & {"ad", "ads", "advert", "promo", "notice", "cookie", "related", "comments", "comment", "newsletter", "share"}):
+                self.skip = [tag]
+
+        def handle_endtag(self, tag):
+            if self.skip:
+                if tag == self.skip[0]:
+                    self.skip.pop()
+            elif tag in ("article", "main"):
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside > 0 and not self.skip:
+                self.words += data.split()
+
+    got = {r.page_id: r for r in op7_html_extract(spark, "/root/testdata/sf0.001").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert len(got) == len(pages)
+    hit = want = found = n = 0
+    for r in pages:
+        p = Plain()
+        p.feed(r.html or "")
+        if p.words and "<article" in (r.html or "") + "<main":
+            n += 1
+            a, b = set(p.words), set(got[r.page_id].text.split())
+            hit, want, found = hit + len(a & b), want + len(a), found + len(b)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert n > 10 and hit / want > 0.97 and hit / found > 0.97
+
+
+def test_gif_deferred_clear_and_damaged_files():
+    from docscore.llm.gif_media import _layout, decode_gif, encode_gif, lzw_decode
+
+    rng = random.Random(5)
+    data = bytes(rng.randrange(256) for _ in range(20_000))
+    # an encoder that never clears its full table
+    table, codes, w, free = {}, [256], data[0], 258
+    for c in data[1:]:
+        if (k := (w, c)) in table:
+            w = table[k]
+            continue
+        codes.append(w)
+        w = c
+        if free < 4096:
+            table[k] = free
+            free += 1
+    codes += [w, 257]
+    width = [9, *_layout(8)[0].tolist()]
+    bits = "".join(format(c, f"0{width[i] if i < len(width) else 12}b")[::-1] for i, c in enumerate(codes))
+    stream = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    assert lzw_decode(stream, 8, len(data)) == data
+    gif = encode_gif(data[:6400])
+    for n in (0, 5, 12, 40, 900, len(gif) // 2, len(gif) - 1):
+        with pytest.raises(ValueError):
+            decode_gif(gif[:n])
+
+
+def test_gif_local_palette_and_interlacing():
+    from docscore.llm.gif_media import WIDTH, _blocks, decode_gif, lzw_encode
+
+    rows = 11
+    order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, rows, step)]
+    data = b"".join(bytes([y]) * WIDTH for y in order)
+    local = b"".join(bytes([i, 255 - i, 7]) for i in range(256))
+    size = WIDTH.to_bytes(2, "little") + rows.to_bytes(2, "little")
+    gif = b"GIF89a" + size + b"\0\0\0" + b"\x2c\0\0\0\0" + size + b"\xc7" + local + b"\x08" + _blocks(lzw_encode(data)) + b"\x3b"
+    (frame,) = decode_gif(gif)
+    assert [frame.canvas[y, 3].tolist() for y in range(rows)] == [[y, 255 - y, 7, 255] for y in range(rows)]
+
+
+def test_media_query_equals_a_plain_version(spark):
+    from docscore.llm.gif_media import op3_gif_media
+
+    got = {r.doc_id: r for r in op3_gif_media(spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r.text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        g = got[r.doc_id]
+        frames = [payload[i : i + 64 * 1024] for i in range(0, len(payload), 64 * 1024)]
+        total = np.bincount(np.frombuffer(payload, np.uint8) // 16, minlength=16)
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert g.feature == f"{len(frames)};{100 * len(frames)};" + ",".join(map(str, total))
+
+
+def test_sentencepiece_runs_and_long_texts():
+    import time
+
+    import public_tokenizers
+    import sentencepiece as spm
+
+    from docscore.llm.sentencepiece_bpe import codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, c = spm.SentencePieceProcessor(model_file=path), codec(path)
+    start = time.perf_counter()
+    for t in (" " * 100_000, " " * 5001 + "word", "a" * 50_000, "the word  and   so " * 260_000, "\n" * 3000 + "  x"):
+        ids = [*sp.encode(t), 2]
+        got, text = c.round_trip(t)
+        assert got.decode() == " ".join(map(str, ids)) and text.decode() == sp.decode(ids)
+    assert time.perf_counter() - start < 60
+
+
+def test_secrets_in_other_streams_and_long_texts():
+    import base64
+    import bz2
+    import lzma
+    import tracemalloc
+
+    from docscore.llm.secret_scan import all_spans, base_spans, op8_secret_scan
+
+    secret = b"AKIA" + b"ABCDEFGH" * 2
+    for data in (bz2.compress(b"x " + secret), lzma.compress(b"x " + secret), lzma.compress(base64.b64encode(bz2.compress(secret)))):
+        b64 = base64.b64encode(data).decode()
+        assert all_spans(f"see {b64} there", []) == [("access", 4, 4 + len(b64))]
+    assert all_spans("see " + base64.b64encode(b"token=abcdef").decode(), []) == [("assign", 4, 20)]
+    long = "word " * 1_000_000 + "a%41KIA" + "B" * 20
+    tracemalloc.start()
+    spans = all_spans(long, base_spans(long))
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert [(k, j) for k, _, j in spans] == [("access", len(long))] or spans == base_spans(long)
+    assert op8_secret_scan.__name__ == "op8_secret_scan"
+
+
+def test_secrets_query_equals_plain_patterns(spark):
+    from docscore.llm.secret_scan import op8_secret_scan
+
+    patterns = (("assign", r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", "(AKIA[A-Z0-9]+)"), ("hex", "([0-9a-f]+)"))
+    least = {"assign": 6, "access": 20, "hex": 24}
+    got = {r.doc_id: r for r in op8_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        spans = sorted((m.start(), i, k, m.end()) for i, (k, p) in enumerate(patterns) for m in re.finditer(p, r.text or "") if len(m[1]) >= least[k])
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(got[r.doc_id].spans.split(","))
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty_and_null_tables(spark, rows):
     import public_tokenizers
@@ -469,3 +642,11 @@ def test_empty_and_null_tables(spark, rows):
     assert packing.pack(d, public_tokenizers.path("word_bpe_49k.json")).count() == n
     assert pii.find_pii(d).count() == n
     assert secret_scan.scan_secrets(d).count() == n
+    from docscore.llm import gif_media, html_extract, sentencepiece_bpe, toxicity
+
+    assert gif_media.read_media(gif_media.store_texts(d)).count() == n
+    assert sentencepiece_bpe.encode_decode(d, public_tokenizers.path("piece_bpe_32k.model")).count() == n
+    pages = spark.createDataFrame([(None, None, None, "x")] * n, "page_id long, url string, html string, text string")
+    assert html_extract.extract(pages).count() == n
+    assert toxicity.score(d, None).count() == n and toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int")) is None
+    assert exact_dedup.exact_dedup(d).count() == n and minhash_dedup.near_dedup(d).count() == n and pii.redact(d).count() == n
