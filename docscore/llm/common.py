@@ -3,6 +3,8 @@ key filter, hashing of words on numpy buffers, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -76,11 +78,39 @@ def held(name: object, make):
     """A Python worker's one large cache: asking for another lets this one go, so workers that
     are used again do not keep the caches of earlier stages."""
     if name not in _held:
-        _held.clear()
+        release()
         _held[name] = make()
     return _held[name]
 
 
+def release() -> None:
+    """Let a worker's cache go, and give back what was freed."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def trimmed(run):
+    """``run`` (of frames to frames), which gives freed memory back after each frame: workers live on
+    between stages, and what they keep counts against their executor."""
+
+    def then_trim(frames: Iterator) -> Iterator:
+        for out in run(frames):
+            yield out
+            del out
+            trim()
+
+    return then_trim
+
+
 # --- a key filter of bounded size -------------------------------------------------
 
 _WORD = 32768  # bits of one row of bitmap_construct_agg

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, slices, text_hash, with_maybe, words_of
+from .common import components, cut, drop_rows, held, key_bitmap, mix64, runs_of, slices, text_hash, trimmed, with_maybe, words_of
 
 COORDS, ROWS = 160, 5
 DOMAIN_BITS = 20
@@ -122,7 +122,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, special: DataFrame | None, k: in
     """(id, sh) of the nodes (column id), one row each; only texts that may be among them are shuffled, as sets."""
     ids = nodes if special is None else nodes.unionByName(special.select(F.col("low").alias("id")))
     near = with_maybe(docs.select("doc_id", "text"), F.xxhash64("doc_id"), key_bitmap(ids.select(F.xxhash64("id").alias("h"))), "maybe").filter("maybe").select("doc_id", "text")
-    sets = near.mapInPandas(_sets(k), "id long, a long, b long, sh array<long>")
+    sets = near.mapInPandas(trimmed(_sets(k)), "id long, a long, b long, sh array<long>")
     if special is not None:
         sets = sets.join(special, (sets["a"] == special["set_a"]) & (sets["b"] == special["set_b"]) & (sets["id"] == special["low"]), "left")
         sets = sets.select(F.coalesce("rep", "id").alias("id"), "sh")
@@ -143,7 +143,7 @@ def _against_leaders(docs: DataFrame, pairs: DataFrame, special: DataFrame | Non
 def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Of each row: doc_id, t (its text's hash), n_shingles, set_a, set_b (of its set), label (of its group; null alone), component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("t"))
-    profile = cut(docs.mapInPandas(_profile(k), "doc_id long, t long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
+    profile = cut(docs.mapInPandas(trimmed(_profile(k)), "doc_id long, t long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
     linked = profile.filter("doc_id is not null and n_shingles > 0")
     # What is joined back to the rows it was made of is cut, so that AQE can split hot keys in the join.
     classes = cut(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.col("low")))

@@ -55,7 +55,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import cut, release, trimmed, unused
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
 JOINED, LONGEST = 10, 24
@@ -377,6 +377,7 @@ def _documents_with(only: np.ndarray | None):
     """In how many documents each fragment occurs (of ``only``, sorted, or all), summed by batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for f in frames:
             found: list[np.ndarray] = []
             for t in f["text"]:
@@ -450,7 +451,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return None
 
     def counts(label: int, only: np.ndarray | None) -> DataFrame:
-        return sample.filter(F.col("toxic") == label).select("text").mapInPandas(_documents_with(only), "fragment long, n long").groupBy("fragment").agg(F.sum("n").alias("n"))
+        return sample.filter(F.col("toxic") == label).select("text").mapInPandas(trimmed(_documents_with(only)), "fragment long, n long").groupBy("fragment").agg(F.sum("n").alias("n"))
 
     often = {r["fragment"]: r["n"] for r in counts(1, None).filter("n >= 4").collect()}
     if not often:
@@ -461,7 +462,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return None
 
     def told(model: Model | None) -> list:
-        return sample.mapInPandas(_told(model, fragments, settings), "toxic int, scores array<double>, parts array<binary>, others array<binary>").collect()
+        return sample.mapInPandas(trimmed(_told(model, fragments, settings)), "toxic int, scores array<double>, parts array<binary>, others array<binary>").collect()
 
     model, clean = None, Counter()
     for _ in range(ROUNDS):
@@ -500,7 +501,11 @@ def _telling(toxic: dict[int, int], clean: dict[int, int], n1: int, n0: int, mos
 
 
 def _scores(model: Model | None, texts: pd.Series) -> np.ndarray:
-    return np.zeros(len(texts)) if model is None else model.score(model.tops([t or "" for t in texts]))
+    if model is None:
+        return np.zeros(len(texts))
+    out = model.score(model.tops([t or "" for t in texts]))
+    release()
+    return out
 
 
 def _scored(model: Model | None):
@@ -513,7 +518,7 @@ def _scored(model: Model | None):
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score, 0 to 1, of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scored(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(trimmed(_scored(model)), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
