@@ -57,14 +57,17 @@ def json_pairs(doc: Column) -> Column:
 
 
 def text_pairs(text: Column) -> Column:
-    """Pairs of plain text: objects with a key and a value, then "key: value" lines; the found mark is never seen there."""
+    """Pairs of plain text: objects with a key and a value, then "key: value" lines with a value. The last of
+    each key counts, in the place of the first; the found mark is never seen there."""
     keys, values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
     none = F.lit(None).cast("boolean")
     objects = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"), none.alias("found")))
     lines = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(LINE))
     unquote = lambda c: F.regexp_replace(strip(c), "^[\"']|[\"']$", "")
     rows = F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, LINE, 1)).alias("key"), unquote(F.regexp_extract(x, LINE, 2)).alias("value"), none.alias("found")))
-    return F.concat(objects, rows).cast(PAIRS)
+    every = F.concat(objects, F.filter(rows, lambda p: p["value"] != "")).cast(PAIRS)
+    names = F.array_distinct(F.transform(every, lambda p: key_name(p["key"])))
+    return F.transform(names, lambda n: F.element_at(F.filter(every, lambda p: key_name(p["key"]) == n), -1)).cast(PAIRS)
 
 
 def answers(text: Column) -> Column:
@@ -75,7 +78,7 @@ def answers(text: Column) -> Column:
 
 def indexed(pairs: Column) -> Column:
     """Map of key name to (value, found): the first of each key, or the first that isn't empty if that is."""
-    named = F.transform(pairs, lambda p: F.struct(key_name(p["key"]).alias("k"), F.coalesce(p["value"], F.lit("")).alias("value"), F.coalesce(p["found"], F.lit(True)).alias("found")))
+    named = F.transform(pairs, lambda p: F.struct(key_name(p["key"]).alias("k"), strip(p["value"]).alias("value"), F.coalesce(p["found"], F.lit(True)).alias("found")))
     names = F.array_distinct(F.transform(named, lambda p: p["k"]))
 
     def best(name: Column) -> Column:

@@ -2,96 +2,175 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+MODES = ("exact", "normalized_text", "contains", "numeric")
+_DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+
+
+def _parsed(text: str | None) -> object:
+    """The JSON value; None for what is none."""
+    try:
+        return json.loads(text, parse_constant=lambda _: json.loads("?")) if text else None
+    except ValueError:
+        return None
+
+
+def _kind(v: object) -> str:
+    return {dict: "object", list: "array", type(None): "null", str: "string", bool: "boolean", int: "integer"}.get(type(v), "float")
+
+
+def _text(v: object) -> str | None:
+    """A value as text: containers as compact JSON."""
+    if v is None or isinstance(v, str):
+        return v
+    return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+
+def _is_value(v: object) -> bool:
+    return isinstance(v, dict) and "value" in v
+
+
+def _walk(node: dict, path: list[str], in_item: bool) -> Iterator[tuple[str, list[str], object, dict | None]]:
+    """Leaves in document order: (name, path, value, the object that holds it, if one does). Bare
+    values count in and under the items of lists only."""
+    for k, v in node.items():
+        here = [*path, k]
+        if _is_value(v):
+            yield k, here, v["value"], v
+        elif isinstance(v, dict):
+            yield from _walk(v, here, False)
+        elif isinstance(v, list):
+            for i, e in enumerate(v, 1):
+                if _is_value(e) and not in_item:
+                    yield k, [*here, str(i)], e["value"], e
+                elif isinstance(e, dict) and not in_item:
+                    yield from _walk(e, [*here, str(i)], True)
+                else:
+                    yield k, [*here, str(i)], e, None
+        elif in_item:
+            yield k, here, v, None
+
+
+def _expected(v: object) -> list[str]:
+    """Expected texts: none for null and blanks, an integral float without its fraction."""
+    if isinstance(v, list):
+        return [t for t in ((_text(x) or "").strip(" ") for x in v) if t]
+    text = _text(v) or ""
+    if isinstance(v, float):
+        return [re.sub(r"\.0+$", "", text)]
+    return [text.strip(" ")] if text.strip(" ") else []
+
+
+def _key(value: object, node: dict | None) -> tuple[bool, list[str], str | None, str]:
+    """critical, expected, data type and match mode of a leaf."""
+    kind = _kind(value)
+    if node is None:
+        data_type = "date" if kind == "string" and _DAY.fullmatch(value) else kind if kind in ("boolean", "integer", "float", "string") else None
+        mode = None
+    else:
+        data_type, mode = _text(node.get("type")), node.get("match")
+    by_type = "numeric" if (data_type or "").lower() in ("float", "integer", "number") else "normalized_text"
+    return bool(node) and _text(node.get("critical")) == "true", _expected(value), data_type, mode if mode in MODES else by_type
+
+
+def _named(root: dict) -> Iterator[tuple]:
+    """(ordinal, name, critical, expected, data_type, match) of a document's leaves."""
+    found = list(_walk(root, [], False))
+    count = Counter(k for k, _, _, _ in found)
+    seen: set[str] = set()
+    ordinal = 0
+    for k, path, value, node in found:
+        wanted = name = "_".join(path) if count[k] > 1 else k
+        n = 2
+        while name in seen:
+            name = f"{wanted}_{n}"
+            n += 1
+        seen.add(name)
+        if name.strip():
+            ordinal += 1
+            yield ordinal, name, *_key(value, node)
 
-_OF = "map<string,string>"
 
+def keys(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. Keys of ground truth: doc, ordinal, name, critical, expected, data_type, match.
 
-def _kind(variant: Column) -> Column:
-    k = F.schema_of_variant(variant)
-    return F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "array").when(k == "VOID", "null").when(k == "STRING", "string").when(k == "BOOLEAN", "boolean").when(k == "BIGINT", "integer").otherwise("float")
+    A leaf's name is its own if no other leaf of the document has it, else its path; a name that
+    an earlier leaf took gets _2, _3 ..., the first that is free. A document is walked as a whole,
+    so there is no shuffle. Documents in the old schema, or that are no JSON objects, give no keys
+    (see rejected)."""
+    of = docs.schema["doc"].dataType.simpleString()
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, *k) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) if isinstance(root := _parsed(t), dict) and not isinstance(root.get("keys"), list) for k in _named(root)]
+            yield pd.DataFrame(rows, columns=["doc", "ordinal", "name", "critical", "expected", "data_type", "match"])
 
-def _members(df: DataFrame) -> DataFrame:
-    """One row per member of the object ``json``, in order: at, k, v (text), kind."""
-    pairs = F.map_entries(F.from_json("json", _OF))
-    df = df.withColumn("_kinds", F.from_json("json", "map<string,variant>"))
-    df = df.select("*", F.posexplode(pairs).alias("at", "e")).withColumn("k", F.col("e.key")).withColumn("v", F.col("e.value"))
-    return df.withColumn("kind", _kind(F.element_at("_kinds", F.col("k")))).drop("_kinds", "e")
+    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, ordinal long, name string, critical boolean, expected array<string>, data_type string, match string")
 
 
-def _elements(df: DataFrame) -> DataFrame:
-    """One row per element of the list ``v``: at, v, kind."""
-    df = df.withColumn("_kinds", F.from_json("v", "array<variant>")).withColumn("_texts", F.from_json("v", "array<string>"))
-    df = df.drop("v").select("*", F.posexplode("_texts").alias("i", "v"))
-    return df.withColumn("kind", _kind(F.get("_kinds", F.col("i")))).drop("_kinds", "_texts")
+def _nodes(node: object) -> Iterator[tuple[str, object, bool]]:
+    """Value objects alone, as the raw walk meets them: through objects and lists of objects."""
+    for k, v in node.items() if isinstance(node, dict) else ():
+        if _is_value(v):
+            yield k, v["value"], bool(v.get("critical"))
+        elif isinstance(v, dict):
+            yield from _nodes(v)
+        elif isinstance(v, list):
+            for e in v:
+                yield from _nodes(e)
 
 
-def _is_value(kind: Column, text: Column) -> Column:
-    return (kind == "object") & F.coalesce(F.map_contains_key(F.from_json(text, _OF), "value"), F.lit(False))
+def value_nodes(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. Raw value objects: doc, key, critical, and whether each is labelled by three
+    rules: text (a text or list that isn't blank), plain (or a number or boolean), any (or a container that isn't empty)."""
+    of = docs.schema["doc"].dataType.simpleString()
 
+    def labels(v: object) -> tuple[bool, bool, bool]:
+        text = bool(v.strip()) if isinstance(v, str) else isinstance(v, list) and any(str(x or "").strip() for x in v)
+        plain = text or isinstance(v, (bool, int, float))
+        return text, plain, plain or isinstance(v, (dict, list)) and bool(v)
 
-def _leaf(df: DataFrame, node: bool) -> DataFrame:
-    return df.select("doc", F.col("order"), F.col("k").alias("leaf"), F.array_join("path", "_").alias("full_path"), F.col("v").alias("json"), "kind", F.lit(node).alias("node"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, k, c, *labels(v)) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) for k, v, c in _nodes(_parsed(t))]
+            yield pd.DataFrame(rows, columns=["doc", "key", "critical", "labelled_text", "labelled_plain", "labelled_any"])
 
+    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, key string, critical boolean, labelled_text boolean, labelled_plain boolean, labelled_any boolean")
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, json. Leaves in document order: objects with a "value" (node), and bare values
-    in and under the items of lists."""
-    front = docs.select("doc", F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("path"), "json", F.lit(False).alias("row"))
-    out = None
-    while True:  # one level of nesting a round
-        m = _members(front)
-        m = keep(m.withColumn("order", F.concat("order", F.array("at"))).withColumn("path", F.concat("path", F.array("k"))).withColumn("value", _is_value(F.col("kind"), F.col("v"))).drop("at", "json"))
-        listed = _elements(m.filter((F.col("kind") == "array") & ~F.col("value")))
-        listed = keep(listed.withColumn("order", F.concat("order", F.array("i"))).withColumn("path", F.concat("path", F.array((F.col("i") + 1).cast("string")))).withColumn("value", _is_value(F.col("kind"), F.col("v")) & ~F.col("row")))
-        deeper = (F.col("kind") == "object") & ~F.col("value") & ~F.col("row")
-        found = (
-            _leaf(m.filter("value"), True)
-            .unionByName(_leaf(m.filter(F.col("row") & ~F.col("kind").isin("object", "array")), False))
-            .unionByName(_leaf(listed.filter("value"), True))
-            .unionByName(_leaf(listed.filter(~F.col("value") & ~deeper), False))
-        )
-        out = found if out is None else out.unionByName(found)
-        objects = m.filter((F.col("kind") == "object") & ~F.col("value")).select("doc", "order", "path", F.col("v").alias("json"), F.lit(False).alias("row"))
-        front = objects.unionByName(listed.filter(deeper).select("doc", "order", "path", F.col("v").alias("json"), F.lit(True).alias("row")))
-        if front.isEmpty():
-            return out
 
+def raw_summary(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both."""
+    nodes = value_nodes(docs).groupBy("doc").agg(F.count("*").alias("k"), F.count_if("labelled_plain").alias("l"), F.count_if("critical").alias("c"), F.count_if(F.col("labelled_plain") & F.col("critical")).alias("b"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return docs.select("doc", "domain").join(nodes, "doc", "left").groupBy("domain").agg(F.count("*").alias("documents"), total("k", "keys"), total("l", "labelled"), total("c", "critical"), total("b", "critical_labelled"))
 
-def _expected(kind: Column, text: Column) -> Column:
-    """Array of expected texts: none for null and blanks, an integral float without its fraction."""
-    trimmed = F.trim(text)
-    one = F.when(kind == "float", F.regexp_replace(text, r"\.0+$", "")).otherwise(trimmed)
-    many = F.filter(F.transform(F.from_json(text, "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(kind == "array", many).when((kind == "null") | text.isNull() | (trimmed == ""), F.array().cast("array<string>")).otherwise(F.array(one))
 
+def rejected(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. Documents that can't be ground truth, and the rule: invalid_json, legacy_schema (a list of keys), no_values (no value objects)."""
+    of = docs.schema["doc"].dataType.simpleString()
 
-def keys(docs: DataFrame) -> DataFrame:
-    """Keys of ground truth: doc, ordinal, name, critical, expected, data_type, match.
-
-    A leaf's name is its own if no other leaf of the document has it, else its path; names that
-    still clash get _2, _3 ..."""
-    x = leaves(docs)
-    obj, kinds = F.from_json("json", _OF), F.from_json("json", "map<string,variant>")
-    value_kind = F.when(F.col("node"), _kind(F.element_at(kinds, "value"))).otherwise(F.col("kind"))
-    value = F.when(F.col("node"), F.element_at(obj, "value")).otherwise(F.col("json"))
-    is_day = (value_kind == "string") & value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-    inferred = F.when(is_day, "date").when(value_kind.isin("boolean", "integer", "float", "string"), value_kind)
-    data_type = F.when(F.col("node"), F.element_at(obj, "type")).otherwise(inferred)
-    mode = F.element_at(obj, "match")
-    by_type = F.when(F.lower(data_type).isin("float", "integer", "number"), "numeric").otherwise("normalized_text")
-    match = F.when(F.col("node") & mode.isin("exact", "normalized_text", "contains", "numeric"), mode).otherwise(by_type)
-    x = x.select("doc", "order", "leaf", "full_path", (F.col("node") & F.coalesce(F.element_at(obj, "critical") == "true", F.lit(False))).alias("critical"), _expected(value_kind, value).alias("expected"), data_type.alias("data_type"), match.alias("match"))
-    w = Window.partitionBy("doc", "leaf")
-    x = x.withColumn("name", F.when(F.count("*").over(w) > 1, F.col("full_path")).otherwise(F.col("leaf")))
-    n = F.row_number().over(Window.partitionBy("doc", "name").orderBy("order"))
-    x = x.withColumn("n", n).withColumn("name", F.when(F.col("n") > 1, F.concat_ws("_", "name", "n")).otherwise(F.col("name"))).drop("n")
-    ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("order")).cast("long")
-    return x.filter(F.trim("name") != "").select("doc", ordinal.alias("ordinal"), "name", "critical", "expected", "data_type", "match")
+    def rule(text: str | None) -> str | None:
+        root = _parsed(text)
+        if root is None and (text or "").strip() != "null":
+            return "invalid_json"
+        if isinstance(root, dict) and isinstance(root.get("keys"), list):
+            return "legacy_schema"
+        return None if next(_nodes(root), None) else "no_values"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, r) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) if (r := rule(t))]
+            yield pd.DataFrame(rows, columns=["doc", "rule"])
+
+    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, rule string")
 
 
 def dataset_summary(rows: DataFrame, by: str = "domain") -> DataFrame:
@@ -101,11 +180,64 @@ def dataset_summary(rows: DataFrame, by: str = "domain") -> DataFrame:
     return g.withColumn("labelled_pct", F.when(F.col("keys") > 0, F.col("labelled") / F.col("keys") * 100).otherwise(0.0))
 
 
-def validate(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """``manifest``: domain, document_id, source, truth; ``files``: path. One row per broken rule: rule, document_id."""
+def manifest_rows(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``manifest``: json (one row). Its domains (domain, document_count, listed) and its documents in
+    order (domain, position, document_id, source, truth). A manifest that is no JSON or has no list of domains raises."""
+    shape = "struct<domains array<struct<id string, document_count int, documents array<struct<document_id string, source_pdf string, ground_truth string>>>>>"
+    m = manifest.select(F.from_json("json", shape, {"mode": "FAILFAST"}).alias("m"))
+    m = m.select(F.when(F.col("m.domains").isNull(), F.raise_error(F.lit("the manifest has no list of domains"))).otherwise(F.col("m.domains")).alias("d"))
+    m = m.select(F.posexplode("d").alias("at", "d"))
+    domains = m.select(F.col("d.id").alias("domain"), F.col("d.document_count").alias("document_count"), F.size("d.documents").alias("listed"), F.col("d.documents").isNotNull().alias("valid"))
+    docs = m.select("at", F.col("d.id").alias("domain"), F.posexplode("d.documents").alias("i", "x"))
+    return domains, docs.select("domain", (F.col("at") * 1_000_000 + F.col("i")).cast("long").alias("position"), F.col("x.document_id").alias("document_id"), F.col("x.source_pdf").alias("source"), F.col("x.ground_truth").alias("truth"))
+
+
+def domain_key(c: str) -> Column:
+    """Trimmed lower case; null is empty."""
+    return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+
+
+def selected_documents(documents: DataFrame, domains: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Documents of the named domains (all without names), at most the first ``most`` of each in manifest order; before any file is read."""
+    wanted = [d.strip().lower() for d in domains or []]
+    some = documents.filter(domain_key("domain").isin(wanted)) if wanted else documents
+    if not most or most < 1:
+        return some
+    n = F.row_number().over(Window.partitionBy("domain").orderBy("position"))
+    return some.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+
+
+def selected_models(models: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Models whose id or label is named, in any case; all without names. None selected raises."""
+    names = [w.strip().lower() for w in wanted or [] if w.strip()]
+    some = models.filter(F.lower(F.trim("model_id")).isin(names) | F.lower(F.trim("model_label")).isin(names)) if names else models
+    if some.isEmpty():
+        raise ValueError("no model is selected")
+    return some
+
+
+def validate(manifest: DataFrame, files: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """``manifest``: domain, position, document_id, source, truth; ``files``: path and, of ground truth,
+    json; ``domains``: domain, document_count, listed, valid. One row per broken rule: rule, document_id
+    (the domain's or folder's name for rules of these). Entries with a missing field break no other rule;
+    of repeated ids and sources every one after the first is named."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    lacking = empty("document_id") | empty("source") | empty("truth")
+    whole = manifest.filter(~lacking)
     known = files.select("path").distinct()
-    missing = lambda col, rule: manifest.filter(F.col(col) != "").join(known, manifest[col] == known["path"], "left_anti").select(F.lit(rule).alias("rule"), "document_id")
-    fields = manifest.filter((F.coalesce("document_id", F.lit("")) == "") | (F.coalesce("source", F.lit("")) == "") | (F.coalesce("truth", F.lit("")) == "")).select(F.lit("missing_fields").alias("rule"), "document_id")
-    twice = manifest.groupBy("document_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("rule"), "document_id")
-    reused = manifest.join(manifest.groupBy("source").agg(F.count("*").alias("n")).filter("n > 1").select("source"), "source", "left_semi").select(F.lit("reused_source").alias("rule"), "document_id")
-    return fields.unionByName(twice).unionByName(missing("source", "missing_source")).unionByName(missing("truth", "missing_truth")).unionByName(reused)
+    row = lambda d, rule, c="document_id": d.select(F.lit(rule).alias("rule"), F.col(c).alias("document_id"))
+    missing = lambda col, rule: row(whole.join(known, whole[col] == known["path"], "left_anti"), rule)
+    later = lambda c: whole.withColumn("_n", F.row_number().over(Window.partitionBy(c).orderBy("position"))).filter("_n > 1")
+    out = row(manifest.filter(lacking), "missing_fields").unionByName(row(later("document_id"), "duplicate_id")).unionByName(row(later("source"), "reused_source"))
+    out = out.unionByName(missing("source", "missing_source")).unionByName(missing("truth", "missing_truth"))
+    if "json" in files.columns:
+        read = whole.join(files.filter("json is not null"), whole["truth"] == files["path"]).select(F.col("document_id").alias("doc"), "json")
+        out = out.unionByName(rejected(read).select("rule", F.col("doc").alias("document_id")))
+    folder = F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+\.(?i:pdf)$", 2)
+    standard = ("ground_truth", "reduced_size", "full_size", "full size")
+    nested = known.filter(F.col("path").rlike(r"(?:^|/)documents/[^/]+/[^/]+/[^/]+\.(?i:pdf)$") & ~folder.isin(*standard)).select(folder.alias("document_id")).distinct()
+    out = out.unionByName(row(nested, "nested_pdf"))
+    if domains is not None:
+        out = out.unionByName(row(domains.filter("coalesce(domain, '') = '' or not valid"), "bad_domain", "domain"))
+        out = out.unionByName(row(domains.filter("coalesce(domain, '') <> '' and valid and document_count <> listed"), "count_mismatch", "domain"))
+    return out

@@ -145,12 +145,12 @@ def leaderboard_offline(runs: DataFrame) -> DataFrame:
 
 
 def range_stats(rows: DataFrame, measure: str, digits: int, *keys: str) -> DataFrame:
-    """Count, extremes, nearest-rank percentiles, mean and deviation; null (count 0) for no values."""
+    """Count, extremes, nearest-rank percentiles, mean (of decimals, so that ties round alike in any order) and deviation; null (count 0) for no values."""
     r = lambda c: round_half(c, digits)
     m = F.col(measure)
     return rows.groupBy(*keys).agg(
         F.lit(measure).alias("measure"), F.count(m).alias("count"), r(F.min(m).cast("double")).alias("min"), *(r(nearest_rank(measure, p)).alias(f"p{p:02d}") for p in (5, 50, 95)),
-        r(F.max(m).cast("double")).alias("max"), r(F.avg(m)).alias("mean"), r(F.stddev_pop(m)).alias("stddev"),
+        r(F.max(m).cast("double")).alias("max"), r(F.sum(m.cast("decimal(26,12)")).cast("double") / F.count(m)).alias("mean"), r(F.stddev_pop(m)).alias("stddev"),
     )
 
 

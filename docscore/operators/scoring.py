@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import answers
-from ..functions.text import key_name
-from .checkpoint import first_nonempty
+from ..functions.text import key_name, strip
 from .matching import empty_expectation, hints, matches_any, prepared, scorable
 
 
 def extracted(runs: DataFrame) -> DataFrame:
-    """``runs``: task_key, document_id, raw_output. One row per key named in an answer: k, value, found."""
+    """``runs``: task_key, document_id, raw_output. One row per key named in an answer: k, value (trimmed), found:
+    those of its first pair, or of the first that isn't empty if that is."""
     p = runs.select("task_key", F.posexplode(answers(F.col("raw_output"))).alias("pos", "p"))
-    p = p.select("task_key", "pos", key_name(F.col("p.key")).alias("k"), F.struct(F.col("p.value").alias("value"), F.coalesce("p.found", F.lit(True)).alias("found")).alias("a"), F.col("p.value").alias("value"))
-    return first_nonempty(p.select("task_key", "k", "value", "pos"), ["task_key", "k"], "value", "pos").join(
-        p.filter("NOT a.found").groupBy("task_key", "k").agg(F.first("value").alias("unfound")), ["task_key", "k"], "left"
-    ).select("task_key", "k", "value", (F.col("unfound").isNull() | (F.col("unfound") != F.col("value"))).alias("found"))
+    p = p.select("task_key", "pos", key_name(F.col("p.key")).alias("k"), strip(F.col("p.value")).alias("value"), F.coalesce("p.found", F.lit(True)).alias("found"))
+    one = F.struct("value", "found")
+    first = F.coalesce(F.min_by(F.when(F.col("value") != "", one), F.when(F.col("value") != "", F.col("pos"))), F.min_by(one, "pos"))
+    return p.groupBy("task_key", "k").agg(first.alias("a")).select("task_key", "k", "a.value", "a.found")
 
 
 def key_scores(runs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ MACRO = f"""{BY_DOMAIN}, m AS (SELECT model_key, {', '.join(f"{r(f'avg({c})', 4)
 def _stats(measures: dict[str, int], source: str) -> str:
     def one(m: str, d: int) -> str:
         q = ", ".join(f"{r(f'quantile_disc({m}, {p / 100})', d)} AS p{p:02d}" for p in (5, 50, 95))
-        return f"SELECT bucket, model_key, '{m}' AS measure, count({m}) AS count, {r(f'min({m})', d)} AS min, {q}, {r(f'max({m})', d)} AS max, {r(f'avg({m})', d)} AS mean, {r(f'stddev_pop({m})', d)} AS stddev FROM {source} GROUP BY bucket, model_key"
+        return f"SELECT bucket, model_key, '{m}' AS measure, count({m}) AS count, {r(f'min({m})', d)} AS min, {q}, {r(f'max({m})', d)} AS max, {r(f'CAST(sum(CAST({m} AS DECIMAL(26,12))) AS DOUBLE) / count({m})', d)} AS mean, {r(f'stddev_pop({m})', d)} AS stddev FROM {source} GROUP BY bucket, model_key"
 
     return " UNION ALL ".join(one(m, d) for m, d in measures.items())
 

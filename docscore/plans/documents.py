@@ -31,7 +31,7 @@ def _answers(spark, d):
         F.when(k % 4 == 0, F.format_string('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"}]}', name, seg))
         .when(k % 4 == 1, F.format_string('Here it is:\n```json\n{"values":{"name":"%s","segment":"%s"}}\n```\nbye', name, seg))
         .when(k % 4 == 2, F.format_string('The answer is {"name":"%s","segment":"%s"} thanks', name, seg))
-        .otherwise(F.format_string("Name: %s\nSegment: \"%s\"\nnothing here", name, seg))
+        .otherwise(F.format_string("Name: not yet known\nSegment: \"%s\"\nnothing here\nName: %s", seg, name))
     )
     return table(spark, d, "customer").select(k.alias("id"), "c_name", "c_mktsegment", name.alias("name"), seg.alias("segment"), raw.alias("raw"))
 
@@ -112,10 +112,9 @@ _CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{e}', {str(w).lowe
 # --- ground truth ------------------------------------------------------------------------
 
 
-def _gt(spark, d, whole=False):
-    """An order as nested ground truth with its lines as a list of items: every tenth order, or all."""
+def _gt(spark, d):
+    """An order as nested ground truth with its lines as a list of items."""
     li = table(spark, d, "lineitem")
-    li = li if whole else li.filter("l_orderkey % 10 = 0")
     item = F.format_string('{"qty":%d,"flag":"%s","price":{"value":%.2f,"critical":true,"type":"float"}}', F.col("l_quantity").cast("long"), "l_returnflag", "l_extendedprice")
     order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
     items = li.groupBy("l_orderkey").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("items"))
@@ -127,12 +126,12 @@ def _gt(spark, d, whole=False):
     return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
 
 
-def gt_flatten(spark, d, whole=False):
-    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
+def gt_flatten(spark, d):
+    k = G.keys(_gt(spark, d).select("doc", "json"))
     return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"), "data_type", "match")
 
 
-_GT_SQL = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+_GT_SQL = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, printf('{"qty":%d,"flag":"%s","price":{"value":%.2f', CAST(l_quantity AS BIGINT), l_returnflag, l_extendedprice)) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li))
 SELECT o_orderkey AS doc, 1 AS ordinal, 'id' AS name, true AS critical, CAST(o_orderkey AS VARCHAR) AS expected, 'integer' AS data_type, 'numeric' AS match FROM o
 UNION ALL SELECT o_orderkey, 2, 'order_day', false, strftime(o_orderdate, '%Y-%m-%d'), NULL, 'normalized_text' FROM o
@@ -144,17 +143,13 @@ UNION ALL SELECT l_orderkey, 4 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_
 UNION ALL SELECT l_orderkey, 5 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_price' ELSE 'price' END, true, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0+$', ''), 'float', 'numeric' FROM li"""
 
 
-def gt_dedupe_names(spark, d, whole=False):
+def gt_dedupe_names(spark, d):
     """Names of clashing leaves, counted."""
-    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
+    k = G.keys(_gt(spark, d).select("doc", "json"))
     return k.groupBy("doc").agg(F.count("*").alias("keys"), F.countDistinct("name").alias("names"), F.count_if(F.col("name").startswith("items_")).alias("pathed"))
 
 
-#: Of all orders, where items tie that the modulo leaves out: they go by their text, as in _gt().
-_GT_WHOLE = _GT_SQL.replace(" WHERE l_orderkey % 10 = 0", "").replace("l_partkey, l_suppkey)", "l_partkey, l_suppkey, printf('{\"qty\":%d,\"flag\":\"%s\",\"price\":{\"value\":%.2f', CAST(l_quantity AS BIGINT), l_returnflag, l_extendedprice))")
-
 _GT_NAMES = f"SELECT doc, count(*) AS keys, count(DISTINCT name) AS names, count(*) FILTER (starts_with(name, 'items_')) AS pathed FROM ({_GT_SQL}) GROUP BY doc"
-_GT_NAMES_WHOLE = _GT_NAMES.replace(_GT_SQL, _GT_WHOLE)
 
 
 def _label_keys(spark, d):
@@ -175,21 +170,45 @@ def label_completeness(spark, d):
 def _manifest(spark, d):
     p = table(spark, d, "pages")
     k = F.col("page_id")
-    return p.select(F.concat(F.lit("dom"), k % 3).alias("domain"), F.when(k % 50 == 7, "").otherwise(F.concat(F.lit("doc-"), F.when(k % 40 == 3, k + 1).otherwise(k))).alias("document_id"), F.concat(F.lit("src/"), k % 200).alias("source"), F.concat(F.lit("gt/"), k).alias("truth"))
+    return p.select(F.concat(F.lit("dom"), k % 3).alias("domain"), k.alias("position"), F.when(k % 50 == 7, "").otherwise(F.concat(F.lit("doc-"), F.when(k % 40 == 3, k + 1).otherwise(k))).alias("document_id"), F.concat(F.lit("documents/a/src"), k % 200, F.lit(".pdf")).alias("source"), F.concat(F.lit("gt/"), k).alias("truth"))
 
 
 def dataset_validate(spark, d):
+    """A manifest of all pages: missing, repeated and broken entries; every thirteenth ground truth is no JSON, some are of the old schema or empty."""
     k = F.col("page_id")
     p = table(spark, d, "pages")
-    files = p.filter("page_id % 11 <> 0").select(F.concat(F.lit("gt/"), k).alias("path")).unionByName(p.filter("page_id < 190").select(F.concat(F.lit("src/"), k).alias("path")))
-    return G.validate(_manifest(spark, d), files).groupBy("rule", "document_id").agg(F.count("*").alias("n"))
+    text = F.when(k % 13 == 1, '{"a": ').when(k % 13 == 2, '{"keys": []}').when(k % 13 == 3, '{"a": {"b": 1}, "c": [{"d": [1]}]}').otherwise('{"a": {"b": {"value": 1}}}')
+    files = p.filter("page_id % 11 <> 0").select(F.concat(F.lit("gt/"), k).alias("path"), text.alias("json"))
+    files = files.unionByName(p.filter("page_id < 190").select(F.concat(F.lit("documents/a/src"), k, F.lit(".pdf")).alias("path"), F.lit(None).cast("string").alias("json")))
+    files = files.unionByName(p.filter("page_id < 5").select(F.concat(F.lit("documents/a/"), F.when(k % 2 == 0, "full_size").otherwise(F.concat(F.lit("odd"), k)), F.lit("/x.PDF")).alias("path"), F.lit(None).cast("string").alias("json")))
+    domains = _manifest(spark, d).groupBy("domain").agg(F.count("*").cast("int").alias("listed")).select("domain", (F.col("listed") + F.when(F.col("domain") == "dom1", 1).otherwise(0)).alias("document_count"), "listed", (F.col("domain") != "dom2").alias("valid"))
+    return G.validate(_manifest(spark, d), files, domains).groupBy("rule", "document_id").agg(F.count("*").alias("n"))
+
+
+_VALIDATE = """WITH m AS (SELECT page_id, CASE WHEN page_id % 50 = 7 THEN '' ELSE 'doc-' || CASE WHEN page_id % 40 = 3 THEN page_id + 1 ELSE page_id END END AS document_id, page_id % 200 AS source FROM pages),
+c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_id) AS nd, row_number() OVER (PARTITION BY source ORDER BY page_id) AS ns FROM m WHERE document_id <> ''),
+v AS (SELECT 'missing_fields' AS rule, document_id FROM m WHERE document_id = '' UNION ALL SELECT 'duplicate_id', document_id FROM c WHERE nd > 1 UNION ALL SELECT 'reused_source', document_id FROM c WHERE ns > 1
+ UNION ALL SELECT 'missing_source', document_id FROM c WHERE source NOT IN (SELECT page_id FROM pages WHERE page_id < 190) UNION ALL SELECT 'missing_truth', document_id FROM c WHERE page_id % 11 = 0
+ UNION ALL SELECT CASE page_id % 13 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'legacy_schema' ELSE 'no_values' END, document_id FROM c WHERE page_id % 11 <> 0 AND page_id % 13 IN (1, 2, 3)
+ UNION ALL SELECT 'nested_pdf', 'odd' || page_id FROM pages WHERE page_id < 5 AND page_id % 2 <> 0
+ UNION ALL SELECT 'bad_domain', 'dom2' WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % 3 = 2) UNION ALL SELECT 'count_mismatch', 'dom1' WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % 3 = 1)) SELECT rule, document_id, count(*) AS n FROM v GROUP BY ALL"""
+
+
+def raw_summary(spark, d):
+    """Value objects of all orders as the raw walk meets them, by status."""
+    return G.raw_summary(_gt(spark, d).select("doc", F.col("o_orderstatus").alias("domain"), "json"))
+
 
+_RAW_SUMMARY = """WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT o_orderstatus AS domain, count(*) AS documents, CAST(sum(5 + n) AS BIGINT) AS keys, CAST(sum(3 + n) AS BIGINT) AS labelled, CAST(sum(2 + n) AS BIGINT) AS critical, CAST(sum(1 + n) AS BIGINT) AS critical_labelled FROM orders JOIN li ON o_orderkey = l_orderkey GROUP BY ALL"""
 
-_VALIDATE = """WITH m AS (SELECT CASE WHEN page_id % 50 = 7 THEN '' ELSE 'doc-' || CASE WHEN page_id % 40 = 3 THEN page_id + 1 ELSE page_id END END AS document_id, 'src/' || page_id % 200 AS source, 'gt/' || page_id AS truth FROM pages),
-f AS (SELECT 'gt/' || page_id AS path FROM pages WHERE page_id % 11 <> 0 UNION SELECT 'src/' || page_id FROM pages WHERE page_id < 190),
-v AS (SELECT 'missing_fields' AS rule, document_id FROM m WHERE document_id = '' UNION ALL SELECT 'duplicate_id', document_id FROM m GROUP BY document_id HAVING count(*) > 1
- UNION ALL SELECT 'missing_source', document_id FROM m WHERE source NOT IN (SELECT path FROM f) UNION ALL SELECT 'missing_truth', document_id FROM m WHERE truth NOT IN (SELECT path FROM f)
- UNION ALL SELECT 'reused_source', document_id FROM m WHERE source IN (SELECT source FROM m GROUP BY source HAVING count(*) > 1)) SELECT rule, document_id, count(*) AS n FROM v GROUP BY ALL"""
+
+def selected_documents(spark, d):
+    """The first fifty pages of two named domains."""
+    return G.selected_documents(_manifest(spark, d), [" DOM1", "dom2 "], 50).select("domain", "position")
+
+
+_SELECTED = "SELECT 'dom' || page_id % 3 AS domain, page_id AS position FROM pages WHERE page_id % 3 IN (1, 2) QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) <= 50"
 
 
 def dataset_warnings(spark, d):
@@ -235,21 +254,20 @@ UNION ALL SELECT key, 'latency', 'number', {r("CASE WHEN al = 0 THEN 'inf'::DOUB
 UNION ALL SELECT key, 'error', 'text', NULL FROM j WHERE ao IS NOT NULL AND bo IS NOT NULL AND ae IS DISTINCT FROM be"""
 
 
-def first_value(spark, d, whole=False):
-    """The first answer of each conversation: its first 40 characters, or all of it."""
-    c = table(spark, d, "conversations").withColumn("value", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text") if whole else F.left("text", F.lit(40))))
+def first_value(spark, d):
+    """The first answer of each conversation."""
+    c = table(spark, d, "conversations").withColumn("value", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text")))
     return first_nonempty(c, ["conv_id"], "value", "turn")
 
 
-def prompt_render(spark, d, whole=False):
-    """Prompts of the first three keys of every tenth order, or of all keys of all orders."""
-    k = G.keys(_gt(spark, d, whole).select("doc", "json"))
-    return render.prompts(k if whole else k.filter("ordinal <= 3"), "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
+def prompt_render(spark, d):
+    """Prompts of all keys of all orders."""
+    k = G.keys(_gt(spark, d).select("doc", "json"))
+    return render.prompts(k, "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
 
 
 _PROMPT = f"""SELECT doc, 'Read the keys.' || chr(10) || string_agg('- ' || name || ' (type: ' || coalesce(data_type, 'string') || ', critical: ' || CASE WHEN critical THEN 'yes' ELSE 'no' END || ')', chr(10) ORDER BY ordinal) || chr(10) || 'End.' AS prompt
-FROM ({_GT_SQL}) WHERE ordinal <= 3 GROUP BY doc"""
-_PROMPT_WHOLE = _PROMPT.replace(_GT_SQL, _GT_WHOLE).replace(" WHERE ordinal <= 3", "")
+FROM ({_GT_SQL}) GROUP BY doc"""
 
 _MD = ["rank", "model_key", "success_rate_pct", "avg_field_accuracy_pct", "cost_per_success_usd"]
 
@@ -262,21 +280,6 @@ _MARKDOWN = f"""SELECT '| {' | '.join(_MD)} |' || chr(10) || '|{'---|' * len(_MD
 
 
 def truncation_flag(spark, d):
-    k, t = F.col("doc_id"), F.left("text", F.lit(60))
-    s = F.when(k % 4 == 0, F.concat(F.lit('{"a": "'), t)).when(k % 4 == 1, F.lit('{"a": 1}')).when(k % 4 == 2, F.concat(F.regexp_replace(t, "[{}\\[\\]]", ""), F.lit(" end,"))).otherwise(F.lit("plain words"))
-    return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
-
-
-def _contract(x):
-    """Checkpoint records as canonical raw records: nested, then flattened again for comparison."""
-    nested = x.select(
-        F.struct("model_key", F.split("model_key", ":")[0].alias("provider")).alias("model"), F.struct("domain", "document_id").alias("document"),
-        F.struct("latency_ms", F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), "error").alias("runtime"), F.struct(F.lit("").alias("raw_output"), F.array().cast("array<string>").alias("extracted_pairs")).alias("payload"), "task_key", "ordinal",
-    )
-    return nested.select("ordinal", "task_key", "model.provider", "document.document_id", "runtime.input_tokens", "runtime.error", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"))
-
-
-def truncation_flag_whole(spark, d):
     """Whole texts as answers: as they are, in an object that is cut off, in a whole object, and with a comma at the end.
 
     SQL has no strict JSON object out of free text; tests hold it against plain Python."""
@@ -285,18 +288,6 @@ def truncation_flag_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
 
 
-def raw_contract(spark, d):
-    """Only the first 2,000 records, as its SQL; raw_contract_whole has all of them."""
-    return _contract(log(spark, d).filter("ordinal < 2000"))
-
-
-def raw_contract_whole(spark, d):
-    return _contract(log(spark, d))
-
-
-_CONTRACT_WHOLE = f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log"
-
-
 def runner_stub(spark, d):
     q = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("task_key"), F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.lit("- first (type: string, critical: yes)\n- second (type: string, critical: no)").alias("prompt"), F.col("text").alias("document"))
     return runner.extract(q).select("task_key", "provider", F.get_json_object("raw_output", "$.pairs[1].key").alias("second"), "input_tokens", "error")
@@ -325,28 +316,23 @@ _STREAM = f"WITH {RUNS} SELECT model_key, count(*) AS runs, count(*) FILTER (suc
 QUERIES = {
     "best_effort_json": (best_effort_json, f"WITH {_ANSWERS} SELECT id, doc FROM j"),
     "extract_pairs_json": (extract_pairs_json, f"WITH {_ANSWERS} {_PAIRS_JSON}"),
-    "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} SELECT id, 'Name=' || name || ';Segment=' || segment AS pairs FROM a WHERE id % 4 = 3"),
+    "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} SELECT id, 'Name=' || name || CASE WHEN segment = '' THEN '' ELSE ';Segment=' || segment END AS pairs FROM a WHERE id % 4 = 3"),
     "match_cascade": (match_cascade, _CASES),
     "score_runs": (score_runs, f"WITH {_ANSWERS} {_SCORE}"),
     "gt_flatten": (gt_flatten, _GT_SQL),
     "gt_dedupe_names": (gt_dedupe_names, _GT_NAMES),
-    "gt_flatten_whole": (lambda s, d: gt_flatten(s, d, whole=True), _GT_WHOLE),
-    "gt_dedupe_names_whole": (lambda s, d: gt_dedupe_names(s, d, whole=True), _GT_NAMES_WHOLE),
     "dataset_summary": (lambda s, d: G.dataset_summary(_label_keys(s, d)), f"WITH {_LABEL_KEYS} SELECT domain, count(DISTINCT doc) AS documents, count(*) AS keys, count(*) FILTER (labelled) AS labelled, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled, count(*) FILTER (labelled) / (count(*) * 1e0) * 100 AS labelled_pct FROM k GROUP BY domain"),
     "label_completeness": (label_completeness, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled FROM k GROUP BY domain) SELECT *, CASE WHEN critical > 0 THEN critical_labelled / (critical * 1e0) * 100 ELSE 0e0 END AS critical_pct FROM g"),
     "dataset_validate": (dataset_validate, _VALIDATE),
+    "raw_summary": (raw_summary, _RAW_SUMMARY),
+    "selected_documents": (selected_documents, _SELECTED),
     "dataset_warnings": (dataset_warnings, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(DISTINCT doc) AS d, count(*) AS k, count(*) FILTER (labelled) AS l FROM k GROUP BY domain) SELECT domain, 'none_labelled' AS warning FROM g WHERE l = 0 UNION ALL SELECT domain, 'not_all_labelled' FROM g WHERE l < k UNION ALL SELECT domain, 'few_documents' FROM g WHERE d < 10"),
     "name_match": (name_match, _NAME_MATCH),
     "artifact_diff": (artifact_diff, _DIFF),
-    "first_nonempty": (first_value, "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text[1:40] END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
-    "first_nonempty_whole": (lambda s, d: first_value(s, d, whole=True), "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
+    "first_nonempty": (first_value, "WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS value FROM conversations) SELECT conv_id, coalesce(arg_min(value, turn) FILTER (value <> ''), arg_min(value, turn)) AS value FROM c GROUP BY conv_id"),
     "prompt_render": (prompt_render, _PROMPT),
-    "prompt_render_whole": (lambda s, d: prompt_render(s, d, whole=True), _PROMPT_WHOLE),
     "markdown_table": (markdown_table, _MARKDOWN),
-    "truncation_flag": (truncation_flag, "SELECT doc_id, doc_id % 4 IN (0, 2) AS truncated, least(8000, greatest(n_chars + 400, n_chars * 2)) AS ceiling FROM documents"),
-    "truncation_flag_whole": (truncation_flag_whole, None),
-    "raw_contract": (raw_contract, f"WITH {LOG} SELECT ordinal, task_key, split_part(model_key, ':', 1) AS provider, document_id, input_tokens, error, 0 AS n_pairs FROM log WHERE ordinal < 2000"),
-    "raw_contract_whole": (raw_contract_whole, _CONTRACT_WHOLE),
+    "truncation_flag": (truncation_flag, None),
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
     "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
     "stream_leaderboard": (stream_leaderboard, _STREAM),

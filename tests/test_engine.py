@@ -77,6 +77,36 @@ def test_cases_of_the_match_cascade(spark):
     assert got == {i: c[5] for i, c in enumerate(documents.CASES)}
 
 
+def test_repeated_pairs_and_found_marks(spark):
+    from docscore.operators import scoring
+
+    raw = {"a": "Total: 5\nTotal: 7\nDay:  \nDay: x", "b": '{"key":"Total","value":"1"} and {"key":"total","value":"2"}\nother', "c": '{"pairs":[{"key":"k","value":"v","found":true},{"key":"K","value":"v","found":false}]}', "d": '{"pairs":[{"key":"k","value":"  ","found":false},{"key":"k","value":" w "}]}', "e": '{"pairs":[{"key":"k","value":"","found":false}]}'}
+    runs = spark.createDataFrame([(k, "d", v) for k, v in raw.items()], "task_key string, document_id string, raw_output string")
+    got = {(r.task_key, r.k): (r.value, r.found) for r in scoring.extracted(runs).collect()}
+    assert got == {("a", "total"): ("7", True), ("a", "day"): ("x", True), ("b", "total"): ("2", True), ("c", "k"): ("v", True), ("d", "k"): ("w", True), ("e", "k"): ("", False)}
+
+
+def test_names_are_probed_and_documents_rejected(spark):
+    doc = {"a": {"x": {"value": 1}}, "a_x": {"value": 5}, "b": {"x": {"value": 2}}, "a_x_2": {"value": 3}}
+    d = spark.createDataFrame([(1, json.dumps(doc)), (2, '{"keys": []}'), (3, "{"), (4, '{"a": [1]}'), (5, None)], "doc long, json string")
+    assert [r.name for r in G.keys(d).filter("doc = 1").orderBy("ordinal").collect()] == ["a_x", "a_x_2", "b_x", "a_x_2_2"]
+    assert {(r.doc, r.rule) for r in G.rejected(d).collect()} == {(2, "legacy_schema"), (3, "invalid_json"), (4, "no_values"), (5, "invalid_json")}
+    n = G.value_nodes(spark.createDataFrame([(1, json.dumps({"a": {"value": " "}, "b": {"value": [" ", 0]}, "c": {"value": False, "critical": True}, "d": [{"e": {"value": {"x": 1}}}], "f": {"value": ["q"]}}))], "doc long, json string")).collect()
+    assert [(r.key, r.labelled_text, r.labelled_plain, r.labelled_any, r.critical) for r in n] == [("a", False, False, False, False), ("b", False, False, True, False), ("c", False, True, True, True), ("e", False, False, True, False), ("f", True, True, True, False)]
+
+
+def test_manifest_and_filters(spark):
+    m = {"domains": [{"id": "X", "document_count": 2, "documents": [{"document_id": "1", "source_pdf": "s", "ground_truth": "g"}, {"document_id": "2"}]}, {"id": "Y", "documents": []}]}
+    domains, docs_ = G.manifest_rows(spark.createDataFrame([(json.dumps(m),)], "json string"))
+    assert [(r.domain, r.document_id) for r in G.selected_documents(docs_, ["x "], 1).collect()] == [("X", "1")] and domains.count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        G.manifest_rows(spark.createDataFrame([("{}",)], "json string"))[0].collect()
+    models = spark.createDataFrame([("m1", "One"), ("m2", "Two")], "model_id string, model_label string")
+    assert [r.model_id for r in G.selected_models(models, [" TWO"]).collect()] == ["m2"]
+    with pytest.raises(ValueError):
+        G.selected_models(models, ["none"])
+
+
 def test_ground_truth_names(spark):
     doc = {"a": {"x": {"value": 1}}, "b": {"x": {"value": 2.0}}, "items": [{"q": 5, "n": {"value": None, "critical": True}}, {"q": 6, "deep": {"y": {"value": ["p", " "]}}}], "skip": 3}
     rows = G.keys(spark.createDataFrame([(1, json.dumps(doc)), (2, "{}")], "doc long, json string")).orderBy("ordinal").collect()
@@ -122,17 +152,12 @@ def test_plans_push_columns_down(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double,props:string>" in p
 
 
-def test_whole_log_is_projected(spark):
-    got = {r.ordinal for r in catalog.queries()["raw_contract_whole"](spark, SF).collect()}
-    assert got == {r.ordinal for r in documents.log(spark, SF).select("ordinal").collect()} and max(got) >= 10_000_000_000
-
-
 def test_all_orders_are_flattened_and_rendered(spark):
     orders = {r.l_orderkey: r.n for r in spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n")).collect()}
     q = catalog.queries()
-    assert {r.doc: r["count"] for r in q["gt_flatten_whole"](spark, SF).groupBy("doc").count().collect()} == {k: 5 + 3 * n for k, n in orders.items()}
-    assert {r.doc: (r["keys"], r.names) for r in q["gt_dedupe_names_whole"](spark, SF).collect()} == {k: (5 + 3 * n, 5 + 3 * n) for k, n in orders.items()}
-    assert {r.doc: r.prompt.count("\n- ") for r in q["prompt_render_whole"](spark, SF).collect()} == {k: 5 + 3 * n for k, n in orders.items()}
+    assert {r.doc: r["count"] for r in q["gt_flatten"](spark, SF).groupBy("doc").count().collect()} == {k: 5 + 3 * n for k, n in orders.items()}
+    assert {r.doc: (r["keys"], r.names) for r in q["gt_dedupe_names"](spark, SF).collect()} == {k: (5 + 3 * n, 5 + 3 * n) for k, n in orders.items()}
+    assert {r.doc: r.prompt.count("\n- ") for r in q["prompt_render"](spark, SF).collect()} == {k: 5 + 3 * n for k, n in orders.items()}
 
 
 def _plainly_truncated(s):
@@ -154,7 +179,7 @@ def test_whole_texts_are_judged(spark, tmp_path):
     rows = [(4 * i + j, t, len(t)) for i, t in enumerate(made) for j in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "n_chars"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.truncated for r in catalog.queries()["truncation_flag_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.truncated for r in catalog.queries()["truncation_flag"](spark, str(tmp_path)).collect()}
     put = (lambda t: '{"a": "' + t, lambda t: json.dumps({"a": t}), lambda t: t + " end,", lambda t: t)
     assert got == {r.doc_id: _plainly_truncated(put[r.doc_id % 4](r.text)) for r in docs.collect()}
     assert {got[3], got[7], got[11], got[15]} == {True, False}
@@ -164,5 +189,5 @@ def test_whole_answers_are_returned(spark):
     answers = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").filter("turn % 2 = 1 AND text <> ''").orderBy("turn").collect():
         answers.setdefault(r.conv_id, r.text)
-    got = {r.conv_id: r.value for r in catalog.queries()["first_nonempty_whole"](spark, SF).collect()}
+    got = {r.conv_id: r.value for r in catalog.queries()["first_nonempty"](spark, SF).collect()}
     assert {k: v for k, v in got.items() if v} == answers and any(len(v) > 40 for v in answers.values())
