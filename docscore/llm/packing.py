@@ -33,10 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, trimmed
 
 WINDOW, UNIT, DEPTH, END_ID = 4096, 16, 3, 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: Characters for which lower() and re act like the tokenizer's own normaliser and pattern.
@@ -52,7 +52,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # of words
+        self.known: dict[str, bytes] = {}  # of words that never stand alone
         self.chunks: dict[str, bytes] = {}  # of what white space separates
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -71,16 +71,17 @@ class WordIds:
             parts.append(c)
         new = [c for c in missing if c not in self.chunks]
         if new:
-            words = {c: _WORD.findall(c) for c in new}
-            self._learn(list({w for ws in words.values() for w in ws if w not in self.known}))
-            self.chunks.update((c, b"".join([self.known[w] for w in ws])) for c, ws in words.items())
+            words = {c: ws for c in new if len(ws := _WORD.findall(c)) != 1}
+            self._learn([c for c in new if c not in words], self.chunks)  # a word by itself is kept once
+            self._learn(list({w for ws in words.values() for w in ws if w not in self.known and w not in self.chunks}), self.known)
+            self.chunks.update([(c, b"".join([self.known[w] if w in self.known else self.chunks[w] for w in ws])) for c, ws in words.items()])
         get = self.chunks.__getitem__
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, parts, strict=True)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         """Each word is a pre-token of its own, so many are encoded in one call."""
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
@@ -88,9 +89,9 @@ class WordIds:
             at = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4
             b = np.array(e.ids, "<u4").tobytes()
             if at[-1] != len(b) or (np.diff(at) == 0).any():  # not one pre-token each
-                self.known.update((w, self._whole(w)) for w in part)
+                into.update((w, self._whole(w)) for w in part)
             else:
-                self.known.update(zip(part, (b[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
+                into.update(zip(part, (b[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
 
 
 def batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
@@ -248,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = cut(
-        docs.mapInPandas(_pieces(tokenizer, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+        docs.mapInPandas(trimmed(_pieces(tokenizer, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     )
     counts = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("c")))
