@@ -1,0 +1,178 @@
+"""Artifacts of benchmark runs: checkpoint logs, debug snapshots and canonical raw records.
+
+Records come as JSON lines with the order in which they were written; of a task the last one
+counts. Lines that are no objects, or lack a member that must be there, are left out.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable, Iterable
+from pathlib import PurePosixPath
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The members of records.
+IDENTITY = "model_key string, provider string, model_id string, model_label string, tier string, domain string, document_id string, run_number int"
+RUNTIME = "latency_ms double, input_tokens long, output_tokens long, total_cost_usd double, cache_hit boolean, cached_input_tokens long, cache_write_tokens long, error string"
+SCORES = "success boolean, field_total int, field_correct int, critical_total int, critical_correct int, field_accuracy_pct double, critical_accuracy_pct double, found_key_count int, requested_key_count int"
+PAYLOAD = "system_prompt_used string, user_prompt_used string, raw_output string, parsed_output string, extracted_pairs array<struct<key string, value string, found boolean>>"
+MEMBERS = ("task_key", "model", "document", "runtime", "payload", "legacy_metrics")
+_names = lambda ddl: [x.split(" ")[0] for x in ddl.split(", ") if " " in x and not x.startswith(("value ", "found "))]
+
+
+def _truthy(line: Column, *members: str) -> Column:
+    """Whether all members are there and neither null, empty, zero nor false."""
+    out = F.lit(True)
+    for m in members:
+        out = out & ~F.coalesce(F.get_json_object(line, f"$.{m}"), F.lit("")).isin("", "{}", "[]", "0", "0.0", "false", "null")
+    return out
+
+
+def _last(rows: DataFrame, key: Column) -> DataFrame:
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key.alias("_key")).agg(F.max_by(whole, "ordinal").alias("r")).select("r.*")
+
+
+def checkpoint_records(lines: DataFrame) -> DataFrame:
+    """``lines``: ordinal, value. The last record of each task with metrics and debug: ordinal, task_key, completed_at, metrics, debug."""
+    shape = f"task_key string, completed_at string, metrics struct<{_typed(IDENTITY, RUNTIME, SCORES)}>, debug struct<{_typed(PAYLOAD)}>"
+    at = F.get_json_object("value", "$.completed_at")
+    text = F.when(F.expr("typeof(value) = 'string'") & F.coalesce(F.schema_of_variant(F.variant_get(F.try_parse_json("value"), "$.completed_at", "variant")) == "STRING", F.lit(False)), at)
+    rows = lines.filter(_truthy(F.col("value"), "task_key", "metrics", "debug")).select("ordinal", F.from_json("value", shape).alias("r"), text.alias("at"))
+    return _last(rows.select("ordinal", "r.task_key", F.col("at").alias("completed_at"), "r.metrics", "r.debug"), F.col("task_key"))
+
+
+def _typed(*ddl: str) -> str:
+    """Members of a struct, out of a column list."""
+    return ", ".join(ddl).replace(" string", ": string").replace(" int", ": int").replace(" long", ": bigint").replace(" double", ": double").replace(" boolean", ": boolean").replace(" array", ": array")
+
+
+def debug_key(run: Callable[[str], Column]) -> Column:
+    """A debug run's own task key, else model::domain::document::run and its number."""
+    own = run("task_key")
+    return F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat(run("model_key"), F.lit("::"), run("domain"), F.lit("::"), run("document_id"), F.lit("::run"), run("run_number")))
+
+
+def debug_runs(documents: DataFrame) -> DataFrame:
+    """``documents``: json. The last run of each task in the lists ``runs``: ordinal, task_key and the run's members."""
+    shape = f"struct<runs: array<struct<task_key: string, {_typed(IDENTITY, RUNTIME, SCORES, PAYLOAD)}>>>"
+    rows = documents.select(F.posexplode(F.from_json("json", shape)["runs"]).alias("ordinal", "r"))
+    rows = rows.select("ordinal", debug_key(lambda c: F.col(f"r.{c}")).alias("task_key"), *(F.col(f"r.{c}").alias(c) for c in _names(", ".join((IDENTITY, RUNTIME, SCORES, PAYLOAD)))))
+    return _last(rows, F.col("task_key"))
+
+
+def canonical_lines(lines: DataFrame) -> DataFrame:
+    """``lines``: ordinal, value. The last canonical record of each task, as its line: task_key, value."""
+    rows = lines.filter(_truthy(F.col("value"), *MEMBERS)).select("ordinal", F.get_json_object("value", "$.task_key").alias("task_key"), "value")
+    return _last(rows, F.col("task_key")).select("task_key", "value")
+
+
+def _canonical(key: Column, completed: Column, of: Callable[[str], Column], text: Callable[[str], Column], tokens: Callable[[str], Column]) -> list[Column]:
+    pick = lambda names: F.struct(*(of(n).alias(n) for n in names))
+    blank = lambda n: F.coalesce(text(n), F.lit("")).alias(n)
+    none = F.array().cast("array<struct<key: string, value: string, found: boolean>>")
+    return [
+        F.lit("1.0").alias("schema_version"), key.alias("task_key"), completed.alias("completed_at"), pick(_names(IDENTITY)[:5]).alias("model"), pick(_names(IDENTITY)[5:]).alias("document"),
+        F.struct(*((tokens(n) if n in ("input_tokens", "output_tokens") else of(n)).alias(n) for n in _names(RUNTIME))).alias("runtime"),
+        F.struct(*(blank(n) for n in ("system_prompt_used", "user_prompt_used", "raw_output")), text("parsed_output").alias("parsed_output"), F.coalesce(text("extracted_pairs"), none).alias("extracted_pairs")).alias("payload"),
+        pick(_names(SCORES)).alias("legacy_metrics"),
+    ]
+
+
+def from_checkpoint(records: DataFrame) -> DataFrame:
+    """Canonical raw records of checkpoint records; null texts are empty, null lists empty lists."""
+    of = lambda n: F.col(f"metrics.{n}")
+    return records.select(*_canonical(F.col("task_key"), F.col("completed_at"), of, lambda n: F.col(f"debug.{n}"), of))
+
+
+def from_debug(runs: DataFrame) -> DataFrame:
+    """Canonical raw records of debug runs; token counts that are null are 0."""
+    return runs.select(*_canonical(F.col("task_key"), F.lit(None).cast("string"), F.col, F.col, lambda n: F.coalesce(F.col(n), F.lit(0))))
+
+
+def export_summary(records: DataFrame) -> DataFrame:
+    """Records by model label and by domain, all, and those with an error: kind, name, n; by kind and name."""
+    one = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.alias("n"))
+    each = records.select(F.explode(F.array(
+        one("model", F.col("model.model_label"), F.lit(1)), one("domain", F.col("document.domain"), F.lit(1)), one("records", F.lit(""), F.lit(1)), one("errored", F.lit(""), F.col("runtime.error").isNotNull().cast("int"))
+    )).alias("x"))
+    return each.groupBy("x.kind", "x.name").agg(F.sum("x.n").alias("n")).orderBy("kind", "name")
+
+
+def checkpoint_line(metrics: Column, debug: Column, task_key: Column, completed_at: Column) -> Column:
+    """A record as one compact JSON line, null members included."""
+    return F.to_json(F.struct(task_key.alias("task_key"), completed_at.alias("completed_at"), metrics.alias("metrics"), debug.alias("debug")), {"ignoreNullFields": "false"})
+
+
+def merged_run(metrics: DataFrame, debug: DataFrame) -> DataFrame:
+    """Debug runs: metrics with the debug members of the same task beside them."""
+    return metrics.join(debug, "task_key")
+
+
+def source_of(exists: Callable[[str], bool], checkpoint: str, input_jsonl: str | None = None, debug_file: str | None = None) -> tuple[str, str]:
+    """(kind, path) of what is exported: canonical lines that were named, else a debug snapshot, else the
+    checkpoint's canonical lines, else its log."""
+    if input_jsonl:
+        return "canonical", input_jsonl
+    if debug_file:
+        return "debug", debug_file
+    raw = f"{checkpoint}/raw.jsonl"
+    return ("canonical", raw) if exists(raw) else ("log", f"{checkpoint}/runs.jsonl")
+
+
+def raw_file(exists: Callable[[str], bool], folder: str) -> str:
+    """A folder's canonical lines, under their old name where there are none under the new one."""
+    new, old = f"{folder}/raw.jsonl", f"{folder}/raw.normalized.jsonl"
+    return old if not exists(new) and exists(old) else new
+
+
+def relative_path(path: str, root: str) -> str:
+    """A path below ``root`` without it, with forward slashes; others as they are."""
+    p, r = PurePosixPath(path.replace("\\", "/")), PurePosixPath(root.replace("\\", "/"))
+    return str(p.relative_to(r)) if p.is_relative_to(r) else path
+
+
+def option_list(text: str | None) -> list[str] | None:
+    """Parts between commas, trimmed, without empty ones; None if none is left."""
+    return [p for x in (text or "").split(",") if (p := x.strip())] or None
+
+
+def comparable_options(options: dict) -> dict:
+    """Run options as they are compared: in a fixed order, lists sorted, without what is not set."""
+    order = ("runs_per_model", "max_parallel_requests", "max_documents_per_domain", "provider_parallel", "domains", "models")
+    known = {k: options.get(k) for k in order}
+    known |= {k: sorted(known[k]) if known[k] else None for k in ("domains", "models")}
+    return {k: v for k, v in known.items() if v is not None}
+
+
+def fingerprint(options: dict, files: Iterable[tuple[str, str]]) -> str:
+    """SHA-256 of the options and of files (name, content), each framed by its name. A log is resumed only under the same one."""
+    h = hashlib.sha256(json.dumps(comparable_options(options), separators=(",", ":"), ensure_ascii=False).encode())
+    for name, content in files:
+        h.update(f"\n@@{name}@@\n{content}".encode())
+    return h.hexdigest()
+
+
+def catalog_models(catalogs: DataFrame) -> DataFrame:
+    """``catalogs``: models, a map of provider to a list of models. One row per provider and model, in order."""
+    each = catalogs.select(F.explode("models").alias("provider", "m"))
+    return each.select("provider", F.posexplode("m").alias("position", "model"))
+
+
+def default_model(models: Column) -> Column:
+    """The first of a list, or an empty text."""
+    return F.coalesce(F.get(models, F.lit(0)), F.lit(""))
+
+
+def carried_over(before: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of an earlier run together with new ones."""
+    return before.unionByName(new)
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str = "task_key") -> DataFrame:
+    """Keys of both sides and where they are: both, left or right; by key, in code point order."""
+    sides = a.select(key, F.lit(1).alias("s")).unionByName(b.select(key, F.lit(2).alias("s"))).groupBy(key).agg(F.bit_or("s").alias("s"))
+    return sides.select(key, F.when(F.col("s") == 3, "both").when(F.col("s") == 1, "left").otherwise("right").alias("side")).orderBy(key)

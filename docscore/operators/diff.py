@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +39,59 @@ def name_match(left: DataFrame, right: DataFrame) -> DataFrame:
     j = left.withColumn("b", base(F.col("file"))).join(exact, "b", "left").withColumn("n", norm(F.col("file"))).join(loose, "n", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "normalised").otherwise("none")
     return j.select("file", F.coalesce("exact", "loose").alias("truth"), how.alias("how"))
+
+
+#: Members that may always differ, containers of model output, and members that may differ in these.
+VOLATILE: frozenset[str] = frozenset({"generated_at", "completed_at", "build_id"})
+
+
+def tree_diff(pairs: DataFrame, volatile: frozenset[str] = VOLATILE, containers: frozenset[str] = frozenset(), inside: frozenset[str] = frozenset()) -> DataFrame:
+    """``pairs``: key, a, b (JSON). One row per difference of the trees: key, path, kind, ignored.
+
+    Kinds: type, key_a and key_b (a member of one side only), length, number (out of tolerance), text
+    (short ones without a space; longer texts may differ and are ignored), value. Volatile members are
+    ignored, and so are those named ``inside`` under one of ``containers``."""
+    of = pairs.schema["key"].dataType.simpleString()
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+
+    def near(x: float, y: float) -> bool:
+        off, top = abs(x - y), max(abs(x), abs(y))
+        return off <= 1.0 or top > 0 and off / top <= 0.25
+
+    def walk(a: object, b: object, path: str, name: str | None, within: bool) -> Iterator[tuple[str, str, bool]]:
+        if name in volatile or within and name in inside:
+            yield path, "", True
+        elif number(a) and number(b):
+            if not near(a, b):
+                yield path, "number", False
+        elif type(a) is not type(b):
+            yield path, "type", False
+        elif isinstance(a, dict):
+            for k in sorted(a.keys() | b.keys()):
+                below = f"{path}.{k}"
+                if k in a and k in b:
+                    yield from walk(a[k], b[k], below, k, within or k in containers)
+                else:
+                    yield below, "key_a" if k in a else "key_b", k in volatile or within and k in inside
+        elif isinstance(a, list):
+            if len(a) != len(b):
+                yield path, "length", False
+            else:
+                for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                    yield from walk(x, y, f"{path}[{i}]", None, within)
+        elif a != b:
+            words = isinstance(a, str) and (" " in a + b or max(len(a), len(b)) >= 40)
+            yield path, "text" if isinstance(a, str) else "value", words
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *d) for k, a, b in zip(f["key"].tolist(), f["a"], f["b"], strict=True) for d in walk(json.loads(a), json.loads(b), "$", None, False)]
+            yield pd.DataFrame(rows, columns=["key", "path", "kind", "ignored"])
+
+    return pairs.select("key", "a", "b").mapInPandas(run, f"key {of}, path string, kind string, ignored boolean")
+
+
+def diff_report(differences: DataFrame) -> DataFrame:
+    """Counts of a tree diff: structural, numeric, ignored."""
+    number = F.col("kind") == "number"
+    return differences.agg(F.count_if(~F.col("ignored") & ~number).alias("structural"), F.count_if(~F.col("ignored") & number).alias("numeric"), F.count_if("ignored").alias("ignored"))

@@ -144,6 +144,31 @@ def leaderboard_offline(runs: DataFrame) -> DataFrame:
     return ranked(out)
 
 
+def leaderboard_rebuilt(runs: DataFrame) -> DataFrame:
+    """The leaderboard as it is rebuilt from a log: like the online one, but with threshold and strict
+    pass@N over documents, and the share of keys found."""
+    base = online(runs).drop(*(f"pass_at_{n}_pct" for n in PASS_AT))
+    found = runs.groupBy("model_key").agg(mean0(_when(ok() & (F.col("requested_keys") > 0), F.col("found_keys") / F.col("requested_keys") * 100)).alias("ka"))
+    found = found.select("model_key", round_half(F.col("ka"), 2).alias("avg_keys_found_pct"))
+    per = trials(runs)
+    return ranked(base.join(found, "model_key").join(pass_threshold(per), "model_key").join(pass_strict(per), "model_key"))
+
+
+def with_requested(rows: DataFrame, requested: DataFrame, *keys: str) -> DataFrame:
+    """Rows with runs_requested: what was scheduled, else what was completed."""
+    on = [*keys, "model_key"]
+    return rows.join(requested.select(*on, F.col("requested").alias("_asked")), on, "left").withColumn("runs_requested", F.coalesce("_asked", "runs_completed")).drop("_asked")
+
+
+def with_ranges(rows: DataFrame, ranges: DataFrame, *keys: str) -> DataFrame:
+    """Rows with a map of measure to its range; empty where a model has none. Ranges are one row per measure."""
+    on = [*keys, "model_key"]
+    values = [c for c in ranges.columns if c not in (*on, "measure")]
+    packed = ranges.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(F.col("measure"), F.struct(*values)))).alias("ranges"))
+    kind = packed.schema["ranges"].dataType
+    return rows.join(packed, on, "left").withColumn("ranges", F.coalesce("ranges", F.create_map().cast(kind)))
+
+
 def range_stats(rows: DataFrame, measure: str, digits: int, *keys: str) -> DataFrame:
     """Count, extremes, nearest-rank percentiles, mean (of decimals, so that ties round alike in any order) and deviation; null (count 0) for no values."""
     r = lambda c: round_half(c, digits)

@@ -27,7 +27,8 @@ def stub(prompt: str, document: str) -> str:
 
 
 def extract(requests: DataFrame, services: dict[str, Service] | None = None, lanes: int | None = None) -> DataFrame:
-    """``requests``: task_key, provider, prompt, document."""
+    """``requests``: task_key, provider, prompt, document. With ``lanes``, all requests of a provider are one
+    lane, one after another by task; without, they run wherever they are."""
     of = services or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,5 +42,10 @@ def extract(requests: DataFrame, services: dict[str, Service] | None = None, lan
                 rows.append((r.task_key, r.provider, out, 0, len(r.prompt.split()), len(out.split()), error))
             yield pd.DataFrame(rows, columns=["task_key", "provider", "raw_output", "latency_ms", "input_tokens", "output_tokens", "error"])
 
-    dealt = requests.repartition(lanes, "provider", "task_key") if lanes else requests
+    dealt = requests.repartition(lanes, "provider").sortWithinPartitions("provider", "task_key") if lanes else requests
     return dealt.select("task_key", "provider", "prompt", "document").mapInPandas(run, RESULT)
+
+
+def lane_count(providers: int, configured: int, by_provider: bool) -> int:
+    """Lanes at once: one a provider at most if dealt by provider, else as configured; never less than one."""
+    return max(1, min(configured, providers) if by_provider else configured)

@@ -62,6 +62,10 @@ o AS (SELECT model_key, first_seen, n AS runs_completed, w AS successful_runs, b
   {r('CASE WHEN nc > 0 THEN cost / (nc * 1e0) ELSE 0e0 END / 1e6', 6)} AS avg_cost_per_run_usd, CASE WHEN nc > 0 THEN {r('cost / (nc * 1e0) / 1e6', 6)} END AS avg_cost_per_doc_usd,
   CASE WHEN w > 0 THEN {r('cost / (w * 1e0) / 1e6', 6)} END AS cost_per_success_usd, {r('c95 / 1e6', 6)} AS p95_cost_usd FROM g JOIN th USING (model_key))
 SELECT * EXCLUDE first_seen, {_RANK.format(p='')} FROM o"""
+REBUILT = f"""WITH {RUNS}, {_online('', 'runs')}, {_TRIALS.format(s='success')}, th AS (SELECT model_key, {_THRESHOLD}, {_STRICT} FROM per GROUP BY model_key),
+k AS (SELECT model_key, {r("coalesce(avg(found_keys * 100e0 / requested_keys) FILTER (coalesce(error, '') = '' AND requested_keys > 0), 0)", 2)} AS avg_keys_found_pct FROM runs GROUP BY model_key),
+b AS (SELECT o.* EXCLUDE ({', '.join(f'pass_at_{n}_pct' for n in L.PASS_AT)}), k.avg_keys_found_pct, th.* EXCLUDE model_key FROM o JOIN k USING (model_key) JOIN th USING (model_key))
+SELECT * EXCLUDE first_seen, {_RANK.format(p='')} FROM b"""
 MACRO = f"""{BY_DOMAIN}, m AS (SELECT model_key, {', '.join(f"{r(f'avg({c})', 4)} AS {c}" for c in ('success_rate_pct', 'avg_field_accuracy_pct', 'cost_per_success_usd', 'avg_latency_ms'))}, count(*) AS domains, model_key AS first_seen
   FROM d WHERE bucket <> 'overall' GROUP BY model_key) SELECT * EXCLUDE first_seen, {_RANK.format(p='')} FROM m"""
 
@@ -169,6 +173,12 @@ QUERIES = {
     ),
     "metric_ranges_run": (lambda s, d: L.metric_ranges_run(runs(s, d)), RANGES_RUN),
     "metric_ranges_doc": (lambda s, d: L.metric_ranges_doc(runs(s, d)), RANGES_DOC),
+    "leaderboard_rebuilt": (lambda s, d: L.leaderboard_rebuilt(runs(s, d)), REBUILT),
+    "leaderboard_requested": (lambda s, d: L.with_requested(L.online(runs(s, d)).select("model_key", "runs_completed"), C.requested(_grid(s, d)).filter("bucket = 'overall'")), f"WITH {RUNS}, {_GRID}, q AS (SELECT model_key, count(*) AS n FROM grid GROUP BY ALL), c AS (SELECT model_key, count(*) AS runs_completed FROM runs GROUP BY ALL) SELECT model_key, runs_completed, coalesce(n, runs_completed) AS runs_requested FROM c LEFT JOIN q USING (model_key)"),
+    "leaderboard_ranges": (
+        lambda s, d: L.with_ranges(L.leaderboard_by_domain(runs(s, d)).select("bucket", "model_key"), L.metric_ranges_run(runs(s, d).filter("domain <> 'd2'")), "bucket").select("bucket", "model_key", F.size("ranges").alias("measures"), F.element_at("ranges", "latency_ms")["max"].alias("latency_max")),
+        f"WITH {RUNS}, {_BOTH}, x AS (SELECT bucket, model_key, max(latency_ms) AS m FROM both_ WHERE error IS NULL AND domain <> 'd2' GROUP BY ALL), k AS (SELECT DISTINCT bucket, model_key FROM both_) SELECT bucket, model_key, CASE WHEN m IS NULL THEN 0 ELSE 4 END AS measures, CAST(m AS DOUBLE) AS latency_max FROM k LEFT JOIN x USING (bucket, model_key)",
+    ),
     "cache_summary": (lambda s, d: L.cache_summary(runs(s, d)), CACHE),
     "checkpoint_latest": (lambda s, d: C.latest(log(s, d)).select(*_FULL), f"WITH {LOG} SELECT {', '.join(_FULL)} FROM latest"),
     "checkpoint_status_models": (lambda s, d: C.status_by_model(log(s, d)), f"WITH {LOG} SELECT model_key, count(*) FILTER (coalesce(error, '') = '') AS ok, count(*) FILTER (error <> '') AS failed, count(*) FILTER (error <> '') / (count(*) * 1e0) AS failure_rate FROM latest GROUP BY model_key"),

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import jsonx as J
 from ..functions import text as T
 from ..functions.rounding import retry_ceiling
+from ..operators import artifacts as A
 from ..operators import diff as D
 from ..operators import groundtruth as G
 from ..operators import leaderboard as L
 from ..operators import matching as M
 from ..operators import render, runner, scoring
 from ..operators.checkpoint import first_nonempty
+from ..session import keep
 from ..streaming import leaderboard as S
 from .adapters import LOG, RUNS, log, runs, table
 from .aggregates import ONLINE, r
@@ -288,6 +290,66 @@ def truncation_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
 
 
+def _lines(spark, d):
+    """The log as checkpoint lines; every fifth record has no debug members, so it does not count."""
+    x = log(spark, d)
+    cast = {"latency_ms": "double"}
+    own = {"provider": F.split("model_key", ":")[0], "model_id": F.split("model_key", ":")[1], "model_label": F.upper("model_key"), "tier": F.lit(None).cast("string"), "run_number": (F.col("ordinal") % 40).cast("int"), "total_cost_usd": F.col("cost_micro") / 1e6, "cached_input_tokens": F.col("cached_tokens"), "cache_write_tokens": F.lit(0), "field_accuracy_pct": F.lit(0.0), "critical_accuracy_pct": F.lit(0.0), "found_key_count": F.col("found_keys"), "requested_key_count": F.col("requested_keys")}
+    names = A._names(", ".join((A.IDENTITY, A.RUNTIME, A.SCORES)))
+    value = lambda n: (own[n] if n in own else F.when(F.col("ordinal") % 3 == 0, None).otherwise(F.col(n)) if n == "input_tokens" else F.col(n).cast(cast[n]) if n in cast else F.col(n)).alias(n)
+    debug = F.when(F.col("ordinal") % 5 != 0, F.struct(F.lit("sys").alias("system_prompt_used"), F.when(F.col("ordinal") % 2 == 0, F.col("task_key")).alias("raw_output")))
+    line = A.checkpoint_line(F.struct(*map(value, names)), debug, F.col("task_key"), F.when(F.col("ordinal") % 4 != 0, F.lit("2024-01-01T00:00:00Z")))
+    return keep(x.select("ordinal", line.alias("value")))  # a log on disk
+
+
+def _flat_contract(c):
+    return c.select("task_key", "completed_at", "model.provider", "model.model_label", "document.document_id", "document.run_number", "runtime.input_tokens", "runtime.error", "payload.raw_output", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"), "legacy_metrics.field_total")
+
+
+_CANONICAL = """c AS (SELECT * FROM log WHERE ordinal % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY task_key ORDER BY ordinal DESC) = 1)"""
+_FLAT = "split_part(model_key, ':', 1) AS provider, upper(model_key) AS model_label, document_id, ordinal % 40 AS run_number"
+
+
+def raw_contract(spark, d):
+    """Canonical raw records of the whole checkpoint log, flattened for comparison."""
+    return _flat_contract(A.from_checkpoint(A.checkpoint_records(_lines(spark, d))))
+
+
+def debug_contract(spark, d):
+    """Canonical raw records of debug snapshots, one per document, of runs without a task key of their own."""
+    m = F.from_json("value", f"metrics struct<{A._typed(A.IDENTITY, A.RUNTIME, A.SCORES)}>")["metrics"]
+    per = _lines(spark, d).select("ordinal", m.alias("m")).groupBy("m.document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "m"))).alias("r"))
+    docs = per.select(F.to_json(F.struct(F.transform("r", lambda x: x["m"]).alias("runs"))).alias("json"))
+    return _flat_contract(A.from_debug(A.debug_runs(docs)))
+
+
+def export_summary(spark, d):
+    return A.export_summary(A.from_checkpoint(A.checkpoint_records(_lines(spark, d))))
+
+
+def canonical_raw(spark, d):
+    """The canonical records, written as lines and read back; the last of each task counts."""
+    c = A.from_checkpoint(A.checkpoint_records(_lines(spark, d)))
+    lines = c.select(F.lit(1).alias("ordinal"), F.to_json(F.struct(*c.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return A.canonical_lines(lines).select("task_key", F.get_json_object("value", "$.runtime.latency_ms").cast("double").alias("latency_ms"))
+
+
+def key_sets(spark, d):
+    x = log(spark, d)
+    return A.key_sets(x.filter("ordinal % 3 = 0"), x.filter("ordinal % 3 <> 0"))
+
+
+def tree_diff(spark, d):
+    """Trees of neighbouring prices of a line: numbers out of tolerance, members of one side, other flags and comments."""
+    li = table(spark, d, "lineitem")
+    side = lambda n: F.format_string('{"at":%d,"m":{"price":%.2f,"flag":"%s","note":"a b %s","generated_at":%d},"l":[1,%s]%s}', F.lit(1), F.col("l_extendedprice") * n, "l_returnflag" if n == 1 else "l_linestatus", F.lit("x" * n), F.col("l_linenumber") + n, F.lit("2") if n == 1 else F.col("l_quantity").cast("long").cast("string"), F.when((F.col("l_linenumber") == 1) & F.lit(n == 1), ',"only":1').otherwise(""))
+    return D.diff_report(D.tree_diff(li.select(F.col("l_orderkey").alias("key"), side(1).alias("a"), side(2).alias("b"))))
+
+
+_TREE = """SELECT count(*) FILTER (l_returnflag <> l_linestatus) + count(*) FILTER (l_linenumber = 1) AS structural,
+  count(*) FILTER (l_extendedprice > 1) + count(*) FILTER (abs(CAST(l_quantity AS BIGINT) - 2) > 1 AND abs(CAST(l_quantity AS BIGINT) - 2) / greatest(CAST(l_quantity AS BIGINT), 2) > 0.25) AS numeric, 2 * count(*) AS ignored FROM lineitem"""
+
+
 def runner_stub(spark, d):
     q = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("task_key"), F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.lit("- first (type: string, critical: yes)\n- second (type: string, critical: no)").alias("prompt"), F.col("text").alias("document"))
     return runner.extract(q).select("task_key", "provider", F.get_json_object("raw_output", "$.pairs[1].key").alias("second"), "input_tokens", "error")
@@ -333,6 +395,12 @@ QUERIES = {
     "prompt_render": (prompt_render, _PROMPT),
     "markdown_table": (markdown_table, _MARKDOWN),
     "truncation_flag": (truncation_flag, None),
+    "raw_contract": (raw_contract, f"WITH {LOG}, {_CANONICAL} SELECT task_key, CASE WHEN ordinal % 4 <> 0 THEN '2024-01-01T00:00:00Z' END AS completed_at, {_FLAT}, CASE WHEN ordinal % 3 <> 0 THEN input_tokens END AS input_tokens, error, CASE WHEN ordinal % 2 = 0 THEN task_key ELSE '' END AS raw_output, 0 AS n_pairs, field_total FROM c"),
+    "debug_contract": (debug_contract, f"WITH {LOG}, c AS (SELECT *, concat_ws('::', model_key, domain, document_id, 'run' || CAST(ordinal % 40 AS VARCHAR)) AS k FROM log QUALIFY row_number() OVER (PARTITION BY k ORDER BY ordinal DESC) = 1) SELECT k AS task_key, CAST(NULL AS VARCHAR) AS completed_at, {_FLAT}, CASE WHEN ordinal % 3 <> 0 THEN input_tokens ELSE 0 END AS input_tokens, error, '' AS raw_output, 0 AS n_pairs, field_total FROM c"),
+    "export_summary": (export_summary, f"WITH {LOG}, {_CANONICAL} SELECT 'model' AS kind, upper(model_key) AS name, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'domain', domain, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'records', '', count(*) FROM c UNION ALL SELECT 'errored', '', count(error) FROM c"),
+    "canonical_raw": (canonical_raw, f"WITH {LOG}, {_CANONICAL} SELECT task_key, CAST(latency_ms AS DOUBLE) AS latency_ms FROM c"),
+    "key_sets": (key_sets, f"WITH {LOG} SELECT task_key, CASE WHEN bool_or(ordinal % 3 = 0) AND bool_or(ordinal % 3 <> 0) THEN 'both' WHEN bool_or(ordinal % 3 = 0) THEN 'left' ELSE 'right' END AS side FROM log GROUP BY task_key"),
+    "tree_diff": (tree_diff, _TREE),
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
     "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
     "stream_leaderboard": (stream_leaderboard, _STREAM),

@@ -20,10 +20,13 @@ def session(app: str = "docscore", **conf: str) -> SparkSession:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there. A folder of
-    our own is set only where spark.checkpoint.dir is unset."""
+    """Write ``df`` to the shared folder that spark.checkpoint.dir names and go on from there. On a
+    cluster it must be set; a folder of our own is used in local mode only."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "docscore-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "docscore-checkpoints"))
     return df.checkpoint(eager=True)
