@@ -2,11 +2,15 @@
 
 Toxic documents go, then exact copies, then near copies; personal data is replaced by the name
 of its kind; what is left is packed. Each stage gets what the one before kept.
+
+Defined cases: those of the operators. A null text counts as empty (empty texts are equal to one
+another, so one stays); rows with a null id are judged by their text; rows equal in id and text
+leave one; extra columns pass to the last stage, whatever their names; an empty table gives an
+empty result; without toxic or without clean labels no document goes as toxic.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -361,6 +361,52 @@ def test_toxicity_learns_held_out_documents(spark):
     assert train(d.select("doc_id", "text"), lab.filter("toxic = 0")) is None
 
 
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from docscore.llm import pii as P
+    from docscore.llm import toxicity
+
+    source = "/root/testdata/sf0.001"
+    extra = [(9001, None), (9002, ""), (9003, "a b c d e f g h i j"), (9003, "a b c d e f g h i j"), (None, "a lone text without an id")]
+    docs_ = spark.read.parquet(f"{source}/documents.parquet")
+    docs_ = docs_.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{source}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = toxicity.train_on_held_in(docs_, spark.read.parquet(f"{source}/labels.parquet"))
+    rows = docs_.collect()
+    texts = [r.text or "" for r in rows]
+    scores = [0.0] * len(rows) if model is None else model.score(model.tops(texts)).tolist()
+    left = [(r.doc_id, t) for r, t, s in zip(rows, texts, scores, strict=True) if s < 0.7]
+    best = {}
+    for i, t in left:
+        n = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[n] = min(best.get(n, (1, True, 0, "")), (-len(t), i is None, i or 0, t))
+    left = [(None if none else i, t) for _, none, i, t in best.values()]
+    sets = [(i, t, shingles(t, 5)) for i, t in left]
+    root = {i: i for i, _, s in sets if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, _, a in sets:
+        for j, _, b in sets:
+            if i is not None and j is not None and i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    left = [(i, t) for i, t, _ in sets if i is None or find(i) == i]
+    clean = {r.doc_id: r.text or "" for r in P.redact(docs(spark, left)).collect()}
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in clean.items()}
+    assert sum(r.length for r in got) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in clean.values())
+
+
 def test_redact_keeps_columns_whose_names_clash(spark):
     from docscore.llm.pii import redact
     from docscore.llm.toxicity import keep_clean
