@@ -479,7 +479,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             return None
         negative = Counter({w: n for w, n in clean.items() if w not in toxic})
         model = train_machine(with_variants(toxic), negative, settings)
-    rows = sample.mapInPandas(_topped(model), "toxic int, first double, second double").orderBy("toxic", "first", "second").collect()
+    rows = sorted(sample.mapInPandas(trimmed(_topped(model)), "toxic int, first double, second double").collect())  # max_labelled rows, in one order
     model.curve = _logistic(np.array([[r["first"], r["second"]] for r in rows]), np.array([r["toxic"] for r in rows]))
     return model
 
