@@ -78,5 +78,5 @@ def token_cost(inputs: Column, cached: Column, outputs: Column, price_in: Column
 
 
 def page_cost(pages: Column, annotated: Column) -> Column:
-    """USD for pages, plain or annotated."""
-    return pages * F.when(annotated, F.lit(0.003)).otherwise(F.lit(0.002))
+    """USD for pages, plain or annotated; fewer than none cost nothing."""
+    return F.greatest(pages, F.lit(0)) * F.when(annotated, F.lit(0.003)).otherwise(F.lit(0.002))

@@ -9,6 +9,8 @@ from .text import compact, normalize_text, strip
 
 #: Legal forms that end a company's name.
 LEGAL_FORMS = ("inc", "incorporated", "corp", "corporation", "company", "co", "llc", "ltd", "limited", "plc", "bv", "nv", "sa", "sarl", "gmbh", "ag", "aps", "as", "oy", "ab", "pte")
+_STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:[.]\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
 #: Spellings of units of weight.
 WEIGHT_UNITS = {
     "kg": ("kg", "kgs", "kilogram", "kilograms"),
@@ -120,3 +122,10 @@ def same_clock(a: Column, b: Column) -> Column:
     """Hours and minutes equal, and seconds where both have them."""
     eq = (a["h"] == b["h"]) & (a["m"] == b["m"]) & (~(a["has_s"] & b["has_s"]) | (a["s"] == b["s"]))
     return F.coalesce(eq, F.lit(False))
+
+
+def expiry_millis(s: Column, now_ms: Column, seconds: int = 600) -> Column:
+    """Milliseconds since 1970 of an ISO date or time (without a zone: UTC); else ``seconds`` after ``now_ms``."""
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(s, _STAMP, i), F.lit("")), F.lit(default))
+    at = F.concat(part(1, None), F.lit("T"), part(2, "00:00"), part(3, ":00"), part(4, "Z")).try_cast("timestamp")
+    return F.coalesce(F.unix_millis(at), now_ms + seconds * 1000)

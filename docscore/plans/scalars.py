@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..functions import text as T
 from ..functions import values as V
 from .adapters import table
@@ -197,7 +198,27 @@ def _task_key_sql() -> str:
     return f"WITH {LOG} SELECT ordinal, task_key, sha256(model_key || chr(10) || domain || chr(10) || document_id) AS cache_key, 'run-' || strftime(epoch_ms(CAST(ordinal % 100000 * 1000 AS BIGINT)), '%Y-%m-%dT%H-%M-%S-000Z') AS benchmark_id FROM log0"
 
 
+#: Times of the orders in several forms; every other one is no time, or none.
+def cache_expiry(spark, d):
+    k, at = F.col("o_orderkey"), lambda form: F.date_format("o_orderdate", form)
+    forms = F.array(at("yyyy-MM-dd'T'HH:mm:ss'.125Z'"), F.lit("soon"), at("yyyy-MM-dd'T'HH:mm:ss'+02:00'"), F.lit(None), at("yyyy-MM-dd"), F.lit(""), at("yyyy-MM-dd HH:mm"), at("yyyy-MM"))
+    return table(spark, d, "orders").select("o_orderkey", V.expiry_millis(F.get(forms, k % 8), F.lit(1_700_000_000_000)).alias("expires_ms"))
+
+
+_EXPIRY_SQL = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN epoch_ms(o_orderdate) + 125 WHEN 2 THEN epoch_ms(o_orderdate) - 7200000
+WHEN 4 THEN epoch_ms(date_trunc('day', o_orderdate)) WHEN 6 THEN epoch_ms(date_trunc('minute', o_orderdate)) ELSE 1700000600000 END AS expires_ms FROM orders"""
+
+
+def page_costs(spark, d):
+    pages, annotated = F.col("o_custkey") % 9 - 1, F.col("o_orderstatus") == "F"
+    return table(spark, d, "orders").select("o_orderkey", R.page_cost(pages, annotated).alias("usd"), R.round6(F.col("o_totalprice") / 7).alias("share"))
+
+
+_PAGE_SQL = "SELECT o_orderkey, greatest(o_custkey % 9 - 1, 0) * CAST(CASE WHEN o_orderstatus = 'F' THEN 0.003 ELSE 0.002 END AS DOUBLE) AS usd, round_even(o_totalprice / 7 * 1e6, 0) / 1e6 AS share FROM orders"
+
 QUERIES = {
+    "cache_expiry": (cache_expiry, _EXPIRY_SQL),
+    "page_costs": (page_costs, _PAGE_SQL),
     "normalize_text": (_texts(T.normalize_text), _sql_texts(sql_norm)),
     "compact_alnum": (_texts(T.compact), _sql_texts(sql_compact)),
     "key_name": (_texts(T.key_name), _sql_texts(sql_key)),

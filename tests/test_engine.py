@@ -211,3 +211,9 @@ def test_whole_answers_are_returned(spark):
         answers.setdefault(r.conv_id, r.text)
     got = {r.conv_id: r.value for r in catalog.queries()["first_nonempty"](spark, SF).collect()}
     assert {k: v for k, v in got.items() if v} == answers and any(len(v) > 40 for v in answers.values())
+
+
+def test_expiry_of_caches(spark):
+    cases = {"2026-05-14T12:00:00.123Z": 1778760000123, "2026-05-14T12:00:00+02:00": 1778752800000, "2026-05-14": 1778716800000, "12:00": 600_007, "2026-13-01": 600_007, " 2026-05-14": 600_007, "": 600_007, None: 600_007}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select(V.expiry_millis(F.col("v"), F.lit(7)).alias("ms")).collect()
+    assert [r.ms for r in rows] == list(cases.values())
