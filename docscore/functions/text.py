@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ MISSING = ("na", "none", "null", "nil", "nill", "empty", "blank", "unknown", "nv
 MISTRAL = ("mistral", "ministral", "pixtral", "codestral", "devstral", "voxtral")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(s: Column) -> Column:
     """Look-alike letters as ASCII."""
     return F.translate(s, LOOKALIKES, ASCII_FORMS)
@@ -66,10 +72,14 @@ def numeric(s: Column) -> Column:
     return kept.try_cast("double")
 
 
+def missing(compacted: Column) -> Column:
+    """Whether a compact() text is empty or a word for nothing."""
+    return (compacted == "") | compacted.isin(*MISSING)
+
+
 def missing_like(s: Column) -> Column:
     """Blank, without letters and digits, or a word for nothing."""
-    c = compact(s)
-    return (c == "") | c.isin(*MISSING)
+    return missing(compact(s))
 
 
 def slug(s: Column, join: str = "-", most: int = 80) -> Column:

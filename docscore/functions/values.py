@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact, normalize_text, strip
+from .text import compact, let, normalize_text, strip
 
 #: Legal forms that end a company's name.
 LEGAL_FORMS = ("inc", "incorporated", "corp", "corporation", "company", "co", "llc", "ltd", "limited", "plc", "bv", "nv", "sa", "sarl", "gmbh", "ag", "aps", "as", "oy", "ab", "pte")
+#: Fixed values: "care of", its short form, and a legal form with a stroke; an ISO date or time.
+_CARE_OF, _C_O, _A_S = r"(?iU)\bcare\s+of\b", r"(?iU)\bc\s*/?\s*o\b", r"(?iU)\ba\s*[/.]?\s*s\b"
 _STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:[.]\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 #: Spellings of units of weight.
@@ -29,36 +31,44 @@ CURRENCY_CODES = ("USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "INR", "HKD",
 
 def company(s: Column) -> Column:
     """A company's name without "care of" and without legal forms at its end."""
-    t = F.regexp_replace(s, r"(?iU)\bcare\s+of\b", " ")
-    t = F.regexp_replace(t, r"(?iU)\bc\s*/?\s*o\b", " ")
-    t = F.regexp_replace(t, r"(?iU)\ba\s*[/.]?\s*s\b", "as")
+    t = F.regexp_replace(s, _CARE_OF, " ")
+    t = F.regexp_replace(t, _C_O, " ")
+    t = F.regexp_replace(t, _A_S, "as")
     return F.trim(F.regexp_replace(normalize_text(t), f"((^| )({'|'.join(LEGAL_FORMS)}))+$", ""))
 
 
-def without_tokens(s: Column, *tokens: str) -> Column:
-    """Normalised text without some words."""
-    return F.array_join(F.filter(F.split(normalize_text(s), " "), lambda t: (t != "") & ~t.isin(*tokens)), " ")
+#: Words that do not count in terms, packages and modes.
+FREIGHT_WORDS, PACKAGE_WORDS, TRANSPORT_WORDS = ("freight", "term", "terms"), ("stc",), ("freight",)
+
+
+def words_without(norm: Column, *tokens: str) -> Column:
+    """A normalised text without some words."""
+    return F.array_join(F.filter(F.split(norm, " "), lambda t: (t != "") & ~t.isin(*tokens)), " ")
 
 
 def freight_terms(s: Column) -> Column:
-    return without_tokens(s, "freight", "term", "terms")
+    return words_without(normalize_text(s), *FREIGHT_WORDS)
 
 
 def package_type(s: Column) -> Column:
-    return without_tokens(s, "stc")
+    return words_without(normalize_text(s), *PACKAGE_WORDS)
 
 
 def transport_mode(s: Column) -> Column:
-    return without_tokens(s, "freight")
+    return words_without(normalize_text(s), *TRANSPORT_WORDS)
+
+
+def unit_of(compacted: Column) -> Column:
+    """The unit of a compact() text: a known one's short name, other text as it is; null for none."""
+    out = F.when(compacted == "", F.lit(None).cast("string"))
+    for unit, spellings in WEIGHT_UNITS.items():
+        out = out.when(compacted.isin(*spellings), unit)
+    return out.otherwise(compacted)
 
 
 def weight_unit(s: Column) -> Column:
     """A known unit's short name, other text in compact form; null for none."""
-    c = compact(s)
-    out = F.when(c == "", F.lit(None).cast("string"))
-    for unit, spellings in WEIGHT_UNITS.items():
-        out = out.when(c.isin(*spellings), unit)
-    return out.otherwise(c)
+    return unit_of(compact(s))
 
 
 def currency(s: Column) -> Column:
@@ -77,6 +87,7 @@ def currency(s: Column) -> Column:
     return out
 
 
+#: How days and times of day are found in text.
 _YMD = r"([0-9]{4})[/.\-]([0-9]{1,2})[/.\-]([0-9]{1,2})"
 _DMY = r"([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2,4})"
 _TIME = r"(?i)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?U:\s*)([ap]\.?m\.?)?"
@@ -87,7 +98,7 @@ def iso_date(y: Column, m: Column, d: Column) -> Column:
     year = y.try_cast("int")
     year = F.when(year < 100, year + 2000).otherwise(year)
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    return F.when((year >= 1) & (m != "") & (d != ""), F.date_format(text.try_cast("date"), "yyyy-MM-dd"))
+    return F.when((year >= 1) & (m != "") & (d != ""), F.when(text.try_cast("date").isNotNull(), text))
 
 
 def iso_timestamp_day(s: Column) -> Column:
@@ -99,16 +110,24 @@ def iso_timestamp_day(s: Column) -> Column:
 
 
 def dates(s: Column) -> Column:
-    """All ISO days that a text may mean: year first, day first, month first, ISO."""
-    t = strip(s)
-    y = [F.regexp_extract(t, _YMD, i) for i in (1, 2, 3)]
-    a, b, c = (F.regexp_extract(t, _DMY, i) for i in (1, 2, 3))
-    return F.array_distinct(F.array_compact(F.array(iso_date(*y), iso_date(c, b, a), iso_date(c, a, b), iso_timestamp_day(t))))
+    """All ISO days that a text may mean: year first, day first, month first, ISO. Each pattern is searched
+    once, and texts without a digit are not searched."""
+
+    def of(t: Column) -> Column:
+        first = lambda pattern, body: let(F.split(F.regexp_extract(t, pattern, 0), r"[/.\-]"), lambda p: body(F.get(p, 0), F.get(p, 1), F.get(p, 2)))
+        ymd = first(_YMD, lambda y, m, d: F.array(iso_date(y, m, d)))
+        dmy = first(_DMY, lambda a, b, c: F.array(iso_date(c, b, a), iso_date(c, a, b)))
+        return F.array_distinct(F.array_compact(F.concat(ymd, dmy, F.array(iso_timestamp_day(t)))))
+
+    return F.when(F.coalesce(s, F.lit("")).rlike("[0-9]"), let(strip(s), of)).otherwise(F.array().cast("array<string>"))
 
 
 def clock(s: Column) -> Column:
     """Struct h, m, s, has_s of the first time of day in a text; null without a valid one."""
-    t = strip(s)
+    return F.when(F.contains(s, F.lit(":")), let(F.regexp_extract(strip(s), _TIME, 0), _clock))
+
+
+def _clock(t: Column) -> Column:
     h, m, sec, half = (F.regexp_extract(t, _TIME, i) for i in (1, 2, 3, 4))
     half = F.replace(F.lower(half), F.lit("."), F.lit(""))
     hour = h.try_cast("int")

@@ -1,176 +1,179 @@
-"""Ground-truth documents (nested JSON) flattened to keys."""
+"""Ground-truth documents (nested JSON) flattened to keys.
 
-from __future__ import annotations
+Documents are walked inside of their rows, level by level, with column expressions: no Python and
+no shuffle. A text that is null or no JSON gives no keys and no nodes, and a row of rejected().
+"""
 
-import json
-import re
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsontree as T
+from ..functions.text import strip
+
 MODES = ("exact", "normalized_text", "contains", "numeric")
-_DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-
-
-def _parsed(text: str | None) -> object:
-    """The JSON value; None for what is none."""
-    try:
-        return json.loads(text, parse_constant=lambda _: json.loads("?")) if text else None
-    except ValueError:
-        return None
-
-
-def _kind(v: object) -> str:
-    return {dict: "object", list: "array", type(None): "null", str: "string", bool: "boolean", int: "integer"}.get(type(v), "float")
-
-
-def _text(v: object) -> str | None:
-    """A value as text: containers as compact JSON."""
-    if v is None or isinstance(v, str):
-        return v
-    return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
-
-
-def _is_value(v: object) -> bool:
-    return isinstance(v, dict) and "value" in v
-
-
-def _walk(node: dict, path: list[str], in_item: bool) -> Iterator[tuple[str, list[str], object, dict | None]]:
-    """Leaves in document order: (name, path, value, the object that holds it, if one does). Bare
-    values count in and under the items of lists only."""
-    for k, v in node.items():
-        here = [*path, k]
-        if _is_value(v):
-            yield k, here, v["value"], v
-        elif isinstance(v, dict):
-            yield from _walk(v, here, False)
-        elif isinstance(v, list):
-            for i, e in enumerate(v, 1):
-                if _is_value(e) and not in_item:
-                    yield k, [*here, str(i)], e["value"], e
-                elif isinstance(e, dict) and not in_item:
-                    yield from _walk(e, [*here, str(i)], True)
-                else:
-                    yield k, [*here, str(i)], e, None
-        elif in_item:
-            yield k, here, v, None
-
-
-def _expected(v: object) -> list[str]:
-    """Expected texts: none for null and blanks, an integral float without its fraction."""
-    if isinstance(v, list):
-        return [t for t in ((_text(x) or "").strip(" ") for x in v) if t]
-    text = _text(v) or ""
-    if isinstance(v, float):
-        return [re.sub(r"\.0+$", "", text)]
-    return [text.strip(" ")] if text.strip(" ") else []
-
-
-def _key(value: object, node: dict | None) -> tuple[bool, list[str], str | None, str]:
-    """critical, expected, data type and match mode of a leaf."""
-    kind = _kind(value)
-    if node is None:
-        data_type = "date" if kind == "string" and _DAY.fullmatch(value) else kind if kind in ("boolean", "integer", "float", "string") else None
-        mode = None
-    else:
-        data_type, mode = _text(node.get("type")), node.get("match")
-    by_type = "numeric" if (data_type or "").lower() in ("float", "integer", "number") else "normalized_text"
-    return bool(node) and _text(node.get("critical")) == "true", _expected(value), data_type, mode if mode in MODES else by_type
-
-
-def _named(root: dict) -> Iterator[tuple]:
-    """(ordinal, name, critical, expected, data_type, match) of a document's leaves."""
-    found = list(_walk(root, [], False))
-    count = Counter(k for k, _, _, _ in found)
-    seen: set[str] = set()
-    ordinal = 0
-    for k, path, value, node in found:
-        wanted = name = "_".join(path) if count[k] > 1 else k
-        n = 2
-        while name in seen:
-            name = f"{wanted}_{n}"
-            n += 1
-        seen.add(name)
-        if name.strip():
-            ordinal += 1
-            yield ordinal, name, *_key(value, node)
+_STATE = "array<struct<name:string,path:array<string>,mode:string,kind:string,text:string>>"
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, json. Keys of ground truth: doc, ordinal, name, critical, expected, data_type, match.
+def _state(name: Column, path: Column, mode: Column, node: Column) -> Column:
+    return F.struct(name.alias("name"), path.alias("path"), mode.alias("mode"), node["kind"].alias("kind"), node["text"].alias("text"))
+
+
+def _unfolded(docs: DataFrame, mode, legacy: bool = False) -> DataFrame:
+    """``docs``: json. With _root, the parsed text, and _nodes: what the walk from it ends at. ``mode(parent,
+    child)`` says what a child is: "value" (a value object) and "leaf" stay, null goes, others are walked on.
+    Without ``legacy`` documents in the old schema are not walked."""
+    root = T.parsed(F.col("json"))
+    docs = docs.withColumn("_root", root)
+    fine = (F.col("_root.kind") == "object") & (F.lit(legacy) | ~old_schema(F.col("_root")))
+    first = F.array(_state(F.lit("").cast("string"), F.array().cast("array<string>"), F.lit("object"), F.col("_root")))
+    docs = docs.withColumn("_nodes", F.when(F.coalesce(fine, F.lit(False)), first).otherwise(F.array().cast(_STATE)))
+
+    def step(n: Column) -> Column:
+        own = lambda c: F.coalesce(c["name"], n["name"])  # noqa: E731 - what is in a list has the list's name
+        kids = F.transform(T.children(n), lambda c, i: _state(own(c), F.concat(n["path"], F.array(F.coalesce(c["name"], (i + 1).cast("string")))), mode(n, c), c))
+        return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull())).cast(_STATE)
+
+    return T.walked(docs, ["json"], "_nodes", step)
+
+
+def old_schema(root: Column) -> Column:
+    """A list of keys, which is not read any more."""
+    return F.coalesce(T.member(T.children(root), "keys")["kind"] == "array", F.lit(False))
+
+
+def _leaf_mode(n: Column, c: Column) -> Column:
+    """Bare values count in the items of lists, in lists there and in lists only."""
+    kind = c["kind"]
+    in_item = F.when(kind == "object", "object").when(kind == "array", "row").otherwise("leaf")
+    plain = F.when(kind == "object", "object").when(kind == "array", "list")
+    by = F.when(n["mode"] == "list", F.when(kind == "object", "item").otherwise("leaf")).when(n["mode"] == "item", in_item).otherwise(plain)
+    return F.when(n["mode"] == "row", "leaf").when(T.has_member(c, "value"), "value").otherwise(by)
+
+
+def expected(v: Column) -> Column:
+    """Expected texts of a value: none for null and blanks; of a list those that aren't blank."""
+    many = F.transform(T.elements(v["text"]), lambda e: strip(T.listed_text(e)))
+    one = F.array(strip(T.scalar_text(v)))
+    return F.filter(F.when(v["kind"] == "array", many).otherwise(one), lambda t: t != "")
 
-    A leaf's name is its own if no other leaf of the document has it, else its path; a name that
-    an earlier leaf took gets _2, _3 ..., the first that is free. A document is walked as a whole,
-    so there is no shuffle. Documents in the old schema, or that are no JSON objects, give no keys
-    (see rejected)."""
-    of = docs.schema["doc"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *k) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) if isinstance(root := _parsed(t), dict) and not isinstance(root.get("keys"), list) for k in _named(root)]
-            yield pd.DataFrame(rows, columns=["doc", "ordinal", "name", "critical", "expected", "data_type", "match"])
+def _mode_of(data_type: Column) -> Column:
+    return F.when(F.lower(strip(data_type)).isin("float", "integer", "number"), "numeric").otherwise("normalized_text")
 
-    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, ordinal long, name string, critical boolean, expected array<string>, data_type string, match string")
 
+def _leaf(n: Column) -> Column:
+    """critical, expected, data_type, match and notes of a value object or a bare value."""
+    text_of = lambda m, name: F.when(T.member(m, name)["kind"] == "string", T.member(m, name)["text"])
+    kind = n["kind"]
+    bare = F.when((kind == "string") & strip(n["text"]).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date").when(kind.isin("string", "boolean", "integer", "float"), kind)
+    of = lambda critical, value, data_type, match, notes: F.struct(critical.alias("critical"), expected(value).alias("expected"), data_type.alias("data_type"), match.alias("match"), notes.alias("notes"))
 
-def _nodes(node: object) -> Iterator[tuple[str, object, bool]]:
-    """Value objects alone, as the raw walk meets them: through objects and lists of objects."""
-    for k, v in node.items() if isinstance(node, dict) else ():
-        if _is_value(v):
-            yield k, v["value"], bool(v.get("critical"))
-        elif isinstance(v, dict):
-            yield from _nodes(v)
-        elif isinstance(v, list):
-            for e in v:
-                yield from _nodes(e)
+    def held(m: Column) -> Column:
+        said, kind = F.lower(strip(text_of(m, "match"))), text_of(m, "type")
+        return of(T.truthy(T.member(m, "critical")), T.member(m, "value"), kind, F.when(said.isin(*MODES), said).otherwise(_mode_of(kind)), text_of(m, "notes"))
 
+    return F.when(n["mode"] == "value", T.let(T.children(n), held)).otherwise(of(F.lit(False), n, bare, _mode_of(bare), F.lit(None).cast("string")))
 
-def value_nodes(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, json. Raw value objects: doc, key, critical, and whether each is labelled by three
-    rules: text (a text or list that isn't blank), plain (or a number or boolean), any (or a container that isn't empty)."""
-    of = docs.schema["doc"].dataType.simpleString()
 
-    def labels(v: object) -> tuple[bool, bool, bool]:
-        text = bool(v.strip()) if isinstance(v, str) else isinstance(v, list) and any(str(x or "").strip() for x in v)
-        plain = text or isinstance(v, (bool, int, float))
-        return text, plain, plain or isinstance(v, (dict, list)) and bool(v)
+def _repeated(texts: Column) -> Column:
+    """Texts that an array holds more than once, by sorting."""
+    return T.let(F.array_sort(texts), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, k, c, *labels(v)) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) for k, v, c in _nodes(_parsed(t))]
-            yield pd.DataFrame(rows, columns=["doc", "key", "critical", "labelled_text", "labelled_plain", "labelled_any"])
 
-    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, key string, critical boolean, labelled_text boolean, labelled_plain boolean, labelled_any boolean")
+def _preferred(leaves: Column) -> Column:
+    """A leaf's own name if no other leaf of the document has it, else its path."""
+    names = F.array_sort(F.transform(leaves, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"))))
+    same = lambda s, x, i: F.coalesce(F.get(s, i)["name"] == x["name"], F.lit(False))
+    shared = T.let(names, lambda s: F.array_sort(F.transform(s, lambda x, i: F.struct(x["i"].alias("i"), (same(s, x, i - 1) | same(s, x, i + 1)).alias("shared")))))
+    return T.let(shared, lambda s: F.transform(leaves, lambda x, i: F.when(F.get(s, i)["shared"], F.array_join(x["path"], "_")).otherwise(x["name"])))
+
+
+def _probed(names: Column) -> Column:
+    """Names with _2, _3 ... behind those that an earlier one took, the first that is free. Only names that
+    are some repeated name but for numbers at their end can meet, so only these are gone through."""
+    base = lambda t: F.regexp_replace(t, "(_[0-9]+)+$", "")
+    empty = F.array().cast("array<string>")
+
+    def step(s: Column, x: Column) -> Column:
+        name = x["name"]
+        before = F.size(F.filter(s["asked"], lambda t: t == name))  # these took the name itself and the first numbers
+        others = F.size(F.filter(s["taken"], lambda t: t.startswith(F.concat(name, F.lit("_")))))
+        tries = F.transform(F.sequence(before + 1, before + 2 + others), lambda k: F.when(k == 1, name).otherwise(F.concat(name, F.lit("_"), k.cast("string"))))
+        free = F.get(F.filter(tries, lambda t: ~F.array_contains(s["taken"], t)), F.lit(0))
+        return F.struct(F.concat(s["taken"], F.array(free)).alias("taken"), F.concat(s["asked"], F.array(name)).alias("asked"))
+
+    def probe(repeated: Column) -> Column:
+        bases = F.transform(repeated, base)
+        some = F.filter(F.transform(names, lambda t, i: F.struct(i.alias("i"), t.alias("name"))), lambda x: F.array_contains(bases, base(x["name"])))
+        return T.let(some, lambda s: T.let(F.aggregate(s, F.struct(empty.alias("taken"), empty.alias("asked")), step, lambda x: x["taken"]), lambda taken: T.let(F.transform(s, lambda x: x["i"]), lambda at: F.transform(names, lambda t, i: F.coalesce(F.get(taken, F.array_position(at, i).cast("int") - 1), t)))))
+
+    return T.let(_repeated(names), lambda r: F.when(F.size(r) == 0, names).otherwise(probe(r)))
+
+
+def keys(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. Keys of ground truth: doc, ordinal, name, critical, expected, data_type, match, notes.
+
+    A leaf's name is its own if no other leaf of the document has it, else its path; a name that
+    an earlier leaf took gets _2, _3 ..., the first that is free. Documents in the old schema, or
+    that are no JSON objects, give no keys (see rejected)."""
+    found = _unfolded(docs.select("doc", "json"), _leaf_mode).withColumn("_names", _probed(_preferred(F.col("_nodes"))))
+    each = F.transform(F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name")), lambda x: F.struct(x["name"].alias("name"), _leaf(x["n"]).alias("l")))
+    rows = found.select("doc", F.posexplode(F.filter(each, lambda x: strip(x["name"]) != "")).alias("at", "k"))
+    return rows.select("doc", (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.l.critical", "k.l.expected", "k.l.data_type", "k.l.match", "k.l.notes")
+
+
+def _node_mode(lists: bool):
+    def mode(n: Column, c: Column) -> Column:
+        below = F.when(T.has_member(c, "value"), "value").when(c["kind"] == "object", "object")
+        below = below.when(c["kind"] == "array", "list") if lists else below
+        return F.when(n["mode"] == "list", F.when(c["kind"] == "object", "object")).otherwise(below)
+
+    return mode
+
+
+def value_nodes(docs: DataFrame, lists: bool = True) -> DataFrame:
+    """``docs``: doc, json. Raw value objects, through objects and, with ``lists``, lists of objects: doc, key,
+    critical, and whether each is labelled by three rules: text (a text or list that isn't blank), plain (or
+    a number or boolean), any (or a list or object that isn't empty)."""
+    rows = _unfolded(docs.select("doc", "json"), _node_mode(lists), legacy=True).select("doc", F.explode("_nodes").alias("n"))
+    m = rows.select("doc", F.col("n.name").alias("key"), T.children(F.col("n")).alias("m"))
+    v = m.select("doc", "key", T.truthy(T.member(F.col("m"), "critical")).alias("critical"), T.member(F.col("m"), "value").alias("v"))
+    kind = F.col("v.kind")
+    filled = F.exists(T.elements(F.col("v.text")), lambda e: T.truthy(e) & (strip(e["text"]) != ""))
+    text = F.coalesce(F.when(kind == "string", strip(F.col("v.text")) != "").when(kind == "array", filled), F.lit(False))
+    plain = text | kind.isin("boolean", "integer", "float")
+    return v.select("doc", "key", "critical", text.alias("labelled_text"), plain.alias("labelled_plain"), (plain | (kind.isin("array", "object") & T.truthy(F.col("v")))).alias("labelled_any"))
+
+
+def _totals(docs: DataFrame, nodes: DataFrame, label: str, *more: Column) -> DataFrame:
+    per = nodes.groupBy("doc").agg(F.count("*").alias("k"), F.count_if(label).alias("l"), F.count_if("critical").alias("c"), F.count_if(F.col(label) & F.col("critical")).alias("b"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return docs.join(per, "doc", "left").groupBy("domain").agg(F.count("*").alias("documents"), total("k", "keys"), total("l", "labelled"), total("c", "critical"), total("b", "critical_labelled"), *more)
 
 
 def raw_summary(docs: DataFrame) -> DataFrame:
     """``docs``: doc, domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both."""
-    nodes = value_nodes(docs).groupBy("doc").agg(F.count("*").alias("k"), F.count_if("labelled_plain").alias("l"), F.count_if("critical").alias("c"), F.count_if(F.col("labelled_plain") & F.col("critical")).alias("b"))
-    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
-    return docs.select("doc", "domain").join(nodes, "doc", "left").groupBy("domain").agg(F.count("*").alias("documents"), total("k", "keys"), total("l", "labelled"), total("c", "critical"), total("b", "critical_labelled"))
+    return _totals(docs.select("doc", "domain"), value_nodes(docs), "labelled_plain")
+
+
+def label_summary(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, domain, json (null: not readable). By domain, for a report on labels: value objects in
+    objects alone: all, labelled (any), critical and both, and documents that can't be read, are in the
+    old schema or hold none."""
+    nodes = value_nodes(docs, lists=False)
+    root = T.parsed(F.col("json"))
+    old = docs.select("doc", "domain", F.coalesce(old_schema(root), F.lit(False)).alias("old"))
+    nodes = nodes.join(old.filter("old").select("doc"), "doc", "left_anti")
+    return _totals(old, nodes, "labelled_any", F.count_if(F.col("k").isNull()).alias("invalid"))
 
 
 def rejected(docs: DataFrame) -> DataFrame:
     """``docs``: doc, json. Documents that can't be ground truth, and the rule: invalid_json, legacy_schema (a list of keys), no_values (no value objects)."""
-    of = docs.schema["doc"].dataType.simpleString()
-
-    def rule(text: str | None) -> str | None:
-        root = _parsed(text)
-        if root is None and (text or "").strip() != "null":
-            return "invalid_json"
-        if isinstance(root, dict) and isinstance(root.get("keys"), list):
-            return "legacy_schema"
-        return None if next(_nodes(root), None) else "no_values"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, r) for d, t in zip(f["doc"].tolist(), f["json"], strict=True) if (r := rule(t))]
-            yield pd.DataFrame(rows, columns=["doc", "rule"])
-
-    return docs.select("doc", "json").mapInPandas(run, f"doc {of}, rule string")
+    found = _unfolded(docs.select("doc", "json"), _node_mode(True), legacy=True)
+    rule = F.when(F.col("_root").isNull(), "invalid_json").when(old_schema(F.col("_root")), "legacy_schema").when(F.size("_nodes") == 0, "no_values")
+    return found.select("doc", rule.alias("rule")).filter("rule is not null")
 
 
 def dataset_summary(rows: DataFrame, by: str = "domain") -> DataFrame:

@@ -9,15 +9,20 @@ from ..functions import text as T
 from ..functions import values as V
 
 
-def prepared(value: Column) -> Column:
-    """All forms of a value that the rules compare; computed once a value."""
+def prepared(value: Column, h: Column | None = None) -> Column:
+    """What the rules compare of a value, computed once a value; the forms that only some kinds of keys need
+    come from these where they are asked for. ``h``: hints() of its key, if known."""
+    company = V.company(value) if h is None else F.when(h["name"], V.company(value))
     return F.struct(
-        F.coalesce(value, F.lit("")).alias("raw"), T.strip(value).alias("trim"), T.normalize_text(value).alias("norm"), T.compact(value).alias("compact"), V.dates(value).alias("dates"),
-        V.clock(value).alias("clock"), T.numeric(value).alias("number"), V.currency(value).alias("currency"), V.freight_terms(value).alias("freight"), V.package_type(value).alias("package"),
-        V.weight_unit(value).alias("weight"), V.company(value).alias("company"), V.transport_mode(value).alias("transport"), T.missing_like(value).alias("missing"),
+        F.coalesce(value, F.lit("")).alias("raw"), T.strip(value).alias("trim"), T.normalize_text(value).alias("norm"),
+        V.dates(value).alias("dates"), V.clock(value).alias("clock"), company.alias("company"),
     )
 
 
+def _compact(p: Column) -> Column:
+    return F.replace(p["norm"], F.lit(" "), F.lit(""))
+
+
 def hints(name: Column, data_type: Column) -> Column:
     """What kind of value a key's name or type suggests."""
     n, t = T.key_name(name), F.lower(F.coalesce(data_type, F.lit("")))
@@ -36,6 +41,11 @@ def _same(a: Column, b: Column) -> Column:
     return (a != "") & (a == b)
 
 
+def _same_package(a: Column, b: Column) -> Column:
+    joined = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    return _same(a, b) | _same(joined(a), joined(b))
+
+
 def is_match(a: Column, e: Column, mode: Column, h: Column) -> Column:
     """``a`` and ``e``: prepared() actual and expected; ``h``: hints(); mode: exact, contains, numeric or normalized_text."""
     day = F.arrays_overlap(a["dates"], e["dates"])
@@ -45,21 +55,21 @@ def is_match(a: Column, e: Column, mode: Column, h: Column) -> Column:
     both_clocks = a["clock"].isNotNull() & e["clock"].isNotNull()
     typed = (
         ((h["time"] | has_clock) & clock)
-        | (h["currency"] & F.coalesce(a["currency"] == e["currency"], F.lit(False)))
-        | (h["freight"] & _within(a["freight"], e["freight"]))
-        | (h["package"] & (_same(a["package"], e["package"]) | _same(F.replace(a["package"], F.lit(" "), F.lit("")), F.replace(e["package"], F.lit(" "), F.lit("")))))
-        | (h["weight"] & F.coalesce(a["weight"] == e["weight"], F.lit(False)))
+        | (h["currency"] & F.coalesce(V.currency(a["trim"]) == V.currency(e["trim"]), F.lit(False)))
+        | (h["freight"] & _within(*(V.words_without(x["norm"], *V.FREIGHT_WORDS) for x in (a, e))))
+        | (h["package"] & _same_package(*(V.words_without(x["norm"], *V.PACKAGE_WORDS) for x in (a, e))))
+        | (h["weight"] & F.coalesce(V.unit_of(_compact(a)) == V.unit_of(_compact(e)), F.lit(False)))
         | (h["name"] & _same(a["company"], e["company"]))
-        | (h["transport"] & _within(a["transport"], e["transport"]))
-        | (_same(a["compact"], e["compact"]) & a["compact"].rlike("[0-9]"))
+        | (h["transport"] & _within(*(V.words_without(x["norm"], *V.TRANSPORT_WORDS) for x in (a, e))))
+        | (_same(_compact(a), _compact(e)) & a["norm"].rlike("[0-9]"))
     )
     by_mode = (
         F.when(mode == "contains", a["norm"].contains(e["norm"]))
-        .when(mode == "numeric", F.coalesce(F.abs(a["number"] - e["number"]) < 1e-6, F.lit(False)))
+        .when(mode == "numeric", F.coalesce(F.abs(T.numeric(a["raw"]) - T.numeric(e["raw"])) < 1e-6, F.lit(False)))
         .otherwise(a["norm"] == e["norm"])
     )
     return (
-        F.when((a["trim"] == "") & (e["trim"] != ""), e["missing"])
+        F.when((a["trim"] == "") & (e["trim"] != ""), T.missing(_compact(e)))
         .when(mode == "exact", a["trim"] == e["trim"])
         .when(dated, F.when(both_clocks, clock).otherwise(True))
         .when(typed, True)

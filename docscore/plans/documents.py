@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import jsontree as JT
 from ..functions import jsonx as J
 from ..functions import text as T
 from ..functions.rounding import retry_ceiling
@@ -22,27 +23,39 @@ from ..streaming import leaderboard as S
 from .adapters import LOG, RUNS, log, runs, table
 from .aggregates import ONLINE, r
 
-# --- answers in four shapes -------------------------------------------------------------
+# --- answers in eight shapes ------------------------------------------------------------
+
+_KEYS = ("Name", "Segment", "Visits")
 
 
 def _answers(spark, d):
+    """An answer a customer: JSON with typed values, in a fence, in prose, lines, lines before an empty object,
+    an object that names no requested key before lines, a list, and members that nobody asked for."""
     k = F.col("c_custkey")
     seg = F.when(k % 5 == 1, F.upper("c_mktsegment")).when(k % 5 == 2, "").when(k % 5 == 3, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
     name = F.when(k % 5 == 3, F.concat("c_name", F.lit(" Inc."))).when(k % 5 == 4, F.lit("Nobody")).otherwise(F.col("c_name"))
-    raw = (
-        F.when(k % 4 == 0, F.format_string('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"}]}', name, seg))
-        .when(k % 4 == 1, F.format_string('Here it is:\n```json\n{"values":{"name":"%s","segment":"%s"}}\n```\nbye', name, seg))
-        .when(k % 4 == 2, F.format_string('The answer is {"name":"%s","segment":"%s"} thanks', name, seg))
-        .otherwise(F.format_string("Name: not yet known\nSegment: \"%s\"\nnothing here\nName: %s", seg, name))
+    shapes = (
+        F.format_string('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"},"odd",{"field":"Visits","value":%d.0,"found":"yes"}]}', name, seg, k % 7),
+        F.format_string('Here it is:\n```json\n{"values":{"name":"%s","segment":"%s"}}\n```\nbye', name, seg),
+        F.format_string('The answer is {"name":"%s","segment":"%s"} thanks', name, seg),
+        F.format_string('Name: not yet known\nSegment: "%s"\nnothing here\nOther: z\nName: %s', seg, name),
+        F.format_string("Name: %s\nSegment: %s\n{}", name, seg),
+        F.format_string('{"note":"x"}\nName: %s\nSegment: "%s"', name, seg),
+        F.format_string('[{"key":"name","value":"%s"},{"key":"Segment","value":"%s"}]', name, seg),
+        F.format_string('{"other":"z","values":{"Seg":"no","segment":"%s","NAME":"%s"}}', seg, name),
     )
+    raw = F.when(k % 8 == 0, shapes[0])
+    for i, shape in enumerate(shapes[1:], 1):
+        raw = raw.when(k % 8 == i, shape)
     return table(spark, d, "customer").select(k.alias("id"), "c_name", "c_mktsegment", name.alias("name"), seg.alias("segment"), raw.alias("raw"))
 
 
 _ANSWERS = """a AS (SELECT c_custkey AS id, c_name, c_mktsegment, CASE c_custkey % 5 WHEN 3 THEN c_name || ' Inc.' WHEN 4 THEN 'Nobody' ELSE c_name END AS name,
   CASE c_custkey % 5 WHEN 1 THEN upper(c_mktsegment) WHEN 2 THEN '' WHEN 3 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment FROM customer),
-x AS (SELECT *, CASE id % 4 WHEN 0 THEN printf('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"}]}', name, segment)
+x AS (SELECT *, CASE id % 8 WHEN 0 THEN printf('{"pairs":[{"key":"Name","value":"%s","found":true},{"name":"Segment","extracted_value":"%s"},{"key":"","value":"x"},"odd",{"field":"Visits","value":%d.0,"found":"yes"}]}', name, segment, id % 7)
   WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || printf('{"values":{"name":"%s","segment":"%s"}}', name, segment) || chr(10) || '```' || chr(10) || 'bye'
-  WHEN 2 THEN printf('The answer is {"name":"%s","segment":"%s"} thanks', name, segment) ELSE printf('Name: %s', name) || chr(10) || printf('Segment: "%s"', segment) || chr(10) || 'nothing here' END AS raw FROM a),
+  WHEN 2 THEN printf('The answer is {"name":"%s","segment":"%s"} thanks', name, segment) WHEN 3 THEN printf('Name: %s', name) WHEN 4 THEN 'Name: ' || name || chr(10) || '{}' WHEN 5 THEN '{"note":"x"}' || chr(10) || 'Name: ' || name
+  WHEN 6 THEN printf('[{"key":"name","value":"%s"},{"key":"Segment","value":"%s"}]', name, segment) ELSE printf('{"other":"z","values":{"Seg":"no","segment":"%s","NAME":"%s"}}', segment, name) END AS raw FROM a),
 j AS (SELECT *, coalesce(CASE WHEN try_cast(raw AS JSON) IS NOT NULL THEN raw END, CASE WHEN contains(raw, '```') THEN regexp_extract(raw, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) END,
   CASE WHEN contains(raw, '{') THEN regexp_extract(raw, '(?s)\\{.*\\}', 0) END) AS doc FROM x)"""
 
@@ -55,23 +68,39 @@ def _flat(pairs):
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
 
 
+def _asked():
+    return F.array(*(F.lit(k) for k in _KEYS))
+
+
 def extract_pairs_json(spark, d):
-    return _answers(spark, d).filter("id % 4 <> 3").select("id", _flat(J.json_pairs(J.best_json(F.col("raw")))).alias("pairs"))
+    """What JSON alone gives of every answer."""
+    return _answers(spark, d).select("id", _flat(J.json_pairs(J.first_json(F.col("raw")), _asked())).alias("pairs"))
 
 
 def extract_pairs_text(spark, d):
-    return _answers(spark, d).filter("id % 4 = 3").select("id", _flat(J.text_pairs(F.col("raw"))).alias("pairs"))
+    """What text alone gives of every answer."""
+    return _answers(spark, d).select("id", _flat(J.text_pairs(F.col("raw"), _asked())).alias("pairs"))
+
 
+def extract_answers(spark, d):
+    """Pairs of every answer: of JSON where that names a requested key, else of the text."""
+    return _answers(spark, d).select("id", _flat(J.answers(F.col("raw"), _asked())).alias("pairs"))
 
-_PAIRS_JSON = """SELECT id, CASE id % 4 WHEN 0 THEN 'Name=' || (doc::JSON->'pairs'->0->>'value') || ';Segment=' || (doc::JSON->'pairs'->1->>'extracted_value')
-  WHEN 1 THEN 'name=' || (doc::JSON->'values'->>'name') || ';segment=' || (doc::JSON->'values'->>'segment') ELSE 'name=' || (doc::JSON->>'name') || ';segment=' || (doc::JSON->>'segment') END AS pairs FROM j WHERE id % 4 <> 3"""
+
+_LINES = "'Name=' || name || CASE WHEN segment = '' THEN '' ELSE ';Segment=' || segment END"
+_PAIRS_JSON = """SELECT id, CASE id % 8 WHEN 0 THEN 'Name=' || (doc::JSON->'pairs'->0->>'value') || ';Segment=' || (doc::JSON->'pairs'->1->>'extracted_value') || ';Visits=' || id % 7
+  WHEN 1 THEN 'name=' || (doc::JSON->'values'->>'name') || ';segment=' || (doc::JSON->'values'->>'segment') WHEN 2 THEN 'name=' || (doc::JSON->>'name') || ';segment=' || (doc::JSON->>'segment')
+  WHEN 7 THEN 'segment=' || (doc::JSON->'values'->>'segment') || ';NAME=' || (doc::JSON->'values'->>'NAME') ELSE '' END AS pairs FROM j"""
+_PAIRS_TEXT = f"SELECT id, CASE WHEN id % 8 = 0 THEN 'Name=' || name WHEN id % 8 IN (3, 4, 5) THEN {_LINES} WHEN id % 8 = 6 THEN 'Name=' || name || ';Segment=' || segment ELSE '' END AS pairs FROM a"
+_PAIRS_ALL = f"SELECT a.id, CASE WHEN p.pairs <> '' THEN p.pairs ELSE t.pairs END AS pairs FROM a JOIN ({_PAIRS_JSON}) p ON a.id = p.id JOIN ({_PAIRS_TEXT}) t ON a.id = t.id"
 
 
 def _truth(spark, d):
-    """Two keys a customer: its name (critical) and its segment."""
-    c = table(spark, d, "customer").select(F.concat(F.lit("doc-"), "c_custkey").alias("document_id"), "c_name", "c_mktsegment")
-    one = lambda name, col, critical: c.select("document_id", F.lit(name).alias("name"), F.lit(critical).alias("critical"), F.array(col).alias("expected"), F.lit("string").alias("data_type"), F.lit("normalized_text").alias("match"))
-    return one("name", "c_name", True).unionByName(one("segment", "c_mktsegment", False))
+    """Three keys a customer: its name (critical), its segment and a number."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("doc-"), "c_custkey").alias("document_id"), "c_name", "c_mktsegment", (F.col("c_custkey") % 7).cast("string").alias("visits"))
+    one = lambda name, col, critical, kind, match: F.struct(F.lit(name).alias("name"), F.lit(critical).alias("critical"), F.array(col).alias("expected"), F.lit(kind).alias("data_type"), F.lit(match).alias("match"))
+    keys = F.array(one("name", "c_name", True, "string", "normalized_text"), one("Segment", "c_mktsegment", False, "string", "normalized_text"), one("Visits", "visits", False, "integer", "numeric"))
+    return c.select("document_id", F.inline(keys))
 
 
 def _scored(spark, d):
@@ -83,8 +112,8 @@ def score_runs(spark, d):
     return scoring.score_runs(_scored(spark, d))
 
 
-_SCORE = """SELECT 't-' || id AS task_key, 2 AS field_total, (id % 5 <> 4)::BIGINT + (id % 5 <> 2)::BIGINT AS field_correct, 1 AS critical_total, (id % 5 <> 4)::BIGINT AS critical_correct,
-  1 + (id % 5 <> 2)::BIGINT AS found_keys, 2 AS requested_keys, id % 5 <> 4 AS success FROM a"""
+_SCORE = """SELECT 't-' || id AS task_key, 3 AS field_total, (id % 5 <> 4)::BIGINT + (id % 5 <> 2)::BIGINT + (id % 8 = 0)::BIGINT AS field_correct, 1 AS critical_total, (id % 5 <> 4)::BIGINT AS critical_correct,
+  1 + (id % 5 <> 2)::BIGINT + (id % 8 = 0)::BIGINT AS found_keys, 3 AS requested_keys, id % 5 <> 4 AS success FROM a"""
 
 #: actual, expected, mode, key name, key type, matches
 CASES = (
@@ -114,6 +143,10 @@ _CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{e}', {str(w).lowe
 # --- ground truth ------------------------------------------------------------------------
 
 
+#: Leaves that need care: white space, whole floats, truthiness, modes and types as they are written, types that are no text.
+_HARD = '"odd":[" 2024-01-02 ","\\n x\\t",1e16,true,[1],null],"hard":{"one":{"value":1.50,"critical":1,"match":" Exact ","type":5},"two":{"value":[true,2.0,null," z "],"critical":"yes","type":" Float ","notes":"n"},"three":{"value":{"k":1},"critical":[],"type":"x"}},'
+
+
 def _gt(spark, d):
     """An order as nested ground truth with its lines as a list of items."""
     li = table(spark, d, "lineitem")
@@ -122,7 +155,7 @@ def _gt(spark, d):
     items = li.groupBy("l_orderkey").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("items"))
     j = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     text = F.concat(
-        F.format_string('{"order":{"id":{"value":%d,"critical":true,"type":"integer"},"day":{"value":"%s"},"note":{"value":null,"critical":true}},"status":{"value":["%s"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},"items":[', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"),
+        F.format_string('{"order":{"id":{"value":%d,"critical":true,"type":"integer"},"day":{"value":"%s"},"note":{"value":null,"critical":true}},"status":{"value":["%s"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},' + _HARD + '"items":[', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"),
         "items", F.lit("]}"),
     )
     return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
@@ -133,16 +166,20 @@ def gt_flatten(spark, d):
     return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"), "data_type", "match")
 
 
-_GT_SQL = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, printf('{"qty":%d,"flag":"%s","price":{"value":%.2f', CAST(l_quantity AS BIGINT), l_returnflag, l_extendedprice)) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+_HARD_ROWS = """(6, 'odd_1', false, '2024-01-02', 'date', 'normalized_text'), (7, 'odd_2', false, 'x', 'string', 'normalized_text'), (8, 'odd_3', false, '10000000000000000', 'float', 'numeric'),
+  (9, 'odd_4', false, 'true', 'boolean', 'normalized_text'), (10, 'odd_5', false, '1', NULL, 'normalized_text'), (11, 'odd_6', false, '', NULL, 'normalized_text'),
+  (12, 'one', true, '1.5', NULL, 'exact'), (13, 'two', true, 'True|2.0|z', ' Float ', 'numeric'), (14, 'three', false, '{"k":1}', 'x', 'normalized_text')"""
+_GT_SQL = f"""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, printf('{{"qty":%d,"flag":"%s","price":{{"value":%.2f', CAST(l_quantity AS BIGINT), l_returnflag, l_extendedprice)) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li))
 SELECT o_orderkey AS doc, 1 AS ordinal, 'id' AS name, true AS critical, CAST(o_orderkey AS VARCHAR) AS expected, 'integer' AS data_type, 'numeric' AS match FROM o
 UNION ALL SELECT o_orderkey, 2, 'order_day', false, strftime(o_orderdate, '%Y-%m-%d'), NULL, 'normalized_text' FROM o
 UNION ALL SELECT o_orderkey, 3, 'note', true, '', NULL, 'normalized_text' FROM o
 UNION ALL SELECT o_orderkey, 4, 'status', false, o_orderstatus || '|?', NULL, 'exact' FROM o
 UNION ALL SELECT o_orderkey, 5, 'other_day', false, '', NULL, 'normalized_text' FROM o
-UNION ALL SELECT l_orderkey, 3 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_qty' ELSE 'qty' END, false, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'integer', 'numeric' FROM li
-UNION ALL SELECT l_orderkey, 4 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_flag' ELSE 'flag' END, false, l_returnflag, 'string', 'normalized_text' FROM li
-UNION ALL SELECT l_orderkey, 5 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_price' ELSE 'price' END, true, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0+$', ''), 'float', 'numeric' FROM li"""
+UNION ALL SELECT o_orderkey, h.* FROM o, (VALUES {_HARD_ROWS}) h
+UNION ALL SELECT l_orderkey, 12 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_qty' ELSE 'qty' END, false, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'integer', 'numeric' FROM li
+UNION ALL SELECT l_orderkey, 13 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_flag' ELSE 'flag' END, false, l_returnflag, 'string', 'normalized_text' FROM li
+UNION ALL SELECT l_orderkey, 14 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '_price' ELSE 'price' END, true, regexp_replace(regexp_replace(printf('%.2f', l_extendedprice), '0+$', ''), '\\.$', ''), 'float', 'numeric' FROM li"""
 
 
 def gt_dedupe_names(spark, d):
@@ -202,7 +239,18 @@ def raw_summary(spark, d):
 
 
 _RAW_SUMMARY = """WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT o_orderstatus AS domain, count(*) AS documents, CAST(sum(5 + n) AS BIGINT) AS keys, CAST(sum(3 + n) AS BIGINT) AS labelled, CAST(sum(2 + n) AS BIGINT) AS critical, CAST(sum(1 + n) AS BIGINT) AS critical_labelled FROM orders JOIN li ON o_orderkey = l_orderkey GROUP BY ALL"""
+SELECT o_orderstatus AS domain, count(*) AS documents, CAST(sum(8 + n) AS BIGINT) AS keys, CAST(sum(5 + n) AS BIGINT) AS labelled, CAST(sum(4 + n) AS BIGINT) AS critical, CAST(sum(3 + n) AS BIGINT) AS critical_labelled FROM orders JOIN li ON o_orderkey = l_orderkey GROUP BY ALL"""
+
+
+def label_summary(spark, d):
+    """Labels of all orders by status; some documents are broken, in the old schema, without values or not there."""
+    k = F.col("doc")
+    text = F.when(k % 11 == 3, '{"a": ').when(k % 11 == 4, '{"keys": [], "a": {"value": 1}}').when(k % 11 == 5, '{"items": [{"a": {"value": 1}}]}').when(k % 11 != 6, F.col("json"))
+    return G.label_summary(_gt(spark, d).select("doc", F.col("o_orderstatus").alias("domain"), text.alias("json")))
+
+
+_LABEL_SUMMARY = """WITH o AS (SELECT o_orderstatus AS domain, o_orderkey % 11 IN (3, 4, 5, 6) AS bad FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT domain, count(*) AS documents, 8 * count(*) FILTER (NOT bad) AS keys, 6 * count(*) FILTER (NOT bad) AS labelled, 4 * count(*) FILTER (NOT bad) AS critical, 3 * count(*) FILTER (NOT bad) AS critical_labelled, count(*) FILTER (bad) AS invalid FROM o GROUP BY domain"""
 
 
 def selected_documents(spark, d):
@@ -287,7 +335,7 @@ def truncation_flag(spark, d):
     SQL has no strict JSON object out of free text; tests hold it against plain Python."""
     k, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
     s = F.when(k % 4 == 0, F.concat(F.lit('{"a": "'), t)).when(k % 4 == 1, F.to_json(F.struct(t.alias("a")))).when(k % 4 == 2, F.concat(t, F.lit(" end,"))).otherwise(t)
-    return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, J.best_json(s).isNotNull()).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
+    return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, JT.let(J.first_json(s), JT.truthy)).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
 
 
 def _lines(spark, d):
@@ -340,14 +388,22 @@ def key_sets(spark, d):
 
 
 def tree_diff(spark, d):
-    """Trees of neighbouring prices of a line: numbers out of tolerance, members of one side, other flags and comments."""
-    li = table(spark, d, "lineitem")
-    side = lambda n: F.format_string('{"at":%d,"m":{"price":%.2f,"flag":"%s","note":"a b %s","generated_at":%d},"l":[1,%s]%s}', F.lit(1), F.col("l_extendedprice") * n, "l_returnflag" if n == 1 else "l_linestatus", F.lit("x" * n), F.col("l_linenumber") + n, F.lit("2") if n == 1 else F.col("l_quantity").cast("long").cast("string"), F.when((F.col("l_linenumber") == 1) & F.lit(n == 1), ',"only":1').otherwise(""))
+    """Trees of neighbouring prices of a line: numbers out of tolerance, members of one side, other flags and comments, output of a model, broken and missing trees."""
+    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+
+    def side(x: int):
+        text = F.format_string(
+            '{"at":%d,"m":{"price":%.2f,"flag":"%s","note":"a b %s","generated_at":%d},"l":[1,%s],"extracted_pairs":[{"key":"k","value":%d}]%s}', F.lit(1), F.col("l_extendedprice") * x, "l_returnflag" if x == 1 else "l_linestatus",
+            F.lit("x" * x), n + x, F.lit("2") if x == 1 else F.col("l_quantity").cast("long").cast("string"), F.lit(100 * x), F.when((n == 1) & F.lit(x == 1), ',"only":1').otherwise(""),
+        )
+        return F.when((n != 6) | F.lit(x == 1), F.when((n == 7) & F.lit(x == 2), F.left(text, F.lit(40))).otherwise(text))
+
     return D.diff_report(D.tree_diff(li.select(F.col("l_orderkey").alias("key"), side(1).alias("a"), side(2).alias("b"))))
 
 
-_TREE = """SELECT count(*) FILTER (l_returnflag <> l_linestatus) + count(*) FILTER (l_linenumber = 1) AS structural,
-  count(*) FILTER (l_extendedprice > 1) + count(*) FILTER (abs(CAST(l_quantity AS BIGINT) - 2) > 1 AND abs(CAST(l_quantity AS BIGINT) - 2) / greatest(CAST(l_quantity AS BIGINT), 2) > 0.25) AS numeric, 2 * count(*) AS ignored FROM lineitem"""
+_TREE = """WITH x AS (SELECT * FROM lineitem WHERE l_linenumber NOT IN (6, 7))
+SELECT count(*) FILTER (l_returnflag <> l_linestatus) + count(*) FILTER (l_linenumber = 1) + (SELECT count(*) FROM lineitem WHERE l_linenumber IN (6, 7)) AS structural,
+  count(*) FILTER (l_extendedprice > 1) + count(*) FILTER (abs(CAST(l_quantity AS BIGINT) - 2) > 1 AND abs(CAST(l_quantity AS BIGINT) - 2) / greatest(CAST(l_quantity AS BIGINT), 2) > 0.25) AS numeric, 3 * count(*) AS ignored FROM x"""
 
 
 def runner_stub(spark, d):
@@ -378,7 +434,8 @@ _STREAM = f"WITH {RUNS} SELECT model_key, count(*) AS runs, count(*) FILTER (suc
 QUERIES = {
     "best_effort_json": (best_effort_json, f"WITH {_ANSWERS} SELECT id, doc FROM j"),
     "extract_pairs_json": (extract_pairs_json, f"WITH {_ANSWERS} {_PAIRS_JSON}"),
-    "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} SELECT id, 'Name=' || name || CASE WHEN segment = '' THEN '' ELSE ';Segment=' || segment END AS pairs FROM a WHERE id % 4 = 3"),
+    "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} {_PAIRS_TEXT}"),
+    "extract_answers": (extract_answers, f"WITH {_ANSWERS} {_PAIRS_ALL}"),
     "match_cascade": (match_cascade, _CASES),
     "score_runs": (score_runs, f"WITH {_ANSWERS} {_SCORE}"),
     "gt_flatten": (gt_flatten, _GT_SQL),
@@ -387,6 +444,7 @@ QUERIES = {
     "label_completeness": (label_completeness, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(*) FILTER (critical) AS critical, count(*) FILTER (labelled AND critical) AS critical_labelled FROM k GROUP BY domain) SELECT *, CASE WHEN critical > 0 THEN critical_labelled / (critical * 1e0) * 100 ELSE 0e0 END AS critical_pct FROM g"),
     "dataset_validate": (dataset_validate, _VALIDATE),
     "raw_summary": (raw_summary, _RAW_SUMMARY),
+    "label_summary": (label_summary, _LABEL_SUMMARY),
     "selected_documents": (selected_documents, _SELECTED),
     "dataset_warnings": (dataset_warnings, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(DISTINCT doc) AS d, count(*) AS k, count(*) FILTER (labelled) AS l FROM k GROUP BY domain) SELECT domain, 'none_labelled' AS warning FROM g WHERE l = 0 UNION ALL SELECT domain, 'not_all_labelled' FROM g WHERE l < k UNION ALL SELECT domain, 'few_documents' FROM g WHERE d < 10"),
     "name_match": (name_match, _NAME_MATCH),
