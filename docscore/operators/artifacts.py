@@ -1,7 +1,9 @@
 """Artifacts of benchmark runs: checkpoint logs, debug snapshots and canonical raw records.
 
-Records come as JSON lines with the order in which they were written; of a task the last one
-counts. Lines that are no objects, or lack a member that must be there, are left out.
+Records come as JSON lines with the order in which they were written (``ordinal``: a number, or a
+struct that sorts like the log); of a task the last one counts. Lines that are no objects, or lack
+a member that must be there, are left out; so are records with a member of a wrong type, or they
+fail the job with ``strict``, as an export of a log that must be whole wants it.
 """
 
 from __future__ import annotations
@@ -14,21 +16,37 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The members of records.
-IDENTITY = "model_key string, provider string, model_id string, model_label string, tier string, domain string, document_id string, run_number int"
-RUNTIME = "latency_ms double, input_tokens long, output_tokens long, total_cost_usd double, cache_hit boolean, cached_input_tokens long, cache_write_tokens long, error string"
-SCORES = "success boolean, field_total int, field_correct int, critical_total int, critical_correct int, field_accuracy_pct double, critical_accuracy_pct double, found_key_count int, requested_key_count int"
-PAYLOAD = "system_prompt_used string, user_prompt_used string, raw_output string, parsed_output string, extracted_pairs array<struct<key string, value string, found boolean>>"
-MEMBERS = ("task_key", "model", "document", "runtime", "payload", "legacy_metrics")
-_names = lambda ddl: [x.split(" ")[0] for x in ddl.split(", ") if " " in x and not x.startswith(("value ", "found "))]
-
+from ..functions import jsontree as T
+from ..functions import records as R
 
-def _truthy(line: Column, *members: str) -> Column:
-    """Whether all members are there and neither null, empty, zero nor false."""
-    out = F.lit(True)
-    for m in members:
-        out = out & ~F.coalesce(F.get_json_object(line, f"$.{m}"), F.lit("")).isin("", "{}", "[]", "0", "0.0", "false", "null")
-    return out
+#: Who answers, how models are graded, how values are compared.
+PROVIDERS, TIERS = ("anthropic", "openai", "google", "mistral"), ("budget", "balanced", "sota")
+MATCH_MODES = ("exact", "normalized_text", "contains", "numeric")
+_must = lambda kind, *names: [(n, kind, "must") for n in names]
+#: The members of records.
+MODEL = [("model_key", "text", "must"), ("provider", PROVIDERS, "must"), ("model_id", "text", "must"), ("model_label", "text", "must"), ("tier", TIERS, "must")]
+DOCUMENT = [*_must("text", "domain", "document_id"), ("run_number", "int", "must")]
+RUNTIME = [
+    ("latency_ms", "int", "must"), ("input_tokens", "int", "must"), ("output_tokens", "int", "must"), ("total_cost_usd", "float", "must"), ("cache_hit", "bool", "must"),
+    ("cached_input_tokens", "int", "must"), ("cache_write_tokens", "int", "must"), ("error", "text", "there"),
+]
+SCORES = [
+    ("success", "bool", "must"), *_must("int", "field_total", "field_correct", "critical_total", "critical_correct"), *_must("float", "field_accuracy_pct", "critical_accuracy_pct"),
+    *_must("int", "found_key_count", "requested_key_count"),
+]
+PAIR = [("key", "text", "must"), ("value", "text", "must"), ("found", "bool", "must")]
+COMPARISON = [
+    ("key", "text", "must"), ("critical", "bool", "must"), ("scored", "bool", "must"), ("expected_values", "texts", "must"), ("extracted_value", "text", "must"),
+    ("matched", "bool", "must"), ("match_mode", MATCH_MODES, "must"),
+]
+PAYLOAD = [
+    ("system_prompt_used", "text", "may"), ("user_prompt_used", "text", "may"), ("raw_output", "text", "must"), ("parsed_output", "any", "there"), ("extracted_pairs", PAIR, "may"),
+    ("key_comparisons", COMPARISON, "may"),
+]
+METRICS = [("task_key", "text", "may"), *MODEL, *DOCUMENT, *SCORES, *RUNTIME]
+DEBUG = [("task_key", "text", "may"), *MODEL, *DOCUMENT, *SCORES, *[(n, k, "may" if n in ("input_tokens", "output_tokens") else need) for n, k, need in RUNTIME], *PAYLOAD]
+CANONICAL = {"model": MODEL, "document": DOCUMENT, "runtime": RUNTIME, "payload": [*_must("text", "system_prompt_used", "user_prompt_used", "raw_output"), ("parsed_output", "any", "there"), ("extracted_pairs", PAIR, "must")], "legacy_metrics": SCORES}
+_names = lambda fields: [n for n, _, _ in fields]
 
 
 def _last(rows: DataFrame, key: Column) -> DataFrame:
@@ -36,38 +54,52 @@ def _last(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("_key")).agg(F.max_by(whole, "ordinal").alias("r")).select("r.*")
 
 
-def checkpoint_records(lines: DataFrame) -> DataFrame:
-    """``lines``: ordinal, value. The last record of each task with metrics and debug: ordinal, task_key, completed_at, metrics, debug."""
-    shape = f"task_key string, completed_at string, metrics struct<{_typed(IDENTITY, RUNTIME, SCORES)}>, debug struct<{_typed(PAYLOAD)}>"
-    at = F.get_json_object("value", "$.completed_at")
-    text = F.when(F.expr("typeof(value) = 'string'") & F.coalesce(F.schema_of_variant(F.variant_get(F.try_parse_json("value"), "$.completed_at", "variant")) == "STRING", F.lit(False)), at)
-    rows = lines.filter(_truthy(F.col("value"), "task_key", "metrics", "debug")).select("ordinal", F.from_json("value", shape).alias("r"), text.alias("at"))
-    return _last(rows.select("ordinal", "r.task_key", F.col("at").alias("completed_at"), "r.metrics", "r.debug"), F.col("task_key"))
+def _checked(rows: DataFrame, valid: Column, strict: bool) -> DataFrame:
+    if not strict:
+        return rows.filter(valid)
+    return rows.filter(F.when(valid, True).otherwise(F.raise_error(F.lit("a record is not valid")).cast("boolean")))
 
 
-def _typed(*ddl: str) -> str:
-    """Members of a struct, out of a column list."""
-    return ", ".join(ddl).replace(" string", ": string").replace(" int", ": int").replace(" long", ": bigint").replace(" double", ": double").replace(" boolean", ": boolean").replace(" array", ": array")
+def checkpoint_records(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """``lines``: ordinal, value. The last valid record of each task that has metrics and debug: ordinal, task_key, completed_at, metrics, debug."""
+    rows = R.objects(lines, "value", ["task_key", "completed_at", "metrics", "debug"])
+    rows = rows.filter(R.truthy_text(F.col("_o.stask_key")) & R.truthy_text(F.col("_o.smetrics")) & R.truthy_text(F.col("_o.sdebug")))
+    text = lambda n: R._value(F.col(f"_o.s{n}"), "text")
+    rows = rows.select("ordinal", text("task_key").alias("task_key"), text("completed_at").alias("completed_at"), F.col("_o.scompleted_at").alias("_at"), R.record(F.col("_o.smetrics"), METRICS).alias("metrics"), R.record(F.col("_o.sdebug"), DEBUG).alias("debug"))
+    valid = F.col("task_key").isNotNull() & (F.col("_at").isNull() | F.col("completed_at").isNotNull()) & F.col("metrics").isNotNull() & F.col("debug").isNotNull()
+    return _last(_checked(rows, valid, strict).drop("_at"), F.col("task_key"))
 
 
 def debug_key(run: Callable[[str], Column]) -> Column:
     """A debug run's own task key, else model::domain::document::run and its number."""
     own = run("task_key")
-    return F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat(run("model_key"), F.lit("::"), run("domain"), F.lit("::"), run("document_id"), F.lit("::run"), run("run_number")))
-
-
-def debug_runs(documents: DataFrame) -> DataFrame:
-    """``documents``: json. The last run of each task in the lists ``runs``: ordinal, task_key and the run's members."""
-    shape = f"struct<runs: array<struct<task_key: string, {_typed(IDENTITY, RUNTIME, SCORES, PAYLOAD)}>>>"
-    rows = documents.select(F.posexplode(F.from_json("json", shape)["runs"]).alias("ordinal", "r"))
-    rows = rows.select("ordinal", debug_key(lambda c: F.col(f"r.{c}")).alias("task_key"), *(F.col(f"r.{c}").alias(c) for c in _names(", ".join((IDENTITY, RUNTIME, SCORES, PAYLOAD)))))
+    return F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat(run("model_key"), F.lit("::"), run("domain"), F.lit("::"), run("document_id"), F.lit("::run"), run("run_number").cast("string")))
+
+
+def debug_runs(documents: DataFrame, strict: bool = True) -> DataFrame:
+    """``documents``: json, and ordinal if there are several. The last run of each task in their lists
+    ``runs``: ordinal, task_key and the run's members. A run that is not valid fails the job, or goes
+    without ``strict``; a document without a list of runs has none."""
+    order = F.col("ordinal") if "ordinal" in documents.columns else F.lit(0)
+    listed = R.get_array(F.col("_node"), "runs")
+    each = documents.withColumn("_node", T.parsed(F.col("json"))).select(order.alias("_file"), F.posexplode(listed).alias("_at", "n"))
+    each = each.select(F.struct("_file", "_at").alias("ordinal"), R.record(F.when(F.col("n.kind") == "object", F.col("n.text")), DEBUG).alias("r"))
+    each = _checked(each, F.col("r").isNotNull(), strict)
+    rows = each.select("ordinal", debug_key(lambda c: F.col(f"r.{c}")).alias("task_key"), *(F.col(f"r.{c}").alias(c) for c in _names(DEBUG)[1:]))
     return _last(rows, F.col("task_key"))
 
 
-def canonical_lines(lines: DataFrame) -> DataFrame:
-    """``lines``: ordinal, value. The last canonical record of each task, as its line: task_key, value."""
-    rows = lines.filter(_truthy(F.col("value"), *MEMBERS)).select("ordinal", F.get_json_object("value", "$.task_key").alias("task_key"), "value")
-    return _last(rows, F.col("task_key")).select("task_key", "value")
+def canonical_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """``lines``: ordinal, value. The last canonical record of each task, as its line: task_key, value. Of
+    records that have all members one that is not valid fails the job, or goes without ``strict``."""
+    rows = R.objects(lines, "value", ["schema_version", "task_key", "completed_at", *CANONICAL])
+    for m in ("task_key", *CANONICAL):
+        rows = rows.filter(R.truthy_text(F.col(f"_o.s{m}")))
+    valid = (F.col("_o.sschema_version") == "s1.0") & F.col("_o.stask_key").startswith("s") & (F.col("_o.scompleted_at").isNull() | F.col("_o.scompleted_at").startswith("s"))
+    for m, fields in CANONICAL.items():
+        valid = valid & R.record(F.col(f"_o.s{m}"), fields).isNotNull()
+    rows = _checked(rows, F.coalesce(valid, F.lit(False)), strict)
+    return _last(rows.select("ordinal", F.substring("_o.stask_key", F.lit(2), F.length("_o.stask_key")).alias("task_key"), "value"), F.col("task_key")).select("task_key", "value")
 
 
 def _canonical(key: Column, completed: Column, of: Callable[[str], Column], text: Callable[[str], Column], tokens: Callable[[str], Column]) -> list[Column]:
@@ -75,7 +107,7 @@ def _canonical(key: Column, completed: Column, of: Callable[[str], Column], text
     blank = lambda n: F.coalesce(text(n), F.lit("")).alias(n)
     none = F.array().cast("array<struct<key: string, value: string, found: boolean>>")
     return [
-        F.lit("1.0").alias("schema_version"), key.alias("task_key"), completed.alias("completed_at"), pick(_names(IDENTITY)[:5]).alias("model"), pick(_names(IDENTITY)[5:]).alias("document"),
+        F.lit("1.0").alias("schema_version"), key.alias("task_key"), completed.alias("completed_at"), pick(_names(MODEL)).alias("model"), pick(_names(DOCUMENT)).alias("document"),
         F.struct(*((tokens(n) if n in ("input_tokens", "output_tokens") else of(n)).alias(n) for n in _names(RUNTIME))).alias("runtime"),
         F.struct(*(blank(n) for n in ("system_prompt_used", "user_prompt_used", "raw_output")), text("parsed_output").alias("parsed_output"), F.coalesce(text("extracted_pairs"), none).alias("extracted_pairs")).alias("payload"),
         pick(_names(SCORES)).alias("legacy_metrics"),
@@ -142,6 +174,7 @@ def option_list(text: str | None) -> list[str] | None:
 
 def comparable_options(options: dict) -> dict:
     """Run options as they are compared: in a fixed order, lists sorted, without what is not set."""
+    #: The options and their order.
     order = ("runs_per_model", "max_parallel_requests", "max_documents_per_domain", "provider_parallel", "domains", "models")
     known = {k: options.get(k) for k in order}
     known |= {k: sorted(known[k]) if known[k] else None for k in ("domains", "models")}
@@ -150,6 +183,7 @@ def comparable_options(options: dict) -> dict:
 
 def fingerprint(options: dict, files: Iterable[tuple[str, str]]) -> str:
     """SHA-256 of the options and of files (name, content), each framed by its name. A log is resumed only under the same one."""
+    #: Fixed value: the frame of a file.
     h = hashlib.sha256(json.dumps(comparable_options(options), separators=(",", ":"), ensure_ascii=False).encode())
     for name, content in files:
         h.update(f"\n@@{name}@@\n{content}".encode())

@@ -338,24 +338,41 @@ def truncation_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", T.looks_truncated(s, JT.let(J.first_json(s), JT.truthy)).alias("truncated"), retry_ceiling(F.col("n_chars")).alias("ceiling"))
 
 
+_GRADES = ("budget", "balanced", "sota")
+
+
 def _lines(spark, d):
-    """The log as checkpoint lines; every fifth record has no debug members, so it does not count."""
-    x = log(spark, d)
-    cast = {"latency_ms": "double"}
-    own = {"provider": F.split("model_key", ":")[0], "model_id": F.split("model_key", ":")[1], "model_label": F.upper("model_key"), "tier": F.lit(None).cast("string"), "run_number": (F.col("ordinal") % 40).cast("int"), "total_cost_usd": F.col("cost_micro") / 1e6, "cached_input_tokens": F.col("cached_tokens"), "cache_write_tokens": F.lit(0), "field_accuracy_pct": F.lit(0.0), "critical_accuracy_pct": F.lit(0.0), "found_key_count": F.col("found_keys"), "requested_key_count": F.col("requested_keys")}
-    names = A._names(", ".join((A.IDENTITY, A.RUNTIME, A.SCORES)))
-    value = lambda n: (own[n] if n in own else F.when(F.col("ordinal") % 3 == 0, None).otherwise(F.col(n)) if n == "input_tokens" else F.col(n).cast(cast[n]) if n in cast else F.col(n)).alias(n)
-    debug = F.when(F.col("ordinal") % 5 != 0, F.struct(F.lit("sys").alias("system_prompt_used"), F.when(F.col("ordinal") % 2 == 0, F.col("task_key")).alias("raw_output")))
-    line = A.checkpoint_line(F.struct(*map(value, names)), debug, F.col("task_key"), F.when(F.col("ordinal") % 4 != 0, F.lit("2024-01-01T00:00:00Z")))
-    return keep(x.select("ordinal", line.alias("value")))  # a log on disk
+    """The log as checkpoint lines, on disk. Every fifth record has no debug members, so it does not count; some
+    have members of a wrong type (a word for a number, a number for a text, an unknown grade, a pair without
+    its mark) and do not count either; some write numbers as texts, which do. Some keys are "0" and "false"."""
+    x, n = log(spark, d), F.col("ordinal")
+    key = F.when(n % 97 == 3, "0").when(n % 97 == 5, "false").otherwise(F.col("task_key"))
+    k = F.split("model_key", ":")[1]
+    provider = F.get(F.array(*(F.lit(p) for p in A.PROVIDERS)), F.substring("model_key", 2, 1).cast("int"))
+    of = {
+        "provider": provider, "model_id": k, "model_label": F.upper("model_key"), "tier": F.when(n % 19 == 4, "best").otherwise(F.get(F.array(*(F.lit(g) for g in _GRADES)), (n % 3).cast("int"))),
+        "run_number": (n % 40).cast("int"), "total_cost_usd": F.col("cost_micro") / 1e6, "cached_input_tokens": F.col("cached_tokens"), "cache_write_tokens": F.lit(0), "field_accuracy_pct": F.lit(0.0), "critical_accuracy_pct": F.lit(0.0),
+        "found_key_count": F.col("found_keys"), "requested_key_count": F.col("requested_keys"), "latency_ms": F.when(n % 19 == 3, "bad").otherwise(F.col("latency_ms").cast("string")), "document_id": F.col("document_id"),
+    }
+    own = lambda names: [of.get(c, F.col(c) if c in x.columns else F.lit(None)).alias(c) for c in names]
+    metrics = F.struct(*own([c for c in A._names(A.METRICS) if c != "task_key"]))
+    pairs = F.array(F.struct(F.lit("k").alias("key"), F.lit("v").alias("value"), F.when(n % 19 != 5, True).alias("found")))
+    more = {"input_tokens": F.when(n % 3 != 0, F.col("input_tokens")), "raw_output": F.when(n % 2 == 0, F.col("task_key")).otherwise("")}
+    rest = {"system_prompt_used": F.lit("sys"), "parsed_output": F.lit(None).cast("string"), "extracted_pairs": F.when(n % 4 == 1, pairs)}
+    debug = F.struct(*(more.get(c, of.get(c, F.col(c) if c in x.columns else F.lit(None))).alias(c) for c in A._names(A.MODEL + A.DOCUMENT + A.SCORES + A.RUNTIME)), more["raw_output"].alias("raw_output"), *(v.alias(c) for c, v in rest.items()))
+    line = A.checkpoint_line(metrics, F.when(n % 5 != 0, debug), key, F.when(n % 4 != 0, "2024-01-01T00:00:00Z"))
+    odd = F.when(n % 19 == 6, F.regexp_replace(line, '"completed_at":"[^"]*"', '"completed_at":5')).when(n % 19 == 7, F.concat(line, F.lit(" x"))).otherwise(line)
+    return keep(x.select("ordinal", odd.alias("value")))  # a log on disk
 
 
 def _flat_contract(c):
-    return c.select("task_key", "completed_at", "model.provider", "model.model_label", "document.document_id", "document.run_number", "runtime.input_tokens", "runtime.error", "payload.raw_output", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"), "legacy_metrics.field_total")
+    return c.select("task_key", "completed_at", "model.provider", "model.model_label", "model.tier", "document.document_id", "document.run_number", "runtime.latency_ms", "runtime.input_tokens", "runtime.error", "payload.raw_output", F.size("payload.extracted_pairs").cast("long").alias("n_pairs"), "legacy_metrics.field_total")
 
 
-_CANONICAL = """c AS (SELECT * FROM log WHERE ordinal % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY task_key ORDER BY ordinal DESC) = 1)"""
-_FLAT = "split_part(model_key, ':', 1) AS provider, upper(model_key) AS model_label, document_id, ordinal % 40 AS run_number"
+_VALID = "ordinal % 5 <> 0 AND ordinal % 19 NOT IN (3, 4, 7) AND NOT (ordinal % 19 = 5 AND ordinal % 4 = 1) AND NOT (ordinal % 19 = 6 AND ordinal % 4 <> 0)"
+_CANONICAL = f"""c AS (SELECT * REPLACE (CASE ordinal % 97 WHEN 3 THEN '0' WHEN 5 THEN 'false' ELSE task_key END AS task_key), task_key AS said FROM log WHERE {_VALID}
+  QUALIFY row_number() OVER (PARTITION BY CASE ordinal % 97 WHEN 3 THEN '0' WHEN 5 THEN 'false' ELSE task_key END ORDER BY ordinal DESC) = 1)"""
+_FLAT = "['anthropic', 'openai', 'google', 'mistral'][CAST(model_key[2] AS INT) + 1] AS provider, upper(model_key) AS model_label, ['budget', 'balanced', 'sota'][ordinal % 3 + 1] AS tier, document_id, ordinal % 40 AS run_number, latency_ms"
 
 
 def raw_contract(spark, d):
@@ -364,11 +381,13 @@ def raw_contract(spark, d):
 
 
 def debug_contract(spark, d):
-    """Canonical raw records of debug snapshots, one per document, of runs without a task key of their own."""
-    m = F.from_json("value", f"metrics struct<{A._typed(A.IDENTITY, A.RUNTIME, A.SCORES)}>")["metrics"]
-    per = _lines(spark, d).select("ordinal", m.alias("m")).groupBy("m.document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "m"))).alias("r"))
-    docs = per.select(F.to_json(F.struct(F.transform("r", lambda x: x["m"]).alias("runs"))).alias("json"))
-    return _flat_contract(A.from_debug(A.debug_runs(docs)))
+    """Canonical raw records of debug snapshots, one for every hundred records of the log, of runs without a task key of their own."""
+    debug = F.get_json_object("value", "$.debug")
+    part = F.floor(F.col("ordinal") / 100)
+    runs_ = _lines(spark, d).select(part.alias("part"), "ordinal", debug.alias("run")).filter("run is not null")
+    docs = runs_.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "run"))), lambda x: x["run"]), ",").alias("r"))
+    docs = docs.select(F.col("part").alias("ordinal"), F.concat(F.lit('{"runs":['), "r", F.lit("]}")).alias("json"))
+    return _flat_contract(A.from_debug(A.debug_runs(docs, strict=False)))
 
 
 def export_summary(spark, d):
@@ -378,6 +397,7 @@ def export_summary(spark, d):
 def canonical_raw(spark, d):
     """The canonical records, written as lines and read back; the last of each task counts."""
     c = A.from_checkpoint(A.checkpoint_records(_lines(spark, d)))
+    c = c.withColumn("payload", F.col("payload").withField("parsed_output", F.lit(None).cast("string")))
     lines = c.select(F.lit(1).alias("ordinal"), F.to_json(F.struct(*c.columns), {"ignoreNullFields": "false"}).alias("value"))
     return A.canonical_lines(lines).select("task_key", F.get_json_object("value", "$.runtime.latency_ms").cast("double").alias("latency_ms"))
 
@@ -453,8 +473,8 @@ QUERIES = {
     "prompt_render": (prompt_render, _PROMPT),
     "markdown_table": (markdown_table, _MARKDOWN),
     "truncation_flag": (truncation_flag, None),
-    "raw_contract": (raw_contract, f"WITH {LOG}, {_CANONICAL} SELECT task_key, CASE WHEN ordinal % 4 <> 0 THEN '2024-01-01T00:00:00Z' END AS completed_at, {_FLAT}, CASE WHEN ordinal % 3 <> 0 THEN input_tokens END AS input_tokens, error, CASE WHEN ordinal % 2 = 0 THEN task_key ELSE '' END AS raw_output, 0 AS n_pairs, field_total FROM c"),
-    "debug_contract": (debug_contract, f"WITH {LOG}, c AS (SELECT *, concat_ws('::', model_key, domain, document_id, 'run' || CAST(ordinal % 40 AS VARCHAR)) AS k FROM log QUALIFY row_number() OVER (PARTITION BY k ORDER BY ordinal DESC) = 1) SELECT k AS task_key, CAST(NULL AS VARCHAR) AS completed_at, {_FLAT}, CASE WHEN ordinal % 3 <> 0 THEN input_tokens ELSE 0 END AS input_tokens, error, '' AS raw_output, 0 AS n_pairs, field_total FROM c"),
+    "raw_contract": (raw_contract, f"WITH {LOG}, {_CANONICAL} SELECT task_key, CASE WHEN ordinal % 4 <> 0 THEN '2024-01-01T00:00:00Z' END AS completed_at, {_FLAT}, input_tokens, error, CASE WHEN ordinal % 2 = 0 THEN said ELSE '' END AS raw_output, CASE WHEN ordinal % 4 = 1 THEN 1 ELSE 0 END AS n_pairs, field_total FROM c"),
+    "debug_contract": (debug_contract, f"WITH {LOG}, c AS (SELECT *, concat_ws('::', model_key, domain, document_id, 'run' || CAST(ordinal % 40 AS VARCHAR)) AS k FROM log WHERE ordinal % 5 <> 0 AND ordinal % 19 NOT IN (3, 4) AND NOT (ordinal % 19 = 5 AND ordinal % 4 = 1) QUALIFY row_number() OVER (PARTITION BY k ORDER BY ordinal DESC) = 1) SELECT k AS task_key, CAST(NULL AS VARCHAR) AS completed_at, {_FLAT}, CASE WHEN ordinal % 3 <> 0 THEN input_tokens ELSE 0 END AS input_tokens, error, CASE WHEN ordinal % 2 = 0 THEN task_key ELSE '' END AS raw_output, CASE WHEN ordinal % 4 = 1 THEN 1 ELSE 0 END AS n_pairs, field_total FROM c"),
     "export_summary": (export_summary, f"WITH {LOG}, {_CANONICAL} SELECT 'model' AS kind, upper(model_key) AS name, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'domain', domain, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'records', '', count(*) FROM c UNION ALL SELECT 'errored', '', count(error) FROM c"),
     "canonical_raw": (canonical_raw, f"WITH {LOG}, {_CANONICAL} SELECT task_key, CAST(latency_ms AS DOUBLE) AS latency_ms FROM c"),
     "key_sets": (key_sets, f"WITH {LOG} SELECT task_key, CASE WHEN bool_or(ordinal % 3 = 0) AND bool_or(ordinal % 3 <> 0) THEN 'both' WHEN bool_or(ordinal % 3 = 0) THEN 'left' ELSE 'right' END AS side FROM log GROUP BY task_key"),
