@@ -71,7 +71,7 @@ class WordIds:
             parts.append(c)
         new = [c for c in missing if c not in self.chunks]
         if new:
-            words = {c: ws for c in new if len(ws := _WORD.findall(c)) != 1}
+            words = {c: ws for c in new if not c.isalpha() and len(ws := _WORD.findall(c)) != 1}  # letters alone are one word
             self._learn([c for c in new if c not in words], self.chunks)  # a word by itself is kept once
             self._learn(list({w for ws in words.values() for w in ws if w not in self.known and w not in self.chunks}), self.known)
             self.chunks.update([(c, b"".join([self.known[w] if w in self.known else self.chunks[w] for w in ws])) for c, ws in words.items()])
