@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, documents, scalars
+from . import aggregates, documents, scalars, services
 
-_PARTS = (aggregates, scalars, documents)
+_PARTS = (aggregates, scalars, documents, services)
 
 
 def queries() -> dict:
