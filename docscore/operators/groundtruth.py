@@ -210,6 +210,21 @@ def selected_documents(documents: DataFrame, domains: list[str] | None = None, m
     return some.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
 
 
+def ran(documents: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents that some run is about, by domain in any case and id; before any file is read."""
+    done = runs.select(F.lower("domain").alias("_d"), F.col("document_id").alias("_i")).distinct()
+    return documents.join(done, (F.lower("domain") == F.col("_d")) & (F.col("document_id") == F.col("_i")), "left_semi")
+
+
+def prepared(spark, documents: DataFrame, folder: str) -> DataFrame:
+    """``documents``: domain, document_id, truth (a path below ``folder``), as they were selected. With json,
+    the text of each one's file; only these files are opened."""
+    from ..sources.files import selected_files
+
+    found = selected_files(spark, folder, documents, "truth").select(F.col("name").alias("truth"), F.col("text").alias("json"))
+    return documents.join(found, "truth")
+
+
 def selected_models(models: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Models whose id or label is named, in any case; all without names. None selected raises."""
     names = [w.strip().lower() for w in wanted or [] if w.strip()]

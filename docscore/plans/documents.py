@@ -19,6 +19,7 @@ from ..operators import matching as M
 from ..operators import render, runner, scoring
 from ..operators.checkpoint import first_nonempty
 from ..session import keep
+from ..sources import files
 from ..streaming import leaderboard as S
 from .adapters import LOG, RUNS, log, runs, table
 from .aggregates import ONLINE, r
@@ -217,11 +218,11 @@ def dataset_validate(spark, d):
     k = F.col("page_id")
     p = table(spark, d, "pages")
     text = F.when(k % 13 == 1, '{"a": ').when(k % 13 == 2, '{"keys": []}').when(k % 13 == 3, '{"a": {"b": 1}, "c": [{"d": [1]}]}').otherwise('{"a": {"b": {"value": 1}}}')
-    files = p.filter("page_id % 11 <> 0").select(F.concat(F.lit("gt/"), k).alias("path"), text.alias("json"))
-    files = files.unionByName(p.filter("page_id < 190").select(F.concat(F.lit("documents/a/src"), k, F.lit(".pdf")).alias("path"), F.lit(None).cast("string").alias("json")))
-    files = files.unionByName(p.filter("page_id < 5").select(F.concat(F.lit("documents/a/"), F.when(k % 2 == 0, "full_size").otherwise(F.concat(F.lit("odd"), k)), F.lit("/x.PDF")).alias("path"), F.lit(None).cast("string").alias("json")))
+    there = p.filter("page_id % 11 <> 0").select(F.concat(F.lit("gt/"), k).alias("path"), text.alias("json"))
+    there = there.unionByName(p.filter("page_id < 190").select(F.concat(F.lit("documents/a/src"), k, F.lit(".pdf")).alias("path"), F.lit(None).cast("string").alias("json")))
+    there = there.unionByName(p.filter("page_id < 5").select(F.concat(F.lit("documents/a/"), F.when(k % 2 == 0, "full_size").otherwise(F.concat(F.lit("odd"), k)), F.lit("/x.PDF")).alias("path"), F.lit(None).cast("string").alias("json")))
     domains = _manifest(spark, d).groupBy("domain").agg(F.count("*").cast("int").alias("listed")).select("domain", (F.col("listed") + F.when(F.col("domain") == "dom1", 1).otherwise(0)).alias("document_count"), "listed", (F.col("domain") != "dom2").alias("valid"))
-    return G.validate(_manifest(spark, d), files, domains).groupBy("rule", "document_id").agg(F.count("*").alias("n"))
+    return G.validate(_manifest(spark, d), there, domains).groupBy("rule", "document_id").agg(F.count("*").alias("n"))
 
 
 _VALIDATE = """WITH m AS (SELECT page_id, CASE WHEN page_id % 50 = 7 THEN '' ELSE 'doc-' || CASE WHEN page_id % 40 = 3 THEN page_id + 1 ELSE page_id END END AS document_id, page_id % 200 AS source FROM pages),
@@ -261,6 +262,44 @@ def selected_documents(spark, d):
 _SELECTED = "SELECT 'dom' || page_id % 3 AS domain, page_id AS position FROM pages WHERE page_id % 3 IN (1, 2) QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) <= 50"
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder of our own in the shared one."""
+    sc = spark.sparkContext
+    keep(spark.range(1))  # sees to it that there is one
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def selected_truth(spark, d):
+    """Ground truth of those documents alone that were run with an error by one provider: thirty files, of which the others are not opened."""
+    n = F.col("c_custkey") % 30
+    docs = table(spark, d, "customer").groupBy(n.alias("n")).agg(F.format_string('{"total":{"value":%d,"critical":true},"most":[{"name":{"value":"%s"}}]}', F.count("*"), F.max("c_name")).alias("value"))
+    folder = _folder(spark, "truth")
+    docs.select(F.concat(F.lit("doc-"), "n").alias("doc"), "value").repartition("doc").write.partitionBy("doc").text(folder)
+    documents = docs.select(F.concat(F.lit("D"), F.col("n") % 3).alias("domain"), F.concat(F.lit("doc-"), "n").alias("document_id"), F.concat(F.lit("doc=doc-"), "n").alias("truth"))
+    some = G.ran(documents, runs(spark, d).filter("error is not null and model_key like 'p1:%' and ordinal % 30 <> 0"))
+    k = G.keys(G.prepared(spark, some, folder).select(F.col("document_id").alias("doc"), "json"))
+    return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"))
+
+
+_SELECTED_TRUTH = f"""WITH {RUNS}, s AS (SELECT DISTINCT document_id FROM runs WHERE error IS NOT NULL AND starts_with(model_key, 'p1:') AND ordinal % 30 <> 0),
+f AS (SELECT 'doc-' || c_custkey % 30 AS doc, count(*) AS n, max(c_name) AS most FROM customer GROUP BY ALL)
+SELECT doc, 1 AS ordinal, 'total' AS name, true AS critical, CAST(n AS VARCHAR) AS expected FROM f SEMI JOIN s ON doc = document_id UNION ALL SELECT doc, 2, 'name', false, most FROM f SEMI JOIN s ON doc = document_id"""
+
+
+def log_file(spark, d):
+    """The run log as files of many splits, read without reading any of them whole; the last record of each task counts."""
+    folder = _folder(spark, "log")
+    x = log(spark, d)
+    line = F.to_json(F.struct("task_key", "ordinal", "latency_ms"))
+    x.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").select(F.when(F.col("ordinal") % 50 == 7, F.concat(line, F.lit("\n\nbroken {"))).otherwise(line).alias("value")).write.text(folder)
+    read = files.json_lines(spark, folder, "task_key string, ordinal long, latency_ms long")
+    last = read.groupBy("task_key").agg(F.max_by(F.struct("ordinal", "latency_ms"), F.struct("file", "line")).alias("r"), F.max_by("ordinal", F.struct("file", "position")).alias("by_position"))
+    return last.select("task_key", "r.ordinal", "r.latency_ms", "by_position")
+
+
+_LOG_FILE = f"WITH {LOG} SELECT task_key, ordinal, latency_ms, ordinal AS by_position FROM latest"
+
+
 def dataset_warnings(spark, d):
     """Domains with nothing labelled, not all labelled, or fewer than ten documents."""
     g = G.dataset_summary(_label_keys(spark, d))
@@ -466,6 +505,8 @@ QUERIES = {
     "raw_summary": (raw_summary, _RAW_SUMMARY),
     "label_summary": (label_summary, _LABEL_SUMMARY),
     "selected_documents": (selected_documents, _SELECTED),
+    "selected_truth": (selected_truth, _SELECTED_TRUTH),
+    "log_file": (log_file, _LOG_FILE),
     "dataset_warnings": (dataset_warnings, f"WITH {_LABEL_KEYS}, g AS (SELECT domain, count(DISTINCT doc) AS d, count(*) AS k, count(*) FILTER (labelled) AS l FROM k GROUP BY domain) SELECT domain, 'none_labelled' AS warning FROM g WHERE l = 0 UNION ALL SELECT domain, 'not_all_labelled' FROM g WHERE l < k UNION ALL SELECT domain, 'few_documents' FROM g WHERE d < 10"),
     "name_match": (name_match, _NAME_MATCH),
     "artifact_diff": (artifact_diff, _DIFF),
