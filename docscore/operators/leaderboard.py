@@ -4,8 +4,8 @@ A runs table has: ordinal (order of the log), task_key, model_key, domain, docum
 success, field_total, field_correct, critical_total, critical_correct, found_keys,
 requested_keys, latency_ms, cost_micro (millionths of a USD), cache_hit, cached_tokens,
 input_tokens, output_tokens. Money is summed in whole millionths, so that sums do not depend
-on the order of rows. All aggregates are hash aggregates with partial sums; only percentiles
-gather a group's values.
+on the order of rows. All aggregates are hash aggregates with partial sums; percentiles and
+running counters go by blocks (see blocks), so no task holds a model's or a document's values.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import combinations, mean0, nearest_rank, nearest_rank0, pct, round_half, stddev0, variation
+from ..functions.rounding import combinations, mean0, pct, round_half, stddev0, variation
+from .blocks import running, with_ranks
 
 PASS_AT = (2, 3, 5, 10)
 
@@ -32,6 +33,10 @@ def _when(cond: Column, value: Column) -> Column:
     return F.when(cond, value)
 
 
+def _zero(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0.0))
+
+
 def usd(micro: Column) -> Column:
     return micro / F.lit(1e6)
 
@@ -50,12 +55,12 @@ def online(runs: DataFrame, *keys: str) -> DataFrame:
     fields = _when(ok() & (F.col("field_total") > 0), acc)
     rows = runs.withColumn("_acc", fields).withColumn("_lat", _when(ok(), F.col("latency_ms"))).withColumn("_cost", _when(ok(), F.col("cost_micro")))
     done, wins = F.count("*"), F.count_if("success")
-    rows = rows.groupBy("model_key", *keys).agg(
+    totals = rows.groupBy("model_key", *keys).agg(
         F.min("ordinal").alias("first_seen"), done.alias("runs_completed"), wins.alias("successful_runs"), F.count_if(~ok()).alias("failed_runs"),
         mean0(F.col("_acc")).alias("fa"), stddev0(F.col("_acc")).alias("fs"), mean0(_when(ok() & (F.col("critical_total") > 0), crit)).alias("ca"),
-        mean0(F.col("_lat")).alias("la"), nearest_rank0("_lat", 95).alias("l95"),
-        F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"), F.count("_cost").alias("n_cost"), nearest_rank0("_cost", 95).alias("c95"), nearest_rank0("_acc", 5).alias("f05"),
+        mean0(F.col("_lat")).alias("la"), F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"), F.count("_cost").alias("n_cost"),
     )
+    rows = with_ranks(totals, rows, ["model_key", *keys], {"_lat": (95,), "_cost": (95,), "_acc": (5,)})
     rate = pct(F.col("successful_runs"), F.col("runs_completed"))
     mean_cost = F.when(F.col("n_cost") > 0, F.col("cost") / F.col("n_cost")).otherwise(0.0)
     out = rows.select(
@@ -63,11 +68,11 @@ def online(runs: DataFrame, *keys: str) -> DataFrame:
         *(round_half(F.when(F.col("runs_completed") >= n, F.pow(rate / 100, F.lit(n)) * 100), 2).alias(f"pass_at_{n}_pct") for n in PASS_AT),
         round_half(F.col("fa"), 2).alias("avg_field_accuracy_pct"), round_half(F.col("ca"), 2).alias("avg_critical_accuracy_pct"),
         round_half(variation(F.col("fa"), F.col("fs")), 2).alias("field_accuracy_variance_pct"),
-        round_half(F.col("la"), 1).alias("avg_latency_ms"), round_half(F.col("l95"), 1).alias("p95_latency_ms"),
+        round_half(F.col("la"), 1).alias("avg_latency_ms"), round_half(_zero("_lat_p95"), 1).alias("p95_latency_ms"),
         round_half(usd(F.col("cost")), 6).alias("total_cost_usd"), round_half(usd(mean_cost), 6).alias("avg_cost_per_run_usd"),
         F.when(F.col("n_cost") > 0, round_half(usd(mean_cost), 6)).alias("avg_cost_per_doc_usd"),
         F.when(F.col("successful_runs") > 0, round_half(usd(F.col("cost") / F.col("successful_runs")), 6)).alias("cost_per_success_usd"),
-        round_half(usd(F.col("c95")), 6).alias("p95_cost_usd"), round_half(F.col("f05"), 2).alias("p05_field_accuracy_pct"),
+        round_half(usd(_zero("_cost_p95")), 6).alias("p95_cost_usd"), round_half(_zero("_acc_p5"), 2).alias("p05_field_accuracy_pct"),
     )
     return out
 
@@ -122,12 +127,12 @@ def leaderboard_offline(runs: DataFrame) -> DataFrame:
     crit = round_half(pct(F.col("critical_correct"), F.col("critical_total")), 2)
     keys = round_half(pct(F.col("found_keys"), F.col("requested_keys")), 2)
     rows = runs.withColumn("_f", _when(no_error(), field)).withColumn("_lat", _when(no_error(), F.col("latency_ms"))).withColumn("_cost", _when(no_error(), F.col("cost_micro")))
-    rows = rows.groupBy("model_key").agg(
+    totals = rows.groupBy("model_key").agg(
         F.min("ordinal").alias("first_seen"), F.count("*").alias("runs_completed"), F.count_if("success").alias("successful_runs"), F.count_if(~no_error()).alias("failed_runs"),
         mean0(F.col("_f")).alias("fa"), stddev0(F.col("_f")).alias("fs"), mean0(_when(no_error(), crit)).alias("ca"), mean0(_when(no_error(), keys)).alias("ka"),
-        mean0(F.col("_lat")).alias("la"), stddev0(F.col("_lat")).alias("ls"), nearest_rank0("_lat", 95).alias("l95"),
-        F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"), F.count("_cost").alias("n_cost"), nearest_rank0("_cost", 95).alias("c95"),
+        mean0(F.col("_lat")).alias("la"), stddev0(F.col("_lat")).alias("ls"), F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"), F.count("_cost").alias("n_cost"),
     )
+    rows = with_ranks(totals, rows, ["model_key"], {"_lat": (95,), "_cost": (95,)})
     per = trials(runs)
     strict = pass_strict(per)
     mean_cost = F.when(F.col("n_cost") > 0, F.col("cost") / F.col("n_cost")).otherwise(0.0)
@@ -136,10 +141,10 @@ def leaderboard_offline(runs: DataFrame) -> DataFrame:
         *(f"pass_at_{n}_pct" for n in PASS_AT), *(f"pass_at_{n}_strict_pct" for n in PASS_AT),
         round_half(F.col("fa"), 2).alias("avg_field_accuracy_pct"), round_half(F.col("ca"), 2).alias("avg_critical_accuracy_pct"), round_half(F.col("ka"), 2).alias("avg_keys_found_pct"),
         round_half(F.col("fs"), 2).alias("field_pass_stddev_pct"), round_half(variation(F.col("fa"), F.col("fs")), 2).alias("field_accuracy_variance_pct"),
-        round_half(F.col("la"), 1).alias("avg_latency_ms"), round_half(F.col("l95"), 1).alias("p95_latency_ms"), round_half(F.col("ls"), 2).alias("latency_stddev_ms"),
+        round_half(F.col("la"), 1).alias("avg_latency_ms"), round_half(_zero("_lat_p95"), 1).alias("p95_latency_ms"), round_half(F.col("ls"), 2).alias("latency_stddev_ms"),
         round_half(variation(F.col("la"), F.col("ls")), 2).alias("latency_cv_pct"), round_half(usd(F.col("cost")), 6).alias("total_cost_usd"),
         round_half(usd(mean_cost), 6).alias("avg_cost_per_run_usd"), F.when(F.col("n_cost") > 0, round_half(usd(mean_cost), 6)).alias("avg_cost_per_doc_usd"),
-        F.when(F.col("successful_runs") > 0, round_half(usd(F.col("cost") / F.col("successful_runs")), 6)).alias("cost_per_success_usd"), round_half(usd(F.col("c95")), 6).alias("p95_cost_usd"),
+        F.when(F.col("successful_runs") > 0, round_half(usd(F.col("cost") / F.col("successful_runs")), 6)).alias("cost_per_success_usd"), round_half(usd(_zero("_cost_p95")), 6).alias("p95_cost_usd"),
     )
     return ranked(out)
 
@@ -169,26 +174,24 @@ def with_ranges(rows: DataFrame, ranges: DataFrame, *keys: str) -> DataFrame:
     return rows.join(packed, on, "left").withColumn("ranges", F.coalesce("ranges", F.create_map().cast(kind)))
 
 
-def range_stats(rows: DataFrame, measure: str, digits: int, *keys: str) -> DataFrame:
-    """Count, extremes, nearest-rank percentiles, mean (of decimals, so that ties round alike in any order) and deviation; null (count 0) for no values."""
-    r = lambda c: round_half(c, digits)
-    m = F.col(measure)
-    return rows.groupBy(*keys).agg(
-        F.lit(measure).alias("measure"), F.count(m).alias("count"), r(F.min(m).cast("double")).alias("min"), *(r(nearest_rank(measure, p)).alias(f"p{p:02d}") for p in (5, 50, 95)),
-        r(F.max(m).cast("double")).alias("max"), r(F.sum(m.cast("decimal(26,12)")).cast("double") / F.count(m)).alias("mean"), r(F.stddev_pop(m)).alias("stddev"),
-    )
+def range_stats(rows: DataFrame, measures: dict[str, int], *keys: str) -> DataFrame:
+    """A row per keys and measure (name to decimals): count, extremes, nearest-rank percentiles, mean (of decimals,
+    so that ties round alike in any order) and deviation; null (count 0) for no values. All measures are
+    taken in one pass."""
+    each = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(d).alias("digits"), F.col(m).cast("double").alias("value")) for m, d in measures.items()))))
+    v, by = F.col("value"), [*keys, "measure"]
+    totals = each.groupBy(*by, "digits").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v.cast("decimal(26,12)")).cast("double") / F.nullif(F.count(v), F.lit(0))).alias("mean"), F.stddev_pop(v).alias("stddev"))
+    full = with_ranks(totals, each, by, {"value": (5, 50, 95)})
+    r = lambda c: _rounded(F.col(c), F.col("digits"), sorted(set(measures.values())))
+    return full.select(*by, "count", *(r(c).alias(n) for c, n in (("min", "min"), ("value_p5", "p05"), ("value_p50", "p50"), ("value_p95", "p95"), ("max", "max"), ("mean", "mean"), ("stddev", "stddev"))))
 
 
-def _buckets(runs: DataFrame) -> DataFrame:
-    return runs.filter(no_error()).withColumn("bucket", F.explode(F.array(F.lit("overall"), F.lower("domain"))))
+def _rounded(x: Column, digits: Column, among: list[int]) -> Column:
+    return F.coalesce(*(F.when(digits == d, round_half(x, d)) for d in among))
 
 
-def _stacked(rows: DataFrame, measures: dict[str, int]) -> DataFrame:
-    parts = [range_stats(rows, m, d, "bucket", "model_key") for m, d in measures.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _buckets(runs: DataFrame) -> DataFrame:
+    return runs.filter(no_error()).withColumn("bucket", F.explode(F.array(F.lit("overall"), F.lower("domain"))))
 
 
 def metric_ranges_run(runs: DataFrame) -> DataFrame:
@@ -197,7 +200,7 @@ def metric_ranges_run(runs: DataFrame) -> DataFrame:
         "bucket", "model_key", F.when(F.col("success"), 100.0).otherwise(0.0).alias("success_pct_runs"), pct(F.col("critical_correct"), F.col("critical_total")).alias("critical_fields_pct"),
         pct(F.col("field_correct"), F.col("field_total")).alias("all_fields_pct"), F.col("latency_ms").cast("double").alias("latency_ms"),
     )
-    return _stacked(b, dict.fromkeys(("success_pct_runs", "critical_fields_pct", "all_fields_pct", "latency_ms"), 3))
+    return range_stats(b, dict.fromkeys(("success_pct_runs", "critical_fields_pct", "all_fields_pct", "latency_ms"), 3), "bucket", "model_key")
 
 
 def metric_ranges_doc(runs: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def metric_ranges_doc(runs: DataFrame) -> DataFrame:
         "bucket", "model_key", usd(F.col("cost") / F.col("t")).alias("cost_per_doc_usd"), F.when(F.col("s") > 0, usd(F.col("cost") / F.col("s"))).alias("cost_per_success_usd"),
         (F.col("s") / F.col("t") * 100).alias("success_pct_docs"), strict(3).alias("pass_at_3_strict_pct_docs"), strict(5).alias("pass_at_5_strict_pct_docs"),
     )
-    return _stacked(d, {"cost_per_doc_usd": 6, "cost_per_success_usd": 6, "success_pct_docs": 3, "pass_at_3_strict_pct_docs": 3, "pass_at_5_strict_pct_docs": 3})
+    return range_stats(d, {"cost_per_doc_usd": 6, "cost_per_success_usd": 6, "success_pct_docs": 3, "pass_at_3_strict_pct_docs": 3, "pass_at_5_strict_pct_docs": 3}, "bucket", "model_key")
 
 
 def cache_summary(runs: DataFrame) -> DataFrame:
@@ -230,11 +233,30 @@ def inferred_runs(runs: DataFrame) -> DataFrame:
 
 
 def progress(runs: DataFrame) -> DataFrame:
-    """Counters after each task of a document: completed, failed, and its share of the document's tasks."""
-    w = Window.partitionBy("document_id").orderBy("ordinal")
-    total = F.count("*").over(Window.partitionBy("document_id"))
-    done = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.select("ordinal", "document_id", done.alias("completed"), F.coalesce(F.sum((~ok()).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("failed"), (done == total).alias("document_complete"))
+    """Counters after each task of a document: completed, failed, and whether it was the document's last."""
+    r = running(runs.select("ordinal", "document_id", (~ok()).cast("long").alias("bad")), ["document_id"], ["ordinal"], {"completed": F.lit(1), "failed": F.col("bad")})
+    return r.select("ordinal", "document_id", "completed", "failed", (F.col("completed") == F.col("completed_total")).alias("document_complete"))
+
+
+def progress_lines(runs: DataFrame, total: int, expected: DataFrame) -> DataFrame:
+    """``runs``: ordinal, document_id, model_label, run_number, error; ``expected``: document_id, runs. What a run
+    reports of its tasks in their order: the first, the last, every twentieth part, failures and
+    documents that are done: ordinal, completed, line (without the time)."""
+    rows = runs.select("ordinal", "document_id", "model_label", "run_number", "error", (~ok()).cast("long").alias("bad"))
+    all_ = running(rows, [], ["ordinal"], {"completed": F.lit(1), "failed": F.col("bad")}).drop("completed_total", "failed_total")
+    each = running(all_, ["document_id"], ["ordinal"], {"of_document": F.lit(1)}).drop("of_document_total")
+    j = each.join(expected.select("document_id", F.col("runs").alias("wanted")), "document_id", "left")
+    return j.select("ordinal", "completed", report_line(F.col("completed"), F.col("failed"), total, F.col("of_document"), F.col("wanted"), F.col("document_id"), F.col("model_label"), F.col("run_number"), F.col("bad") == 1, F.col("error")).alias("line")).filter("line is not null")
+
+
+def report_line(completed: Column, failed: Column, total: int, of_document: Column, wanted: Column, document: Column, label: Column, number: Column, bad: Column, error: Column) -> Column:
+    """The line of one task's report; null where there is none."""
+    every = max(1, total // 20)
+    done = F.coalesce((wanted > 0) & (of_document == wanted), F.lit(False))
+    percent = F.format_string("%.1f", completed / total * 100) if total > 0 else F.lit("100.0")
+    head = F.format_string(f"%d/{total} (%s%%) | ok:%d fail:%d | model:%s run:%d", completed, percent, completed - failed, failed, label, number)
+    text = F.concat(head, F.when(done, F.format_string(" | document complete: %s (%d/%d)", document, of_document, wanted)).otherwise(""), F.when(bad, F.concat(F.lit(" | last error: "), F.coalesce(F.nullif(error, F.lit("")), F.lit("unknown error")))).otherwise(""))
+    return F.when((completed == 1) | (completed == total) | (completed % every == 0) | done | bad, text)
 
 
 def cost_projection(runs: DataFrame, target: int) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rounding import nearest_rank0, pct, round_half, stddev0, variation
+from ..functions.rounding import pct, round_half, stddev0, variation
 from ..operators import checkpoint as C
 from ..operators import leaderboard as L
+from ..operators.blocks import nearest_ranks
 from .adapters import LOG, RUNS, log, runs, table
 
 
@@ -115,7 +116,22 @@ def round_rules(spark, d):
 
 
 def percentile_rules(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*(nearest_rank0("l_extendedprice", p).alias(f"p{p:02d}") for p in (5, 50, 95)))
+    r = nearest_ranks(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"l_extendedprice": (5, 50, 95)})
+    return r.select("l_returnflag", "l_linestatus", *(F.col(f"l_extendedprice_p{p}").alias(f"p{p:02d}") for p in (5, 50, 95)))
+
+
+def progress_report(spark, d):
+    """What the run reports of all its tasks; a document is done after as many runs as one model had on it."""
+    x = runs(spark, d).withColumn("model_label", F.upper("model_key")).withColumn("run_number", (F.col("ordinal") % 40).cast("int"))
+    expected = x.groupBy("document_id").agg(F.countDistinct("model_key").alias("runs"))
+    return L.progress_lines(x, x.count(), expected)
+
+
+PROGRESS = f"""WITH {RUNS}, w AS (SELECT document_id, count(DISTINCT model_key) AS wanted FROM runs GROUP BY ALL), n AS (SELECT count(*) AS total FROM runs),
+r AS (SELECT *, count(*) OVER (ORDER BY ordinal) AS completed, count(*) FILTER (error <> '') OVER (ORDER BY ordinal) AS failed, count(*) OVER (PARTITION BY document_id ORDER BY ordinal) AS k FROM runs JOIN w USING (document_id), n)
+SELECT ordinal, completed, printf('%d/%d (%.1f%%) | ok:%d fail:%d | model:%s run:%d', completed, total, completed / (total * 1e0) * 100, completed - failed, failed, upper(model_key), ordinal % 40)
+  || CASE WHEN k = wanted THEN printf(' | document complete: %s (%d/%d)', document_id, k, wanted) ELSE '' END || CASE WHEN error <> '' THEN ' | last error: ' || error ELSE '' END AS line
+FROM r WHERE completed = 1 OR completed = total OR completed % greatest(1, total // 20) = 0 OR k = wanted OR error <> ''"""
 
 
 def cv_rules(spark, d):
@@ -193,6 +209,7 @@ QUERIES = {
         lambda s, d: L.progress(runs(s, d)),
         f"WITH {RUNS} SELECT ordinal, document_id, count(*) OVER w AS completed, CAST(coalesce(sum(CASE WHEN error <> '' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS failed, count(*) OVER w = count(*) OVER (PARTITION BY document_id) AS document_complete FROM runs WINDOW w AS (PARTITION BY document_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)",
     ),
+    "progress_report": (progress_report, PROGRESS),
     "cost_estimate": (
         cost_estimate,
         f"WITH {RUNS}, p(model_id, pi, po, pc) AS ({_PRICE_CASE}), t AS (SELECT *, ['gpt-5', 'o3', 'claude-haiku-3', 'gemini-3.1-flash-lite-preview', 'mistral-large-latest', 'unlisted'][ordinal % 6 + 1] AS model_id FROM runs) SELECT ordinal, model_id, {r('coalesce((greatest(input_tokens - cached_tokens, 0) * pi + greatest(cached_tokens, 0) * coalesce(pc, pi) + greatest(output_tokens, 0) * po) / 1e6, 0e0)', 9)} AS usd FROM t LEFT JOIN p USING (model_id)",
