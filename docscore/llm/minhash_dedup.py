@@ -8,9 +8,8 @@ coordinates of a shingle are one slice.
 
 Banding: COORDS coordinates in bands of ROWS. Documents with one shingle set are one class,
 whose representative has the smallest id; only representatives go on. Two of them are
-candidates when they share a band and their one-bit sketches (the lowest bit of each
-coordinate) agree as often as a link's would, less 6.5 standard deviations. A candidate is
-linked only if its full shingle sets confirm it.
+candidates when they share a band. A candidate is linked if its full shingle sets confirm it;
+before that only the sizes of the sets may rule it out, which is exact.
 
 No group emits all its pairs: first each representative is compared with its bands' leaders,
 and components are formed. Then only bands whose members lie in several components are looked
@@ -95,15 +94,13 @@ def _profile(k: int):
             out = []
             for one in shingle_sets(f["text"].tolist(), k):
                 if not len(one):
-                    out.append((0, 0, 0, None, None))
+                    out.append((0, 0, 0, None))
                     continue
                 sig = signature(one).astype(np.uint64)
                 keys = mix64((mix64(sig + _SALTS)).reshape(bands, ROWS).sum(axis=1, dtype=np.uint64))
-                bits = np.zeros(192, np.uint8)
-                bits[:COORDS] = sig & np.uint64(1)
-                out.append((len(one), *_sums(one), keys.view(np.int64), np.packbits(bits).view(np.int64)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pd.DataFrame({"doc_id": f["doc_id"], "t": f["t"], "n_shingles": pd.Series(cols[0], dtype="int64"), "set_a": pd.Series(cols[1], dtype="int64"), "set_b": pd.Series(cols[2], dtype="int64"), "bands": pd.Series(cols[3], dtype=object), "sketch": pd.Series(cols[4], dtype=object)})
+                out.append((len(one), *_sums(one), keys.view(np.int64)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pd.DataFrame({"doc_id": f["doc_id"], "t": f["t"], "n_shingles": pd.Series(cols[0], dtype="int64"), "set_a": pd.Series(cols[1], dtype="int64"), "set_b": pd.Series(cols[2], dtype="int64"), "bands": pd.Series(cols[3], dtype=object)})
 
     return run
 
@@ -143,7 +140,7 @@ def _against_leaders(docs: DataFrame, pairs: DataFrame, special: DataFrame | Non
 def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Of each row: doc_id, t (its text's hash), n_shingles, set_a, set_b (of its set), label (of its group; null alone), component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("t"))
-    profile = cut(docs.mapInPandas(trimmed(_profile(k)), "doc_id long, t long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"))
+    profile = cut(docs.mapInPandas(trimmed(_profile(k)), "doc_id long, t long, n_shingles long, set_a long, set_b long, bands array<long>"))
     linked = profile.filter("doc_id is not null and n_shingles > 0")
     # What is joined back to the rows it was made of is cut, so that AQE can split hot keys in the join.
     classes = cut(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.col("low")))
@@ -157,24 +154,19 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         other = special.select("set_a", "set_b", F.col("rep").alias("other"))
         classes = cut(classes.join(other, ["set_a", "set_b"], "left").select("set_a", "set_b", "low", "copies", F.coalesce("other", "rep").alias("rep")))
     reps = linked.join(classes, ["set_a", "set_b"]).filter("doc_id = low").dropDuplicates(["rep"])
-    s = F.col("sketch")
-    banded = cut(reps.select("rep", F.col("n_shingles").alias("n"), s[0].alias("s0"), s[1].alias("s1"), s[2].alias("s2"), F.explode("bands").alias("band")))
-    p = (1 + percent / 100) / 2
-    apart = int(COORDS * (1 - p) + 6.5 * (COORDS * p * (1 - p)) ** 0.5)
-
-    def differ(x: str, y: str):
-        return sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(3)), F.lit(0))
+    banded = cut(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
 
     def alike(x: str, y: str):
+        """What sets of a link's size must be."""
         n, m = F.col(f"{x}n"), F.col(f"{y}n")
-        return (differ(x, y) <= apart) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    # Round 1: each representative with the most alike of its bands' leaders. A band's leader is
+    # Round 1: each representative with its bands' leaders. A band's leader is
     # the member that has most company in its bands, so what a family was copied from leads it.
     sizes = cut(banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"))
     full = cut(banded.join(sizes, "band"))
     company = cut(full.groupBy("rep").agg(F.sum("c").alias("company")))
-    central = F.min(F.struct((-F.col("company")).alias("x"), F.col("rep").alias("l"), F.col("n").alias("ln"), *(F.col(f"s{i}").alias(f"ls{i}") for i in range(3))))
+    central = F.min(F.struct((-F.col("company")).alias("x"), F.col("rep").alias("l"), F.col("n").alias("ln")))
     leaders = cut(full.join(company, "rep").groupBy("band").agg(central.alias("z")).select("band", "z.*").drop("x"))
     led = full.join(leaders, "band").filter(F.col("rep") != F.col("l"))
     # (In bands of two, a pair that isn't alike is of no further use; larger bands need the differences below.)
@@ -193,14 +185,17 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     none = F.array().cast("array<long>")
     rest = cut(rest.withColumn("missing", F.coalesce("missing", none)).withColumn("added", F.coalesce("added", none)))
     # In each of these bands the members outside of its largest component meet all members.
-    cols = ("rep", "n", "s0", "s1", "s2", "comp", "missing", "added")
+    cols = ("rep", "n", "comp", "missing", "added")
     x = rest.filter("comp <> home").select("band", *(F.col(c).alias(f"x_{c}") for c in cols))
     y = rest.select("band", "home", "ln", *(F.col(c).alias(f"y_{c}") for c in cols))
     shared = F.col("ln") - F.size(F.array_union("x_missing", "y_missing")) + F.size(F.array_intersect("x_added", "y_added"))
+    size = lambda c: F.size(f"x_{c}"), lambda c: F.size(f"y_{c}")
+    most = F.col("ln") - F.greatest(*(s("missing") for s in size)) + F.least(*(s("added") for s in size))  # what they can share at most
+    enough = lambda both: 100 * both >= percent * (F.col("x_n") + F.col("y_n") - both)
     meet = y.join(
         x,
         (y["band"] == x["band"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep")))
-        & alike("x_", "y_") & (100 * shared >= percent * (F.col("x_n") + F.col("y_n") - shared)),
+        & alike("x_", "y_") & enough(most) & enough(shared),
     )
     found = meet.select(F.col("x_comp").alias("a"), F.col("y_comp").alias("b")).distinct()
     joins = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(found))
