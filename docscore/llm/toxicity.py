@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nystrom landmarks.
 
 A text is read as characters in CLASSES classes: a-z, the letters from U+00E0 to U+00FF (one
-class each, upper case with lower), all other letters by code point modulo 32, digits, and all
+class each, upper case with lower), all other letters by code point modulo 32 (those above U+FFFF
+that stand for a plain letter, as mathematical ones do, as that letter), digits, and all
 that stands between words, of which a run counts as one. It is cut into sentences at stops and
 line ends (but not after a single letter, as in "i. d. i."). A sentence is scored by its worst
 part: a part is a word, or neighbouring words of JOINED letters or fewer together, so
@@ -45,6 +46,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -60,7 +62,7 @@ from .common import cut, release, trimmed, unused
 DECAY, SPAN, CLASSES = 0.6, 7, 64
 JOINED, LONGEST = 10, 24
 WIDEST = LONGEST + 2  # characters of a part, with what stands before and after it
-FRAGMENT, ROUNDS, RIDGE, BIAS = 6, 6, 1e-6, -1.0
+FRAGMENT, RIDGE, BIAS = 6, 1e-6, -1.0
 PIECE, OVERLAP = 1 << 17, 2048
 _END, _BETWEEN, _DIGIT, _LETTER = 0, 1, 3, 4
 _STOP, _LINE = 62, 63  # while a text is cut into sentences
@@ -77,7 +79,8 @@ class Settings:
     others: int = 6  # parts of a clean document that a hash chooses
     max_parts: int = 16_000  # clean parts; those that were met most often come first
     pool: int = 2_000  # parts among which landmarks are chosen
-    landmarks: int = 500
+    landmarks: int = 600
+    rounds: int = 7  # of choosing parts and landmarks anew
 
 
 def _class(c: str) -> int:
@@ -105,6 +108,10 @@ def _classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     edge = np.cumsum([0, *(len(t) + 1 for t in texts)])  # the line end before each text, and the last one
     c = _table[0][np.minimum(raw, 0xFFFF)]
+    high = np.flatnonzero(raw > 0xFFFF)
+    if len(high):
+        kinds, of = np.unique(raw[high], return_inverse=True)
+        c[high] = np.array([_class(unicodedata.normalize("NFKD", chr(k))[0]) for k in kinds.tolist()], np.uint8)[of]
     word = (c >= _DIGIT) & (c < _STOP)
     single = np.zeros(len(c), bool)  # after a word of one character
     single[1:] = word[:-1]
@@ -465,7 +472,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return sample.mapInPandas(trimmed(_told(model, fragments, settings)), "toxic int, scores array<double>, parts array<binary>, others array<binary>").collect()
 
     model, clean = None, Counter()
-    for _ in range(ROUNDS):
+    for _ in range(settings.rounds):
         toxic: Counter = Counter()
         for r in told(model):
             some = [bytes(w) for w, s in zip(r["parts"], r["scores"], strict=True) if s > (0 if r["toxic"] or model is None else -0.5)]
