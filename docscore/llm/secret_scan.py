@@ -2,7 +2,9 @@
 
 Three kinds of spans are found in every text: assignments of a named secret, access keys and
 long hexadecimal strings. Then a worklist of layers is followed until nothing new appears:
-a line with URL escapes or Unicode escapes is unwrapped, and so is a base64 string whose
+lines with URL escapes, Unicode escapes or escaped line breaks and marks (as in JSON strings) are
+unwrapped, together with neighbouring lines that have such escapes too or hold nothing but one
+word (wrapped base64 need not have an escape on every line); and so is a base64 string whose
 content is text or gzip, zlib, bzip2 or xz streams (16 characters or more: the shortest secret has 12 bytes); runs on lines that follow one another count as one
 string, as base64 is often wrapped, and each for itself unless it holds a part of a longer
 stream. Every layer is scanned and searched for
@@ -12,7 +14,11 @@ again, so cycles end. Each character of a layer knows the span of the text it co
 is reported as the span of the text that holds it.
 
 Streams are inflated to their end and read in pieces of about PIECE bytes, cut at characters
-that no span and no layer contains, so memory is bounded by the longest stretch without one.
+that no span and no layer contains. A stretch of over HELD characters without such a one is read
+in windows that overlap by OVERLAP characters, so memory is bounded whatever a stream inflates
+to. All spans of a stream are reported as the string that holds it, so windows give the same
+ones; only a nested string longer than HELD, or a span with more than OVERLAP blanks in it, is
+not seen whole.
 
 Defined cases: a null text counts as empty and has no spans; positions are code points, the
 end is exclusive; spans that several layers give are reported once; other columns do not
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-PIECE = 4 << 20
+PIECE, HELD, OVERLAP = 4 << 20, 16 << 20, 1 << 16
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 _ASSIGN = re.compile(rf"(?:{'|'.join(map(_either, ('password', 'passwd', 'secret', 'token')))}|{_either('api')}_?{_either('key')})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -45,6 +51,8 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
 _URL = re.compile("%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\})")
+_JSON = re.compile(r'\\[nrt/"]')
+_PURE = re.compile(r'[\x20\t"]*(?:[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}|\\[nrt/"])*+={0,2}[\x20\t",]*[\r\n]*')
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
 _RUN = re.compile("[A-Za-z0-9+/_-]++={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\t\x20]*+(?:\r\n|\r|\n)[\t\x20]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -83,13 +91,15 @@ class _Same(Sequence):
 Layer = tuple[str, Sequence[int], Sequence[int]]  # the text, and of each character the start and end in the document
 
 
-def _escapes(line: str, starts: list[int], ends: list[int], pattern: re.Pattern, url: bool) -> Layer | None:
+def _escapes(line: str, starts: Sequence[int], ends: Sequence[int], pattern: re.Pattern) -> Layer | None:
     out, s, e, at = [], array("q"), array("q"), 0
     for m in pattern.finditer(line):
         i, j = m.span()
         if i < at:
             continue
-        if url:  # a run of escapes is one string of UTF-8 bytes
+        if pattern is _JSON:
+            chars, where = {"n": "\n", "r": "\r", "t": "\t"}.get(m[0][1], m[0][1]), [(i, j)]
+        elif pattern is _URL:  # a run of escapes is one string of UTF-8 bytes
             raw = bytearray()
             while _URL.match(line, i + 3 * len(raw)):
                 k = i + 3 * len(raw)
@@ -179,13 +189,20 @@ def _inflated(raw: bytes) -> Iterator[str]:
     """The text of the streams, in pieces that end where no span or layer goes on."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     held: list[str] = []
+    size = 0
     for data in _streams(raw):
         s = decoder.decode(data)
         if apart := _APART.search(s[::-1]):
             cut = len(s) - apart.start()
             yield "".join([*held, s[:cut]])
-            held, s = [], s[cut:]
+            held, s, size = [], s[cut:], 0
         held.append(s)
+        size += len(s)
+        if size > HELD:
+            s = "".join(held)
+            yield s
+            size = OVERLAP + (len(s) - OVERLAP) % 4  # so that base64 goes on at a group of four
+            held = [s[-size:]]
     yield "".join(held) + decoder.decode(b"", True)
 
 
@@ -219,14 +236,11 @@ def _may_be_utf8(head: bytes) -> bool:
 
 def _children(layer: Layer) -> Iterator[Layer]:
     text, starts, ends = layer
-    for pattern, mark, url in ((_URL, "%", True), (_UNICODE, "\\u", False)):
+    for pattern, mark in ((_URL, "%"), (_UNICODE, "\\u"), (_JSON, "\\")):
         if mark in text and pattern.search(text):
-            at = 0
-            for line in text.splitlines(keepends=True):
-                n = len(line)
-                if mark in line and (child := _escapes(line, starts[at : at + n], ends[at : at + n], pattern, url)):
+            for i, j in _blocks(text, mark, pattern):
+                if child := _escapes(text[i:j], starts[i:j], ends[i:j], pattern):
                     yield child
-                at += n
     read: set[int] = set()  # where the lines begin that were read in a block
     streamed: set[int] = set()  # and those of them that hold a part of a stream, so are nothing alone
     for lines in _strings(text):
@@ -260,6 +274,24 @@ def _children(layer: Layer) -> Iterator[Layer]:
             streamed |= some if used else set()
 
 
+def _blocks(text: str, mark: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Start and end of lines with escapes: neighbours together, with lines of one word between, before and after them."""
+    begin = end = at = 0
+    marked = False
+    for line in text.splitlines(keepends=True):
+        own = mark in line and pattern.search(line) is not None
+        if not own and not _PURE.fullmatch(line):
+            if marked:
+                yield begin, end
+            begin, marked = at + len(line), False
+        elif own:
+            marked = True
+        at += len(line)
+        end = at
+    if marked:
+        yield begin, end
+
+
 def _strings(text: str) -> Iterator[list[range]]:
     """Base64 as the places of its lines: blocks of lines, all and without a word at an end, then
     their stretches of one width with a shorter last line, then single runs."""
@@ -285,7 +317,7 @@ def _strings(text: str) -> Iterator[list[range]]:
 
 def all_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """``base`` and the spans of all nested layers."""
-    if "%" not in text and "\\u" not in text and not any(_base64("".join([text[x.start : x.stop] for x in lines])) for lines in _strings(text)):
+    if "%" not in text and "\\" not in text and not any(_base64("".join([text[x.start : x.stop] for x in lines])) for lines in _strings(text)):
         return base
     found = set(base)
     work: list[Iterator[Layer]] = [_children((text, range(len(text)), range(1, len(text) + 1)))]
