@@ -1,8 +1,9 @@
 """Personal data by weak supervision, with DataFrame and SQL functions only.
 
 Candidates are the matches of loose patterns: e-mail addresses, IP addresses, card-like runs
-of digits, phone numbers, and also national numbers, phone numbers without a plus sign, and
-names of people after a title or a stated cue. Labelers vote on each candidate, for (1),
+of digits, phone numbers, and also national numbers, phone numbers without a plus sign (with
+brackets, dashes, points or blanks), and names of people after a title or a phrase that states
+one ("my name is", and its like in four languages). Labelers vote on each candidate, for (1),
 against (-1) or not at all (0): the strict form of the pattern, checksums, a gazetteer of
 given names and words of the domain, and cues in the text before the candidate.
 
@@ -43,15 +44,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "tel": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Monsieur|Madame|Señora?)\x20[A-Z][A-Za-z'-]{1,30}(?:\x20[A-Z][A-Za-z'-]{1,30})?",
+    "tel": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|(?<![0-9][\x20])[0-9]{3}([-.\x20])[0-9]{3}\1[0-9]{4})(?![0-9A-Za-z-])(?![\x20.][0-9])",
+    "name": r"(?:(?<!\p{L})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Monsieur|Madame|Señora?)\x20|(?<=(?<!\p{L})(?i:my name is|i am called|mein name ist|ich hei(?:ß|ss)e|je m'appelle|mon nom est|me llamo|mi nombre es)\x20))\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30}){0,2}",
 }
 #: What a text must hold for a pattern to have a match; saves the search in most texts.
-NEEDS = {"email": "@", "phone": "+", "id": "-", "tel": "("}
+NEEDS = {"email": "@", "phone": "+", "id": "-"}
 #: Gazetteer: given names in four languages, and words that make an address or number public.
 NAMES = ("anna", "ben", "carlos", "claire", "david", "elena", "emma", "hans", "james", "jean", "john", "jose", "julia", "karl", "laura", "lucas", "maria", "marie", "michael", "paul", "peter", "pierre", "robert", "sarah", "sofia", "thomas")
 PUBLIC = ("example", "test", "localhost", "noreply", "no-reply", "version", "isbn")
-CUES = ("mail", "e-mail", "contact", "call", "phone", "tel", "fax", "mobile", "card", "visa", "account", "iban", "ip", "host", "ssn", "id", "name", "kontakt", "telefon", "appel", "llama", "reach", "write")
+CUES = ("mail", "e-mail", "contact", "call", "phone", "tel", "fax", "mobile", "card", "visa", "account", "iban", "ip", "host", "ssn", "id", "name", "kontakt", "telefon", "appel", "llama", "reach", "write", "called", "heiße", "heisse", "appelle", "nom", "llamo", "nombre")
 
 
 SPAN = "struct<kind:string,start:int,end:int,found:string,before:string>"
@@ -119,7 +120,8 @@ def votes(kind: Column, found: Column, before: Column, base: Column) -> Column:
         F.when(kind == "card", _vote(base, F.lit(True)))
         .when(kind == "phone", _vote(n.between(10, 13), n < 8))
         .when(kind == "id", _vote(~low.rlike("^(000|666|9)"), F.lit(True)))
-        .when(kind == "name", _vote(low.rlike(r"\s\S+\s\S+"), F.lit(False)))
+        .when(kind == "tel", _vote(~low.rlike(r"^\(?[01]"), F.lit(False)))
+        .when(kind == "name", _vote(low.rlike(r"\S\s\S"), F.lit(False)))
         .otherwise(0)
     )
     return F.array(
@@ -145,6 +147,8 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     text = whole(text_col)
     for k in KINDS:  # columns of their own, so that each pattern is searched once
         found = F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))
+        if k == "tel":
+            found = F.when(text.rlike(r"[0-9]{3}\)?[-.\x20]?[0-9]{3}[-.\x20][0-9]{4}"), found).otherwise(F.array().cast("array<string>"))
         if k == "card":
             found = F.when(text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), found).otherwise(F.array().cast("array<string>"))
         docs = docs.withColumn(f"_found_{k}", F.when(F.contains(text, F.lit(NEEDS[k])), found).otherwise(F.array().cast("array<string>")) if k in NEEDS else found)
@@ -197,8 +201,9 @@ def classifier(spans: DataFrame) -> DataFrame:
     # Votes and features repeat, so what is summed is small; sums are rounded to be the same in any order.
     sums = soft.select("g", F.explode("f").alias("b")).groupBy("b").agg(F.round(F.sum("g"), 6).alias("yes"), F.round(F.sum(1 - F.col("g")), 6).alias("no"))
     each = len(LABELERS) + 3  # features of a span
-    packed = sums.agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("yes", "no")))).alias("of"), F.coalesce(F.sum("yes") / each, F.lit(0.0)).alias("ty"), F.coalesce(F.sum("no") / each, F.lit(0.0)).alias("tn"))
-    weight = "coalesce(ln((of[b].yes + 0.5) / (ty + 0.5)) - ln((of[b].no + 0.5) / (tn + 0.5)), 0D)"
+    packed = sums.agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("yes", "no")))).alias("of"), F.coalesce(F.sum("yes") / each, F.lit(0.0)).alias("ty"), F.coalesce(F.sum("no") / each, F.lit(0.0)).alias("tn"), (F.count("*") / each).alias("values"))
+    # Half a count more for each of a feature's values, so that a class without any candidates has no likely value.
+    weight = "coalesce(ln((of[b].yes + 0.5) / (ty + 0.5 * values)) - ln((of[b].no + 0.5) / (tn + 0.5 * values)), 0D)"
     return packed.selectExpr("ln((ty + 0.5) / (tn + 0.5)) AS prior", f"transform(sequence(0, {BUCKETS - 1}), b -> {weight}) AS weights")
 
 
