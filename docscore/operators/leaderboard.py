@@ -97,20 +97,20 @@ def macro_average(by_domain: DataFrame) -> DataFrame:
     return ranked(rows.withColumn("first_seen", F.col("model_key")))
 
 
-def trials(runs: DataFrame) -> DataFrame:
-    """Trials and successes of each model on each document; a run with an error is a trial."""
-    return runs.groupBy("model_key", "document_id").agg(F.count("*").alias("t"), F.count_if("success").alias("s"))
+def trials(runs: DataFrame, *keys: str) -> DataFrame:
+    """Trials and successes of each model (and further keys) on each document; a run with an error is a trial."""
+    return runs.groupBy("model_key", *keys, "document_id").agg(F.count("*").alias("t"), F.count_if("success").alias("s"))
 
 
-def pass_threshold(docs: DataFrame) -> DataFrame:
+def pass_threshold(docs: DataFrame, *keys: str) -> DataFrame:
     """Share of documents with n successes; null if any document has fewer than n trials."""
-    return docs.groupBy("model_key").agg(*(round_half(F.when(F.min("t") >= n, F.avg((F.col("s") >= n).cast("double")) * 100), 2).alias(f"pass_at_{n}_pct") for n in PASS_AT))
+    return docs.groupBy("model_key", *keys).agg(*(round_half(F.when(F.min("t") >= n, F.avg((F.col("s") >= n).cast("double")) * 100), 2).alias(f"pass_at_{n}_pct") for n in PASS_AT))
 
 
-def pass_strict(docs: DataFrame) -> DataFrame:
+def pass_strict(docs: DataFrame, *keys: str) -> DataFrame:
     """Mean share of all n-subsets of trials that succeed throughout."""
     one = lambda n: F.avg(F.when(F.col("t") >= n, combinations(F.col("s"), n) / combinations(F.col("t"), n)))
-    return docs.groupBy("model_key").agg(*(round_half(F.when(F.min("t") >= n, one(n) * 100), 2).alias(f"pass_at_{n}_strict_pct") for n in PASS_AT))
+    return docs.groupBy("model_key", *keys).agg(*(round_half(F.when(F.min("t") >= n, one(n) * 100), 2).alias(f"pass_at_{n}_strict_pct") for n in PASS_AT))
 
 
 def pass_geometric(runs: DataFrame) -> DataFrame:
@@ -120,24 +120,34 @@ def pass_geometric(runs: DataFrame) -> DataFrame:
 
 
 def leaderboard_offline(runs: DataFrame) -> DataFrame:
-    """One row per model from rescored runs: only a null error is no error, success needs critical
+    return ranked(offline(runs))
+
+
+def leaderboard_offline_by_domain(runs: DataFrame) -> DataFrame:
+    """The offline rows of each domain and of all domains together ('overall'), each ranked by itself."""
+    both = runs.withColumn("bucket", F.explode(F.array(F.lit("overall"), F.lower("domain"))))
+    return ranked(offline(both, "bucket"), by="bucket")
+
+
+def offline(runs: DataFrame, *keys: str) -> DataFrame:
+    """One row per model (and further keys) from rescored runs: only a null error is no error, success needs critical
     fields, accuracies are means of rounded percentages of runs without an error."""
     runs = runs.withColumn("success", no_error() & (F.col("critical_total") > 0) & (F.col("critical_correct") == F.col("critical_total")))
     field = round_half(pct(F.col("field_correct"), F.col("field_total")), 2)
     crit = round_half(pct(F.col("critical_correct"), F.col("critical_total")), 2)
-    keys = round_half(pct(F.col("found_keys"), F.col("requested_keys")), 2)
+    found = round_half(pct(F.col("found_keys"), F.col("requested_keys")), 2)
     rows = runs.withColumn("_f", _when(no_error(), field)).withColumn("_lat", _when(no_error(), F.col("latency_ms"))).withColumn("_cost", _when(no_error(), F.col("cost_micro")))
-    totals = rows.groupBy("model_key").agg(
+    totals = rows.groupBy("model_key", *keys).agg(
         F.min("ordinal").alias("first_seen"), F.count("*").alias("runs_completed"), F.count_if("success").alias("successful_runs"), F.count_if(~no_error()).alias("failed_runs"),
-        mean0(F.col("_f")).alias("fa"), stddev0(F.col("_f")).alias("fs"), mean0(_when(no_error(), crit)).alias("ca"), mean0(_when(no_error(), keys)).alias("ka"),
+        mean0(F.col("_f")).alias("fa"), stddev0(F.col("_f")).alias("fs"), mean0(_when(no_error(), crit)).alias("ca"), mean0(_when(no_error(), found)).alias("ka"),
         mean0(F.col("_lat")).alias("la"), stddev0(F.col("_lat")).alias("ls"), F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"), F.count("_cost").alias("n_cost"),
     )
-    rows = with_ranks(totals, rows, ["model_key"], {"_lat": (95,), "_cost": (95,)})
-    per = trials(runs)
-    strict = pass_strict(per)
+    rows = with_ranks(totals, rows, ["model_key", *keys], {"_lat": (95,), "_cost": (95,)})
+    per = trials(runs, *keys)
+    on = ["model_key", *keys]
     mean_cost = F.when(F.col("n_cost") > 0, F.col("cost") / F.col("n_cost")).otherwise(0.0)
-    out = rows.join(pass_threshold(per), "model_key").join(strict, "model_key").select(
-        "model_key", "first_seen", "runs_completed", "successful_runs", "failed_runs", round_half(pct(F.col("successful_runs"), F.col("runs_completed")), 2).alias("success_rate_pct"),
+    return rows.join(pass_threshold(per, *keys), on).join(pass_strict(per, *keys), on).select(
+        *on, "first_seen", "runs_completed", "successful_runs", "failed_runs", round_half(pct(F.col("successful_runs"), F.col("runs_completed")), 2).alias("success_rate_pct"),
         *(f"pass_at_{n}_pct" for n in PASS_AT), *(f"pass_at_{n}_strict_pct" for n in PASS_AT),
         round_half(F.col("fa"), 2).alias("avg_field_accuracy_pct"), round_half(F.col("ca"), 2).alias("avg_critical_accuracy_pct"), round_half(F.col("ka"), 2).alias("avg_keys_found_pct"),
         round_half(F.col("fs"), 2).alias("field_pass_stddev_pct"), round_half(variation(F.col("fa"), F.col("fs")), 2).alias("field_accuracy_variance_pct"),
@@ -146,7 +156,6 @@ def leaderboard_offline(runs: DataFrame) -> DataFrame:
         round_half(usd(mean_cost), 6).alias("avg_cost_per_run_usd"), F.when(F.col("n_cost") > 0, round_half(usd(mean_cost), 6)).alias("avg_cost_per_doc_usd"),
         F.when(F.col("successful_runs") > 0, round_half(usd(F.col("cost") / F.col("successful_runs")), 6)).alias("cost_per_success_usd"), round_half(usd(_zero("_cost_p95")), 6).alias("p95_cost_usd"),
     )
-    return ranked(out)
 
 
 def leaderboard_rebuilt(runs: DataFrame) -> DataFrame:

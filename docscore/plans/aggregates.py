@@ -51,18 +51,23 @@ _OFF_WIN = "error IS NULL AND critical_total > 0 AND critical_correct = critical
 _F = r("CASE WHEN field_total > 0 THEN field_correct * 100e0 / field_total ELSE 0e0 END", 2)
 _C = r("CASE WHEN critical_total > 0 THEN critical_correct * 100e0 / critical_total ELSE 0e0 END", 2)
 _K = r("CASE WHEN requested_keys > 0 THEN found_keys * 100e0 / requested_keys ELSE 0e0 END", 2)
-OFFLINE = f"""WITH {RUNS}, {_TRIALS.format(s=_OFF_WIN)}, th AS (SELECT model_key, {_THRESHOLD}, {_STRICT} FROM per GROUP BY model_key),
-g AS (SELECT model_key, min(ordinal) AS first_seen, count(*) AS n, count(*) FILTER ({_OFF_WIN}) AS w, count(*) FILTER (error IS NOT NULL) AS bad,
+def _offline(key: str, source: str) -> str:
+    k = f", {key}" if key else ""
+    return f"""per AS (SELECT model_key{k}, document_id, count(*) AS t, count(*) FILTER ({_OFF_WIN}) AS s FROM {source} GROUP BY ALL), th AS (SELECT model_key{k}, {_THRESHOLD}, {_STRICT} FROM per GROUP BY model_key{k}),
+g AS (SELECT model_key{k}, min(ordinal) AS first_seen, count(*) AS n, count(*) FILTER ({_OFF_WIN}) AS w, count(*) FILTER (error IS NOT NULL) AS bad,
   coalesce(avg({_F}) FILTER (error IS NULL), 0) AS fa, coalesce(stddev_pop({_F}) FILTER (error IS NULL), 0) AS fs, coalesce(avg({_C}) FILTER (error IS NULL), 0) AS ca, coalesce(avg({_K}) FILTER (error IS NULL), 0) AS ka,
   coalesce(avg(latency_ms) FILTER (error IS NULL), 0) AS la, coalesce(stddev_pop(latency_ms) FILTER (error IS NULL), 0) AS ls, coalesce(quantile_disc(latency_ms, 0.95) FILTER (error IS NULL), 0) AS l95,
-  coalesce(sum(cost_micro) FILTER (error IS NULL), 0) AS cost, count(*) FILTER (error IS NULL) AS nc, coalesce(quantile_disc(cost_micro, 0.95) FILTER (error IS NULL), 0) AS c95 FROM runs GROUP BY model_key),
-o AS (SELECT model_key, first_seen, n AS runs_completed, w AS successful_runs, bad AS failed_runs, {r('w * 100e0 / n', 2)} AS success_rate_pct, th.* EXCLUDE model_key,
+  coalesce(sum(cost_micro) FILTER (error IS NULL), 0) AS cost, count(*) FILTER (error IS NULL) AS nc, coalesce(quantile_disc(cost_micro, 0.95) FILTER (error IS NULL), 0) AS c95 FROM {source} GROUP BY model_key{k}),
+o AS (SELECT model_key{k}, first_seen, n AS runs_completed, w AS successful_runs, bad AS failed_runs, {r('w * 100e0 / n', 2)} AS success_rate_pct, th.* EXCLUDE (model_key{k}),
   {r('fa', 2)} AS avg_field_accuracy_pct, {r('ca', 2)} AS avg_critical_accuracy_pct, {r('ka', 2)} AS avg_keys_found_pct, {r('fs', 2)} AS field_pass_stddev_pct,
   {r('CASE WHEN fa > 0 THEN fs / fa * 100 ELSE 100e0 END', 2)} AS field_accuracy_variance_pct, {r('la', 1)} AS avg_latency_ms, {r('l95 * 1e0', 1)} AS p95_latency_ms, {r('ls', 2)} AS latency_stddev_ms,
   {r('CASE WHEN la > 0 THEN ls / la * 100 ELSE 100e0 END', 2)} AS latency_cv_pct, {r('cost / 1e6', 6)} AS total_cost_usd,
   {r('CASE WHEN nc > 0 THEN cost / (nc * 1e0) ELSE 0e0 END / 1e6', 6)} AS avg_cost_per_run_usd, CASE WHEN nc > 0 THEN {r('cost / (nc * 1e0) / 1e6', 6)} END AS avg_cost_per_doc_usd,
-  CASE WHEN w > 0 THEN {r('cost / (w * 1e0) / 1e6', 6)} END AS cost_per_success_usd, {r('c95 / 1e6', 6)} AS p95_cost_usd FROM g JOIN th USING (model_key))
-SELECT * EXCLUDE first_seen, {_RANK.format(p='')} FROM o"""
+  CASE WHEN w > 0 THEN {r('cost / (w * 1e0) / 1e6', 6)} END AS cost_per_success_usd, {r('c95 / 1e6', 6)} AS p95_cost_usd FROM g JOIN th USING (model_key{k}))"""
+
+
+OFFLINE = f"WITH {RUNS}, {_offline('', 'runs')} SELECT * EXCLUDE first_seen, {_RANK.format(p='')} FROM o"
+OFFLINE_BY_DOMAIN = f"WITH {RUNS}, {_BOTH}, {_offline('bucket', 'both_')} SELECT * EXCLUDE first_seen, {_RANK.format(p='PARTITION BY bucket ')} FROM o"
 REBUILT = f"""WITH {RUNS}, {_online('', 'runs')}, {_TRIALS.format(s='success')}, th AS (SELECT model_key, {_THRESHOLD}, {_STRICT} FROM per GROUP BY model_key),
 k AS (SELECT model_key, {r("coalesce(avg(found_keys * 100e0 / requested_keys) FILTER (coalesce(error, '') = '' AND requested_keys > 0), 0)", 2)} AS avg_keys_found_pct FROM runs GROUP BY model_key),
 b AS (SELECT o.* EXCLUDE ({', '.join(f'pass_at_{n}_pct' for n in L.PASS_AT)}), k.avg_keys_found_pct, th.* EXCLUDE model_key FROM o JOIN k USING (model_key) JOIN th USING (model_key))
@@ -178,6 +183,7 @@ _PRICE_CASE = "VALUES ('gpt-5', 1.25e0, 10e0, NULL), ('o3', 2e0, 8e0, NULL), ('c
 QUERIES = {
     "leaderboard_online": (lambda s, d: L.leaderboard_online(runs(s, d)), ONLINE),
     "leaderboard_offline": (lambda s, d: L.leaderboard_offline(runs(s, d)), OFFLINE),
+    "leaderboard_offline_domains": (lambda s, d: L.leaderboard_offline_by_domain(runs(s, d)), OFFLINE_BY_DOMAIN),
     "leaderboard_by_domain": (lambda s, d: L.leaderboard_by_domain(runs(s, d)), f"{BY_DOMAIN} SELECT * EXCLUDE first_seen FROM d"),
     "leaderboard_macro_avg": (lambda s, d: L.macro_average(L.leaderboard_by_domain(runs(s, d))), MACRO),
     "pass_threshold": (lambda s, d: L.pass_threshold(L.trials(runs(s, d))), f"WITH {RUNS}, {_TRIALS.format(s='success')} SELECT model_key, {_THRESHOLD} FROM per GROUP BY model_key"),

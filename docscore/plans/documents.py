@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,12 +16,15 @@ from ..operators import groundtruth as G
 from ..operators import leaderboard as L
 from ..operators import matching as M
 from ..operators import render, runner, scoring
+from ..operators import report as Q
 from ..operators.checkpoint import first_nonempty
 from ..session import keep
 from ..sources import files
+from ..sources.snapshots import Snapshots
 from ..streaming import leaderboard as S
+from ..streaming import progress as P
 from .adapters import LOG, RUNS, log, runs, table
-from .aggregates import ONLINE, r
+from .aggregates import OFFLINE_BY_DOMAIN, ONLINE, PROGRESS, r
 
 # --- answers in eight shapes ------------------------------------------------------------
 
@@ -482,11 +484,54 @@ def stream_leaderboard(spark, d):
     critical, total = F.when(k % 11 == 0, 0).otherwise(3 + k % 2), 8 + k % 5
     win = F.when(critical > 0, F.least(critical, F.floor(v / 8)) == critical).otherwise(F.least(total, F.floor(v / 4)) == total) & (F.col("event_type") != "error")
     x = raw.select(F.concat(F.lit("p"), u % 4, F.lit(":m"), u % 12).alias("model_key"), win.alias("success"), F.floor(v * 100 + 0.5).alias("cost_micro"))
-    name = f"rates_{uuid.uuid4().hex}"
-    at = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.gettempdir()}/{name}"
-    S.run_available(S.running_rates(x), name, at)
-    return spark.table(name)
-
+    folder = _folder(spark, "rates")
+    P.keep_newest(S.running_rates(x), f"{folder}/board", f"{folder}/checkpoint").awaitTermination()
+    return P.newest(spark, f"{folder}/board")
+
+
+def stream_progress(spark, d):
+    """What a run reports while its log grows three times; the stream is started anew each time, from its checkpoint."""
+    x = runs(spark, d).select("ordinal", "document_id", "model_key", F.upper("model_key").alias("model_label"), (F.col("ordinal") % 40).cast("int").alias("run_number"), "error")
+    expected = keep(x.groupBy("document_id").agg(F.countDistinct("model_key").alias("runs")))
+    span = x.agg(F.count("*").alias("n"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")).first()
+    folder = _folder(spark, "progress")
+    kind = x.drop("model_key").schema.simpleString()[7:-1].replace(":", " ")
+    step = ((span.b or 0) - (span.a or 0)) // 3 + 1
+    for i in range(3):
+        lo = (span.a or 0) + i * step
+        x.drop("model_key").filter((F.col("ordinal") >= lo) & (F.col("ordinal") < lo + step)).write.mode("append").parquet(f"{folder}/log")
+        P.follow(S.read_log(spark, f"{folder}/log", kind, glob="*.parquet"), span.n, expected, folder, f"{folder}/checkpoint").awaitTermination()
+    return P.events(spark, folder)
+
+
+def snapshot_files(spark, d):
+    """A snapshot of the offline boards, the data set and the canonical log, written, read back and taken apart again."""
+    x = runs(spark, d)
+    board, domains = L.leaderboard_offline(x), L.leaderboard_offline_by_domain(x)
+    dataset = G.dataset_summary(_label_keys(spark, d))
+    board, domains, dataset = keep(board), keep(domains), keep(dataset)
+    count = x.agg(F.count("*").alias("n"))
+    ranges = L.metric_ranges_run(x)
+    metrics = Q.document(spark, schema_version="1.0", run_count=count, model_rows=Q.listed(board, "rank"), by_domain=Q.by_bucket(domains, "bucket", "rank"))
+    aggregation = Q.document(spark, schema_version="1.0", dataset=Q.listed(dataset, "domain"), leaderboard=Q.listed(board, "rank"), ranges=Q.listed(ranges.filter("bucket = 'overall'"), "model_key"), run_count=count, warnings=Q.warnings(dataset, board))
+    frontend = Q.document(spark, options={"max_parallel_requests": 1, "provider_parallel": False}, leaderboard=Q.listed(board, "rank"), by_domain=Q.by_bucket(domains, "bucket", "rank"), run_count=count, markdown_table=render.markdown(board, _MD, "rank").select(Q.quoted(F.col("markdown"))), cache_summary=Q.listed(L.cache_summary(x), "position"), warnings=Q.warnings(dataset, board))
+    store = Snapshots(spark, _folder(spark, "snapshots"))
+    raw = x.select("ordinal", F.to_json(F.struct("ordinal", "model_key", "latency_ms")).alias("value")).repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("value")
+    store.write("snapshot-1", {"metrics": metrics.select(F.lit("{}").alias("value"))})
+    store.write("snapshot-2", {"metrics": metrics, "aggregation": aggregation, "frontend": frontend, "raw": raw})
+    row = "struct<model_key:string,rank:bigint,success_rate_pct:double,pass_at_3_strict_pct:double,p95_latency_ms:double,cost_per_success_usd:double>"
+    of = lambda part, shape: store.read(part).select(F.from_json("value", f"struct<{shape}>").alias("v"))
+    rows = of("metrics", f"model_rows:array<{row}>").select(F.lit("overall").alias("bucket"), F.inline("v.model_rows"))
+    per = of("frontend", f"by_domain:array<struct<domain:string,rows:array<{row}>>>").select(F.explode("v.by_domain").alias("x")).select(F.col("x.domain").alias("bucket"), F.inline("x.rows"))
+    lines = store.read("raw").select(F.from_json("value", "struct<model_key:string,latency_ms:bigint>").alias("r")).groupBy("r.model_key").agg(F.count("*").alias("raw_lines"), F.sum("r.latency_ms").alias("raw_latency"))
+    said = of("aggregation", "warnings:array<string>,run_count:bigint").select(F.size("v.warnings").cast("long").alias("n_warnings"), "v.run_count")
+    return rows.unionByName(per).join(lines, "model_key").withColumn("n_warnings", said.select("n_warnings").scalar()).withColumn("run_count", said.select("run_count").scalar())
+
+
+_SNAPSHOT = f"""WITH b AS ({OFFLINE_BY_DOMAIN}), x AS (WITH {RUNS} SELECT model_key, count(*) AS raw_lines, CAST(sum(latency_ms) AS BIGINT) AS raw_latency FROM runs GROUP BY ALL),
+{_LABEL_KEYS}, g AS (SELECT domain, count(DISTINCT doc) AS d, count(*) AS k, count(*) FILTER (labelled) AS l FROM k GROUP BY domain),
+w AS (SELECT (SELECT CASE WHEN sum(l) < sum(k) THEN 1 ELSE 0 END FROM g) + (SELECT count(*) FROM g WHERE d < 10) + (SELECT CASE WHEN count(*) FILTER (pass_at_10_pct IS NULL) > 0 THEN 1 ELSE 0 END FROM b WHERE bucket = 'overall') AS n_warnings)
+SELECT bucket, model_key, rank, success_rate_pct, pass_at_3_strict_pct, p95_latency_ms, cost_per_success_usd, raw_lines, raw_latency, n_warnings, (SELECT count(*) FROM events) AS run_count FROM b JOIN x USING (model_key), w"""
 
 _STREAM = f"WITH {RUNS} SELECT model_key, count(*) AS runs, count(*) FILTER (success) AS successes, CAST(sum(cost_micro) AS BIGINT) AS cost_micro, {r('count(*) FILTER (success) * 100e0 / count(*)', 2)} AS success_rate_pct FROM runs GROUP BY model_key"
 
@@ -523,4 +568,6 @@ QUERIES = {
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
     "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
     "stream_leaderboard": (stream_leaderboard, _STREAM),
+    "stream_progress": (stream_progress, PROGRESS),
+    "snapshot_files": (snapshot_files, _SNAPSHOT),
 }

@@ -27,13 +27,6 @@ def windowed_rates(runs: DataFrame, time: str, window: str, late: str) -> DataFr
     return runs.withWatermark(time, late).groupBy(F.window(time, window), "model_key").agg(F.count("*").alias("runs"), F.count_if("success").alias("successes"))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Take in all that is there, into a memory table, and stop."""
-    q = df.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
-
-
 def on_batch(df: DataFrame, checkpoint: str, callback: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Call ``callback`` with each batch of completed tasks."""
     return df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
