@@ -154,7 +154,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         other = special.select("set_a", "set_b", F.col("rep").alias("other"))
         classes = cut(classes.join(other, ["set_a", "set_b"], "left").select("set_a", "set_b", "low", "copies", F.coalesce("other", "rep").alias("rep")))
     reps = linked.join(classes, ["set_a", "set_b"]).filter("doc_id = low").dropDuplicates(["rep"])
-    banded = cut(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
+    banded = cut(reps.select("rep", F.col("n_shingles").alias("n"), "bands")).select("rep", "n", F.explode("bands").alias("band"))  # kept before they are dealt out
 
     def alike(x: str, y: str):
         """What sets of a link's size must be."""
