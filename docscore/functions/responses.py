@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import jsontree as T
 from .jsonx import first_json
-from .records import get_array, get_member, get_record, get_string
+from .records import get_array, get_member, get_number, get_record, get_string
 from .text import let, strip
 
 
@@ -85,3 +85,30 @@ SHAPES: dict[str, Callable[[Column], Column]] = {"annotation": annotation, "mark
 def response_text(response: Column, shape: str) -> Column:
     """The text of a response's JSON (a text); a response that is no JSON gives an empty one."""
     return F.coalesce(let(T.parsed(response), SHAPES[shape]), F.lit(""))
+
+
+#: Where the shapes say what was used: the object, then members for input, output, cached and written tokens.
+_USED = {
+    "blocks": ("usage", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"),
+    "output": ("usage", "input_tokens", "output_tokens", None, None),
+    "candidates": ("usageMetadata", "promptTokenCount", "candidatesTokenCount", "cachedContentTokenCount", None),
+    "chat": ("usage", "prompt_tokens", "completion_tokens", None, None),
+}
+
+
+def used_tokens(response: Column, shape: str) -> Column:
+    """Struct of input, output, cached and written tokens that a response's JSON names; what is missing, or no
+    number, is 0, and fractions are cut."""
+    at, *names = _USED[shape]
+
+    def of(u: Column) -> Column:
+        count = lambda n: F.coalesce(get_number(u, n).cast("bigint"), F.lit(0)) if n else F.lit(0).cast("bigint")
+        cached = F.coalesce(get_number(get_record(u, "prompt_tokens_details"), "cached_tokens").cast("bigint"), F.lit(0)) if shape == "output" else count(names[2])
+        return F.struct(count(names[0]).alias("input_tokens"), count(names[1]).alias("output_tokens"), cached.alias("cached_tokens"), count(names[3]).alias("written_tokens"))
+
+    return let(let(T.parsed(response), lambda r: get_record(r, at)), of)
+
+
+def pages_used(response: Column) -> Column:
+    """Pages that a page service has read."""
+    return let(T.parsed(response), lambda r: F.coalesce(get_number(get_record(r, "usage_info"), "pages_processed").cast("bigint"), F.lit(0)))

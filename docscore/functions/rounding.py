@@ -18,6 +18,11 @@ def round6(x: Column) -> Column:
     return F.rint(x * 1e6) / 1e6
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its binary value, ties to even; null stays. (format_string() would round its decimal text.)"""
+    return F.replace(F.format_number(x.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def pct(part: Column, whole: Column) -> Column:
     """Percentage; 0 where there is nothing to divide by."""
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))

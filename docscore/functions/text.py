@@ -84,7 +84,7 @@ def missing_like(s: Column) -> Column:
 
 def slug(s: Column, join: str = "-", most: int = 80) -> Column:
     """File-name form: no extension, other characters joined, trimmed, cut."""
-    base = F.lower(F.regexp_replace(s, r"\.[A-Za-z0-9]+$", ""))
+    base = F.lower(F.regexp_replace(s, r"\.[^.]+$", ""))
     return F.left(F.regexp_replace(F.regexp_replace(base, "[^a-z0-9]+", join), f"^{join}+|{join}+$" if join else "^$", ""), F.lit(most))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,11 @@ def status_by_model(log: DataFrame) -> DataFrame:
 
 
 def top_errors(log: DataFrame, n: int = 10) -> DataFrame:
-    """The most frequent error texts of latest records; ties by text."""
-    return latest(log).filter("error <> ''").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(n)
+    """The most frequent error texts of latest records; ties by where a text was first seen: the place of its
+    first task's first record."""
+    first = log.filter("coalesce(task_key, '') <> ''").groupBy("task_key").agg(F.min("ordinal").alias("at"))
+    seen = latest(log).filter("error <> ''").select("task_key", "error").join(first, "task_key")
+    return seen.groupBy("error").agg(F.count("*").alias("n"), F.min("at").alias("at")).orderBy(F.desc("n"), "at").limit(n).select("error", "n")
 
 
 def task_grid(models: DataFrame, documents: DataFrame, runs: int) -> DataFrame:
@@ -51,9 +54,3 @@ def first_nonempty(rows: DataFrame, key: list[str], value: str, order: str) -> D
     """The first value of each key, or the first that isn't empty if the first is."""
     some = F.expr(f"min_by({value}, {order}) FILTER (WHERE {value} <> '')")
     return rows.groupBy(*key).agg(F.coalesce(some, F.min_by(value, order)).alias(value))
-
-
-def top_rows(rows: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    """The first n rows of each group."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontree as T
 from ..functions.rounding import drift, within_tolerance
+from ..functions.text import slug
 
 
 def artifact_diff(a: DataFrame, b: DataFrame, key: str, numbers: list[str], texts: list[str], ignored: tuple[str, ...] = ()) -> DataFrame:
@@ -28,14 +29,18 @@ def artifact_diff(a: DataFrame, b: DataFrame, key: str, numbers: list[str], text
 
 
 def name_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left``: file; ``right``: truth. Each file with the truth of its exact base name, else the only one of its normalised name."""
-    base = lambda c: F.regexp_replace(c, r"\.[A-Za-z0-9]+$", "")
+    """``left``: file; ``right``: truth. Each file with the truth of its exact base name, else the only one of its
+    normalised name, else of several such that with the file's safe name."""
+    base = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
     norm = lambda c: F.regexp_replace(F.lower(base(c)), "[^a-z0-9]+", "")
     exact = right.select(F.col("truth").alias("exact"), base(F.col("truth")).alias("b")).groupBy("b").agg(F.min("exact").alias("exact"))
-    loose = right.select(F.col("truth"), norm(F.col("truth")).alias("n")).groupBy("n").agg(F.min("truth").alias("loose"), F.count("*").alias("c")).filter("c = 1").drop("c")
+    loose = right.select(F.col("truth"), norm(F.col("truth")).alias("n")).groupBy("n").agg(F.min("truth").alias("loose"), F.count("*").alias("c"))
+    safe = right.select(F.col("truth").alias("safe"), F.col("truth").alias("s"), norm(F.col("truth")).alias("sn")).distinct()
     j = left.withColumn("b", base(F.col("file"))).join(exact, "b", "left").withColumn("n", norm(F.col("file"))).join(loose, "n", "left")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "normalised").otherwise("none")
-    return j.select("file", F.coalesce("exact", "loose").alias("truth"), how.alias("how"))
+    j = j.join(safe, (F.concat(slug(F.col("file"), "_", 120), F.lit(".json")) == F.col("s")) & (F.col("n") == F.col("sn")) & (F.col("c") > 1), "left")
+    only = F.when(F.col("c") == 1, F.col("loose"))
+    how = F.when(F.col("exact").isNotNull(), "exact").when(only.isNotNull(), "normalised").when(F.col("safe").isNotNull(), "preferred").otherwise("none")
+    return j.select("file", F.coalesce("exact", only, "safe").alias("truth"), how.alias("how"))
 
 
 #: Members that may always differ.

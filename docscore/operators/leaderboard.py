@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import combinations, mean0, pct, round_half, stddev0, variation
+from ..functions.rounding import combinations, fixed, mean0, pct, round_half, stddev0, variation
 from .blocks import running, with_ranks
 
 PASS_AT = (2, 3, 5, 10)
@@ -203,11 +203,29 @@ def _buckets(runs: DataFrame) -> DataFrame:
     return runs.filter(no_error()).withColumn("bucket", F.explode(F.array(F.lit("overall"), F.lower("domain"))))
 
 
+def representatives(runs: DataFrame, *names: str) -> DataFrame:
+    """Of each model the names (label, provider, tier) of its first run."""
+    first = F.min_by(F.struct(*names), "ordinal").alias("r")
+    return runs.groupBy("model_key").agg(first).select("model_key", "r.*")
+
+
+def rescored(runs: DataFrame) -> DataFrame:
+    """Runs with success and percentages of the comparison, where there is one (``compared``), else those that were logged
+    (legacy_success, legacy_critical_pct, legacy_field_pct)."""
+    either = lambda now, before: F.when(F.col("compared"), now).otherwise(F.col(before))
+    return runs.withColumns({
+        "success": either(F.col("success"), "legacy_success"), "critical_pct": either(pct(F.col("critical_correct"), F.col("critical_total")), "legacy_critical_pct"),
+        "field_pct": either(pct(F.col("field_correct"), F.col("field_total")), "legacy_field_pct"),
+    })
+
+
 def metric_ranges_run(runs: DataFrame) -> DataFrame:
-    """Ranges over runs without an error, by domain and model and over all domains."""
+    """Ranges over runs without an error, by domain and model and over all domains. Percentages are those of
+    rescored(), if the runs have them."""
+    share = lambda name, part, whole: F.col(name) if name in runs.columns else pct(F.col(part), F.col(whole))
     b = _buckets(runs).select(
-        "bucket", "model_key", F.when(F.col("success"), 100.0).otherwise(0.0).alias("success_pct_runs"), pct(F.col("critical_correct"), F.col("critical_total")).alias("critical_fields_pct"),
-        pct(F.col("field_correct"), F.col("field_total")).alias("all_fields_pct"), F.col("latency_ms").cast("double").alias("latency_ms"),
+        "bucket", "model_key", F.when(F.col("success"), 100.0).otherwise(0.0).alias("success_pct_runs"), share("critical_pct", "critical_correct", "critical_total").alias("critical_fields_pct"),
+        share("field_pct", "field_correct", "field_total").alias("all_fields_pct"), F.col("latency_ms").cast("double").alias("latency_ms"),
     )
     return range_stats(b, dict.fromkeys(("success_pct_runs", "critical_fields_pct", "all_fields_pct", "latency_ms"), 3), "bucket", "model_key")
 
@@ -262,7 +280,7 @@ def report_line(completed: Column, failed: Column, total: int, of_document: Colu
     """The line of one task's report; null where there is none."""
     every = max(1, total // 20)
     done = F.coalesce((wanted > 0) & (of_document == wanted), F.lit(False))
-    percent = F.format_string("%.1f", completed / total * 100) if total > 0 else F.lit("100.0")
+    percent = fixed(completed / total * 100, 1) if total > 0 else F.lit("100.0")
     head = F.format_string(f"%d/{total} (%s%%) | ok:%d fail:%d | model:%s run:%d", completed, percent, completed - failed, failed, label, number)
     text = F.concat(head, F.when(done, F.format_string(" | document complete: %s (%d/%d)", document, of_document, wanted)).otherwise(""), F.when(bad, F.concat(F.lit(" | last error: "), F.coalesce(F.nullif(error, F.lit("")), F.lit("unknown error")))).otherwise(""))
     return F.when((completed == 1) | (completed == total) | (completed % every == 0) | done | bad, text)

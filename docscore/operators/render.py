@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import fixed
+
 SLOT = "{{REQUESTED_KEYS}}"
 
 
@@ -19,8 +21,38 @@ def prompts(keys: DataFrame, template: str) -> DataFrame:
 
 def markdown(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     """One row: the table as markdown. The rows are a leaderboard, a handful per model."""
-    cell = lambda c: F.coalesce(F.format_string("%.2f", c) if dict(rows.dtypes)[c] == "double" else F.col(c).cast("string"), F.lit("-"))
+    cell = lambda c: F.coalesce(fixed(F.col(c), 2) if dict(rows.dtypes)[c] == "double" else F.col(c).cast("string"), F.lit("-"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in columns)), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
     return rows.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+#: Columns of the three tables of a board (heading, column, form): online, offline and rebuilt.
+_HEAD = [("Rank", "rank", "%d"), ("Model", "model_label", "%s"), ("Provider", "provider", "%s"), ("Tier", "tier", "%s"), ("Success %", "success_rate_pct", "%.2f")]
+_COSTS = [("Cost / Doc (USD)", "avg_cost_per_doc_usd", "n/a"), ("Cost / Success (USD)", "cost_per_success_usd", "n/a"), ("Avg Latency (ms)", "avg_latency_ms", "%.1f")]
+_AT_LEAST = [(f"pass^{n} (>={n}) %", f"pass_at_{n}_pct", "") for n in (2, 3, 5, 10)] + [(f"pass^{n} strict %", f"pass_at_{n}_strict_pct", "") for n in (2, 3, 5, 10)]
+ONLINE = [*_HEAD, *[(f"pass^{n} %", f"pass_at_{n}_pct", "") for n in (2, 3, 5, 10)], ("Avg Field %", "avg_field_accuracy_pct", "%.2f"), ("Critical Field %", "avg_critical_accuracy_pct", "%.2f"), ("Variance %", "field_accuracy_variance_pct", "%.2f"), *_COSTS]
+OFFLINE = [
+    *_HEAD, *_AT_LEAST, ("Total Field Pass %", "avg_field_accuracy_pct", "%.2f"), ("Critical Field %", "avg_critical_accuracy_pct", "%.2f"), ("Keys Found %", "avg_keys_found_pct", "%.2f"),
+    ("Field Variance (CV) %", "field_accuracy_variance_pct", "%.2f"), *_COSTS,
+]
+REBUILT = [
+    *_HEAD, *_AT_LEAST, ("Keys Found %", "avg_keys_found_pct", "%.2f"), ("Avg Field %", "avg_field_accuracy_pct", "%.2f"), ("Critical Field %", "avg_critical_accuracy_pct", "%.2f"),
+    ("Variance %", "field_accuracy_variance_pct", "%.2f"), *_COSTS,
+]
+
+
+def board_table(rows: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
+    """One row: a board as markdown by rank. A form of "" shows a missing percentage as nothing, "n/a" a missing cost so."""
+
+    def cell(column: str, form: str) -> Column:
+        if form in ("", "n/a"):
+            return F.coalesce(fixed(F.col(column), 4 if form else 2), F.lit(form))
+        return fixed(F.col(column), int(form[2])) if form.endswith("f") else F.col(column).cast("string")
+
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c, f) for _, c, f in columns)), F.lit(" |"))
+    rule = ["---" if f == "%s" or c == "rank" else "---:" for _, c, f in columns]
+    head = "| " + " | ".join(h for h, _, _ in columns) + " |\n| " + " | ".join(rule) + " |"
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return rows.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("markdown"))

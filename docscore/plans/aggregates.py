@@ -204,7 +204,7 @@ QUERIES = {
     "cache_summary": (lambda s, d: L.cache_summary(runs(s, d)), CACHE),
     "checkpoint_latest": (lambda s, d: C.latest(log(s, d)).select(*_FULL), f"WITH {LOG} SELECT {', '.join(_FULL)} FROM latest"),
     "checkpoint_status_models": (lambda s, d: C.status_by_model(log(s, d)), f"WITH {LOG} SELECT model_key, count(*) FILTER (coalesce(error, '') = '') AS ok, count(*) FILTER (error <> '') AS failed, count(*) FILTER (error <> '') / (count(*) * 1e0) AS failure_rate FROM latest GROUP BY model_key"),
-    "top_errors": (lambda s, d: C.top_errors(log(s, d)), f"WITH {LOG} SELECT error, count(*) AS n FROM latest WHERE error <> '' GROUP BY error ORDER BY n DESC, error LIMIT 10"),
+    "top_errors": (lambda s, d: C.top_errors(log(s, d)), f"WITH {LOG}, f AS (SELECT task_key, min(ordinal) AS seen FROM log GROUP BY ALL) SELECT error, count(*) AS n FROM latest JOIN f USING (task_key) WHERE error <> '' GROUP BY error ORDER BY n DESC, min(seen) LIMIT 10"),
     "cost_projection": (lambda s, d: L.cost_projection(runs(s, d), 100_000), PROJECTION),
     "task_grid": (lambda s, d: _grid(s, d), f"WITH {_GRID} SELECT * FROM grid"),
     "resume_anti": (lambda s, d: C.to_resume(_grid(s, d), log(s, d)).select("task_key"), f"WITH {LOG}, {_GRID} SELECT task_key FROM grid WHERE task_key NOT IN (SELECT task_key FROM log)"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, documents, scalars, services
+from . import aggregates, documents, scalars, services, setup
 
-_PARTS = (aggregates, scalars, documents, services)
+_PARTS = (aggregates, scalars, documents, services, setup)
 
 
 def queries() -> dict:

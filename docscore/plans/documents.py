@@ -134,14 +134,43 @@ CASES = (
 )
 
 
-def match_cascade(spark, d):
-    cases = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "n long, actual string, expected string, mode string, name string, type string, wanted boolean")
+def cases(spark):
+    """The rules' cases with what they should give."""
+    c = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "n long, actual string, expected string, mode string, name string, type string, wanted boolean")
+    return _matched(c).select("n", "matched")
+
+
+def _matched(rows):
+    p = rows.withColumn("h", M.hints(F.col("name"), F.col("type")))
+    p = p.withColumn("a", M.prepared(F.col("actual"), F.col("h"))).withColumn("e", M.prepared(F.col("expected"), F.col("h")))
+    return p.withColumn("matched", M.is_match(F.col("a"), F.col("e"), F.col("mode"), F.col("h")))
+
 
-    p = cases.withColumn("a", M.prepared(F.col("actual"))).withColumn("e", M.prepared(F.col("expected"))).withColumn("h", M.hints(F.col("name"), F.col("type")))
-    return p.select("n", "actual", "expected", M.is_match(F.col("a"), F.col("e"), F.col("mode"), F.col("h")).alias("matched"))
+def match_cascade(spark, d):
+    """Every order as a value of one of twelve kinds, some right and some not, against what is expected of it."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    price, whole = F.format_string("%.2f", "o_totalprice"), F.format_string("%.2f", F.col("o_totalprice") + 1)
+    iso, other = F.date_format(day, "yyyy-MM-dd"), F.date_add(day.cast("date"), 31)
+    kinds = (
+        (F.date_format(day, "dd/MM/yyyy"), iso, "normalized_text", "x", "string"), (F.date_format(other, "dd.MM.yyyy"), iso, "normalized_text", "x", "date"), (F.replace(price, F.lit("."), F.lit(",")), price, "numeric", "x", "float"),
+        (whole, price, "numeric", "x", "float"), (F.concat(F.lit("€ "), F.col("o_custkey")), F.lit("EUR"), "normalized_text", "currency", "string"), (F.concat(F.lit("€ "), F.col("o_custkey")), F.lit("EUR"), "normalized_text", "x", "string"),
+        (F.concat(F.lower("o_orderpriority"), F.lit(" Inc.")), F.concat("o_orderpriority", F.lit(", LTD")), "normalized_text", "supplier name", "string"), (F.concat(F.lower("o_orderpriority"), F.lit(" Inc.")), F.concat("o_orderpriority", F.lit(", LTD")), "normalized_text", "x", "string"),
+        (F.lit(""), F.when(k % 2 == 0, "N/A").otherwise(F.col("o_orderpriority")), "normalized_text", "x", "string"), (F.concat(F.lit("seen by "), "o_orderpriority"), F.col("o_orderpriority"), "contains", "x", "string"),
+        (F.concat(F.lit(" "), "o_orderpriority"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise(F.lower("o_orderpriority")), "exact", "x", "string"), (F.concat(iso, F.lit(" 10:30")), F.concat(F.date_format(day, "dd.MM.yyyy"), F.when(k % 2 == 0, " 10:30 AM").otherwise(" 11:30")), "normalized_text", "x", "string"),
+    )
+    cols = []
+    for at, name in enumerate(("actual", "expected", "mode", "name", "type")):
+        lit = lambda v: F.lit(v) if isinstance(v, str) else v
+        c = F.when(k % 12 == 0, lit(kinds[0][at]))
+        for i, kind in enumerate(kinds[1:], 1):
+            c = c.when(k % 12 == i, lit(kind[at]))
+        cols.append(c.alias(name))
+    return _matched(table(spark, d, "orders").select(k.alias("o_orderkey"), *cols)).select("o_orderkey", "matched")
 
 
-_CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{e}', {str(w).lower()})" for i, (a, e, _, _, _, w) in enumerate(CASES)) + ") t(n, actual, expected, matched)"
+_CASCADE = """WITH o AS (SELECT o_orderkey, o_orderkey % 12 AS k, o_orderkey % 2 = 0 AS even, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) + 31 AS other FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN true WHEN 1 THEN other = day OR (day(other) <= 12 AND year(other) = year(day) AND month(other) = day(day) AND day(other) = month(day))
+  WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true WHEN 7 THEN false WHEN 8 THEN even WHEN 9 THEN true WHEN 10 THEN even ELSE even END AS matched FROM o"""
 
 # --- ground truth ------------------------------------------------------------------------
 
@@ -315,12 +344,15 @@ def dataset_warnings(spark, d):
 def name_match(spark, d):
     k = F.col("p_partkey")
     left = table(spark, d, "part").select(F.concat(F.when(k % 3 == 0, F.upper(F.concat(F.lit("Doc "), k))).otherwise(F.concat(F.lit("doc-"), k)), F.lit(".pdf")).alias("file"))
-    right = table(spark, d, "supplier").select(F.concat(F.lit("doc-"), "s_suppkey", F.lit(".json")).alias("truth"))
+    n = F.col("s_suppkey")
+    more = F.when(n % 5 == 0, F.concat(F.lit("doc_"), n, F.lit(".json"))).when(n % 7 == 0, F.concat(F.lit("doc "), n, F.lit(".json")))
+    right = table(spark, d, "supplier").select(F.explode(F.array_compact(F.array(F.concat(F.lit("doc-"), n, F.lit(".json")), more))).alias("truth"))
     return D.name_match(left, right)
 
 
-_NAME_MATCH = """WITH l AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'DOC ' || p_partkey ELSE 'doc-' || p_partkey END || '.pdf' AS file, p_partkey AS k FROM part)
-SELECT file, CASE WHEN s_suppkey IS NOT NULL THEN 'doc-' || s_suppkey || '.json' END AS truth, CASE WHEN s_suppkey IS NULL THEN 'none' WHEN k % 3 = 0 THEN 'normalised' ELSE 'exact' END AS how FROM l LEFT JOIN supplier ON s_suppkey = k"""
+_NAME_MATCH = """WITH l AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'DOC ' || p_partkey ELSE 'doc-' || p_partkey END || '.pdf' AS file, p_partkey AS k FROM part),
+j AS (SELECT file, k, s_suppkey, CASE WHEN s_suppkey IS NULL THEN 'none' WHEN k % 3 <> 0 THEN 'exact' WHEN k % 5 = 0 THEN 'preferred' WHEN k % 7 = 0 THEN 'none' ELSE 'normalised' END AS how FROM l LEFT JOIN supplier ON s_suppkey = k)
+SELECT file, CASE how WHEN 'none' THEN NULL WHEN 'preferred' THEN 'doc_' || k || '.json' ELSE 'doc-' || k || '.json' END AS truth, how FROM j"""
 
 
 def artifact_diff(spark, d):
@@ -473,7 +505,17 @@ def runner_stub(spark, d):
 
 
 def pdf_base64(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")), 256).alias("digest"))
+    """Files as they are, in base64: a file for every two hundred documents, written and read again as bytes."""
+    folder = _folder(spark, "files")
+    text = F.concat(F.lit("d"), F.col("doc_id"), F.lit(": "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " "))
+    lines = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 200).alias("part"), "doc_id", text.alias("value"))
+    whole = lines.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    whole.repartition("part").write.partitionBy("part").option("lineSep", "\n").text(folder)
+    b = files.binary_documents(spark, f"{folder}/part=*", "part-*")
+    return b.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), F.sha2("base64", 256).alias("digest"))
+
+
+_FILES = """SELECT doc_id // 200 AS part, sha256(base64(encode(string_agg('d' || doc_id || ': ' || regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g'), chr(10) ORDER BY doc_id) || chr(10)))) AS digest FROM documents GROUP BY ALL"""
 
 
 def stream_leaderboard(spark, d):
@@ -540,7 +582,7 @@ QUERIES = {
     "extract_pairs_json": (extract_pairs_json, f"WITH {_ANSWERS} {_PAIRS_JSON}"),
     "extract_pairs_text": (extract_pairs_text, f"WITH {_ANSWERS} {_PAIRS_TEXT}"),
     "extract_answers": (extract_answers, f"WITH {_ANSWERS} {_PAIRS_ALL}"),
-    "match_cascade": (match_cascade, _CASES),
+    "match_cascade": (match_cascade, _CASCADE),
     "score_runs": (score_runs, f"WITH {_ANSWERS} {_SCORE}"),
     "gt_flatten": (gt_flatten, _GT_SQL),
     "gt_dedupe_names": (gt_dedupe_names, _GT_NAMES),
@@ -566,7 +608,7 @@ QUERIES = {
     "key_sets": (key_sets, f"WITH {LOG} SELECT task_key, CASE WHEN bool_or(ordinal % 3 = 0) AND bool_or(ordinal % 3 <> 0) THEN 'both' WHEN bool_or(ordinal % 3 = 0) THEN 'left' ELSE 'right' END AS side FROM log GROUP BY task_key"),
     "tree_diff": (tree_diff, _TREE),
     "runner_stub": (runner_stub, "SELECT CAST(doc_id AS VARCHAR) AS task_key, 'p' || doc_id % 4 AS provider, CASE WHEN text <> '' THEN 'second' END AS second, 12 AS input_tokens, CASE WHEN text <> '' THEN NULL ELSE 'empty document' END AS error FROM documents"),
-    "pdf_base64": (pdf_base64, "SELECT doc_id, sha256(base64(encode(text))) AS digest FROM documents"),
+    "pdf_base64": (pdf_base64, _FILES),
     "stream_leaderboard": (stream_leaderboard, _STREAM),
     "stream_progress": (stream_progress, PROGRESS),
     "snapshot_files": (snapshot_files, _SNAPSHOT),

@@ -73,7 +73,7 @@ def selected_files(spark: SparkSession, folder: str, selected: DataFrame, name:
 def binary_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, modified and the content in base64."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return f.select("path", F.col("modificationTime").alias("modified"), F.base64("content").alias("base64"))
+    return f.select("path", F.col("modificationTime").alias("modified"), F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("base64"))
 
 
 def newest(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_answers_keep_the_first_nonempty(spark):
 
 
 def test_cases_of_the_match_cascade(spark):
-    got = {r.n: r.matched for r in documents.match_cascade(spark, SF).collect()}
+    got = {r.n: r.matched for r in documents.cases(spark).collect()}
     assert got == {i: c[5] for i, c in enumerate(documents.CASES)}
 
 
