@@ -24,9 +24,11 @@ empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,11 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the workers are parallel already
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # of the ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}  # of words that never stand alone
         self.chunks: dict[str, bytes] = {}  # of what white space separates
 
@@ -60,38 +66,46 @@ class WordIds:
             self.chunks.clear()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        parts: list[list[str] | None] = []
-        missing: set[str] = set()
+        get = self.chunks.get
+        out: list[bytes | None] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []  # texts with chunks that are new
         for t in texts:
             if (t.isascii() or _PLAIN.fullmatch(t)) and not (_CONTROL.search(t) or "<|" in t and _SPECIAL.search(t)):
                 c = t.lower().split()  # no word of the pattern holds white space
-                missing.update(c)
+                found = [*map(get, c)]
+                if None in found:
+                    open_.append((len(out), c, found, [i for i, x in enumerate(found) if x is None]))
+                    out.append(None)
+                else:
+                    out.append(b"".join(found))
             else:
-                c = None
-            parts.append(c)
-        new = [c for c in missing if c not in self.chunks]
+                out.append(self._whole(t))
+        new = list({c[i] for _, c, _, at in open_ for i in at})
         if new:
             words = {c: ws for c in new if not c.isalpha() and len(ws := _WORD.findall(c)) != 1}  # letters alone are one word
             self._learn([c for c in new if c not in words], self.chunks)  # a word by itself is kept once
             self._learn(list({w for ws in words.values() for w in ws if w not in self.known and w not in self.chunks}), self.known)
             self.chunks.update([(c, b"".join([self.known[w] if w in self.known else self.chunks[w] for w in ws])) for c, ws in words.items()])
-        get = self.chunks.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, parts, strict=True)]
+        for k, c, found, at in open_:
+            for i in at:
+                found[i] = self.chunks[c[i]]
+            out[k] = b"".join(found)
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Each word is a pre-token of its own, so many are encoded in one call."""
+        """Each word is a pre-token of its own, so many are encoded in one call and told apart by the ids that end words."""
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            at = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            b = np.array(e.ids, "<u4").tobytes()
-            if at[-1] != len(b) or (np.diff(at) == 0).any():  # not one pre-token each
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            b = ids.tobytes()
+            if len(at) != len(part) + 1 or at[-1] != len(b):  # not one pre-token each
                 into.update((w, self._whole(w)) for w in part)
             else:
-                into.update(zip(part, (b[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
+                into.update(zip(part, (b[x:y] for x, y in pairwise(at)), strict=True))
 
 
 def batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
