@@ -44,8 +44,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "tel": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|(?<![0-9][\x20])[0-9]{3}([-.\x20])[0-9]{3}\1[0-9]{4})(?![0-9A-Za-z-])(?![\x20.][0-9])",
-    "name": r"(?:(?<!\p{L})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Monsieur|Madame|Señora?)\x20|(?<=(?<!\p{L})(?i:my name is|i am called|mein name ist|ich hei(?:ß|ss)e|je m'appelle|mon nom est|me llamo|mi nombre es)\x20))\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30}){0,2}",
+    "tel": r"(?=[(0-9])(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|(?<![0-9][\x20])[0-9]{3}([-.\x20])[0-9]{3}\1[0-9]{4})(?![0-9A-Za-z-])(?![\x20.][0-9])",
+    "name": r"(?=\p{Lu})(?:(?<!\p{L})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|Herr|Frau|Monsieur|Madame|Señora?)\x20|(?<=(?<!\p{L})(?i:my name is|i am called|mein name ist|ich hei(?:ß|ss)e|je m'appelle|mon nom est|me llamo|mi nombre es)\x20))\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30}){0,2}",
 }
 #: What a text must hold for a pattern to have a match; saves the search in most texts.
 NEEDS = {"email": "@", "phone": "+", "id": "-"}
