@@ -25,7 +25,8 @@ Training, on sentences of at most ``max_labelled`` labelled documents:
    have characters put in;
 4. 2. and 3. are repeated, with the machine's scores and with all clean parts kept so far;
 5. a logistic curve turns a document's two worst parts (in different places, with different
-   scores) into its score: one part may be an insult by chance of spelling.
+   scores) into its score: one part may be an insult by chance of spelling. It weighs the worst
+   part's score, and how far both are over zero.
 
 Since there are finitely many subsequences, landmarks and machine collapse into one weight a
 subsequence: CLASSES**3 numbers, sent with the scoring task, which reads whole texts.
@@ -230,7 +231,7 @@ def part_scores(c: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.n
 class Model:
     weights: np.ndarray  # of each subsequence
     bias: float = BIAS
-    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the highest score, the second, and one
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of evidence()
 
     def tops(self, texts: list[str]) -> np.ndarray:
         """Of each text the highest score of a part, and the highest of another part elsewhere with a lower one (the bias if there is none)."""
@@ -261,8 +262,15 @@ class Model:
         return out
 
     def score(self, tops: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * tops[:, 0] + b * tops[:, 1] + c, -500, 500)))
+        x = evidence(tops)
+        total = sum((x[:, i] * c for i, c in enumerate(self.curve)), np.zeros(len(x)))  # in one order, however many rows there are
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+
+
+def evidence(tops: np.ndarray) -> np.ndarray:
+    """What the logistic curve weighs: the highest score, how far it and the second are over zero, and one. Under zero
+    a second part says nothing, so one insult alone can be enough."""
+    return np.column_stack((tops[:, 0], np.maximum(tops, 0), np.ones(len(tops))))
 
 
 # --- the machine ---------------------------------------------------------------------------
@@ -333,15 +341,14 @@ def _fit(kernels: np.ndarray, root: np.ndarray, y: np.ndarray, weight: np.ndarra
     return beta
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """The curve by Newton steps, with targets drawn in a little (Platt)."""
+def _logistic(a: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """The curve of evidence() by Newton steps, with targets drawn in a little (Platt)."""
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.column_stack((x, np.ones(len(x))))
-    beta = np.array([1.0, 0.0, 0.0])
+    beta = np.eye(a.shape[1])[0]
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(3), a.T @ (t - p) - 1e-6 * beta)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(len(beta)), a.T @ (t - p) - 1e-6 * beta)
         size = np.abs(step).max()
         beta = beta + step / max(1, size)
         if size < 1e-8:
@@ -487,7 +494,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         negative = Counter({w: n for w, n in clean.items() if w not in toxic})
         model = train_machine(with_variants(toxic), negative, settings)
     rows = sorted(sample.mapInPandas(trimmed(_topped(model)), "toxic int, first double, second double").collect())  # max_labelled rows, in one order
-    model.curve = _logistic(np.array([[r["first"], r["second"]] for r in rows]), np.array([r["toxic"] for r in rows]))
+    model.curve = _logistic(evidence(np.array([[r["first"], r["second"]] for r in rows])), np.array([r["toxic"] for r in rows]))
     return model
 
 
