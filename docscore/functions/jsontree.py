@@ -26,6 +26,7 @@ LEVELS = 8
 
 #: A JSON string; possessive, so that long ones take no stack.
 _STRING = r'"((?:[^"\\]++|\\.)*+)"'
+_END = "e:end of the value"
 _MARKED = r'"s((?:[^"\\]++|\\.)*+)"'
 
 
@@ -37,12 +38,6 @@ def _node(name: Column, text: Column) -> Column:
     return F.struct(name.alias("name"), kind.alias("kind"), F.when(text.startswith("s"), F.substring(text, F.lit(2), F.length(text))).otherwise(text).alias("text"))
 
 
-def _last_of_each(nodes: Column) -> Column:
-    names = F.transform(nodes, lambda n: n["name"])
-    once = let(F.array_distinct(names), lambda d: F.when(F.size(d) == F.size(nodes), nodes).otherwise(F.transform(d, lambda k: member(nodes, k))))
-    return F.when(nodes.isNotNull(), once)
-
-
 def elements(text: Column) -> Column:
     """Nodes of a marked array's text, without names; null if it is none."""
     return F.transform(F.from_json(text, "array<string>", _STRICT), lambda t: _node(F.lit(None).cast("string"), t))
@@ -50,8 +45,28 @@ def elements(text: Column) -> Column:
 
 def members(text: Column) -> Column:
     """Nodes of a marked object's text; null if it is none."""
-    entries = F.map_entries(F.from_json(text, "map<string,string>", _STRICT))
-    return let(F.transform(entries, lambda e: _node(F.substring(e["key"], F.lit(2), F.length(e["key"])), e["value"])), _last_of_each)
+
+    def nodes(m: Column) -> Column:
+        each = F.transform(F.map_entries(m), lambda e: _node(F.substring(e["key"], F.lit(2), F.length(e["key"])), e["value"]))
+        return let(F.array_distinct(F.map_keys(m)), lambda d: F.when(F.size(d) == F.size(m), each).otherwise(let(each, lambda ns: F.transform(d, lambda k: member(ns, F.substring(k, F.lit(2), F.length(k)))))))
+
+    return let(F.from_json(text, "map<string,string>", _STRICT), lambda m: F.when(m.isNotNull(), nodes(m)))
+
+
+def fields(text: Column, *names: str) -> Column:
+    """Struct of the marked texts of some members of a marked object (null: null or missing), in one reading."""
+    return F.from_json(text, "struct<" + ",".join(f"`s{n}`:string" for n in names) + ">", _STRICT)
+
+
+def field(f: Column, name: str) -> Column:
+    """A member of fields() as a node."""
+    return _node(F.lit(None).cast("string"), f[f"s{name}"])
+
+
+def field_text(f: Column, name: str) -> Column:
+    """A member of fields() if it is a text, else null."""
+    t = f[f"s{name}"]
+    return F.when(t.startswith("s"), F.substring(t, F.lit(2), F.length(t)))
 
 
 def compact(node: Column) -> Column:
@@ -61,7 +76,8 @@ def compact(node: Column) -> Column:
 
 def has_member(node: Column, name: str) -> Column:
     """Whether a node is an object with a member of that name."""
-    return (node["kind"] == "object") & F.coalesce(F.array_contains(F.json_object_keys(node["text"]), "s" + name), F.lit(False))
+    # Most objects without it are told by their text alone.
+    return F.coalesce((node["kind"] == "object") & node["text"].contains(f'"s{name}":') & F.array_contains(F.json_object_keys(node["text"]), "s" + name), F.lit(False))
 
 
 def children(node: Column) -> Column:
@@ -76,13 +92,11 @@ def member(nodes: Column, name: Column | str) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """The node of a text that is one JSON value and nothing else; else null. Values in front or behind
-    can't stand both in a list and in an object."""
+    """The node of a text that is one JSON value and nothing else; else null. It is read as a list that ends with a
+    mark of our own, so what stands behind the value, or closes the list, shows."""
     marked = F.regexp_replace(text, _STRING, '"s$1"')
-    in_list = elements(F.concat(F.lit("["), marked, F.lit("]")))
-    in_object = F.from_json(F.concat(F.lit('{"x":'), marked, F.lit("}")), "map<string,string>", _STRICT)
-    alone = lambda found: (F.size(found) == 1) & (F.size(in_object) == 1)
-    return let(in_list, lambda found: F.when(F.coalesce(alone(found) & (strip(text) != ""), F.lit(False)), F.get(found, F.lit(0))))
+    listed = F.from_json(F.concat(F.lit("["), marked, F.lit(f',"{_END}"]')), "array<string>", _STRICT)
+    return let(listed, lambda a: F.when((F.size(a) == 2) & F.coalesce(F.get(a, F.lit(1)) == _END, F.lit(False)), _node(F.lit(None).cast("string"), F.get(a, F.lit(0)))))
 
 
 def truthy(node: Column) -> Column:
@@ -105,7 +119,7 @@ def float_text(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(short.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
     e = F.regexp_replace(F.regexp_replace(short, r"\.0E", "E"), r"E(-?)([0-9])$", "E$10$2")
     power = F.regexp_replace(F.lower(e), "e([0-9])", "e+$1")
-    return F.when((F.abs(d) >= 1e16) | ((d != 0) & (F.abs(d) < 1e-4)), power).otherwise(plain)
+    return F.when((F.abs(d) >= 1e-3) & (F.abs(d) < 1e7), short).when((F.abs(d) >= 1e16) | ((d != 0) & (F.abs(d) < 1e-4)), power).otherwise(plain)
 
 
 def scalar_text(node: Column) -> Column:
@@ -125,12 +139,13 @@ def depth(text: Column) -> Column:
     return F.aggregate(F.split(marks, ""), zero, step, lambda s: s["most"])
 
 
-def walked(rows: DataFrame, texts: list[str], nodes: str, step: Callable[[Column], Column]) -> DataFrame:
+def walked(rows: DataFrame, texts: list[str], nodes: str, step: Callable[[Column], Column], more: int = 0) -> DataFrame:
     """``rows`` with the array ``nodes`` unfolded: ``step`` gives what each of them becomes, again and again
-    as deep as the texts go. One pass over the texts finds how deep; up to LEVELS levels are one plan."""
+    as deep as the texts go, and ``more`` times. One pass over the texts finds how deep; up to LEVELS levels
+    are one plan."""
     deep = rows.agg(F.max(F.greatest(*(depth(F.col(t)) for t in texts)) if len(texts) > 1 else depth(F.col(texts[0])))).first()[0] or 1
-    for level in range(deep + 1):
+    for level in range(deep + more):
         rows = rows.withColumn(nodes, F.flatten(F.transform(nodes, step)))
-        if level % LEVELS == LEVELS - 1 and level < deep:
+        if level % LEVELS == LEVELS - 1 and level < deep + more - 1:
             rows = keep(rows)
     return rows

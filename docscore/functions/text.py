@@ -30,9 +30,13 @@ def fold(s: Column) -> Column:
     return F.translate(s, LOOKALIKES, ASCII_FORMS)
 
 
+#: White space that ASCII has.
+_SPACES = " \t\n\x0b\x0c\r"
+
+
 def strip(s: Column) -> Column:
-    """Trim Unicode white space; null is empty."""
-    return F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Trim Unicode white space; null is empty. Plain ASCII needs no pattern."""
+    return F.when(s.isNull(), "").when(F.length(s) == F.octet_length(s), F.btrim(s, F.lit(_SPACES))).otherwise(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
 
 
 @F.pandas_udf(StringType())

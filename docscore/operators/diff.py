@@ -133,7 +133,7 @@ def tree_diff(pairs: DataFrame, volatile: frozenset[str] = VOLATILE, containers:
     root = _pair(F.lit("$"), none, F.lit(False), F.col("_a"), F.col("_b"))
     broken = lambda k: F.struct(F.lit("$").alias("path"), none.alias("name"), F.lit(False).alias("within"), k.alias("kind"), F.lit(False).alias("ignored"), none.alias("ak"), none.alias("at"), none.alias("bk"), none.alias("bt"))
     start = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.array(root).cast(_PAIR)).otherwise(F.filter(F.array(broken(bad("a")), broken(bad("b"))), lambda x: x["kind"].isNotNull()).cast(_PAIR))
-    rows = T.walked(rows.withColumn("_diff", start), ["a", "b"], "_diff", step)
+    rows = T.walked(rows.withColumn("_diff", start), ["a", "b"], "_diff", step, more=1)
     return rows.select("key", F.explode("_diff").alias("d")).select("key", "d.path", "d.kind", "d.ignored")
 
 

@@ -33,14 +33,14 @@ def _unfolded(docs: DataFrame, mode, legacy: bool = False) -> DataFrame:
     def step(n: Column) -> Column:
         own = lambda c: F.coalesce(c["name"], n["name"])  # noqa: E731 - what is in a list has the list's name
         kids = F.transform(T.children(n), lambda c, i: _state(own(c), F.concat(n["path"], F.array(F.coalesce(c["name"], (i + 1).cast("string")))), mode(n, c), c))
-        return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull())).cast(_STATE)
+        return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull()))
 
     return T.walked(docs, ["json"], "_nodes", step)
 
 
 def old_schema(root: Column) -> Column:
     """A list of keys, which is not read any more."""
-    return F.coalesce(T.member(T.children(root), "keys")["kind"] == "array", F.lit(False))
+    return F.coalesce((root["kind"] == "object") & root["text"].contains('"skeys":') & T.fields(root["text"], "keys")["skeys"].startswith("["), F.lit(False))
 
 
 def _leaf_mode(n: Column, c: Column) -> Column:
@@ -54,27 +54,27 @@ def _leaf_mode(n: Column, c: Column) -> Column:
 
 def expected(v: Column) -> Column:
     """Expected texts of a value: none for null and blanks; of a list those that aren't blank."""
-    many = F.transform(T.elements(v["text"]), lambda e: strip(T.listed_text(e)))
-    one = F.array(strip(T.scalar_text(v)))
-    return F.filter(F.when(v["kind"] == "array", many).otherwise(one), lambda t: t != "")
+    many = F.filter(F.transform(T.elements(v["text"]), lambda e: strip(T.listed_text(e))), lambda t: t != "")
+    one = strip(T.scalar_text(v))
+    return F.when(v["kind"] == "array", many).when(one != "", F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
 def _mode_of(data_type: Column) -> Column:
     return F.when(F.lower(strip(data_type)).isin("float", "integer", "number"), "numeric").otherwise("normalized_text")
 
 
-def _leaf(n: Column) -> Column:
-    """critical, expected, data_type, match and notes of a value object or a bare value."""
-    text_of = lambda m, name: F.when(T.member(m, name)["kind"] == "string", T.member(m, name)["text"])
-    kind = n["kind"]
-    bare = F.when((kind == "string") & strip(n["text"]).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date").when(kind.isin("string", "boolean", "integer", "float"), kind)
-    of = lambda critical, value, data_type, match, notes: F.struct(critical.alias("critical"), expected(value).alias("expected"), data_type.alias("data_type"), match.alias("match"), notes.alias("notes"))
-
-    def held(m: Column) -> Column:
-        said, kind = F.lower(strip(text_of(m, "match"))), text_of(m, "type")
-        return of(T.truthy(T.member(m, "critical")), T.member(m, "value"), kind, F.when(said.isin(*MODES), said).otherwise(_mode_of(kind)), text_of(m, "notes"))
-
-    return F.when(n["mode"] == "value", T.let(T.children(n), held)).otherwise(of(F.lit(False), n, bare, _mode_of(bare), F.lit(None).cast("string")))
+def _leaves(rows: DataFrame) -> DataFrame:
+    """``rows``: n, a value object or a bare value. With critical, expected, data_type, match and notes. In steps, so
+    that each is compiled and what it gives is there for the next."""
+    f = F.when(F.col("n.mode") == "value", T.fields(F.col("n.text"), "value", "critical", "type", "match", "notes"))
+    rows = rows.withColumn("_f", f).withColumn("_v", F.when(F.col("n.mode") == "value", T.field(F.col("_f"), "value")).otherwise(F.struct(F.lit(None).cast("string").alias("name"), "n.kind", "n.text")))
+    kind, held = F.col("_v.kind"), F.col("n.mode") == "value"
+    day = (kind == "string") & F.col("_v.text").contains("-") & strip(F.col("_v.text")).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    bare = F.when(day, "date").when(kind.isin("string", "boolean", "integer", "float"), kind)
+    rows = rows.withColumn("data_type", F.when(held, T.field_text(F.col("_f"), "type")).otherwise(bare)).withColumn("_said", F.when(held, F.lower(strip(T.field_text(F.col("_f"), "match")))))
+    match = F.when(F.col("_said").isin(*MODES), F.col("_said")).otherwise(_mode_of(F.col("data_type")))
+    critical = F.when(held, T.truthy(T.field(F.col("_f"), "critical"))).otherwise(False)
+    return rows.select("*", critical.alias("critical"), expected(F.col("_v")).alias("expected"), match.alias("match"), T.field_text(F.col("_f"), "notes").alias("notes")).drop("_f", "_v", "_said")
 
 
 def _repeated(texts: Column) -> Column:
@@ -119,9 +119,10 @@ def keys(docs: DataFrame) -> DataFrame:
     an earlier leaf took gets _2, _3 ..., the first that is free. Documents in the old schema, or
     that are no JSON objects, give no keys (see rejected)."""
     found = _unfolded(docs.select("doc", "json"), _leaf_mode).withColumn("_names", _probed(_preferred(F.col("_nodes"))))
-    each = F.transform(F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name")), lambda x: F.struct(x["name"].alias("name"), _leaf(x["n"]).alias("l")))
-    rows = found.select("doc", F.posexplode(F.filter(each, lambda x: strip(x["name"]) != "")).alias("at", "k"))
-    return rows.select("doc", (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.l.critical", "k.l.expected", "k.l.data_type", "k.l.match", "k.l.notes")
+    named = F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name"))
+    rows = found.select("doc", F.posexplode(F.filter(named, lambda x: strip(x["name"]) != "")).alias("at", "k"))
+    rows = _leaves(rows.select("doc", (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.n"))
+    return rows.select("doc", "ordinal", "name", "critical", "expected", "data_type", "match", "notes")
 
 
 def _node_mode(lists: bool):
@@ -138,8 +139,8 @@ def value_nodes(docs: DataFrame, lists: bool = True) -> DataFrame:
     critical, and whether each is labelled by three rules: text (a text or list that isn't blank), plain (or
     a number or boolean), any (or a list or object that isn't empty)."""
     rows = _unfolded(docs.select("doc", "json"), _node_mode(lists), legacy=True).select("doc", F.explode("_nodes").alias("n"))
-    m = rows.select("doc", F.col("n.name").alias("key"), T.children(F.col("n")).alias("m"))
-    v = m.select("doc", "key", T.truthy(T.member(F.col("m"), "critical")).alias("critical"), T.member(F.col("m"), "value").alias("v"))
+    m = rows.select("doc", F.col("n.name").alias("key"), T.fields(F.col("n.text"), "value", "critical").alias("m"))
+    v = m.select("doc", "key", T.truthy(T.field(F.col("m"), "critical")).alias("critical"), T.field(F.col("m"), "value").alias("v"))
     kind = F.col("v.kind")
     filled = F.exists(T.elements(F.col("v.text")), lambda e: T.truthy(e) & (strip(e["text"]) != ""))
     text = F.coalesce(F.when(kind == "string", strip(F.col("v.text")) != "").when(kind == "array", filled), F.lit(False))
