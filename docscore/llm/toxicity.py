@@ -58,7 +58,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, trimmed, unused
+from .common import cut, release, trim, trimmed, unused
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
 JOINED, LONGEST = 10, 24
@@ -289,16 +289,17 @@ def train_machine(toxic: Counter, clean: Counter, settings: Settings) -> Model:
     pool = [*range(min(half, len(bad))), *range(len(bad), len(bad) + min(half, len(good)))]
     own = np.concatenate([kernel(subsequences([parts[i]]), parts[i], 1) for i in pool])
     chosen: list[int] = []
-    columns: list[np.ndarray] = []
+    x = np.empty((len(parts), min(settings.landmarks, len(pool))), np.float32)  # the kernel of each part and landmark
     far = np.where(own > 0, 1.0, 0.0)
-    while len(chosen) < min(settings.landmarks, len(pool)):  # farthest first
+    while len(chosen) < x.shape[1]:  # farthest first
         p = int(np.argmax(far))
         if far[p] <= 1e-3:
             break
+        one = x[:, len(chosen)] = kernel(rows, parts[pool[p]], len(parts))
         chosen.append(pool[p])
-        columns.append(kernel(rows, parts[pool[p]], len(parts)))
-        far = np.minimum(far, 1 - columns[-1][pool] / np.sqrt(np.maximum(own * own[p], 1e-12)))
-    x = np.stack(columns, 1)
+        far = np.minimum(far, 1 - one[pool] / np.sqrt(np.maximum(own * own[p], 1e-12)))
+    del rows  # large, and so is what follows
+    x = x if len(chosen) == x.shape[1] else np.ascontiguousarray(x[:, : len(chosen)])
     v, u = np.linalg.eigh(x[chosen].astype(float))
     root = (u / np.sqrt(np.maximum(v, 1e-4))) @ u.T
     back = root @ _fit(x, root, y, weight)
@@ -310,9 +311,11 @@ def train_machine(toxic: Counter, clean: Counter, settings: Settings) -> Model:
 
 
 def _fit(kernels: np.ndarray, root: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton steps for the squared hinge loss of kernels @ root, halved until they help. The bias is
-    fixed: a part like none of the landmarks is clean."""
-    x = np.concatenate([kernels[i : i + 2048] @ root for i in range(0, len(kernels), 2048)]).astype(np.float32)
+    """Newton steps for the squared hinge loss of kernels @ root (which takes the place of ``kernels``), halved until
+    they help. The bias is fixed: a part like none of the landmarks is clean."""
+    x = kernels
+    for i in range(0, len(x), 2048):
+        x[i : i + 2048] = x[i : i + 2048] @ root
     beta, target = np.zeros(x.shape[1]), y - BIAS
 
     def margins(b: np.ndarray) -> np.ndarray:
@@ -493,6 +496,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             return None
         negative = Counter({w: n for w, n in clean.items() if w not in toxic})
         model = train_machine(with_variants(toxic), negative, settings)
+        trim()
     rows = sorted(sample.mapInPandas(trimmed(_topped(model)), "toxic int, first double, second double").collect())  # max_labelled rows, in one order
     model.curve = _logistic(evidence(np.array([[r["first"], r["second"]] for r in rows])), np.array([r["toxic"] for r in rows]))
     return model
