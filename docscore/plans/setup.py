@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.responses import used_tokens
+from ..functions.text import provider
+from ..operators import artifacts as A
 from ..operators import checkpoint as C
 from ..operators import config, render, views
 from ..operators import leaderboard as L
@@ -172,7 +174,30 @@ def latest_errors(spark, d):
     return C.top_errors(log(spark, d), 1_000_000)
 
 
+_VENDOR_NAMES = ("Claude-x", "gemini-3", "Ministral-8b", "pixtral-large", "o3", "gpt-5", "voxtral", "unknown")
+
+
+def model_providers(spark, d):
+    """The vendor of a model's name, for every document's."""
+    return table(spark, d, "documents").select("doc_id", provider(_pick(_VENDOR_NAMES, F.col("doc_id"))).alias("provider"))
+
+
+def carried_log(spark, d):
+    """The latest records of a log of which a third was carried over from an earlier run."""
+    x = log(spark, d)
+    return C.latest(A.carried_over(x.filter("ordinal % 3 = 0"), x.filter("ordinal % 3 <> 0"))).select("task_key", "ordinal", "error")
+
+
+def merged_runs(spark, d):
+    """Metrics of the latest records with the debug members of the same tasks, where there are any."""
+    x = C.latest(log(spark, d))
+    return A.merged_run(x.select("task_key", "latency_ms"), x.filter("ordinal % 5 <> 0").select("task_key", "document_id"))
+
+
 QUERIES = {
+    "model_providers": (model_providers, "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'anthropic' WHEN doc_id % 8 = 1 THEN 'google' WHEN doc_id % 8 IN (2, 3, 6) THEN 'mistral' ELSE 'openai' END AS provider FROM documents"),
+    "carried_log": (carried_log, f"WITH {LOG} SELECT task_key, ordinal, error FROM latest"),
+    "merged_runs": (merged_runs, f"WITH {LOG} SELECT task_key, latency_ms, document_id FROM latest WHERE ordinal % 5 <> 0"),
     "request_bodies": (request_bodies, _request_sql()),
     "usage_tokens": (usage_tokens, _USAGE),
     "checkpoint_state": (checkpoint_state, _STATE),
