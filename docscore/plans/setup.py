@@ -11,8 +11,10 @@ from ..operators import checkpoint as C
 from ..operators import config, render, views
 from ..operators import leaderboard as L
 from ..operators import requests as Q
+from ..operators.runner import SHAPE_OF, replay
 from .adapters import LOG, RUNS, log, runs, table
 from .aggregates import OFFLINE, ONLINE, REBUILT, r
+from .scalars import sql_strip
 
 _MODELS = ("gpt-5.4-mini", "gemini-2.5-flash", "o3", "claude-haiku-3", "mistral-ocr-latest", "gpt-4.1", "gemini-2.0-pro")
 _SYSTEM, _USER = "Read the \"keys\".", "Answer in JSON\nonly."
@@ -174,6 +176,26 @@ def latest_errors(spark, d):
     return C.top_errors(log(spark, d), 1_000_000)
 
 
+def replayed_runs(spark, d):
+    """Every document sent to a provider, answered from recorded responses: some were never recorded, some are errors, some empty."""
+    k, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    x = table(spark, d, "documents").select("doc_id", _pick(tuple(SHAPE_OF), k).alias("provider"), t.alias("t"))
+    key = Q.prompt_cache_key(F.col("provider"), F.lit(_SYSTEM), F.lit(_USER), F.concat(k.cast("string"), F.lit(":"), F.col("t")))
+    x = x.withColumn("key", key).withColumn("q", Q.quoted(F.concat(F.lit("n="), k.cast("string"), F.lit(" "), F.col("t"))))
+    shapes = {
+        "anthropic": F.format_string('{"content":[{"type":"text","text":%s}],"usage":{"input_tokens":%d,"output_tokens":2}}', "q", k), "openai": F.format_string('{"output":[{"content":[{"type":"output_text","text":%s}]}],"usage":{"input_tokens":%d,"output_tokens":2}}', "q", k),
+        "google": F.format_string('{"candidates":[{"content":{"parts":[{"text":%s}]}}],"usageMetadata":{"promptTokenCount":%d,"candidatesTokenCount":2}}', "q", k), "mistral": F.format_string('{"choices":[{"message":{"content":%s}}],"usage":{"prompt_tokens":%d,"completion_tokens":2}}', "q", k),
+    }
+    response = F.coalesce(*(F.when(F.col("provider") == p, r_) for p, r_ in shapes.items()))
+    response = F.when(k % 10 == 8, '{"error":{"message":"too busy"}}').when(k % 10 == 9, "{}").otherwise(response)
+    recorded = x.filter("doc_id % 10 <> 7").select("key", response.alias("response"))
+    out = replay(x.select(k.cast("string").alias("task_key"), "provider", "key"), recorded)
+    return out.select("task_key", "provider", F.sha2("raw_output", 256).alias("digest"), "input_tokens", "output_tokens", "error")
+
+
+_REPLAY = f"""WITH x AS (SELECT doc_id, doc_id % 10 AS k, ['anthropic', 'openai', 'google', 'mistral'][doc_id % 4 + 1] AS provider, {sql_strip("'n=' || doc_id || ' ' || coalesce(text, '')")} AS v FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS task_key, provider, sha256(CASE WHEN k < 7 THEN v ELSE '' END) AS digest, CASE WHEN k < 7 THEN doc_id ELSE 0 END AS input_tokens, CASE WHEN k < 7 THEN 2 ELSE 0 END AS output_tokens, CASE k WHEN 7 THEN 'no recorded response' WHEN 8 THEN 'too busy' WHEN 9 THEN 'empty response' END AS error FROM x"""
+
 _VENDOR_NAMES = ("Claude-x", "gemini-3", "Ministral-8b", "pixtral-large", "o3", "gpt-5", "voxtral", "unknown")
 
 
@@ -196,6 +218,7 @@ def merged_runs(spark, d):
 
 QUERIES = {
     "model_providers": (model_providers, "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'anthropic' WHEN doc_id % 8 = 1 THEN 'google' WHEN doc_id % 8 IN (2, 3, 6) THEN 'mistral' ELSE 'openai' END AS provider FROM documents"),
+    "replayed_runs": (replayed_runs, _REPLAY),
     "carried_log": (carried_log, f"WITH {LOG} SELECT task_key, ordinal, error FROM latest"),
     "merged_runs": (merged_runs, f"WITH {LOG} SELECT task_key, latency_ms, document_id FROM latest WHERE ordinal % 5 <> 0"),
     "request_bodies": (request_bodies, _request_sql()),

@@ -82,3 +82,12 @@ def test_views(spark):
 def test_ties_of_errors_go_by_where_they_were_seen_first(spark):
     log = spark.createDataFrame([("t1", 1, "Z"), ("t2", 2, "A"), ("t3", 3, "B"), ("t3", 4, None), ("t2", 5, "Q"), ("t1", 6, "Z")], "task_key string, ordinal long, error string")
     assert [(r.error, r.n) for r in C.top_errors(log).collect()] == [("Z", 1), ("Q", 1)]
+
+
+def test_replayed_answers(spark):
+    from docscore.operators.runner import replay
+
+    requests = spark.createDataFrame([("a", "openai", "k1"), ("b", "mistral", "k2"), ("c", "google", "k3"), ("d", "anthropic", "k4"), ("e", "other", "k1"), ("f", "openai", None)], "task_key string, provider string, key string")
+    recorded = spark.createDataFrame([("k1", '{"output_text":"x","usage":{"input_tokens":3}}'), ("k1", '{"output_text":"w"}'), ("k2", '{"error":{"message":"down"}}'), ("k4", "broken")], "key string, response string")
+    got = {r.task_key: (r.raw_output, r.input_tokens, r.error) for r in replay(requests, recorded).collect()}
+    assert got == {"a": ("x", 3, None), "b": ("", 0, "down"), "c": ("", 0, "no recorded response"), "d": ("", 0, "empty response"), "e": ("", 0, "empty response"), "f": ("", 0, "no recorded response")}
