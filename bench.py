@@ -16,16 +16,12 @@ from docscore.session import session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-#: Left out: queries whose work is a fixed list, not a table.
-SKIP = {"match_cascade"}
 
 
 def main() -> None:
     spark = session("bench", **{"spark.master": f"local[{CPUS}]", "spark.driver.memory": "8g", "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"})
     took: dict[str, float] = {}
     for name, query in catalog.queries().items():
-        if name in SKIP:
-            continue
         times = []
         for _ in range(3):
             start = time.perf_counter()
