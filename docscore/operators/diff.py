@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontree as T
 from ..functions.rounding import drift, within_tolerance
 from ..functions.text import slug
 
@@ -52,29 +55,42 @@ VOLATILE = frozenset({
 CONTAINERS = frozenset({"extracted_pairs", "parsed_output", "key_comparisons"})
 INSIDE = frozenset({"value", "found", "extracted_value", "matched", "notes", "missing_keys"})
 
-_PAIR = "array<struct<path:string,name:string,within:boolean,kind:string,ignored:boolean,ak:string,at:string,bk:string,bt:string>>"
-
-
-def _pair(path: Column, name: Column, within: Column, a: Column, b: Column) -> Column:
-    """The same place of both trees, still to be compared."""
-    return F.struct(path.alias("path"), name.alias("name"), within.alias("within"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("ignored"), a["kind"].alias("ak"), a["text"].alias("at"), b["kind"].alias("bk"), b["text"].alias("bt"))
-
-
-def _both(a: Column, b: Column) -> Column:
-    """Members of two objects side by side, by name: both are sorted together and neighbours of one name joined."""
-    side = lambda m, n: F.transform(m, lambda x: F.struct(x["name"].alias("name"), F.lit(n).alias("side"), x.alias("n")))
-    none = F.lit(None).cast(T.NODE)
 
-    def joined(s: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            after = F.get(s, i + 1)
-            twin = F.coalesce(after["name"] == x["name"], F.lit(False))
-            left = F.struct(x["name"].alias("name"), x["n"].alias("a"), F.when(twin, after["n"]).otherwise(none).alias("b"))
-            return F.when(x["side"] == 1, left).when(F.coalesce((F.get(s, i - 1)["name"] == x["name"]) & (i > 0), F.lit(False)), F.lit(None)).otherwise(F.struct(x["name"].alias("name"), none.alias("a"), x["n"].alias("b")))
-
-        return F.filter(F.transform(s, one), lambda x: x.isNotNull())
-
-    return T.let(F.array_sort(F.concat(side(a, 1), side(b, 2)), lambda x, y: F.when((x["name"] < y["name"]) | ((x["name"] == y["name"]) & (x["side"] < y["side"])), -1).when((x["name"] == y["name"]) & (x["side"] == y["side"]), 0).otherwise(1)), joined)
+def _differences(a: object, b: object, path: str, name: str | None, within: bool, names: tuple) -> Iterator[tuple[str, str, bool]]:
+    volatile, containers, inside = names
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    free = lambda k: k in volatile or within and k in inside
+    if free(name):
+        yield path, "", True
+    elif number(a) and number(b):
+        off, top = abs(a - b), max(abs(a), abs(b))
+        if off > 1.0 and off / top > 0.25:
+            yield path, "number", False
+    elif type(a) is not type(b):
+        yield path, "type", False
+    elif isinstance(a, dict):
+        for k in a.keys() | b.keys():
+            if k in a and k in b:
+                yield from _differences(a[k], b[k], f"{path}.{k}", k, within or k in containers, names)
+            else:
+                yield f"{path}.{k}", "key_a" if k in a else "key_b", free(k)
+    elif isinstance(a, list) and len(a) != len(b):
+        yield path, "length", False
+    elif isinstance(a, list):
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            yield from _differences(x, y, f"{path}[{i}]", None, within, names)
+    elif a != b:
+        yield path, "text" if isinstance(a, str) else "value", isinstance(a, str) and (" " in a + b or len(a) >= 40 or len(b) >= 40)
+
+
+def _compared(a: str | None, b: str | None, names: tuple) -> Iterator[tuple[str, str, bool]]:
+    trees, broken = [], []
+    for side, text in (("a", a), ("b", b)):
+        try:
+            trees.append(json.loads(text) if text is not None else broken.append(("$", f"missing_{side}", False)))
+        except ValueError:
+            broken.append(("$", f"invalid_{side}", False))
+    return iter(broken) if broken else _differences(*trees, "$", None, False, names)
 
 
 def tree_diff(pairs: DataFrame, volatile: frozenset[str] = VOLATILE, containers: frozenset[str] = CONTAINERS, inside: frozenset[str] = INSIDE) -> DataFrame:
@@ -83,58 +99,17 @@ def tree_diff(pairs: DataFrame, volatile: frozenset[str] = VOLATILE, containers:
     Kinds: missing_a and missing_b (a null side), invalid_a and invalid_b (no JSON; the trees are then not
     compared), type, key_a and key_b (a member of one side only), length, number (out of tolerance), text
     (short ones without a space; longer texts may differ and are ignored), value. Volatile members are
-    ignored, and so are those named ``inside`` under one of ``containers``. Both trees are gone through
-    side by side inside of their row, level by level."""
-    of = lambda names: F.array(*(F.lit(n) for n in sorted(names))) if names else F.array().cast("array<string>")
-    free = lambda name, within: F.coalesce(F.array_contains(of(volatile), name) | (within & F.array_contains(of(inside), name)), F.lit(False))
-    number = lambda k: k.isin("integer", "float")
-
-    def done(n: Column, kind: str, ignored: Column, path: Column | None = None) -> Column:
-        """A difference that was found, with nothing more to compare."""
-        none = F.lit(None).cast("string")
-        return F.struct((n["path"] if path is None else path).alias("path"), n["name"].alias("name"), n["within"].alias("within"), F.lit(kind).alias("kind"), ignored.alias("ignored"), none.alias("ak"), none.alias("at"), none.alias("bk"), none.alias("bt"))
-
-    def step(n: Column) -> Column:
-        node = lambda s: F.struct(F.lit(None).cast("string").alias("name"), n[s + "k"].alias("kind"), n[s + "t"].alias("text"))
-        a, b = node("a"), node("b")
-        nothing = F.array().cast(_PAIR)
-        found = lambda kind, ignored=F.lit(False): F.array(done(n, kind, ignored)).cast(_PAIR)
-        x, y = a["text"].try_cast("double"), b["text"].try_cast("double")
-
-        def below(m: Column) -> Column:
-            within, path = n["within"] | F.array_contains(of(containers), m["name"]), F.concat(n["path"], F.lit("."), m["name"])
-            alone = lambda kind: done(n, kind, free(m["name"], n["within"]), path)
-            return F.when(m["b"].isNull(), alone("key_a")).when(m["a"].isNull(), alone("key_b")).otherwise(_pair(path, m["name"], within, m["a"], m["b"]))
-
-        objects = F.transform(_both(T.children(a), T.children(b)), below).cast(_PAIR)
-
-        def lists(p: Column) -> Column:
-            at = lambda i: F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]"))
-            items = F.transform(p["a"], lambda e, i: _pair(at(i), F.lit(None).cast("string"), n["within"], e, F.get(p["b"], i)))
-            return F.when(F.size(p["a"]) != F.size(p["b"]), found("length")).otherwise(items.cast(_PAIR))
-
-        arrays = T.let(F.struct(T.children(a).alias("a"), T.children(b).alias("b")), lists)
-        words = a["text"].contains(" ") | b["text"].contains(" ") | (F.length(a["text"]) >= 40) | (F.length(b["text"]) >= 40)
-        return (
-            F.when(n["kind"].isNotNull(), F.array(n).cast(_PAIR))
-            .when(free(n["name"], n["within"]), found("", F.lit(True)))
-            .when(number(a["kind"]) & number(b["kind"]), F.when(within_tolerance(x, y), nothing).otherwise(found("number")))
-            .when(a["kind"] != b["kind"], found("type"))
-            .when(a["kind"] == "object", objects)
-            .when(a["kind"] == "array", arrays)
-            .when(a["text"].eqNullSafe(b["text"]), nothing)
-            .when(a["kind"] == "string", F.array(done(n, "text", words)).cast(_PAIR))
-            .otherwise(found("value"))
-        )
-
-    rows = pairs.select("key", "a", "b").withColumn("_a", T.parsed(F.col("a"))).withColumn("_b", T.parsed(F.col("b")))
-    none = F.lit(None).cast("string")
-    bad = lambda s: F.when(F.col(s).isNull(), "missing_" + s).when(F.col("_" + s).isNull(), "invalid_" + s)
-    root = _pair(F.lit("$"), none, F.lit(False), F.col("_a"), F.col("_b"))
-    broken = lambda k: F.struct(F.lit("$").alias("path"), none.alias("name"), F.lit(False).alias("within"), k.alias("kind"), F.lit(False).alias("ignored"), none.alias("ak"), none.alias("at"), none.alias("bk"), none.alias("bt"))
-    start = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.array(root).cast(_PAIR)).otherwise(F.filter(F.array(broken(bad("a")), broken(bad("b"))), lambda x: x["kind"].isNotNull()).cast(_PAIR))
-    rows = T.walked(rows.withColumn("_diff", start), ["a", "b"], "_diff", step, more=1)
-    return rows.select("key", F.explode("_diff").alias("d")).select("key", "d.path", "d.kind", "d.ignored")
+    ignored, and so are those named ``inside`` under one of ``containers``. Pairs are compared in Arrow batches."""
+    of = pairs.schema["key"].dataType.simpleString()
+    names = (volatile, containers, inside)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            text = lambda v: v if isinstance(v, str) else None
+            rows = [(k, *d) for k, a, b in zip(f["key"].tolist(), f["a"], f["b"], strict=True) for d in _compared(text(a), text(b), names)]
+            yield pd.DataFrame(rows, columns=["key", "path", "kind", "ignored"])
+
+    return pairs.select("key", "a", "b").mapInPandas(run, f"key {of}, path string, kind string, ignored boolean")
 
 
 def diff_report(differences: DataFrame) -> DataFrame:
