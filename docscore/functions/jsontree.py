@@ -12,15 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import keep
 from .text import let, strip
 
 NODE = "struct<name:string,kind:string,text:string>"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-#: Levels that one plan unfolds; deeper documents are kept in between.
+#: Levels of brackets that are counted by taking pairs away.
 LEVELS = 8
 
 
@@ -132,20 +131,17 @@ def scalar_text(node: Column) -> Column:
 
 def depth(text: Column) -> Column:
     """How deep brackets are nested outside of strings; at least 1. An upper bound where the text is no JSON."""
-    bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    marks = F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', ""), r"[^\[\]{}]+", "")
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++|"', "")
     step = lambda s, c: let(s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0), lambda n: F.struct(n.alias("now"), F.greatest(s["most"], n).alias("most")))
     zero = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
-    return F.aggregate(F.split(marks, ""), zero, step, lambda s: s["most"])
-
-
-def walked(rows: DataFrame, texts: list[str], nodes: str, step: Callable[[Column], Column], more: int = 0) -> DataFrame:
-    """``rows`` with the array ``nodes`` unfolded: ``step`` gives what each of them becomes, again and again
-    as deep as the texts go, and ``more`` times. One pass over the texts finds how deep; up to LEVELS levels
-    are one plan."""
-    deep = rows.agg(F.max(F.greatest(*(depth(F.col(t)) for t in texts)) if len(texts) > 1 else depth(F.col(texts[0])))).first()[0] or 1
-    for level in range(deep + more):
-        rows = rows.withColumn(nodes, F.flatten(F.transform(nodes, step)))
-        if level % LEVELS == LEVELS - 1 and level < deep + more - 1:
-            rows = keep(rows)
-    return rows
+    counted = lambda m: F.aggregate(F.split(m, ""), zero, step, lambda s: s["most"])
+    # Each round takes the innermost pairs away; what is left after LEVELS rounds is counted mark by mark.
+    shorter = lambda s, i: F.when(s["marks"] == "", s).otherwise(F.struct(F.regexp_replace(s["marks"], r"(?:[\[{][\]}])++", "").alias("marks"), i.alias("rounds")))
+    peeled = lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.struct(m.alias("marks"), F.lit(1).alias("rounds")), shorter)
+    return let(marks, lambda m: let(peeled(m), lambda s: F.when(s["marks"] == "", s["rounds"]).otherwise(counted(m))))
+
+
+def walked(text: Column, nodes: Column, step: Callable[[Column], Column]) -> Column:
+    """The array ``nodes`` unfolded: ``step`` gives what each of them becomes, again and again as deep as the
+    text goes. A loop inside of the row, so that no pass over all texts has to find out how deep they are."""
+    return F.aggregate(F.sequence(F.lit(1), depth(text)), nodes, lambda ns, _: F.flatten(F.transform(ns, step)))

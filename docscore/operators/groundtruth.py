@@ -28,14 +28,14 @@ def _unfolded(docs: DataFrame, mode, legacy: bool = False) -> DataFrame:
     docs = docs.withColumn("_root", root)
     fine = (F.col("_root.kind") == "object") & (F.lit(legacy) | ~old_schema(F.col("_root")))
     first = F.array(_state(F.lit("").cast("string"), F.array().cast("array<string>"), F.lit("object"), F.col("_root")))
-    docs = docs.withColumn("_nodes", F.when(F.coalesce(fine, F.lit(False)), first).otherwise(F.array().cast(_STATE)))
+    nodes = F.when(F.coalesce(fine, F.lit(False)), first).otherwise(F.array().cast(_STATE))
 
     def step(n: Column) -> Column:
         own = lambda c: F.coalesce(c["name"], n["name"])  # noqa: E731 - what is in a list has the list's name
         kids = F.transform(T.children(n), lambda c, i: _state(own(c), F.concat(n["path"], F.array(F.coalesce(c["name"], (i + 1).cast("string")))), mode(n, c), c))
         return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull()))
 
-    return T.walked(docs, ["json"], "_nodes", step)
+    return docs.withColumn("_nodes", T.walked(F.col("json"), nodes, step))
 
 
 def old_schema(root: Column) -> Column:
@@ -79,14 +79,14 @@ def _leaves(rows: DataFrame) -> DataFrame:
 
 def _repeated(texts: Column) -> Column:
     """Texts that an array holds more than once, by sorting."""
-    return T.let(F.array_sort(texts), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
+    return T.let(F.sort_array(texts), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
 
 
 def _preferred(leaves: Column) -> Column:
     """A leaf's own name if no other leaf of the document has it, else its path."""
-    names = F.array_sort(F.transform(leaves, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"))))
+    names = F.sort_array(F.transform(leaves, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"))))
     same = lambda s, x, i: F.coalesce(F.get(s, i)["name"] == x["name"], F.lit(False))
-    shared = T.let(names, lambda s: F.array_sort(F.transform(s, lambda x, i: F.struct(x["i"].alias("i"), (same(s, x, i - 1) | same(s, x, i + 1)).alias("shared")))))
+    shared = T.let(names, lambda s: F.sort_array(F.transform(s, lambda x, i: F.struct(x["i"].alias("i"), (same(s, x, i - 1) | same(s, x, i + 1)).alias("shared")))))
     return T.let(shared, lambda s: F.transform(leaves, lambda x, i: F.when(F.get(s, i)["shared"], F.array_join(x["path"], "_")).otherwise(x["name"])))
 
 
@@ -112,15 +112,25 @@ def _probed(names: Column) -> Column:
     return T.let(_repeated(names), lambda r: F.when(F.size(r) == 0, names).otherwise(probe(r)))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. With _nodes, the leaves, and _names, the name of each."""
+    return _unfolded(docs.select("doc", "json"), _leaf_mode).withColumn("_wanted", _preferred(F.col("_nodes"))).withColumn("_names", _probed(F.col("_wanted")))
+
+
+def key_names(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. The names of each one's keys in order, in a list: doc, names."""
+    return _named(docs).select("doc", F.filter("_names", lambda t: strip(t) != "").alias("names"))
+
+
 def keys(docs: DataFrame) -> DataFrame:
     """``docs``: doc, json. Keys of ground truth: doc, ordinal, name, critical, expected, data_type, match, notes.
 
     A leaf's name is its own if no other leaf of the document has it, else its path; a name that
     an earlier leaf took gets _2, _3 ..., the first that is free. Documents in the old schema, or
     that are no JSON objects, give no keys (see rejected)."""
-    found = _unfolded(docs.select("doc", "json"), _leaf_mode).withColumn("_names", _probed(_preferred(F.col("_nodes"))))
     named = F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name"))
-    rows = found.select("doc", F.posexplode(F.filter(named, lambda x: strip(x["name"]) != "")).alias("at", "k"))
+    # Outer, as what an inner one requires of the array would be looked for by a second walk.
+    rows = _named(docs).select("doc", F.posexplode_outer(F.filter(named, lambda x: strip(x["name"]) != "")).alias("at", "k")).filter("at is not null")
     rows = _leaves(rows.select("doc", (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.n"))
     return rows.select("doc", "ordinal", "name", "critical", "expected", "data_type", "match", "notes")
 
@@ -138,36 +148,44 @@ def value_nodes(docs: DataFrame, lists: bool = True) -> DataFrame:
     """``docs``: doc, json. Raw value objects, through objects and, with ``lists``, lists of objects: doc, key,
     critical, and whether each is labelled by three rules: text (a text or list that isn't blank), plain (or
     a number or boolean), any (or a list or object that isn't empty)."""
-    rows = _unfolded(docs.select("doc", "json"), _node_mode(lists), legacy=True).select("doc", F.explode("_nodes").alias("n"))
-    m = rows.select("doc", F.col("n.name").alias("key"), T.fields(F.col("n.text"), "value", "critical").alias("m"))
-    v = m.select("doc", "key", T.truthy(T.field(F.col("m"), "critical")).alias("critical"), T.field(F.col("m"), "value").alias("v"))
+    # Outer, as what an inner one requires of the array would be looked for by a second walk.
+    rows = _unfolded(docs.select("doc", "json"), _node_mode(lists), legacy=True).select("doc", F.explode_outer("_nodes").alias("n"))
+    return _labelled(rows.filter("n is not null"), "doc", F.col("n.name").alias("key"))
+
+
+def _labelled(rows: DataFrame, *more: str | Column) -> DataFrame:
+    """``rows``: n, a value object (or null: neither critical nor labelled). With critical and the three rules."""
+    m = rows.select(*more, T.fields(F.col("n.text"), "value", "critical").alias("_m"))
+    own = m.columns[:-1]
+    v = m.select(*own, T.truthy(T.field(F.col("_m"), "critical")).alias("critical"), T.field(F.col("_m"), "value").alias("v"))
     kind = F.col("v.kind")
     filled = F.exists(T.elements(F.col("v.text")), lambda e: T.truthy(e) & (strip(e["text"]) != ""))
     text = F.coalesce(F.when(kind == "string", strip(F.col("v.text")) != "").when(kind == "array", filled), F.lit(False))
     plain = text | kind.isin("boolean", "integer", "float")
-    return v.select("doc", "key", "critical", text.alias("labelled_text"), plain.alias("labelled_plain"), (plain | (kind.isin("array", "object") & T.truthy(F.col("v")))).alias("labelled_any"))
+    return v.select(*own, "critical", text.alias("labelled_text"), plain.alias("labelled_plain"), (plain | (kind.isin("array", "object") & T.truthy(F.col("v")))).alias("labelled_any"))
 
 
-def _totals(docs: DataFrame, nodes: DataFrame, label: str, *more: Column) -> DataFrame:
-    per = nodes.groupBy("doc").agg(F.count("*").alias("k"), F.count_if(label).alias("l"), F.count_if("critical").alias("c"), F.count_if(F.col(label) & F.col("critical")).alias("b"))
-    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
-    return docs.join(per, "doc", "left").groupBy("domain").agg(F.count("*").alias("documents"), total("k", "keys"), total("l", "labelled"), total("c", "critical"), total("b", "critical_labelled"), *more)
+def _totals(docs: DataFrame, lists: bool, legacy: bool, label: str) -> DataFrame:
+    """By domain: documents, their value objects (all, labelled, critical, both) and documents without any, in one
+    walk: a document's first row, or its only one if it has none, stands for it, and only sums of domains meet."""
+    rows = _unfolded(docs.select("domain", "json"), _node_mode(lists), legacy).select("domain", F.posexplode_outer("_nodes").alias("at", "n"))
+    none = F.col("at").isNull()
+    return _labelled(rows, "domain", "at").groupBy("domain").agg(
+        F.count_if(none | (F.col("at") == 0)).alias("documents"), F.count("at").alias("keys"), F.count_if(label).alias("labelled"),
+        F.count_if("critical").alias("critical"), F.count_if(F.col(label) & F.col("critical")).alias("critical_labelled"), F.count_if(none).alias("invalid"),
+    )
 
 
 def raw_summary(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both."""
-    return _totals(docs.select("doc", "domain"), value_nodes(docs), "labelled_plain")
+    """``docs``: domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both."""
+    return _totals(docs, True, True, "labelled_plain").drop("invalid")
 
 
 def label_summary(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, domain, json (null: not readable). By domain, for a report on labels: value objects in
+    """``docs``: domain, json (null: not readable). By domain, for a report on labels: value objects in
     objects alone: all, labelled (any), critical and both, and documents that can't be read, are in the
     old schema or hold none."""
-    nodes = value_nodes(docs, lists=False)
-    root = T.parsed(F.col("json"))
-    old = docs.select("doc", "domain", F.coalesce(old_schema(root), F.lit(False)).alias("old"))
-    nodes = nodes.join(old.filter("old").select("doc"), "doc", "left_anti")
-    return _totals(old, nodes, "labelled_any", F.count_if(F.col("k").isNull()).alias("invalid"))
+    return _totals(docs, False, False, "labelled_any")
 
 
 def rejected(docs: DataFrame) -> DataFrame:

@@ -183,8 +183,8 @@ def _gt(spark, d):
     """An order as nested ground truth with its lines as a list of items."""
     li = table(spark, d, "lineitem")
     item = F.format_string('{"qty":%d,"flag":"%s","price":{"value":%.2f,"critical":true,"type":"float"}}', F.col("l_quantity").cast("long"), "l_returnflag", "l_extendedprice")
-    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
-    items = li.groupBy("l_orderkey").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("items"))
+    order = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
+    items = li.groupBy("l_orderkey").agg(F.array_join(order["i"], ",").alias("items"))
     j = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     text = F.concat(
         F.format_string('{"order":{"id":{"value":%d,"critical":true,"type":"integer"},"day":{"value":"%s"},"note":{"value":null,"critical":true}},"status":{"value":["%s"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},' + _HARD + '"items":[', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"),

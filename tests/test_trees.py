@@ -161,6 +161,29 @@ def test_label_summary_counts_what_cannot_be_read(spark):
     assert got == {"A": (4, 3, 1, 2, 1, 3), "B": (2, 0, 0, 0, 0, 2)}
 
 
+def test_repeated_ids_are_documents_of_their_own(spark):
+    docs = [(1, "A", '{"a":{"value":1,"critical":true}}'), (1, "A", '{"a":{"value":""},"l":[{"b":{"value":2}}]}'), (None, "A", '{"a":{"value":1}}'), (2, "A", '{"keys":[],"a":{"value":1}}'), (2, None, "{}")]
+    rows = spark.createDataFrame(docs, "doc long, domain string, json string")
+    assert {r.domain: tuple(r)[1:] for r in G.raw_summary(rows).collect()} == {"A": (4, 5, 4, 1, 1), None: (1, 0, 0, 0, 0)}
+
+
+def test_a_text_is_read_and_walked_once(spark):
+    docs = spark.createDataFrame([(1, "A", '{"a":{"value":1}}')], "doc long, domain string, json string")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    for df in (G.keys(docs), G.key_names(docs), G.value_nodes(docs), G.raw_summary(docs), G.label_summary(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(T._END) == 2, plan  # the mark and the test for it, in one expression
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
+def test_depth_of_deep_texts(spark):
+    texts = {"[" * n + "]" * n: n for n in (1, 7, 8, 9, 40)} | {'{"a":"]}","b":[{},[[]]],"c\\\\":{"d\\"{":[]}}': 4, "": 1, "]]": 1, '{"a":[': 2}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.depth(F.col("t")).alias("d")).collect()
+    assert [r.d for r in got] == list(texts.values())
+    deep = '{"a":' * 40 + '[{"b":{"value":1},"c":2}]' + "}" * 40
+    assert [(r.name, r.expected) for r in G.keys(spark.createDataFrame([(1, deep)], "doc long, json string")).collect()] == [("b", ["1"]), ("c", ["2"])]
+
+
 # --- tree diff -------------------------------------------------------------------------
 
 
