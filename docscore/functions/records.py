@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jsontree as T
-from .text import let
+from .text import let, once
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 #: Texts that mean yes and no.
@@ -83,7 +83,8 @@ def _value(t: Column, kind) -> Column:
     flag = F.when(t == "true", 1).when(t == "false", 0)
     if kind == "int":
         whole = lambda x: F.coalesce(F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast("bigint")), F.when(x.try_cast("double") % 1 == 0, x.try_cast("double").try_cast("bigint")))
-        return F.coalesce(whole(number), whole(digits), flag.cast("bigint"))
+        # Most are plain digits; these are told first.
+        return F.when(t.rlike("^-?[0-9]{1,18}$"), t.try_cast("bigint")).otherwise(F.coalesce(whole(number), whole(digits), flag.cast("bigint")))
     if kind == "float":
         return F.coalesce(number.try_cast("double"), F.when(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(text).try_cast("double")), flag.cast("double"))
     if kind == "bool":
@@ -100,23 +101,22 @@ def _value(t: Column, kind) -> Column:
 def record(t: Column, fields: list) -> Column:
     """An object's marked text as a struct of its fields; null if a field can't be what it must be."""
 
-    def of(r: Column) -> Column:
-        values = {name: _value(r[f"s{name}"], kind) for name, kind, _ in fields}
+    def checked(r: Column, values: Column) -> Column:
         fine = F.lit(True)
         for name, _, need in fields:
-            raw = r[f"s{name}"]
-            fine = fine & (values[name].isNotNull() if need == "must" else raw.isNull() | values[name].isNotNull())
+            fine = fine & (values[name].isNotNull() if need == "must" else r[f"s{name}"].isNull() | values[name].isNotNull())
         there = [f"s{name}" for name, _, need in fields if need == "there"]
         if there:
-            keys = F.json_object_keys(t)
-            for name in there:
-                fine = fine & F.array_contains(keys, name)
-        return F.when(F.coalesce(fine, F.lit(False)), F.struct(*(v.alias(n) for n, v in values.items())))
+            fine = fine & let(F.json_object_keys(t), lambda keys: F.forall(F.array(*(F.lit(n) for n in there)), lambda n: F.array_contains(keys, n)))
+        return F.when(F.coalesce(fine, F.lit(False)), values)
+
+    def of(r: Column) -> Column:
+        return let(F.struct(*(_value(r[f"s{name}"], kind).alias(name) for name, kind, _ in fields)), lambda values: checked(r, values))
 
     return let(F.from_json(F.when(t.startswith("{"), t), _strings(fields), _STRICT), of)
 
 
 def objects(lines: DataFrame, value: str, names: list[str]) -> DataFrame:
     """Lines that are one JSON object: with _o, a struct of the marked texts of the named members (s before each name)."""
-    node = lines.withColumn("_node", T.parsed(F.col(value))).filter("_node.kind = 'object'")
-    return node.withColumn("_o", F.from_json("_node.text", _strings([(n, "", "") for n in names]), _STRICT)).drop("_node")
+    node = once(lines, "_node", T.parsed(F.col(value))).filter("_node.kind = 'object'")
+    return once(node, "_o", F.from_json("_node.text", _strings([(n, "", "") for n in names]), _STRICT)).drop("_node")

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,6 +25,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row, whatever is asked of it later: a filter on a plain new
+    column is moved below it, with a copy of the value for each place that names it."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def fold(s: Column) -> Column:
     """Look-alike letters as ASCII."""
     return F.translate(s, LOOKALIKES, ASCII_FORMS)

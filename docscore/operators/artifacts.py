@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontree as T
 from ..functions import records as R
+from ..functions.text import once
 
 #: Who answers, how models are graded, how values are compared.
 PROVIDERS, TIERS = ("anthropic", "openai", "google", "mistral"), ("budget", "balanced", "sota")
@@ -65,9 +66,10 @@ def checkpoint_records(lines: DataFrame, strict: bool = False) -> DataFrame:
     rows = R.objects(lines, "value", ["task_key", "completed_at", "metrics", "debug"])
     rows = rows.filter(R.truthy_text(F.col("_o.stask_key")) & R.truthy_text(F.col("_o.smetrics")) & R.truthy_text(F.col("_o.sdebug")))
     text = lambda n: R._value(F.col(f"_o.s{n}"), "text")
-    rows = rows.select("ordinal", text("task_key").alias("task_key"), text("completed_at").alias("completed_at"), F.col("_o.scompleted_at").alias("_at"), R.record(F.col("_o.smetrics"), METRICS).alias("metrics"), R.record(F.col("_o.sdebug"), DEBUG).alias("debug"))
-    valid = F.col("task_key").isNotNull() & (F.col("_at").isNull() | F.col("completed_at").isNotNull()) & F.col("metrics").isNotNull() & F.col("debug").isNotNull()
-    return _last(_checked(rows, valid, strict).drop("_at"), F.col("task_key"))
+    made = F.struct(text("task_key").alias("task_key"), text("completed_at").alias("completed_at"), R.record(F.col("_o.smetrics"), METRICS).alias("metrics"), R.record(F.col("_o.sdebug"), DEBUG).alias("debug"))
+    rows = once(rows.select("ordinal", "_o"), "_r", made)
+    valid = F.col("_r.task_key").isNotNull() & (F.col("_o.scompleted_at").isNull() | F.col("_r.completed_at").isNotNull()) & F.col("_r.metrics").isNotNull() & F.col("_r.debug").isNotNull()
+    return _last(_checked(rows, valid, strict).select("ordinal", "_r.*"), F.col("task_key"))
 
 
 def debug_key(run: Callable[[str], Column]) -> Column:
@@ -82,8 +84,8 @@ def debug_runs(documents: DataFrame, strict: bool = True) -> DataFrame:
     without ``strict``; a document without a list of runs has none."""
     order = F.col("ordinal") if "ordinal" in documents.columns else F.lit(0)
     listed = R.get_array(F.col("_node"), "runs")
-    each = documents.withColumn("_node", T.parsed(F.col("json"))).select(order.alias("_file"), F.posexplode(listed).alias("_at", "n"))
-    each = each.select(F.struct("_file", "_at").alias("ordinal"), R.record(F.when(F.col("n.kind") == "object", F.col("n.text")), DEBUG).alias("r"))
+    each = once(documents, "_node", T.parsed(F.col("json"))).select(order.alias("_file"), F.posexplode_outer(listed).alias("_at", "n")).filter("_at is not null")
+    each = once(each.select(F.struct("_file", "_at").alias("ordinal"), "n"), "r", R.record(F.when(F.col("n.kind") == "object", F.col("n.text")), DEBUG)).drop("n")
     each = _checked(each, F.col("r").isNotNull(), strict)
     rows = each.select("ordinal", debug_key(lambda c: F.col(f"r.{c}")).alias("task_key"), *(F.col(f"r.{c}").alias(c) for c in _names(DEBUG)[1:]))
     return _last(rows, F.col("task_key"))

@@ -93,3 +93,17 @@ def test_debug_runs_and_canonical_lines(spark):
     assert A.canonical_lines(wrong, strict=False).count() == 0
     with pytest.raises(Exception, match="not valid"):
         A.canonical_lines(wrong).collect()
+
+
+def test_a_line_is_read_once_whatever_is_asked_of_it(spark):
+    lines = spark.createDataFrame([(1, line())], "ordinal long, value string")
+    records = A.checkpoint_records(lines)
+    for df in (records, A.from_checkpoint(records)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(T._END) == 2, plan  # the mark and the test for it, in one expression
+
+
+def test_integers_of_all_lengths(spark):
+    texts = {"7": 7, "-12": -12, "999999999999999999": 999999999999999999, "9223372036854775807": 2**63 - 1, "2.0": 2, "1e3": 1000, "1.5": None, "s12": 12, "s 3.0 ": 3, "true": 1, "false": 0, "{}": None, None: None}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(R._value(F.col("t"), "int").alias("v")).collect()
+    assert [r.v for r in got] == list(texts.values())
