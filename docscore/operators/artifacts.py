@@ -100,7 +100,8 @@ def canonical_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     valid = (F.col("_o.sschema_version") == "s1.0") & F.col("_o.stask_key").startswith("s") & (F.col("_o.scompleted_at").isNull() | F.col("_o.scompleted_at").startswith("s"))
     for m, fields in CANONICAL.items():
         valid = valid & R.record(F.col(f"_o.s{m}"), fields).isNotNull()
-    rows = _checked(rows, F.coalesce(valid, F.lit(False)), strict)
+    rows = once(rows, "_valid", F.coalesce(valid, F.lit(False)))
+    rows = _checked(rows, F.col("_valid"), strict)
     return _last(rows.select("ordinal", F.substring("_o.stask_key", F.lit(2), F.length("_o.stask_key")).alias("task_key"), "value"), F.col("task_key")).select("task_key", "value")
 
 
