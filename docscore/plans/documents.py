@@ -435,7 +435,11 @@ def _lines(spark, d):
     debug = F.struct(*(more.get(c, of.get(c, F.col(c) if c in x.columns else F.lit(None))).alias(c) for c in A._names(A.MODEL + A.DOCUMENT + A.SCORES + A.RUNTIME)), more["raw_output"].alias("raw_output"), *(v.alias(c) for c, v in rest.items()))
     line = A.checkpoint_line(metrics, F.when(n % 5 != 0, debug), key, F.when(n % 4 != 0, "2024-01-01T00:00:00Z"))
     odd = F.when(n % 19 == 6, F.regexp_replace(line, '"completed_at":"[^"]*"', '"completed_at":5')).when(n % 19 == 7, F.concat(line, F.lit(" x"))).otherwise(line)
-    return keep(x.select("ordinal", odd.alias("value")))  # a log on disk
+    # A log on disk, as files, which are written in one pass (a checkpoint takes two).
+    cores = spark.sparkContext.defaultParallelism
+    lines, folder = x.select("ordinal", odd.alias("value")), _folder(spark, "lines")
+    (lines if x.rdd.getNumPartitions() >= cores else x.repartition(cores).select("ordinal", odd.alias("value"))).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _flat_contract(c):

@@ -99,7 +99,7 @@ def test_a_line_is_read_once_whatever_is_asked_of_it(spark):
     lines = spark.createDataFrame([(1, line())], "ordinal long, value string")
     records = A.checkpoint_records(lines)
     canonical = A.canonical_lines(lines, strict=False)
-    for df in (records, canonical):
+    for df in (records, canonical, A.export_summary(A.from_checkpoint(records))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(T._END) == 2, plan  # the mark and the test for it, in one expression
 
