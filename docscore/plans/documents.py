@@ -216,8 +216,9 @@ UNION ALL SELECT l_orderkey, 14 + 3 * i, CASE WHEN n > 1 THEN 'items_' || i || '
 
 def gt_dedupe_names(spark, d):
     """Names of clashing leaves, counted."""
-    k = G.keys(_gt(spark, d).select("doc", "json"))
-    return k.groupBy("doc").agg(F.count("*").alias("keys"), F.countDistinct("name").alias("names"), F.count_if(F.col("name").startswith("items_")).alias("pathed"))
+    k = G.key_names(_gt(spark, d).select("doc", "json")).groupBy("doc").agg(F.flatten(F.collect_list("names")).alias("n"))
+    size = lambda c: F.size(c).cast("long")
+    return k.select("doc", size("n").alias("keys"), size(F.array_distinct("n")).alias("names"), size(F.filter("n", lambda t: t.startswith("items_"))).alias("pathed")).filter("keys > 0")
 
 
 _GT_NAMES = f"SELECT doc, count(*) AS keys, count(DISTINCT name) AS names, count(*) FILTER (starts_with(name, 'items_')) AS pathed FROM ({_GT_SQL}) GROUP BY doc"
