@@ -12,9 +12,9 @@ SLOT = "{{REQUESTED_KEYS}}"
 
 def prompts(keys: DataFrame, template: str) -> DataFrame:
     """A prompt per document with its bullet list of keys, at the slot or at the end."""
-    line = F.format_string("- %s (type: %s, critical: %s)", "name", F.coalesce("data_type", F.lit("string")), F.when(F.col("critical"), "yes").otherwise("no"))
-    lines = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    line = F.concat(F.lit("- "), F.coalesce("name", F.lit("null")), F.lit(" (type: "), F.coalesce("data_type", F.lit("string")), F.lit(", critical: "), F.when(F.col("critical"), "yes").otherwise("no"), F.lit(")"))
+    lines = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
+    body = F.array_join(lines["line"], "\n")
     text: Column = F.replace(F.lit(template), F.lit(SLOT), body) if SLOT in template else F.concat(F.lit(template + "\n\n"), body)
     return keys.groupBy("doc").agg(text.alias("prompt"))
 
