@@ -165,6 +165,7 @@ def test_repeated_ids_are_documents_of_their_own(spark):
     docs = [(1, "A", '{"a":{"value":1,"critical":true}}'), (1, "A", '{"a":{"value":""},"l":[{"b":{"value":2}}]}'), (None, "A", '{"a":{"value":1}}'), (2, "A", '{"keys":[],"a":{"value":1}}'), (2, None, "{}")]
     rows = spark.createDataFrame(docs, "doc long, domain string, json string")
     assert {r.domain: tuple(r)[1:] for r in G.raw_summary(rows).collect()} == {"A": (4, 5, 4, 1, 1), None: (1, 0, 0, 0, 0)}
+    assert {r.domain: tuple(r)[1:] for r in G.label_summary(rows).collect()} == {"A": (4, 3, 2, 1, 1, 1), None: (1, 0, 0, 0, 0, 1)}
 
 
 def test_a_text_is_read_and_walked_once(spark):
