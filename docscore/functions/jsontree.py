@@ -75,8 +75,9 @@ def compact(node: Column) -> Column:
 
 def has_member(node: Column, name: str) -> Column:
     """Whether a node is an object with a member of that name."""
-    # Most objects without it are told by their text alone.
-    return F.coalesce((node["kind"] == "object") & node["text"].contains(f'"s{name}":') & F.array_contains(F.json_object_keys(node["text"]), "s" + name), F.lit(False))
+    # Most objects without it, and those that begin with it, are told by their text alone.
+    listed = node["text"].contains(f'"s{name}":') & F.array_contains(F.json_object_keys(node["text"]), "s" + name)
+    return F.coalesce((node["kind"] == "object") & (node["text"].startswith(f'{{"s{name}":') | listed), F.lit(False))
 
 
 def children(node: Column) -> Column:

@@ -20,10 +20,10 @@ def _state(name: Column, path: Column, mode: Column, node: Column) -> Column:
     return F.struct(name.alias("name"), path.alias("path"), mode.alias("mode"), node["kind"].alias("kind"), node["text"].alias("text"))
 
 
-def _unfolded(docs: DataFrame, mode, legacy: bool = False) -> DataFrame:
+def _unfolded(docs: DataFrame, mode, legacy: bool = False, paths: bool = False) -> DataFrame:
     """``docs``: json. With _root, the parsed text, and _nodes: what the walk from it ends at. ``mode(parent,
     child)`` says what a child is: "value" (a value object) and "leaf" stay, null goes, others are walked on.
-    Without ``legacy`` documents in the old schema are not walked."""
+    Without ``legacy`` documents in the old schema are not walked, without ``paths`` paths stay empty."""
     root = T.parsed(F.col("json"))
     docs = docs.withColumn("_root", root)
     fine = (F.col("_root.kind") == "object") & (F.lit(legacy) | ~old_schema(F.col("_root")))
@@ -32,7 +32,8 @@ def _unfolded(docs: DataFrame, mode, legacy: bool = False) -> DataFrame:
 
     def step(n: Column) -> Column:
         own = lambda c: F.coalesce(c["name"], n["name"])  # noqa: E731 - what is in a list has the list's name
-        kids = F.transform(T.children(n), lambda c, i: _state(own(c), F.concat(n["path"], F.array(F.coalesce(c["name"], (i + 1).cast("string")))), mode(n, c), c))
+        path = lambda c, i: F.concat(n["path"], F.array(F.coalesce(c["name"], (i + 1).cast("string")))) if paths else n["path"]
+        kids = F.transform(T.children(n), lambda c, i: _state(own(c), path(c, i), mode(n, c), c))
         return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull()))
 
     return docs.withColumn("_nodes", T.walked(F.col("json"), nodes, step))
@@ -114,7 +115,7 @@ def _probed(names: Column) -> Column:
 
 def _named(docs: DataFrame) -> DataFrame:
     """``docs``: doc, json. With _nodes, the leaves, and _names, the name of each."""
-    return _unfolded(docs.select("doc", "json"), _leaf_mode).withColumn("_wanted", _preferred(F.col("_nodes"))).withColumn("_names", _probed(F.col("_wanted")))
+    return _unfolded(docs.select("doc", "json"), _leaf_mode, paths=True).withColumn("_wanted", _preferred(F.col("_nodes"))).withColumn("_names", _probed(F.col("_wanted")))
 
 
 def key_names(docs: DataFrame) -> DataFrame:

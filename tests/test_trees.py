@@ -177,6 +177,13 @@ def test_a_text_is_read_and_walked_once(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
 
 
+def test_members_are_told_by_the_text_where_they_come_first(spark):
+    texts = {'{"value":1}': True, '{ "value" : 1 }': True, '{"a":{"value":1}}': False, '{"a":1,"value":2}': True, '{"a":"{\\"value\\":1}"}': False, '["value"]': False, '"value"': False, '{"values":1}': False, "{": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.parsed(F.col("t")).alias("n")).select(T.has_member(F.col("n"), "value").alias("v"))
+    assert [r.v for r in rows.collect()] == list(texts.values())
+    assert 'StartsWith(n#' in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_depth_of_deep_texts(spark):
     texts = {"[" * n + "]" * n: n for n in (1, 7, 8, 9, 40)} | {'{"a":"]}","b":[{},[[]]],"c\\\\":{"d\\"{":[]}}': 4, "": 1, "]]": 1, '{"a":[': 2}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.depth(F.col("t")).alias("d")).collect()
