@@ -1,13 +1,18 @@
 """Ground-truth documents (nested JSON) flattened to keys.
 
 Documents are walked inside of their rows, level by level, with column expressions: no Python and
-no shuffle. A text that is null or no JSON gives no keys and no nodes, and a row of rejected().
+no shuffle (label_summary, which needs counts alone, has them made in Arrow batches). A text that
+is null or no JSON gives no keys and no nodes, and a row of rejected().
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import jsontree as T
 from ..functions.text import strip
@@ -28,7 +33,6 @@ def _unfolded(docs: DataFrame, mode, legacy: bool = False, paths: bool = False)
     docs = docs.withColumn("_root", root)
     fine = (F.col("_root.kind") == "object") & (F.lit(legacy) | ~old_schema(F.col("_root")))
     first = F.array(_state(F.lit("").cast("string"), F.array().cast("array<string>"), F.lit("object"), F.col("_root")))
-    nodes = F.when(F.coalesce(fine, F.lit(False)), first).otherwise(F.array().cast(_STATE))
 
     def step(n: Column) -> Column:
         own = lambda c: F.coalesce(c["name"], n["name"])  # noqa: E731 - what is in a list has the list's name
@@ -36,7 +40,7 @@ def _unfolded(docs: DataFrame, mode, legacy: bool = False, paths: bool = False)
         kids = F.transform(T.children(n), lambda c, i: _state(own(c), path(c, i), mode(n, c), c))
         return F.when(n["mode"].isin("value", "leaf"), F.array(n)).otherwise(F.filter(kids, lambda c: c["mode"].isNotNull()))
 
-    return docs.withColumn("_nodes", T.walked(F.col("json"), nodes, step))
+    return docs.withColumn("_nodes", F.when(F.coalesce(fine, F.lit(False)), T.walked(F.col("json"), first, step)).otherwise(F.array().cast(_STATE)))
 
 
 def old_schema(root: Column) -> Column:
@@ -166,27 +170,72 @@ def _labelled(rows: DataFrame, *more: str | Column) -> DataFrame:
     return v.select(*own, "critical", text.alias("labelled_text"), plain.alias("labelled_plain"), (plain | (kind.isin("array", "object") & T.truthy(F.col("v")))).alias("labelled_any"))
 
 
-def _totals(docs: DataFrame, lists: bool, legacy: bool, label: str) -> DataFrame:
-    """By domain: documents, their value objects (all, labelled, critical, both) and documents without any, in one
-    walk: a document's first row, or its only one if it has none, stands for it, and only sums of domains meet."""
-    rows = _unfolded(docs.select("domain", "json"), _node_mode(lists), legacy).select("domain", F.posexplode_outer("_nodes").alias("at", "n"))
-    none = F.col("at").isNull()
+def raw_summary(docs: DataFrame) -> DataFrame:
+    """``docs``: domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both, in
+    one walk: a document's first row, or its only one if it has none, stands for it, and only sums of domains meet."""
+    rows = _unfolded(docs.select("domain", "json"), _node_mode(True), legacy=True).select("domain", F.posexplode_outer("_nodes").alias("at", "n"))
+    label = F.col("labelled_plain")
     return _labelled(rows, "domain", "at").groupBy("domain").agg(
-        F.count_if(none | (F.col("at") == 0)).alias("documents"), F.count("at").alias("keys"), F.count_if(label).alias("labelled"),
-        F.count_if("critical").alias("critical"), F.count_if(F.col(label) & F.col("critical")).alias("critical_labelled"), F.count_if(none).alias("invalid"),
+        F.count_if(F.col("at").isNull() | (F.col("at") == 0)).alias("documents"), F.count("at").alias("keys"), F.count_if(label).alias("labelled"),
+        F.count_if("critical").alias("critical"), F.count_if(label & F.col("critical")).alias("critical_labelled"),
     )
 
 
-def raw_summary(docs: DataFrame) -> DataFrame:
-    """``docs``: domain, json. By domain: documents, and value objects: all, labelled (plain), critical and both."""
-    return _totals(docs, True, True, "labelled_plain").drop("invalid")
+def _constant(name: str) -> None:
+    raise ValueError(name)
+
+
+#: Whole numbers as floats, as these may have any number of digits.
+_READER = json.JSONDecoder(parse_int=float, parse_constant=_constant)
+_COUNTS = ("keys", "labelled", "critical", "critical_labelled")
+
+
+def _counted(text: bytes | None) -> tuple[int, int, int, int] | None:
+    """_COUNTS of a text's value objects in objects alone, zeros of the old schema; None of a text that can't be read."""
+    try:
+        root = _READER.decode(text.decode()) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+    todo = [root] if isinstance(root, dict) and not isinstance(root.get("keys"), list) else []
+    keys = labelled = critical = both = 0
+    while todo:
+        for x in todo.pop().values():
+            if type(x) is not dict:
+                continue
+            if "value" not in x:
+                todo.append(x)
+                continue
+            v = x["value"]
+            has = v.strip() != "" if isinstance(v, str) else isinstance(v, (bool, float)) or bool(v)
+            keys += 1
+            labelled += has
+            if x.get("critical"):
+                critical += 1
+                both += has
+    return keys, labelled, critical, both
+
+
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
+def _counts(texts: pa.Array) -> pa.Array:
+    found = [_counted(t) for t in texts.cast(pa.binary()).to_pylist()]  # bytes, as a text may be no UTF-8
+    columns = [pa.array([c and c[i] for c in found], pa.int64()) for i in range(len(_COUNTS))]
+    return pa.StructArray.from_arrays(columns, list(_COUNTS), mask=pa.array([c is None for c in found], pa.bool_()))
 
 
 def label_summary(docs: DataFrame) -> DataFrame:
     """``docs``: domain, json (null: not readable). By domain, for a report on labels: value objects in
     objects alone: all, labelled (any), critical and both, and documents that can't be read, are in the
-    old schema or hold none."""
-    return _totals(docs, False, False, "labelled_any")
+    old schema or hold none. What Python's reader refuses is walked in expressions, so none that these read is lost."""
+    read = docs.select("domain", "json", _counts("json").alias("_c"))
+    rest = _unfolded(read.select("domain", "_c", F.when(F.col("_c").isNull(), F.col("json")).alias("json")), _node_mode(False))
+    rows = _labelled(rest.select("domain", "_c", F.posexplode_outer("_nodes").alias("at", "n")), "domain", "_c", "at")
+    none, label = F.col("at").isNull(), F.col("labelled_any")
+    # Rows of the walk, and the counts of documents without any.
+    both = lambda rows, c: (rows + F.coalesce(F.sum(F.col("_c")[c]), F.lit(0))).alias(c)
+    return rows.groupBy("domain").agg(
+        F.count_if(none | (F.col("at") == 0)).alias("documents"), both(F.count("at"), "keys"), both(F.count_if(label), "labelled"), both(F.count_if("critical"), "critical"),
+        both(F.count_if(label & F.col("critical")), "critical_labelled"), F.count_if(none & (F.coalesce(F.col("_c.keys"), F.lit(0)) == 0)).alias("invalid"),
+    )
 
 
 def rejected(docs: DataFrame) -> DataFrame:

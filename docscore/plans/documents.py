@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import jsontree as JT
@@ -179,18 +180,30 @@ SELECT o_orderkey, CASE k WHEN 0 THEN true WHEN 1 THEN other = day OR (day(other
 _HARD = '"odd":[" 2024-01-02 ","\\n x\\t",1e16,true,[1],null],"hard":{"one":{"value":1.50,"critical":1,"match":" Exact ","type":5},"two":{"value":[true,2.0,null," z "],"critical":"yes","type":" Float ","notes":"n"},"three":{"value":{"k":1},"critical":[],"type":"x"}},'
 
 
+def _shown(*parts) -> Column:
+    """Texts and columns as one text, as format_string shows them (null as a word) but without reading a pattern for each row."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+
+
+def _cents(c: Column) -> Column:
+    """A number with two digits behind the point. Only what these don't hold exactly is left to format_string."""
+    exact = c.try_cast("decimal(15,2)")
+    return F.when((c > 0) & (exact.cast("double") == c), exact.cast("string")).otherwise(F.format_string("%.2f", c))
+
+
 def _gt(spark, d):
     """An order as nested ground truth with its lines as a list of items."""
     li = table(spark, d, "lineitem")
-    item = F.format_string('{"qty":%d,"flag":"%s","price":{"value":%.2f,"critical":true,"type":"float"}}', F.col("l_quantity").cast("long"), "l_returnflag", "l_extendedprice")
+    item = _shown('{"qty":', F.col("l_quantity").cast("long"), ',"flag":"', F.col("l_returnflag"), '","price":{"value":', _cents(F.col("l_extendedprice")), ',"critical":true,"type":"float"}}')
     order = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("i"))))
     items = li.groupBy("l_orderkey").agg(F.array_join(order["i"], ",").alias("items"))
     j = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    text = F.concat(
-        F.format_string('{"order":{"id":{"value":%d,"critical":true,"type":"integer"},"day":{"value":"%s"},"note":{"value":null,"critical":true}},"status":{"value":["%s"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},' + _HARD + '"items":[', "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"),
-        "items", F.lit("]}"),
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = _shown(
+        '{"order":{"id":{"value":', F.col("o_orderkey"), ',"critical":true,"type":"integer"},"day":{"value":"', day, '"},"note":{"value":null,"critical":true}},"status":{"value":["', F.col("o_orderstatus"),
+        '"," ","?"],"match":"exact"},"plain":7,"other":{"day":{"value":" "}},' + _HARD + '"items":[', F.col("items"), "]}",
     )
-    return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
+    return j.select(F.col("o_orderkey").alias("doc"), text.alias("json"), day.alias("day"), "o_orderstatus")
 
 
 def gt_flatten(spark, d):

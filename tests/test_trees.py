@@ -161,6 +161,59 @@ def test_label_summary_counts_what_cannot_be_read(spark):
     assert got == {"A": (4, 3, 1, 2, 1, 3), "B": (2, 0, 0, 0, 0, 2)}
 
 
+def test_label_summary_equals_plain_python(spark):
+    r = random.Random(9)
+    texts = [json.dumps({"p": value(r), "q": {"r": value(r)}, r.choice(["s", "keys"]): value(r)}) for _ in range(400)]
+    texts += [None, "", "{", "null", "[1]", "{} x", '{"a":NaN}', "\ufeff{}", '{"a":{"value":1},"a":{"value":""}}', '{"value":{"value":-0,"critical":-0.0}}', ' {"a":{"value":{},"critical":1e-400}} ']
+
+    def totals(text):
+        try:
+            root = json.loads(text, parse_constant=lambda c: int(c))
+        except (ValueError, TypeError):
+            root = None
+        old = isinstance(root, dict) and isinstance(root.get("keys"), list)
+        found = [(v.strip() != "" if isinstance(v, str) else isinstance(v, (bool, int, float)) or bool(v), c) for _, c, v in ([] if old else raw_nodes(root, False))]
+        return [len(found), sum(has for has, _ in found), sum(c for _, c in found), sum(has and c for has, c in found), not found]
+
+    want = [len(texts), *map(sum, zip(*map(totals, texts), strict=True))]
+    got = G.label_summary(spark.createDataFrame([("A", t) for t in texts], "domain string, json string").repartition(3)).collect()
+    assert [tuple(x) for x in got] == [("A", *want)]
+
+
+def test_label_summary_reads_what_plain_python_reads(spark):
+    """Numbers of any length, more than a thousand levels, all white space; and ordinary texts are not walked level by level."""
+    texts = ['{"a":{"value":%s,"critical":1}}' % ("1" * 5000), '{"a":{"value":%s1%s}}' % ("[" * 1100, "]" * 1100), '{"a":{"value":" \\u001f "}}', '{"a":' * 200_000]
+    docs = spark.createDataFrame([("A", t) for t in texts], "domain string, json string")
+    assert [tuple(x) for x in G.label_summary(docs).collect()] == [("A", 4, 3, 2, 1, 1, 1)]
+    assert "ArrowEvalPython" in G.label_summary(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_refused_by_the_reader_are_walked(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([("A", '{"a":{"value":1,"critical":true},"b":{"c":{"value":" "}}}'), ("A", "{"), ("B", '{"keys":[],"a":{"value":1}}'), ("B", '{"a":{"value":[0]}}')], "domain string, json string")
+    want = {("A", 2, 2, 1, 1, 1, 1), ("B", 2, 1, 1, 0, 0, 1)}
+    assert set(map(tuple, G.label_summary(docs).collect())) == want
+    kind = pa.struct([(c, pa.int64()) for c in G._COUNTS])
+    monkeypatch.setattr(G, "_counts", F.arrow_udf(lambda t: pa.nulls(len(t), kind), G._counts.returnType))
+    assert set(map(tuple, G.label_summary(docs).collect())) == want
+
+
+def test_label_summary_of_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(b'{"a":{"value":"\xff","critical":true}}',), (b"\xff",), (b'{"a":{"value":1}}',)], "b binary").selectExpr("'A' AS domain", "CAST(b AS STRING) AS json")
+    assert [tuple(x) for x in G.label_summary(docs).collect()] == [("A", 3, 2, 2, 1, 1, 1)]
+
+
+def test_texts_of_orders_are_as_format_string_shows_them(spark):
+    from docscore.plans import documents as Q
+
+    numbers = [None, 0.0, -0.0, 0.004, 0.005, 0.01, 1.005, 2.675, -1.5, 100.1, 123456789012.34, 9999999999999.99, 1e13, 1e22, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(i, None if i % 3 else "x", n) for i, n in enumerate(numbers)], "k long, f string, c double")
+    k = F.when(F.col("k") % 2 == 0, F.col("k"))
+    new = Q._shown('{"k":', k, ',"f":"', F.col("f"), '","c":', Q._cents(F.col("c")), "}")
+    assert rows.filter(~new.eqNullSafe(F.format_string('{"k":%d,"f":"%s","c":%.2f}', k, "f", "c"))).count() == 0
+
+
 def test_repeated_ids_are_documents_of_their_own(spark):
     docs = [(1, "A", '{"a":{"value":1,"critical":true}}'), (1, "A", '{"a":{"value":""},"l":[{"b":{"value":2}}]}'), (None, "A", '{"a":{"value":1}}'), (2, "A", '{"keys":[],"a":{"value":1}}'), (2, None, "{}")]
     rows = spark.createDataFrame(docs, "doc long, domain string, json string")
