@@ -1,18 +1,22 @@
 """Ground-truth documents (nested JSON) flattened to keys.
 
 Documents are walked inside of their rows, level by level, with column expressions: no Python and
-no shuffle (label_summary, which needs counts alone, has them made in Arrow batches). A text that
-is null or no JSON gives no keys and no nodes, and a row of rejected().
+no shuffle. Where many are walked (label_summary, read_keys, key_names), Python's reader does it in
+Arrow batches, and the expressions what it refuses. A text that is null or no JSON gives no keys
+and no nodes, and a row of rejected().
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import jsontree as T
 from ..functions.text import strip
@@ -118,13 +122,18 @@ def _probed(names: Column) -> Column:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, json. With _nodes, the leaves, and _names, the name of each."""
-    return _unfolded(docs.select("doc", "json"), _leaf_mode, paths=True).withColumn("_wanted", _preferred(F.col("_nodes"))).withColumn("_names", _probed(F.col("_wanted")))
+    """``docs``: json. With _nodes, the leaves, and _names, the name of each."""
+    some, none = F.size("_nodes") > 0, F.array().cast("array<string>")
+    found = _unfolded(docs, _leaf_mode, paths=True).withColumn("_wanted", F.when(some, _preferred(F.col("_nodes"))).otherwise(none))
+    return found.withColumn("_names", F.when(some, _probed(F.col("_wanted"))).otherwise(none))
 
 
-def key_names(docs: DataFrame) -> DataFrame:
-    """``docs``: doc, json. The names of each one's keys in order, in a list: doc, names."""
-    return _named(docs).select("doc", F.filter("_names", lambda t: strip(t) != "").alias("names"))
+def _key_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs``: json. A row for each key with ``more`` of the document's columns, or one with nulls of a document without."""
+    named = F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name"))
+    # Outer, as what an inner one requires of the array would be looked for by a second walk.
+    rows = _named(docs).select(*more, F.posexplode_outer(F.filter(named, lambda x: strip(x["name"]) != "")).alias("at", "k"))
+    return _leaves(rows.select(*more, (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.n"))
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -133,11 +142,165 @@ def keys(docs: DataFrame) -> DataFrame:
     A leaf's name is its own if no other leaf of the document has it, else its path; a name that
     an earlier leaf took gets _2, _3 ..., the first that is free. Documents in the old schema, or
     that are no JSON objects, give no keys (see rejected)."""
-    named = F.arrays_zip(F.col("_nodes").alias("n"), F.col("_names").alias("name"))
-    # Outer, as what an inner one requires of the array would be looked for by a second walk.
-    rows = _named(docs).select("doc", F.posexplode_outer(F.filter(named, lambda x: strip(x["name"]) != "")).alias("at", "k")).filter("at is not null")
-    rows = _leaves(rows.select("doc", (F.col("at") + 1).cast("long").alias("ordinal"), "k.name", "k.n"))
-    return rows.select("doc", "ordinal", "name", "critical", "expected", "data_type", "match", "notes")
+    return _key_rows(docs.select("doc", "json"), "doc").filter("ordinal is not null").select("doc", "ordinal", *_KEY)
+
+
+_KEY = ("name", "critical", "expected", "data_type", "match", "notes")
+_PLAIN, _ITEM, _LIST, _ROW = range(4)  # members of objects and of the items of lists, entries of lists and of lists in items
+_KINDS = {str: "string", bool: "boolean", int: "integer", float: "float"}
+_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
+_flat = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
+def _constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_EXACT = json.JSONDecoder(parse_constant=_constant)
+
+
+def named_leaves(text: bytes | None) -> list[tuple[str, object, bool]]:
+    """Keys of a text as keys() has them, in order: name, node, and whether that is a value object. Raises what
+    REFUSED lists where Python's reader can't read the text."""
+    root = _EXACT.decode(text.decode()) if text is not None else None
+    if text is not None and (b"\\ud" in text or b"\\uD" in text):
+        _flat(root).encode()  # half of a pair is no text
+    if type(root) is not dict or type(root.get("keys")) is list:
+        return []
+    todo = [("", k, k, v, _PLAIN) for k, v in reversed(root.items())]
+    found = []
+    while todo:
+        path, at, name, node, where = todo.pop()
+        kind = type(node)
+        if kind is dict and where != _ROW:
+            if "value" in node:
+                found.append((path, at, name, node, True))
+            else:
+                path, below = f"{path}{at}_", _ITEM if where == _LIST else _PLAIN
+                todo += [(path, k, k, v, below) for k, v in reversed(node.items())]
+        elif kind is list and where <= _ITEM:
+            path, below = f"{path}{at}_", _ROW if where == _ITEM else _LIST
+            todo += [(path, str(i), name, node[i - 1], below) for i in range(len(node), 0, -1)]
+        elif where != _PLAIN:
+            found.append((path, at, name, node, False))
+    names = [x[2] for x in found]
+    if len(set(names)) < len(names):
+        count = Counter(names)
+        names = [name if count[name] == 1 else path + at for path, at, name, _, _ in found]
+        if len(set(names)) < len(names):
+            names = _free(names)
+    return [(name, x[3], x[4]) for name, x in zip(names, found, strict=True) if name and not name.isspace()]
+
+
+def _free(names: list[str]) -> list[str]:
+    """Names with _2, _3 ... behind those that an earlier one took, the first that is free."""
+    taken: dict[str, None] = {}
+    number: dict[str, int] = {}
+    for wanted in names:
+        name, n = wanted, number.get(wanted, 2)
+        while name in taken:
+            name, n = f"{wanted}_{n}", n + 1
+        number[wanted] = n
+        taken[name] = None
+    return list(taken)
+
+
+def kind_of(node: object, held: bool) -> str | None:
+    """The type that a value object states, or that of a bare value."""
+    if held:
+        said = node.get("type")
+        return said if type(said) is str else None
+    return "date" if type(node) is str and "-" in node and _DAY.fullmatch(node.strip()) else _KINDS.get(type(node))
+
+
+def _expected(v: object) -> tuple[str, ...]:
+    """expected() of a value."""
+    kind = type(v)
+    if kind is list:
+        texts = ["" if e is None else _flat(e) if type(e) in (dict, list) else str(e).strip() for e in v]
+        return tuple(t for t in texts if t)
+    if kind is float:
+        return (str(int(v) if v.is_integer() else v),)
+    text = "" if v is None else v.strip() if kind is str else str(v) if kind is int else _flat(v)
+    return (text,) if text else ()
+
+
+def _key(name: str, node: object, held: bool) -> tuple:
+    """A key's members in the order of _KEY."""
+    kind, said = kind_of(node, held), node.get("match") if held else None
+    match = said.strip().lower() if type(said) is str else None
+    if match not in MODES:
+        match = "numeric" if kind is not None and kind.strip().lower() in ("float", "integer", "number") else "normalized_text"
+    if not held:
+        return name, False, _expected(node), kind, match, None
+    notes = node.get("notes")
+    return name, bool(node.get("critical")), _expected(node["value"]), kind, match, notes if type(notes) is str else None
+
+
+#: What Python's reader and writer raise on texts that they don't take: no JSON, no UTF-8, too deep, too many digits.
+REFUSED = (ValueError, RecursionError)
+
+
+def listed(texts: pa.Array, put: Callable[[list[tuple[str, object, bool]]], None]) -> tuple[pa.Array, pa.Array]:
+    """Gives the keys of each text to ``put``, which raises before it takes any or takes all. Where each text's begin, and which texts are refused."""
+    begin, refused = [0], []
+    for text in texts.cast(pa.binary()).to_pylist():  # bytes, as a text may be no UTF-8
+        try:
+            put(found := named_leaves(text))
+        except REFUSED:
+            found = None
+        begin.append(begin[-1] + len(found or ()))
+        refused.append(found is None)
+    return pa.array(begin, pa.int32()), pa.array(refused, pa.bool_())
+
+
+def text_lists(texts: pa.Array, one: Callable[[str, object, bool], str]) -> pa.Array:
+    """``one`` of each key of each text, null where the text is refused."""
+    all_: list[str] = []
+    begin, refused = listed(texts, lambda found: all_.extend([one(*x) for x in found]))
+    return pa.ListArray.from_arrays(begin, pa.array(all_, pa.string()), mask=refused)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _name_lists(texts: pa.Array) -> pa.Array:
+    return text_lists(texts, lambda name, *_: name)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(c, BooleanType() if c == "critical" else ArrayType(StringType()) if c == "expected" else StringType()) for c in _KEY])))
+def _key_lists(texts: pa.Array) -> pa.Array:
+    columns: list[list] = [[] for _ in _KEY]
+
+    def put(found: list) -> None:
+        # By columns, as millions of rows that are kept would be gone through again and again for garbage.
+        for column, more in zip(columns, zip(*[_key(*x) for x in found], strict=True), strict=False):
+            column += more
+
+    begin, refused = listed(texts, put)
+    kinds = {"critical": pa.bool_(), "expected": pa.list_(pa.string())}
+    arrays = [pa.array(v, kinds.get(c, pa.string())) for c, v in zip(_KEY, columns, strict=True)]
+    return pa.ListArray.from_arrays(begin, pa.StructArray.from_arrays(arrays, list(_KEY)), mask=refused)
+
+
+def rest(read: DataFrame, name: str) -> DataFrame:
+    """``read``: doc, json and ``name``, what was read of it (null: refused). A row for each key of what was refused, by
+    expressions, and one with an ordinal of null for any other document."""
+    return _key_rows(read.select("doc", name, F.when(F.col(name).isNull(), F.col("json")).alias("json")), "doc", name)
+
+
+def key_names(docs: DataFrame) -> DataFrame:
+    """``docs``: doc, json. The names of each one's keys in order, in a list: doc, names."""
+    read = docs.select("doc", "json", _name_lists("json").alias("_r"))
+    named = _named(read.select("doc", "_r", F.when(F.col("_r").isNull(), F.col("json")).alias("json")))
+    return named.select("doc", F.coalesce("_r", F.filter("_names", lambda t: strip(t) != "")).alias("names"))
+
+
+def read_keys(docs: DataFrame) -> DataFrame:
+    """keys() by Python's reader, in Arrow batches; what that refuses is walked in expressions, so no key is lost."""
+    rows = rest(docs.select("doc", "json", _key_lists("json").alias("_r")), "_r").select("*", F.posexplode_outer("_r").alias("_at", "_k"))
+    read = F.col("_at").isNotNull()
+    rows = rows.filter(read | F.col("ordinal").isNotNull())
+    ordinal = F.when(read, (F.col("_at") + 1).cast("long")).otherwise(F.col("ordinal"))
+    return rows.select("doc", ordinal.alias("ordinal"), *(F.when(read, F.col("_k")[c]).otherwise(F.col(c)).alias(c) for c in _KEY))
 
 
 def _node_mode(lists: bool):
@@ -181,10 +344,6 @@ def raw_summary(docs: DataFrame) -> DataFrame:
     )
 
 
-def _constant(name: str) -> None:
-    raise ValueError(name)
-
-
 #: Whole numbers as floats, as these may have any number of digits.
 _READER = json.JSONDecoder(parse_int=float, parse_constant=_constant)
 _COUNTS = ("keys", "labelled", "critical", "critical_labelled")

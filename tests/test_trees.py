@@ -123,6 +123,45 @@ def test_deep_documents_are_walked_in_several_plans(spark):
     assert [(r.name, r.expected) for r in k.collect()] == [("a", ["1"])]
 
 
+#: What Python's reader reads and Spark's does not, and what only expressions read or nothing does.
+DEEP = '{"a":{"value":%s1%s}}' % ("[" * 1100, "]" * 1100)
+ODD = [
+    (5000, None), (5001, ""), (5002, "{"), (5003, "[1]"), (5004, '{"a":NaN}'), (5005, '{"a":{"value":1},"a":{"value":2}}'), (5006, '{"a":{"value":1}} x'), (5007, DEEP), (5008, '{"a":{"value":1e23}}'),
+    (5009, '{"a":{"value":"\\ud83d\\ude00"}}'), (5010, '{"keys":[],"a":{"value":1}}'), (5011, '{"a":{"value":"\\u001f1"},"a ":{"value":"\x85"}," ":{"value":1}}'), (5012, '{"a":' * 100_000), (5013, '{"a":{"value":[%s]}}' % ("1" * 1500)),
+]
+
+
+def names(text):
+    return [k[1] for k in keys(text)]
+
+
+def test_key_names_equal_plain_python(spark):
+    r = random.Random(13)
+    docs = [(i, json.dumps({r.choice("ab") + r.choice(["", "_1", "_2"]): value(r) for _ in range(4)})) for i in range(300)] + [d for d in ODD if d[0] not in (5004, 5012)]
+    got = {x.doc: x.names for x in G.key_names(spark.createDataFrame(docs, "doc long, json string")).collect()}
+    assert got == {i: names(t) for i, t in docs}
+
+
+#: Half of a pair, and bytes that are no UTF-8: refused by the reader, and keys to the expressions.
+HALF = [b'{"a":{"value":"\\ud800","critical":1},"l":[{"b":1,"a":2},{"b":3}]}', b'{"a":{"value":"\xff","type":"x"},"b":{"a":{"value":1}}}', b'{"a":{"value":"x"},"l":[{"b":1,"a":2},{"b":3}]}', b"\xff", b"{}"]
+
+
+def halves(spark, ids=range(len(HALF))):
+    return spark.createDataFrame(list(zip(ids, map(bytearray, HALF), strict=True)), "doc long, b binary").selectExpr("doc", "CAST(b AS STRING) AS json")
+
+
+def test_what_the_reader_refuses_keeps_its_keys(spark):
+    assert {r.doc: r.names for r in G.key_names(halves(spark)).collect()} == {0: ["a", "l_1_b", "l_1_a", "l_2_b"], 1: ["a", "b_a"], 2: ["a", "l_1_b", "l_1_a", "l_2_b"], 3: [], 4: []}
+
+
+def test_queries_read_ground_truth_in_arrow_batches(spark):
+    from docscore.plans import documents as Q
+
+    for query in (Q.gt_dedupe_names,):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert plan.executedPlan().toString().count("ArrowEvalPython") == 1 and plan.optimizedPlan().toString().count(T._END) == 2, query
+
+
 def test_walks_need_no_python_and_no_shuffle(spark):
     docs = spark.createDataFrame([(1, '{"a":{"value":1}}')], "doc long, json string")
     for df in (G.keys(docs), G.value_nodes(docs), G.rejected(docs)):
