@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.rounding import fixed
+from . import groundtruth as G
 
 SLOT = "{{REQUESTED_KEYS}}"
 
 
+def _line() -> Column:
+    return F.concat(F.lit("- "), F.coalesce("name", F.lit("null")), F.lit(" (type: "), F.coalesce("data_type", F.lit("string")), F.lit(", critical: "), F.when(F.col("critical"), "yes").otherwise("no"), F.lit(")"))
+
+
+def _filled(template: str, lines: Column) -> Column:
+    body = F.array_join(lines, "\n")
+    return F.replace(F.lit(template), F.lit(SLOT), body) if SLOT in template else F.concat(F.lit(template + "\n\n"), body)
+
+
 def prompts(keys: DataFrame, template: str) -> DataFrame:
     """A prompt per document with its bullet list of keys, at the slot or at the end."""
-    line = F.concat(F.lit("- "), F.coalesce("name", F.lit("null")), F.lit(" (type: "), F.coalesce("data_type", F.lit("string")), F.lit(", critical: "), F.when(F.col("critical"), "yes").otherwise("no"), F.lit(")"))
-    lines = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    body = F.array_join(lines["line"], "\n")
-    text: Column = F.replace(F.lit(template), F.lit(SLOT), body) if SLOT in template else F.concat(F.lit(template + "\n\n"), body)
-    return keys.groupBy("doc").agg(text.alias("prompt"))
+    lines = F.sort_array(F.collect_list(F.struct("ordinal", _line().alias("line"))))
+    return keys.groupBy("doc").agg(_filled(template, lines["line"]).alias("prompt"))
+
+
+def _line_of(name: str, node: object, held: bool) -> str:
+    kind = G.kind_of(node, held)
+    return f"- {name} (type: {'string' if kind is None else kind}, critical: {'yes' if held and node.get('critical') else 'no'})"
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _line_lists(texts: pa.Array) -> pa.Array:
+    return G.text_lists(texts, _line_of)
+
+
+def read_prompts(docs: DataFrame, template: str) -> DataFrame:
+    """``docs``: doc, json. prompts() of keys(), the lines of a text made at once (see groundtruth.read_keys)."""
+    rows = G.rest(docs.select("doc", "json", _line_lists("json").alias("_r")), "_r")
+    part = lambda first, lines: F.struct(first.alias("first"), lines.alias("lines"))
+    read = F.when(F.size("_r") > 0, part(F.lit(1).cast("long"), F.col("_r")))
+    rows = rows.select("doc", F.when(F.col("ordinal").isNull(), read).otherwise(part(F.col("ordinal"), F.array(_line()))).alias("part"))
+    p = F.collect_list("part").alias("p")
+    whole = rows.filter("part is not null").groupBy("doc").agg(p)
+    each = F.flatten(F.transform("p", lambda x: F.transform(x["lines"], lambda t, i: F.struct((x["first"] + i).alias("ordinal"), t.alias("line")))))
+    return whole.select("doc", _filled(template, F.when(F.size("p") == 1, F.get("p", F.lit(0))["lines"]).otherwise(F.sort_array(each)["line"])).alias("prompt"))
 
 
 def markdown(rows: DataFrame, columns: list[str], order: str) -> DataFrame:

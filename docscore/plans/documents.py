@@ -399,8 +399,7 @@ def first_value(spark, d):
 
 def prompt_render(spark, d):
     """Prompts of all keys of all orders."""
-    k = G.keys(_gt(spark, d).select("doc", "json"))
-    return render.prompts(k, "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
+    return render.read_prompts(_gt(spark, d).select("doc", "json"), "Read the keys.\n{{REQUESTED_KEYS}}\nEnd.")
 
 
 _PROMPT = f"""SELECT doc, 'Read the keys.' || chr(10) || string_agg('- ' || name || ' (type: ' || coalesce(data_type, 'string') || ', critical: ' || CASE WHEN critical THEN 'yes' ELSE 'no' END || ')', chr(10) ORDER BY ordinal) || chr(10) || 'End.' AS prompt

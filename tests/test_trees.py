@@ -11,6 +11,7 @@ from docscore.functions import jsontree as T
 from docscore.functions import jsonx as J
 from docscore.operators import diff as D
 from docscore.operators import groundtruth as G
+from docscore.operators import render
 from docscore.operators import scoring
 
 MODES = {"exact", "normalized_text", "contains", "numeric"}
@@ -135,6 +136,12 @@ def names(text):
     return [k[1] for k in keys(text)]
 
 
+def prompt(*texts):
+    """The prompt of documents that share an id."""
+    lines = sorted((n, f"- {name} (type: {'string' if kind is None else kind}, critical: {'yes' if critical else 'no'})") for t in texts for n, name, critical, _, kind, _, _ in keys(t))
+    return "A\n" + "\n".join(x for _, x in lines) + "\nB"
+
+
 def test_key_names_equal_plain_python(spark):
     r = random.Random(13)
     docs = [(i, json.dumps({r.choice("ab") + r.choice(["", "_1", "_2"]): value(r) for _ in range(4)})) for i in range(300)] + [d for d in ODD if d[0] not in (5004, 5012)]
@@ -142,6 +149,16 @@ def test_key_names_equal_plain_python(spark):
     assert got == {i: names(t) for i, t in docs}
 
 
+def test_read_prompts_equal_plain_python(spark):
+    r = random.Random(14)
+    docs = [(i % 200, json.dumps({r.choice("abcdefgh"): value(r) for _ in range(3)})) for i in range(300)] + [d for d in ODD if d[0] not in (5004, 5012)]
+    by = {}
+    for i, t in docs:
+        by.setdefault(i, []).append(t)
+    got = {x.doc: x.prompt for x in render.read_prompts(spark.createDataFrame(docs, "doc long, json string"), "A\n{{REQUESTED_KEYS}}\nB").collect()}
+    assert got == {i: prompt(*ts) for i, ts in by.items() if any(map(keys, ts))}
+
+
 #: Half of a pair, and bytes that are no UTF-8: refused by the reader, and keys to the expressions.
 HALF = [b'{"a":{"value":"\\ud800","critical":1},"l":[{"b":1,"a":2},{"b":3}]}', b'{"a":{"value":"\xff","type":"x"},"b":{"a":{"value":1}}}', b'{"a":{"value":"x"},"l":[{"b":1,"a":2},{"b":3}]}', b"\xff", b"{}"]
 
@@ -154,10 +171,17 @@ def test_what_the_reader_refuses_keeps_its_keys(spark):
     assert {r.doc: r.names for r in G.key_names(halves(spark)).collect()} == {0: ["a", "l_1_b", "l_1_a", "l_2_b"], 1: ["a", "b_a"], 2: ["a", "l_1_b", "l_1_a", "l_2_b"], 3: [], 4: []}
 
 
+def test_prompts_of_refused_and_of_repeated_ids(spark):
+    for ids in (range(5), (1, 1, 1, 2, 2), (None, 1, 1, 1, None)):
+        read = render.read_prompts(halves(spark, ids), "{{REQUESTED_KEYS}}").collect()
+        plain = render.prompts(G.keys(halves(spark, ids)), "{{REQUESTED_KEYS}}").collect()
+        assert sorted(map(str, read)) == sorted(map(str, plain))
+
+
 def test_queries_read_ground_truth_in_arrow_batches(spark):
     from docscore.plans import documents as Q
 
-    for query in (Q.gt_dedupe_names,):
+    for query in (Q.gt_dedupe_names, Q.prompt_render):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
         assert plan.executedPlan().toString().count("ArrowEvalPython") == 1 and plan.optimizedPlan().toString().count(T._END) == 2, query
 
