@@ -207,7 +207,7 @@ def _gt(spark, d):
 
 
 def gt_flatten(spark, d):
-    k = G.keys(_gt(spark, d).select("doc", "json"))
+    k = G.read_keys(_gt(spark, d).select("doc", "json"))
     return k.select("doc", "ordinal", "name", "critical", F.array_join("expected", "|").alias("expected"), "data_type", "match")
 
 

@@ -132,6 +132,18 @@ ODD = [
 ]
 
 
+def test_read_keys_equal_plain_python(spark):
+    r = random.Random(12)
+    docs = [(i, json.dumps({r.choice("abcdefgh") + r.choice(["", "", "_1", "_2"]): value(r) for _ in range(r.randint(0, 5))}, ensure_ascii=r.random() < 0.5)) for i in range(600)]
+    docs += [d for d in ODD if d[0] not in (5004, 5012)]
+    got = {}
+    for x in G.read_keys(spark.createDataFrame(docs + ODD, "doc long, json string").distinct()).collect():
+        got.setdefault(x.doc, []).append((x.ordinal, x.name, x.critical, x.expected, x.data_type, x.match, x.notes))
+    for i, t in docs:
+        assert same(got.get(i, [])) == same(keys(t)), t
+    assert not {5004, 5012} & got.keys()
+
+
 def names(text):
     return [k[1] for k in keys(text)]
 
@@ -168,6 +180,8 @@ def halves(spark, ids=range(len(HALF))):
 
 
 def test_what_the_reader_refuses_keeps_its_keys(spark):
+    want = sorted(map(str, G.keys(halves(spark)).collect()))
+    assert sorted(map(str, G.read_keys(halves(spark)).collect())) == want and len(want) == 4 + 2 + 4
     assert {r.doc: r.names for r in G.key_names(halves(spark)).collect()} == {0: ["a", "l_1_b", "l_1_a", "l_2_b"], 1: ["a", "b_a"], 2: ["a", "l_1_b", "l_1_a", "l_2_b"], 3: [], 4: []}
 
 
@@ -181,7 +195,7 @@ def test_prompts_of_refused_and_of_repeated_ids(spark):
 def test_queries_read_ground_truth_in_arrow_batches(spark):
     from docscore.plans import documents as Q
 
-    for query in (Q.gt_dedupe_names, Q.prompt_render):
+    for query in (Q.gt_flatten, Q.gt_dedupe_names, Q.prompt_render):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
         assert plan.executedPlan().toString().count("ArrowEvalPython") == 1 and plan.optimizedPlan().toString().count(T._END) == 2, query
 
